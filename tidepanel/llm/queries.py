@@ -16,5 +16,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources,)}
+def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import components
+
+    out = components(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_simhash_components)}
 SQL: dict[str, str] = {}
