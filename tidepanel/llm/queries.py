@@ -23,5 +23,20 @@ def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_simhash_components)}
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_embedding_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mix_sources, op3_simhash_components, op5_decontaminate, op8_embedding_components)
+}
 SQL: dict[str, str] = {}
