@@ -35,8 +35,14 @@ def op8_embedding_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op3_simhash_components, op5_decontaminate, op8_embedding_components)
+    for f in (op1_mix_sources, op3_simhash_components, op5_decontaminate, op8_embedding_components, op10_kneser_ney)
 }
 SQL: dict[str, str] = {}
