@@ -41,8 +41,14 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_sources, op3_simhash_components, op5_decontaminate, op8_embedding_components, op10_kneser_ney)
+    for f in (op1_mix_sources, op3_simhash_components, op5_decontaminate, op7_repeated_passages, op8_embedding_components, op10_kneser_ney)
 }
 SQL: dict[str, str] = {}
