@@ -65,11 +65,17 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_mix_sources, op3_simhash_components, op4_toxicity, op5_decontaminate, op6_line_dedup, op7_repeated_passages,
-        op8_embedding_components, op9_quality, op10_kneser_ney,
+        op1_mix_sources, op2_license_scan, op3_simhash_components, op4_toxicity, op5_decontaminate, op6_line_dedup,
+        op7_repeated_passages, op8_embedding_components, op9_quality, op10_kneser_ney,
     )
 }
 SQL: dict[str, str] = {}
