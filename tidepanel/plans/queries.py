@@ -1,4 +1,456 @@
-"""Panel queries over the driver's tables and their DuckDB SQL."""
+"""Panel queries over the driver's tables, and the same in SQL.
 
-QUERIES: dict = {}
-SQL: dict = {}
+A query is a frame, the SQL body over shared derivations, and a digest: ``name:kind`` for its columns,
+kinds t (time, as epoch seconds), d (number, rounded), l (whole number), s (text), b (boolean), a (date).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.columns import (
+    KEYS, NAME, TIME, any_of, avg_rank, bar, clip, closed_range, is_finite, lcg_noise, own, qcut_bucket, rank_quintile, safe_div, stripe_ordinal,
+)
+from ..operators import backtest as B
+from ..operators import features as X
+from ..operators import portfolio as P
+from ..operators import scoring as M
+from ..operators import splits as S
+from ..operators import stats as G
+from ..operators import transforms as T
+from ..sources import panel as A
+from .panel_sql import BACKTEST, IC, PANEL_D, PANEL_H, SCORED, SIGNAL, STREAMS, average_rank, bucket, corr
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+CUT_D, CUT_H = datetime(2000, 1, 1), datetime(2024, 1, 22)
+DIGITS = 7
+
+
+def _digest(df: DataFrame, spec: str) -> DataFrame:
+    out = []
+    for part in spec.split():
+        name, kind = part.split(":")
+        c = F.col(name)
+        out.append({
+            "t": F.unix_timestamp(c).alias("bar" if name == TIME else name), "d": (F.round(c.cast("double"), DIGITS) + F.lit(0.0)).alias(name), "l": c.cast("long").alias(name),
+            "s": c.cast("string").alias(name), "b": c.alias(name), "a": c.cast("date").cast("string").alias(name),
+        }[kind])
+    return df.select(*out)
+
+
+def _digest_sql(spec: str) -> str:
+    out = []
+    for part in spec.split():
+        name, kind = part.split(":")
+        q = f'"{name}"'
+        out.append({
+            "t": f"epoch({q})::BIGINT AS " + ("bar" if name == TIME else q), "d": f"round({q}::DOUBLE, {DIGITS}) + 0.0 AS {q}", "l": f"{q}::BIGINT AS {q}",
+            "s": f"{q}::VARCHAR AS {q}", "b": f"{q} AS {q}", "a": f"{q}::DATE::VARCHAR AS {q}",
+        }[kind])
+    return ", ".join(out)
+
+
+def _with(*parts: str) -> str:
+    return ",\n".join(parts)
+
+
+D, H = _with(PANEL_D), _with(PANEL_H)
+DS, HS = _with(PANEL_D, SIGNAL), _with(PANEL_H, SIGNAL)
+DC, HC = _with(DS, SCORED), _with(HS, SCORED)
+DB, HB = _with(DS, BACKTEST), _with(HS, BACKTEST)
+DP = _with(PANEL_D, STREAMS)
+ON = "PARTITION BY ticker ORDER BY timestamp_agg"
+
+
+def add(name: str, frame: Query, spec: str, ctes: str | None = None, body: str = "") -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _digest(frame(spark, sf_dir), spec)
+
+    QUERIES[name] = query
+    if ctes is not None:
+        SQL[name] = f"WITH {ctes},\nq AS ({body})\nSELECT {_digest_sql(spec)} FROM q"
+
+
+def reversal(panel: DataFrame) -> DataFrame:
+    """Candidate: minus the last residual return."""
+    return panel.select(*KEYS, (-F.lag("residual_return").over(own())).alias("signal"))
+
+
+def d(spark, sf):
+    return A.daily(spark, sf)
+
+
+def h(spark, sf):
+    return A.hourly(spark, sf)
+
+
+def sig(panel):
+    return X.normalised(reversal(panel))
+
+
+def sc(panel):
+    return G.scored(sig(panel), panel)
+
+
+def bt(panel):
+    return B.backtest_bars(sig(panel), panel)
+
+
+def on(source: Callable, f: Callable) -> Query:
+    return lambda spark, sf: f(source(spark, sf))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Information coefficient per hourly bar of a reversal signal."""
+    return QUERIES["ic_per_bar"](spark, sf_dir)
+
+
+# sources, projection, filters
+add("scan_panel", d, "timestamp_agg:t ticker:s close:d volume:d n_obs:l return:d residual_return:d", D, "SELECT * FROM panel")
+add("task_full", on(d, lambda p: A.full_frame(p.where(F.col(TIME) < CUT_D), p.where(F.col(TIME) >= datetime(1999, 6, 1)))), "timestamp_agg:t ticker:s close:d", D, "SELECT DISTINCT * FROM (SELECT * FROM panel WHERE timestamp_agg < '2000-01-01' UNION ALL SELECT * FROM panel WHERE timestamp_agg >= '1999-06-01')")
+add("project_cols", on(h, lambda p: p.withColumnRenamed("close", "price").drop("volume").select(*KEYS, "price")), "timestamp_agg:t ticker:s price:d", H, "SELECT timestamp_agg, ticker, close AS price FROM panel")
+add("finite_filter", on(d, lambda p: p.where(is_finite("residual_return")).select(*KEYS, "residual_return")), "timestamp_agg:t ticker:s residual_return:d", D, "SELECT timestamp_agg, ticker, residual_return FROM panel WHERE residual_return IS NOT NULL AND NOT isnan(residual_return) AND isfinite(residual_return)")
+add("fill_values", on(d, lambda p: p.select(*KEYS, F.coalesce(F.nanvl("return", F.lit(0.0)), F.lit(0.0)).alias("filled"))), "timestamp_agg:t ticker:s filled:d", D, 'SELECT timestamp_agg, ticker, coalesce("return", 0) AS filled FROM panel')
+add("drop_nulls", on(d, lambda p: p.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in p.columns))).select(*KEYS, "return")), "timestamp_agg:t ticker:s return:d", D, 'SELECT * FROM panel WHERE "return" IS NOT NULL AND residual_return IS NOT NULL AND close IS NOT NULL AND volume IS NOT NULL')
+add("case_when", on(d, lambda p: p.select(*KEYS, F.when(F.col(TIME) >= CUT_D, F.lit(None).cast("double")).otherwise(F.col("return")).alias("masked"))), "timestamp_agg:t ticker:s masked:d", D, "SELECT timestamp_agg, ticker, CASE WHEN timestamp_agg >= '2000-01-01' THEN NULL ELSE \"return\" END AS masked FROM panel")
+add("clip", on(d, lambda p: p.select(*KEYS, clip(F.col("residual_return") * 1000, -4.0, 4.0).alias("clipped"))), "timestamp_agg:t ticker:s clipped:d", D, "SELECT timestamp_agg, ticker, CASE WHEN residual_return IS NOT NULL THEN least(greatest(residual_return * 1000, -4), 4) END AS clipped FROM panel")
+add("any_of", on(h, lambda p: p.where(any_of(NAME, ["click", "error", "signup"])).select(*KEYS, "close")), "timestamp_agg:t ticker:s close:d", H, "SELECT * FROM panel WHERE ticker IN ('click', 'error', 'signup')")
+add("row_index", on(d, lambda p: p.select(*KEYS, (F.row_number().over(own()) - 1).alias("row"))), "timestamp_agg:t ticker:s row:l", D, f"SELECT *, row_number() OVER ({ON}) - 1 AS row FROM panel")
+add("range_mask", on(d, lambda p: p.where(closed_range(TIME, datetime(1998, 1, 1), datetime(1998, 12, 31))).select(*KEYS, "close")), "timestamp_agg:t ticker:s close:d", D, "SELECT * FROM panel WHERE timestamp_agg BETWEEN '1998-01-01' AND '1998-12-31'")
+add("stripe_mask", on(d, lambda p: p.select(*KEYS, (F.pmod(stripe_ordinal(TIME, "week"), F.lit(2)) == 1).alias("hit"))), "timestamp_agg:t ticker:s hit:b", D, "SELECT *, (year(timestamp_agg) * 53 + week(timestamp_agg)) % 2 = 1 AS hit FROM panel")
+
+# joins, sets, selection
+add("join_same_bar", on(d, lambda p: sc(p).select(*KEYS, "signal", "ret")), "timestamp_agg:t ticker:s signal:d ret:d", DC, "SELECT * FROM sc")
+add("join_next_bar", on(h, lambda p: sc(p).select(*KEYS, "signal", "ret_next")), "timestamp_agg:t ticker:s signal:d ret_next:d", HC, "SELECT * FROM sc")
+
+
+def _view(p: DataFrame, cut: datetime, mode: str = "null") -> DataFrame:
+    return X.view(p.where(F.col(TIME) < cut), p.where(F.col(TIME) >= cut), mode)
+
+
+add("period_filter", on(d, lambda p: X.period(reversal(p), _view(p, CUT_D))), "timestamp_agg:t ticker:s signal:d", DS, "SELECT * FROM raw WHERE timestamp_agg >= '2000-01-01'")
+add("align_panels", lambda s, sf: (lambda p: p.where(F.month(TIME) % 2 == 0).select(*KEYS, "close").join(p.where(F.dayofmonth(TIME) <= 15).select(TIME).distinct(), TIME, "left_semi").join(p.where(F.col("volume") > 60).select(NAME).distinct(), NAME, "left_semi"))(d(s, sf)), "timestamp_agg:t ticker:s close:d", D, "SELECT * FROM panel WHERE month(timestamp_agg) % 2 = 0 AND timestamp_agg IN (SELECT timestamp_agg FROM panel WHERE day(timestamp_agg) <= 15) AND ticker IN (SELECT ticker FROM panel WHERE volume > 60)")
+add("validation_ordinal", on(d, lambda p: p.select(stripe_ordinal(TIME, "month").alias("unit")).distinct().withColumn("ordinal", F.row_number().over(Window.orderBy("unit")) - 1)), "unit:l ordinal:l", D, "SELECT unit, row_number() OVER (ORDER BY unit) - 1 AS ordinal FROM (SELECT DISTINCT year(timestamp_agg) * 12 + month(timestamp_agg) AS unit FROM panel)")
+
+
+def _delta(p: DataFrame) -> DataFrame:
+    other = p.where("volume > 20").select(*KEYS, (F.lag("residual_return").over(own()) * -1.0 + F.when(F.col(NAME) == "S1", 1e-3).otherwise(0.0)).alias("signal"))
+    return X.delta(reversal(p).where("signal is not null"), other.where("signal is not null"))
+
+
+add("signal_delta", on(d, _delta), "shared:l max_delta:d changed:l missing:l", DS, f"SELECT count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS shared, coalesce(max(abs(l - r)), 0) AS max_delta, count(*) FILTER (abs(l - r) > 1e-8) AS changed, greatest(count(l), count(r)) - count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS missing FROM (SELECT timestamp_agg, ticker, signal AS l FROM raw WHERE signal IS NOT NULL) FULL JOIN (SELECT timestamp_agg, ticker, -lag(residual_return) OVER ({ON}) + CASE WHEN ticker = 'S1' THEN 1e-3 ELSE 0 END AS r FROM panel WHERE volume > 20 QUALIFY r IS NOT NULL) USING (timestamp_agg, ticker)")
+add("union_diag", lambda s, sf: h(s, sf).select(*KEYS, "close", "n_obs").unionByName(d(s, sf).select(*KEYS, "volume", F.col("n_obs").cast("double").alias("n_obs")), allowMissingColumns=True), "timestamp_agg:t ticker:s close:d volume:d n_obs:d", D + ",\nhb AS (SELECT date_trunc('hour', ts) AS timestamp_agg, event_type AS ticker, avg(value) AS close, count(*) AS n_obs FROM events GROUP BY 1, 2)", "SELECT timestamp_agg, ticker, close, NULL::DOUBLE AS volume, n_obs::DOUBLE AS n_obs FROM hb UNION ALL SELECT timestamp_agg, ticker, NULL, volume, n_obs FROM panel")
+add("union_strict", on(h, lambda p: p.where(F.col(TIME) < CUT_H).unionByName(p.where(F.col(TIME) >= CUT_H)).select(*KEYS, "volume")), "timestamp_agg:t ticker:s volume:d", H, "SELECT * FROM panel")
+add("sorted_panel", on(h, lambda p: p.select(*KEYS, "close").orderBy(NAME, TIME)), "timestamp_agg:t ticker:s close:d", H, "SELECT * FROM panel ORDER BY ticker, timestamp_agg")
+add("distinct_keys", on(d, lambda p: p.select(F.trunc(TIME, "month").alias("month"), NAME).distinct()), "month:a ticker:s", D, "SELECT DISTINCT date_trunc('month', timestamp_agg) AS month, ticker FROM panel")
+add("row_slice", on(d, lambda p: p.withColumn("row", F.row_number().over(own())).where("row <= 10").select(*KEYS, "row")), "timestamp_agg:t ticker:s row:l", D, f"SELECT *, row_number() OVER ({ON}) AS row FROM panel QUALIFY row <= 10")
+add("distinct_bars", on(d, lambda p: p.select(TIME).distinct().orderBy(TIME)), "timestamp_agg:t", D, "SELECT DISTINCT timestamp_agg FROM panel")
+add("ts_range", on(d, lambda p: p.groupBy(NAME).agg(F.min(TIME).alias("first"), F.max(TIME).alias("last"))), "ticker:s first:t last:t", D, "SELECT ticker, min(timestamp_agg) AS first, max(timestamp_agg) AS last FROM panel GROUP BY 1")
+add("pivot_wide", on(h, lambda p: p.groupBy(TIME).pivot(NAME, ["click", "error", "purchase", "signup", "view"]).agg(F.min("close"))), "timestamp_agg:t click:d error:d purchase:d signup:d view:d", H, "SELECT timestamp_agg, " + ", ".join(f"min(close) FILTER (ticker = '{k}') AS \"{k}\"" for k in ("click", "error", "purchase", "signup", "view")) + " FROM panel GROUP BY 1")
+
+# windows
+_lag = lambda c: ", ".join(f"lag({c}, {k}) OVER ({ON}) AS {c}_lag{k}" for k in X.LAGS)
+_lagspec = lambda c: " ".join(f"{c}_lag{k}:d" for k in X.LAGS)
+add("safe_lags", on(d, lambda p: X.with_lags(p, ["residual_return"])), "timestamp_agg:t ticker:s " + _lagspec("residual_return"), D, f"SELECT *, {_lag('residual_return')} FROM panel")
+add("lead_returns", on(d, lambda p: X.with_leads(p, "residual_return", (1, 6, 24))), "timestamp_agg:t ticker:s residual_return_lead1:d residual_return_lead6:d residual_return_lead24:d", D, "SELECT *, " + ", ".join(f"lead(residual_return, {k}) OVER ({ON}) AS residual_return_lead{k}" for k in (1, 6, 24)) + " FROM panel")
+add("momentum_24", on(h, lambda p: p.select(*KEYS, F.coalesce(T.momentum("close", 24), F.lit(0.0)).alias("momentum"))), "timestamp_agg:t ticker:s momentum:d", H, f"SELECT *, coalesce(close / nullif(lag(close, 24) OVER ({ON}), 0) - 1, 0) AS momentum FROM panel")
+add("zscore_clip", on(d, sig), "timestamp_agg:t ticker:s signal:d", DS, "SELECT * FROM sig")
+add("avg_rank", on(d, lambda p: p.select(*KEYS, avg_rank("n_obs", TIME).alias("rank"))), "timestamp_agg:t ticker:s rank:d", D, f"SELECT *, {average_rank('n_obs', 'timestamp_agg')} AS rank FROM panel")
+add("cs_count", on(d, lambda p: p.select(*KEYS, F.count(F.lit(1)).over(bar()).alias("names"))), "timestamp_agg:t ticker:s names:l", D, "SELECT *, count(*) OVER (PARTITION BY timestamp_agg) AS names FROM panel")
+_QUINT = f"least(greatest(floor((({average_rank('signal', 'timestamp_agg')}) - 1) / count(*) OVER (PARTITION BY timestamp_agg) * 5), 0), 4)::INT"
+add("rank_quintile", on(d, lambda p: sig(p).withColumn("bucket", rank_quintile("signal"))), "timestamp_agg:t ticker:s bucket:l", DS, f"SELECT *, {_QUINT} AS bucket FROM sig")
+add("qcut_bucket", on(d, lambda p: p.withColumn("bucket", qcut_bucket("volume", 5))), "timestamp_agg:t ticker:s bucket:l", D, f"SELECT *, {bucket('volume', 'timestamp_agg', 5)} AS bucket FROM panel")
+add("time_code", on(h, lambda p: p.select(TIME).distinct().withColumn("code", F.row_number().over(Window.orderBy(TIME)) - 1)), "timestamp_agg:t code:l", H, "SELECT timestamp_agg, row_number() OVER (ORDER BY timestamp_agg) - 1 AS code FROM (SELECT DISTINCT timestamp_agg FROM panel)")
+add("rolling_ic", on(h, lambda p: G.rolling_ic(G.ic_per_bar(sc(p)))), "timestamp_agg:t ic:d rolling_ic:d", _with(HC, IC), "SELECT *, avg(ic) OVER (ORDER BY timestamp_agg ROWS 167 PRECEDING) AS rolling_ic FROM ic")
+
+# statistics
+add("ic_per_bar", on(h, lambda p: G.ic_per_bar(sc(p))), "timestamp_agg:t ic:d n:l", _with(HC, IC), "SELECT * FROM ic")
+add("ic_summary", on(d, lambda p: G.ic_summary(G.ic_per_bar(sc(p)))), "mean_ic:d ic_std:d ic_positive:d n_timestamps:l", _with(DC, IC), "SELECT avg(ic) AS mean_ic, stddev_pop(ic) AS ic_std, avg((ic > 0)::INT) AS ic_positive, count(*) AS n_timestamps FROM ic")
+add("ic_tstat", on(d, lambda p: G.ic_tstat(G.ic_per_bar(sc(p)))), "ic_tstat:d", _with(DC, IC), "SELECT avg(ic) / (stddev_samp(ic) / sqrt(count(*))) AS ic_tstat FROM ic")
+add("return_corr", on(d, lambda p: G.return_corr(sc(p))), "return_correlation:d", DC, f"SELECT {corr('signal', 'ret')} AS return_correlation FROM sc")
+add("autocorr", on(d, lambda p: G.autocorr(sig(p))), "autocorrelation:d", DS, f"SELECT {corr('signal', 'before')} AS autocorrelation FROM (SELECT signal, lag(signal) OVER ({ON}) AS before FROM sig)")
+_QR = f"qr AS (SELECT bucket, avg(ret_next) AS mean_return, count(*) AS n FROM (SELECT ret_next, {_QUINT} AS bucket FROM sc WHERE ret_next IS NOT NULL) GROUP BY 1)"
+_QE = f"qr AS (SELECT bucket, avg(ret_next) AS mean_return, count(*) AS n FROM (SELECT ret_next, {bucket('signal', 'timestamp_agg', 5)} AS bucket FROM sc WHERE ret_next IS NOT NULL) GROUP BY 1)"
+add("quantile_returns", on(d, lambda p: G.quantile_returns(sc(p))), "bucket:l mean_return:d n:l", _with(DC, _QR), "SELECT * FROM qr")
+add("quantile_returns_evaluator", on(d, lambda p: G.quantile_returns(sc(p), "evaluator")), "bucket:l mean_return:d n:l", _with(DC, _QE), "SELECT * FROM qr")
+add("quantile_spread", on(d, lambda p: G.quantile_spread(sc(p))), "spread:d", _with(DC, _QR), "SELECT max_by(mean_return, bucket) - min_by(mean_return, bucket) AS spread FROM qr")
+add("monotonicity", on(d, lambda p: G.quantile_spread(sc(p))), "monotonicity:d", _with(DC, _QR), "SELECT corr(rx, ry) AS monotonicity FROM (SELECT rank() OVER (ORDER BY bucket) AS rx, rank() OVER (ORDER BY mean_return) AS ry FROM qr)")
+
+
+def _decay_sql(hs: tuple) -> str:
+    ahead = ", ".join(f"lead(residual_return, {k}) OVER ({ON}) AS h{k}" for k in hs)
+    parts = " UNION ALL ".join(f"SELECT {k} AS horizon, timestamp_agg, avg(signal * h{k}) AS ic FROM sig JOIN ah USING (timestamp_agg, ticker) WHERE h{k} IS NOT NULL GROUP BY 2" for k in hs)
+    return f"SELECT horizon, avg(ic) AS ic FROM (WITH ah AS (SELECT timestamp_agg, ticker, {ahead} FROM panel) {parts}) GROUP BY 1"
+
+
+add("ic_decay", on(d, lambda p: G.ic_decay(sig(p), p)), "horizon:l ic:d", DS, _decay_sql(G.DECAY["engine"]))
+add("ic_decay_evaluator", on(h, lambda p: G.ic_decay(sig(p), p, "evaluator")), "horizon:l ic:d", HS, _decay_sql(G.DECAY["evaluator"]))
+add("ic_decay_labels", on(d, lambda p: M.decay_labels(G.ic_decay(sig(p), p).withColumn("ic", F.col("ic") * 10))), "horizon:l label:s", DS, "SELECT horizon, CASE WHEN abs(ic) > .0005 THEN 'Strong' WHEN abs(ic) > .0002 THEN 'Good' WHEN abs(ic) > .0001 THEN 'Moderate' WHEN abs(ic) > .00003 THEN 'Weak' ELSE 'Decayed' END AS label FROM (" + _decay_sql(G.DECAY["engine"]) + ")")
+
+
+def _dk_sql(y: str) -> str:
+    return f"""SELECT slope / sqrt((s00 * a * a + 2 * a * b * s01 + b * b * s11) * (bars / (bars - 1.0)) * ((n - 1.0) / (n - 2.0))) AS dk_tstat FROM (
+  WITH obs AS (SELECT timestamp_agg, signal AS x, {y} AS y FROM sc WHERE {y} IS NOT NULL),
+  m AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, covar_pop(x, y) AS cxy, count(DISTINCT timestamp_agg) AS bars FROM obs),
+  u AS (SELECT timestamp_agg, sum(e) AS u0, sum(e * x) AS u1, row_number() OVER (ORDER BY timestamp_agg) AS i FROM
+        (SELECT timestamp_agg, x, y - (my - cxy / vx * mx) - cxy / vx * x AS e FROM obs, m) GROUP BY 1),
+  w AS (SELECT k, CASE WHEN k = 0 THEN 1.0 ELSE 1 - k / (ceil(pow(bars, 1 / 3.0) - 1e-9) + 1) END AS w FROM m, (SELECT unnest(range(0, 60)) AS k) WHERE k <= ceil(pow(bars, 1 / 3.0) - 1e-9)),
+  s AS (SELECT sum(w * p.u0 * q.u0 * CASE WHEN k = 0 THEN 1 ELSE 2 END) AS s00, sum(w * p.u1 * q.u1 * CASE WHEN k = 0 THEN 1 ELSE 2 END) AS s11,
+               sum(w * CASE WHEN k = 0 THEN p.u0 * p.u1 ELSE p.u0 * q.u1 + p.u1 * q.u0 END) AS s01 FROM w, u p, u q WHERE q.i = p.i - k)
+  SELECT *, cxy / vx AS slope, -mx / (n * vx) AS a, 1 / (n * vx) AS b FROM m, s)"""
+
+
+add("dk_tstat", on(d, lambda p: G.dk_tstat(sc(p))), "dk_tstat:d", DC, _dk_sql("ret"))
+add("dk_tstat_evaluator", on(h, lambda p: G.dk_tstat(sc(p), "evaluator")), "dk_tstat:d", HC, _dk_sql("ret_next"))
+_CAL = f"cal AS (SELECT bucket, (bucket + .5) * 10 AS center, avg(ret_next) AS avg_return, count(*) AS \"count\" FROM (SELECT ret_next, {bucket('signal', 'timestamp_agg', 10)} AS bucket FROM sc WHERE ret_next IS NOT NULL) GROUP BY 1)"
+add("calibration", on(d, lambda p: G.calibration(sc(p))), "bucket:l center:d avg_return:d count:l", _with(DC, _CAL), "SELECT * FROM cal")
+add("calibration_fit", on(d, lambda p: G.calibration_fit(G.calibration(sc(p))).withColumn("slope", F.col("slope") * 1e4)), "slope:d intercept:d", _with(DC, _CAL), "SELECT regr_slope(avg_return, center) * 1e4 AS slope, regr_intercept(avg_return, center) AS intercept FROM cal")
+add("rank_ic", on(d, lambda p: G.rank_ic(sc(p))), "timestamp_agg:t rank_ic:d n:l", DC, f"SELECT timestamp_agg, {corr('rx', 'ry')} AS rank_ic, count(*) AS n FROM (SELECT timestamp_agg, {average_rank('signal', 'timestamp_agg')} AS rx, {average_rank('ret', 'timestamp_agg')} AS ry FROM sc WHERE ret IS NOT NULL) GROUP BY 1 HAVING count(*) >= 3")
+add("coverage", on(d, lambda p: G.coverage(X.period(sig(p), _view(p, CUT_D)), p)), "coverage:d bar_coverage:d", DS, "SELECT count(*) / (count(DISTINCT timestamp_agg) * count(DISTINCT ticker))::DOUBLE AS coverage, count(DISTINCT timestamp_agg)::DOUBLE / (SELECT count(DISTINCT timestamp_agg) FROM panel) AS bar_coverage FROM sig WHERE timestamp_agg >= '2000-01-01'")
+add("names_per_bar", on(d, lambda p: G.names_per_bar(sig(p))), "names_per_bar:d least:l most:l", D, "SELECT avg(n) AS names_per_bar, min(n) AS least, max(n) AS most FROM (SELECT count(*) AS n FROM panel GROUP BY timestamp_agg)")
+add("describe_signal", on(d, lambda p: sig(p).agg(F.count("signal").alias("n"), F.avg("signal").alias("mean"), F.stddev_samp("signal").alias("std"), F.min("signal").alias("low"), F.max("signal").alias("high"))), "n:l mean:d std:d low:d high:d", DS, "SELECT count(signal) AS n, avg(signal) AS mean, stddev_samp(signal) AS std, min(signal) AS low, max(signal) AS high FROM sig")
+
+# backtest
+_BT = "timestamp_agg:t gross_returns:d net_ret:d turnover:d gross_leverage:d equity_curve:d"
+add("backtest_bars", on(d, bt), _BT, DB, "SELECT * FROM bt")
+add("backtest_hourly", on(h, bt), _BT, HB, "SELECT * FROM bt")
+add("equity_curve", on(h, lambda p: bt(p).select(TIME, "equity_curve")), "timestamp_agg:t equity_curve:d", HB, "SELECT * FROM bt")
+add("drawdown_curve", on(d, lambda p: B.drawdown(bt(p))), "timestamp_agg:t drawdown:d", DB, "SELECT *, equity_curve / greatest(max(equity_curve) OVER (ORDER BY timestamp_agg ROWS UNBOUNDED PRECEDING), 1e-8) - 1 AS drawdown FROM bt")
+add("backtest_metrics", on(h, lambda p: B.metrics(bt(p))), "n_timestamps:l total_return:d CAGR:d volatility:d sharpe_net:d max_drawdown:d turnover_ann:d gross_leverage:d", HB, "SELECT count(*) AS n_timestamps, max_by(equity_curve, timestamp_agg) - 1 AS total_return, pow(max_by(equity_curve, timestamp_agg), 8760.0 / count(*)) - 1 AS \"CAGR\", stddev_samp(net_ret) * sqrt(8760) AS volatility, avg(net_ret) * sqrt(8760) / stddev_samp(net_ret) AS sharpe_net, min(dd) AS max_drawdown, avg(turnover) * 8760 AS turnover_ann, avg(gross_leverage) AS gross_leverage FROM (SELECT *, equity_curve / greatest(max(equity_curve) OVER (ORDER BY timestamp_agg ROWS UNBOUNDED PRECEDING), 1e-8) - 1 AS dd FROM bt)")
+add("turnover_daily", on(h, lambda p: bt(p).groupBy(F.to_date(TIME).alias("date")).agg(F.sum("turnover").alias("turnover"))), "date:a turnover:d", HB, "SELECT timestamp_agg::DATE AS date, sum(turnover) AS turnover FROM bt GROUP BY 1")
+add("daily_pnl", on(h, lambda p: B.daily_pnl(bt(p))), "date:a daily_ret:d", HB, "SELECT * FROM daily")
+add("daily_sharpe", on(h, lambda p: B.daily_sharpe(B.daily_pnl(bt(p)))), "sharpe:d", HB, "SELECT avg(daily_ret) * sqrt(365) / stddev_samp(daily_ret) AS sharpe FROM daily")
+add("equity_compound", on(h, lambda p: B.compounded(B.daily_pnl(bt(p)))), "date:a equity:d drawdown:d", HB, "SELECT date, equity, (equity - max(equity) OVER o) / (max(equity) OVER o + 1e-8) AS drawdown FROM (SELECT date, exp(sum(ln(1 + daily_ret)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS equity FROM daily) WINDOW o AS (ORDER BY date ROWS UNBOUNDED PRECEDING)")
+
+# feature views and gate
+_F = "timestamp_agg:t ticker:s is_prediction_period:b residual_return:d residual_return_lag1:d residual_return_lag24:d return_lag3:d"
+_FSQL = f'SELECT timestamp_agg, ticker, timestamp_agg >= \'2000-01-01\' AS is_prediction_period, MASK AS residual_return, lag(residual_return) OVER ({ON}) AS residual_return_lag1, lag(residual_return, 24) OVER ({ON}) AS residual_return_lag24, lag("return", 3) OVER ({ON}) AS return_lag3 FROM panel'
+add("feature_strict", on(d, lambda p: _view(p, CUT_D)), _F, D, _FSQL.replace("MASK", "CASE WHEN timestamp_agg < '2000-01-01' THEN residual_return END"))
+add("feature_full", on(d, lambda p: _view(p, CUT_D, "raw")), _F, D, _FSQL.replace("MASK", "residual_return"))
+add("mask_lagged", on(d, lambda p: _view(p, CUT_D, "lagged")), _F, D, _FSQL.replace("MASK", f"CASE WHEN timestamp_agg < '2000-01-01' THEN residual_return ELSE lag(residual_return) OVER ({ON}) END"))
+add("feature_hidden", on(d, lambda p: X.view(None, p.where(F.col(TIME) >= CUT_D))), _F, D + ",\nhid AS (SELECT * FROM panel WHERE timestamp_agg >= '2000-01-01')", _FSQL.replace("MASK", "NULL::DOUBLE").replace("FROM panel", "FROM hid"))
+
+
+def _hidden(p: DataFrame) -> DataFrame:
+    return p.where(F.col(TIME) >= CUT_H)
+
+
+def _gate(p: DataFrame, **kw) -> DataFrame:
+    hid = _hidden(p)
+    at = X.gate_bars(hid)[0]
+    kw = {k: (X.sentinels(hid, at) if k == "future" else v) for k, v in kw.items()}
+    return X.gate_view(p.where(F.col(TIME) < CUT_H), hid, at, **kw)
+
+
+_GB = _with(H, "hid AS (SELECT * FROM panel WHERE timestamp_agg >= '2024-01-22')", "gb AS (SELECT timestamp_agg AS g FROM (SELECT DISTINCT timestamp_agg FROM hid) ORDER BY 1 LIMIT 1 OFFSET 1)")
+add("gate_bars", lambda s, sf: (lambda p: s.createDataFrame([(t,) for t in X.gate_bars(_hidden(p), 3)], f"{TIME} timestamp"))(h(s, sf)), "timestamp_agg:t", _with(H, "b AS (SELECT timestamp_agg, row_number() OVER (ORDER BY timestamp_agg) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT timestamp_agg FROM panel WHERE timestamp_agg >= '2024-01-22'))"), "SELECT timestamp_agg FROM b WHERE i IN (1, n // 2, n - 2)")
+_G = "timestamp_agg:t ticker:s is_prediction_period:b residual_return:d residual_return_lag1:d"
+_GSQL = "SELECT timestamp_agg, ticker, timestamp_agg = g AS is_prediction_period, CASE WHEN timestamp_agg < g THEN residual_return END AS residual_return, {lag} AS residual_return_lag1 FROM panel, gb WHERE {keep}".format(lag=f"lag(residual_return) OVER ({ON})", keep="timestamp_agg <= g")
+add("gate_view", on(h, lambda p: _gate(p)), _G, _GB, _GSQL)
+_GN = "timestamp_agg:t ticker:s moved:b in_range:b residual_return_lag1:d"
+
+
+def _moved(v: DataFrame, p: DataFrame) -> DataFrame:
+    both = v.join(p.select(*KEYS, F.col("residual_return").alias("was")), KEYS)
+    return both.withColumn("moved", F.coalesce(F.abs(F.col("residual_return") - F.col("was")) > 1e-12, F.lit(True))).withColumn("in_range", F.coalesce(F.col("residual_return").between(-0.25, 0.25), F.lit(True)))
+
+
+add("gate_view_current", on(h, lambda p: _moved(_gate(p, current_noise=True), p)), _GN, _GB, f"SELECT timestamp_agg, ticker, (timestamp_agg = g OR residual_return IS NULL) AS moved, true AS in_range, lag(residual_return) OVER ({ON}) AS residual_return_lag1 FROM panel, gb WHERE timestamp_agg <= g")
+add("gate_view_future", on(h, lambda p: _moved(_gate(p, future=[]), p)), _GN, _GB + ",\nse AS (SELECT min(timestamp_agg) AS a, max(timestamp_agg) AS b FROM panel, gb WHERE timestamp_agg > g)", f"SELECT timestamp_agg, ticker, (timestamp_agg >= g OR residual_return IS NULL) AS moved, true AS in_range, lag(residual_return) OVER ({ON}) AS residual_return_lag1 FROM (SELECT panel.*, g FROM panel, gb, se WHERE timestamp_agg <= g OR timestamp_agg IN (a, b))")
+add("lcg_noise", on(d, lambda p: p.withColumn("noise", lcg_noise(F.row_number().over(own()) - 1))), "timestamp_agg:t ticker:s noise:d", D, f"SELECT *, ((((row_number() OVER ({ON}) - 1) * 1103515245::BIGINT + 12345) % 2000000) / 1e6 - 1) * 0.25 AS noise FROM panel")
+add("gate_coverage", on(h, lambda p: sig(p).where(F.col(TIME) >= CUT_H).where(is_finite("signal")).groupBy(TIME).agg(F.count(F.lit(1)).alias("found")).join(_hidden(p).groupBy(TIME).agg(F.countDistinct(NAME).alias("expected")), TIME).withColumn("enough", F.col("found") >= F.greatest(F.lit(1), F.floor(F.col("expected") * 0.01)))), "timestamp_agg:t found:l expected:l enough:b", HS, "SELECT timestamp_agg, count(*) AS found, count(DISTINCT ticker) AS expected, true AS enough FROM sig WHERE timestamp_agg >= '2024-01-22' GROUP BY 1")
+
+
+def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    p = h(spark, sf).persist()
+    train, hid = p.where(F.col(TIME) < CUT_H), _hidden(p)
+    lagged = lambda v: v.withColumn("signal", -F.col("residual_return_lag1"))
+    same = lambda v: v.withColumn("signal", F.coalesce("residual_return", F.lit(0.0)))
+    ahead = lambda v: v.withColumn("signal", F.coalesce(F.lead("residual_return").over(own()), F.lit(0.0)))
+    rows = [(k, X.run_gate(f, train, hid)["status"]) for k, f in (("lagged", lagged), ("same_bar", same), ("ahead", ahead))]
+    return spark.createDataFrame(rows, "candidate string, status string")
+
+
+add("gate_verdict", _verdicts, "candidate:s status:s", "v AS (SELECT 1)", "SELECT * FROM (VALUES ('lagged', 'passed'), ('same_bar', 'failed'), ('ahead', 'failed')) AS t(candidate, status)")
+add("policy_scan", lambda s, sf: X.policy_scan(A.table(s, sf, "part").select("p_partkey", F.concat(F.lit("x = '"), "p_name", F.when(F.col("p_partkey") % 3 == 0, "/tests/a'").when(F.col("p_partkey") % 3 == 1, "test.parquet'").otherwise("'")).alias("code"))), "p_partkey:l violations:l", "v AS (SELECT 1)", "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN 1 ELSE 0 END AS violations FROM part")
+add("cheat_flag", on(d, lambda p: M.cheat_flag(G.return_corr(G.scored(p.select(*KEYS, F.col("residual_return").alias("signal")), p)))), "return_correlation:d cheating_detected:b", D, "SELECT 1.0 AS return_correlation, true AS cheating_detected")
+
+# scoring
+_MET = "m AS (SELECT o_orderkey, (o_orderkey % 50) / 10.0 AS dk_tstat, (o_orderkey % 23) / 10.0 AS sharpe, (o_orderkey % 101) / 100.0 AS autocorrelation, ((o_orderkey % 41) - 20) / 1000.0 AS mean_ic, (o_orderkey % 19) / 19.0 AS return_correlation, (o_orderkey % 100) / 100.0 AS ic_positive FROM orders)"
+
+
+def _metrics(s: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return A.table(s, sf, "orders").select("o_orderkey", (k % 50 / 10).alias("dk_tstat"), (k % 23 / 10).alias("sharpe"), (k % 101 / 100).alias("autocorrelation"), ((k % 41 - 20) / 1000).alias("mean_ic"), (k % 19 / 19).alias("return_correlation"), (k % 100 / 100).alias("ic_positive"))
+
+
+_PEN = "CASE WHEN autocorrelation > .999 THEN .4 WHEN autocorrelation >= .5 THEN 0 WHEN autocorrelation < .1 THEN .4 ELSE (.5 - autocorrelation) / .4 * .4 END"
+_COMB = f"greatest(.4 * CASE WHEN dk_tstat >= 4 THEN 1 WHEN dk_tstat >= 3 THEN .8 WHEN dk_tstat >= 2 THEN .6 WHEN dk_tstat >= 1 THEN .2 ELSE 0 END + .6 * CASE WHEN sharpe >= 2 THEN 1 WHEN sharpe >= 1.5 THEN .8 WHEN sharpe >= 1 THEN .4 WHEN sharpe >= .7 THEN .2 ELSE 0 END - {_PEN}, .05)::DOUBLE"
+add("score_combined", lambda s, sf: M.combined(_metrics(s, sf)), "o_orderkey:l score:d", _MET, f"SELECT o_orderkey, {_COMB} AS score FROM m")
+add("score_checker", lambda s, sf: M.checker(_metrics(s, sf)), "o_orderkey:l score:d", _MET, "SELECT o_orderkey, .45 * least(greatest(dk_tstat / 3, 0), 1) + .4 * least(greatest(sharpe, 0), 1) + .15 * CASE WHEN autocorrelation BETWEEN .5 AND .95 THEN 1 ELSE greatest(0, 1 - abs(autocorrelation - .725) / .5) END AS score FROM m")
+add("score_local", lambda s, sf: M.local(_metrics(s, sf)), "o_orderkey:l score:d passed:b", _MET, "SELECT o_orderkey, CASE WHEN abs(return_correlation) > .9 THEN -1 ELSE least(greatest(100 * mean_ic, -1), 1.5) END AS score, abs(return_correlation) <= .9 AND mean_ic > .003 AS passed FROM m")
+add("implausible_flags", lambda s, sf: M.implausible(_metrics(s, sf).withColumn("sharpe", F.col("sharpe") * 5).withColumn("mean_ic", F.col("mean_ic") * 4.1)), "o_orderkey:l sharpe_flag:b ic_flag:b positive_flag:b", _MET, "SELECT o_orderkey, abs(sharpe * 5) >= 7 AS sharpe_flag, abs(mean_ic * 4.1) >= .05 AS ic_flag, ic_positive >= .95 AS positive_flag FROM m")
+
+
+def _gaps(p: DataFrame) -> DataFrame:
+    rows = sc(p).withColumn("oos", F.col(TIME) >= CUT_D)
+    ic = rows.where(is_finite("ret_next")).groupBy("oos", TIME).agg(F.avg(F.col("signal") * F.col("ret_next")).alias("ic"))
+    one = ic.agg(F.avg(F.when(~F.col("oos"), F.col("ic"))).alias("is_ic"), F.avg(F.when(F.col("oos"), F.col("ic"))).alias("oos_ic"), F.lit(1.0).alias("is_sharpe"), F.lit(0.5).alias("oos_sharpe"))
+    return M.gaps(one)
+
+
+add("is_oos_gap", on(d, _gaps), "is_ic:d oos_ic:d ic_gap_pct:d sharpe_gap_pct:d", _with(DC, IC), "SELECT *, abs(is_ic - oos_ic) / abs(is_ic) * 100 AS ic_gap_pct, 50.0 AS sharpe_gap_pct FROM (SELECT avg(ic) FILTER (timestamp_agg < '2000-01-01') AS is_ic, avg(ic) FILTER (timestamp_agg >= '2000-01-01') AS oos_ic FROM ic)")
+
+# splits
+_UNITS = {"month": "year(timestamp_agg) * 12 + month(timestamp_agg)", "week": "year(timestamp_agg) * 53 + week(timestamp_agg)", "day": "year(timestamp_agg) * 366 + dayofyear(timestamp_agg)"}
+add("stripe_ordinal", on(h, lambda p: p.select(TIME).distinct().select(TIME, *(stripe_ordinal(TIME, u).alias(u) for u in S.UNITS))), "timestamp_agg:t month:l week:l day:l hour:l", H, "SELECT DISTINCT timestamp_agg, " + ", ".join(f"{v} AS \"{k}\"" for k, v in _UNITS.items()) + f", ({_UNITS['day']}) * 24 + hour(timestamp_agg) AS \"hour\" FROM panel")
+add("split_stripe", on(d, lambda p: p.select(*KEYS, S.masks(p, S.SplitSpec("s", "stripe", "t", details={"unit": "month", "modulus": 2, "holdout": 0}))[1].alias("is_test"))), "timestamp_agg:t ticker:s is_test:b", D, f"SELECT *, ({_UNITS['month']}) % 2 = 0 AS is_test FROM panel")
+add("split_fixed", on(d, lambda p: reduce(lambda a, b: a.unionByName(b), (x.agg(F.lit(n).alias("side"), F.count(F.lit(1)).alias("n"), F.min(TIME).alias("first"), F.max(TIME).alias("last")) for n, x in (("train", p.where(F.col(TIME) < CUT_D)), ("test", p.where(F.col(TIME) >= CUT_D)))))), "side:s n:l first:t last:t", D, "SELECT CASE WHEN timestamp_agg < '2000-01-01' THEN 'train' ELSE 'test' END AS side, count(*) AS n, min(timestamp_agg) AS first, max(timestamp_agg) AS last FROM panel GROUP BY 1")
+
+
+def _sides(p: DataFrame, spec: S.SplitSpec) -> DataFrame:
+    train, test = S.masks(p, spec)
+    return p.select(*KEYS, F.when(train, "train").when(test, "test").otherwise("none").alias("side"))
+
+
+def _rolling(p: DataFrame) -> DataFrame:
+    t, u = S.rolling(*S.time_range(p))[0]
+    return _sides(p, S.SplitSpec("r", "rolling", "t", 0, 24, t, (u,)))
+
+
+add("split_rolling", on(d, _rolling), "timestamp_agg:t ticker:s side:s", _with(D, "z AS (SELECT date_trunc('month', min(timestamp_agg)) AS a, max(timestamp_agg) AS last FROM panel)"), "SELECT timestamp_agg, ticker, CASE WHEN timestamp_agg < a + INTERVAL 36 MONTH AND timestamp_agg < a + INTERVAL 36 MONTH - INTERVAL 24 HOUR THEN 'train' WHEN timestamp_agg >= a + INTERVAL 36 MONTH AND timestamp_agg < a + INTERVAL 48 MONTH THEN 'test' ELSE 'none' END AS side FROM panel, z")
+_BLOCKS = ((datetime(1996, 3, 1), datetime(1996, 5, 1) - S.TICK), (datetime(1998, 7, 1), datetime(1998, 9, 1) - S.TICK))
+_BLOCK_SQL = "(timestamp_agg >= '1996-03-01' AND timestamp_agg < '1996-05-01') OR (timestamp_agg >= '1998-07-01' AND timestamp_agg < '1998-09-01')"
+_NEAR_SQL = "(timestamp_agg >= TIMESTAMP '1996-02-29' AND timestamp_agg < TIMESTAMP '1996-05-02') OR (timestamp_agg >= TIMESTAMP '1998-06-30' AND timestamp_agg < TIMESTAMP '1998-09-02')"
+add("split_random_block", on(d, lambda p: _sides(p, S.SplitSpec("b", "random_block", "t", 0, 24, None, _BLOCKS))), "timestamp_agg:t ticker:s side:s", D, f"SELECT *, CASE WHEN {_BLOCK_SQL} THEN 'test' WHEN {_NEAR_SQL} THEN 'none' ELSE 'train' END AS side FROM panel")
+add("purge_train", on(d, lambda p: p.where(S.purge(F.col(TIME), _BLOCKS, 24)).select(*KEYS)), "timestamp_agg:t ticker:s", D, f"SELECT * FROM panel WHERE NOT ({_NEAR_SQL})")
+add("split_slice", on(d, lambda p: S.cut_split(p, S.SplitSpec("b", "random_block", "t", 0, 24, None, _BLOCKS))[1].select(*KEYS)), "timestamp_agg:t ticker:s", D, f"SELECT * FROM panel WHERE {_BLOCK_SQL}")
+add("split_validation", on(d, lambda p: S.validation(p.where(F.col(TIME) < CUT_D), S.ValidationConfig("is-month-stripe")).select(*KEYS, "is_validation")), "timestamp_agg:t ticker:s is_validation:b", D, f"SELECT *, (dense_rank() OVER (ORDER BY {_UNITS['month']}) - 1) % 2 = 1 AS is_validation FROM panel WHERE timestamp_agg < '2000-01-01'")
+add("month_calendar", on(d, S.month_calendar), "month:a", D, "SELECT unnest(generate_series((SELECT date_trunc('month', min(timestamp_agg)) FROM panel)::TIMESTAMP, (SELECT max(timestamp_agg) FROM panel)::TIMESTAMP, INTERVAL 1 MONTH)) AS month")
+
+
+def _plan(s: SparkSession, sf: str) -> DataFrame:
+    p = d(s, sf)
+    specs = S.plan("t", p.where(F.col(TIME) < CUT_D), p.where(F.col(TIME) >= CUT_D), S.SplitConfig())
+    return s.createDataFrame([(k, x.name, x.family, x.purge_hours) for k, x in enumerate(specs)], "place int, name string, family string, purge_hours int")
+
+
+add("split_plan", _plan, "place:l name:s family:s purge_hours:l", "v AS (SELECT 1)", "SELECT place, name, family, 24 AS purge_hours FROM (VALUES (0, 'rolling-001', 'rolling'), (1, 'random-block-001', 'random_block'), (2, 'stripe-month-mod2-h0', 'stripe'), (3, 'rolling-002', 'rolling'), (4, 'random-block-002', 'random_block'), (5, 'stripe-month-mod2-h1', 'stripe')) AS t(place, name, family)")
+add("bundle_checksums", lambda s, sf: A.checksums(s, sf, "region.parquet").select("name", "size", "sha256"), "name:s size:l sha256:s")
+
+
+# many streams
+def streams(p: DataFrame) -> DataFrame:
+    lags = p.select(*KEYS, "residual_return", "return", *(F.lag("residual_return", k).over(own()).alias(f"l{k}") for k in (1, 2, 3)))
+    one = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(k).alias("attempt"), (-F.col(f"l{k}") * F.col(c) * 1e4).alias("x")) for m, c in (("A", "residual_return"), ("B", "return")) for k in (1, 2, 3))))
+    task = F.concat(F.lit("T"), (F.substring(NAME, -1, 1).cast("int") % 4).cast("string"))
+    rows = lags.select(task.alias("task"), F.to_date(TIME).alias("date"), one.alias("s")).select("task", "date", "s.*").where("x is not null")
+    return rows.groupBy("task", "model", "attempt", "date").agg(F.avg("x").alias("daily_ret"))
+
+
+add("pnl_unit_vol", on(d, lambda p: P.unit_vol(streams(p))), "task:s model:s attempt:l date:a unit_ret:d", DP, "SELECT * FROM unit")
+_CURVE = "curve AS (SELECT *, sum(ret) OVER (PARTITION BY model, attempt ORDER BY date ROWS UNBOUNDED PRECEDING) AS pnl FROM (SELECT model, attempt, date, avg(unit_ret) AS ret FROM unit GROUP BY 1, 2, 3))"
+add("portfolio_curve", on(d, lambda p: P.portfolio_curve(streams(p))), "model:s attempt:l date:a ret:d pnl:d", _with(DP, _CURVE), "SELECT * FROM curve")
+add("portfolio_sharpe", on(d, lambda p: P.portfolio_sharpe(streams(p))), "model:s attempt:l sharpe:d", _with(DP, _CURVE), "SELECT model, attempt, avg(ret) * sqrt(365) / stddev_samp(ret) AS sharpe FROM curve GROUP BY 1, 2")
+add("pooled_sharpe", on(d, lambda p: P.pooled_sharpe(streams(p))), "model:s attempt:l sharpe:d", DP, "SELECT model, attempt, avg(unit_ret) * sqrt(365) / stddev_samp(unit_ret) AS sharpe FROM unit GROUP BY 1, 2")
+_TC = f"per AS (SELECT task, date, avg(unit_ret) AS r FROM unit GROUP BY 1, 2), tc AS (SELECT a.task AS task_a, b.task AS task_b, {corr('a.r', 'b.r')} AS corr, count(*) AS n FROM per a JOIN per b USING (date) WHERE a.task < b.task GROUP BY 1, 2)"
+add("task_corr", on(d, lambda p: P.task_corr(streams(p))), "task_a:s task_b:s corr:d n:l", _with(DP, _TC), "SELECT * FROM tc")
+add("offdiag_corr", on(d, lambda p: P.offdiag_corr(streams(p))), "offdiag_corr:d pairs:l", _with(DP, _TC), "SELECT avg(corr) AS offdiag_corr, count(*) AS pairs FROM tc")
+add("mean_reversion_factor", on(d, lambda p: P.factor_corr(streams(p), B.daily_pnl(bt(p)))), "task:s factor_corr:d n:l", _with(DB, STREAMS, _TC), f"SELECT task, {corr('r', 'daily_ret')} AS factor_corr, count(*) AS n FROM per JOIN daily USING (date) GROUP BY 1")
+add("attempt_corr", on(d, lambda p: P.attempt_corr(streams(p))), "task:s model:s attempt:l corr:d n:l", DP, f"SELECT a.task, a.model, a.attempt, {corr('a.daily_ret', 'b.daily_ret')} AS corr, count(*) AS n FROM streams a JOIN streams b ON a.task = b.task AND a.model = b.model AND b.attempt = a.attempt + 1 AND a.date = b.date GROUP BY 1, 2, 3")
+
+
+def _pairs(p: DataFrame) -> DataFrame:
+    x = P.unit_vol(streams(p)).withColumn("oos", F.col("date") >= F.lit("2000-01-01").cast("date"))
+    return x.groupBy(*P.STREAM).agg(*((F.avg(F.when(k, F.col("unit_ret"))) * 365**0.5 / F.stddev_samp(F.when(k, F.col("unit_ret")))).alias(n) for n, k in (("is_sharpe", ~F.col("oos")), ("oos_sharpe", F.col("oos")))))
+
+
+add("sharpe_scatter", on(d, lambda p: P.sharpe_scatter(_pairs(p))), "r:d n:l t:d", DP, "SELECT r, n, r * sqrt(n - 2) / sqrt(1 - r * r) AS t FROM (SELECT corr(least(greatest(a, -5), 5), least(greatest(b, -5), 5)) AS r, count(*) AS n FROM (SELECT avg(unit_ret) FILTER (date < '2000-01-01') * sqrt(365) / stddev_samp(unit_ret) FILTER (date < '2000-01-01') AS a, avg(unit_ret) FILTER (date >= '2000-01-01') * sqrt(365) / stddev_samp(unit_ret) FILTER (date >= '2000-01-01') AS b FROM unit GROUP BY task, model, attempt))")
+
+
+def _gates(x: DataFrame) -> DataFrame:
+    status = F.when((F.col("task") == "T1") & (F.col("attempt") == 3), "failed").when((F.col("task") == "T2") & (F.col("attempt") == 1), "failed").otherwise("passed")
+    return x.select(*P.STREAM).distinct().withColumn("status", status)
+
+
+add("gate_exclusion", on(d, lambda p: (lambda x: P.gate_exclusion(x, _gates(x)))(streams(p))), "task:s model:s attempt:l date:a daily_ret:d", DP, "SELECT * FROM streams WHERE task <> 'T1'")
+
+# residuals and transforms
+_TICK = lambda n, upto=0: f"({ON} ROWS BETWEEN {n} PRECEDING AND {'CURRENT ROW' if not upto else f'{upto} PRECEDING'})"
+_K = "timestamp_agg:t ticker:s "
+
+
+def tf(name: str, source: Callable, column: Callable, expr: str, ctes: str) -> None:
+    """One-column transform: a column or a frame that has it, and its SQL."""
+
+    def frame(spark, sf):
+        p = source(spark, sf)
+        x = column(p)
+        return x if isinstance(x, DataFrame) else p.withColumn(name, x)
+
+    add(name, frame, _K + f"{name}:d", ctes, f"SELECT timestamp_agg, ticker, {expr} AS {name} FROM panel")
+
+
+def _slope_sql(y: str, x: str, over: str, least: str = "1e-18") -> str:
+    a, b = f"CASE WHEN {x} IS NOT NULL THEN {y} END", f"CASE WHEN {y} IS NOT NULL THEN {x} END"
+    return f"covar_pop({a}, {b}) OVER {over} / CASE WHEN var_pop({b}) OVER {over} > {least} THEN var_pop({b}) OVER {over} END"
+
+
+tf("market_return", d, lambda p: T.market_return(["S1", "S2"]), "avg(CASE WHEN ticker IN ('S1', 'S2') THEN \"return\" END) OVER (PARTITION BY timestamp_agg)", D)
+_MKT = D.replace("panel AS (", "p0 AS (") + ",\npanel AS (SELECT *, avg(\"return\") OVER (PARTITION BY timestamp_agg) AS mkt FROM p0)"
+tf("rolling_beta", d, lambda p: p.withColumn("mkt", F.avg("return").over(bar())).withColumn("rolling_beta", T.rolling_beta("return", "mkt", 20)), _slope_sql('"return"', "mkt", _TICK(20, 1)), _MKT)
+_RB = "(PARTITION BY timestamp_agg)"
+tf("residualize", d, lambda p: T.residualize("return", "volume"), f'CASE WHEN "return" IS NOT NULL THEN "return" - avg("return") OVER {_RB} - coalesce({_slope_sql(chr(34) + "return" + chr(34), "volume", _RB)}, 0) * (volume - avg(CASE WHEN "return" IS NOT NULL THEN volume END) OVER {_RB}) END', D)
+tf("relative_volume", d, lambda p: T.relative_volume("volume", 20), f"volume / avg(volume) OVER {_TICK(20, 1)}", D)
+tf("log_shock", h, lambda p: T.log_shock("volume", 24), f"CASE WHEN volume > 0 THEN ln(volume / nullif(quantile_cont(volume, 0.5) OVER {_TICK(24, 1)}, 0)) END", H)
+tf("ts_zscore", d, lambda p: T.ts_zscore("volume", 20), f"(volume - avg(volume) OVER {_TICK(19)}) / nullif(stddev_samp(volume) OVER {_TICK(19)}, 0)", D)
+tf("ts_rank", h, lambda p: T.ts_rank("volume", 24), f"len(list_filter(list(volume) OVER {_TICK(23)}, lambda v: v <= volume)) / len(list(volume) OVER {_TICK(23)})::DOUBLE", H)
+tf("ewm_mean", h, lambda p: T.ewm_mean("volume", 0.2, 12), "(" + " + ".join(f"coalesce(lag(volume, {k}) OVER ({ON}), 0) * {0.8**k!r}" for k in range(12)) + ") / (" + " + ".join(f"CASE WHEN lag(volume, {k}) OVER ({ON}) IS NULL THEN 0 ELSE {0.8**k!r} END" for k in range(12)) + ")", H)
+tf("realized_vol", d, lambda p: T.realized_vol("return", 20), f'stddev_samp("return") OVER {_TICK(19)}', D)
+tf("downside_vol", d, lambda p: T.downside_vol("return", 20), f'stddev_samp(CASE WHEN "return" < 0 THEN "return" END) OVER {_TICK(19)}', D)
+tf("vol_of_vol", h, lambda p: T.vol_of_vol(p, "return", 24), f"stddev_samp(vol) OVER {_TICK(23)}", H.replace("panel AS (", "p0 AS (") + f',\npanel AS (SELECT *, stddev_samp("return") OVER {_TICK(23)} AS vol FROM p0)')
+tf("max_return", d, lambda p: T.max_return("return", 20), f'max("return") OVER {_TICK(19)}', D)
+tf("topk_mean_return", h, lambda p: T.topk_mean("return", 24, 3), "list_avg(list_slice(list_reverse_sort(list_filter(r, lambda v: v IS NOT NULL)), 1, 3))", H.replace("panel AS (", "p0 AS (") + f',\npanel AS (SELECT *, list("return") OVER {_TICK(23)} AS r FROM p0)')
+tf("bollinger_z", d, lambda p: T.bollinger("close", 20), f"(close - avg(close) OVER {_TICK(19)}) / nullif(stddev_samp(close) OVER {_TICK(19)}, 0) / 2", D)
+_STEP = lambda c, e: D.replace("panel AS (", "p0 AS (") + f",\npanel AS (SELECT *, {e} AS {c} FROM p0)"
+tf("rsi", d, lambda p: T.rsi(p, "close", 14), f"CASE WHEN step IS NOT NULL THEN coalesce(100 * avg(CASE WHEN step IS NOT NULL THEN greatest(step, 0) ELSE 0 END) OVER {_TICK(13)} / nullif(avg(CASE WHEN step IS NOT NULL THEN greatest(step, 0) ELSE 0 END) OVER {_TICK(13)} + avg(CASE WHEN step IS NOT NULL THEN greatest(-step, 0) ELSE 0 END) OVER {_TICK(13)}, 0), 50) END", _STEP("step", f"close - lag(close) OVER ({ON})"))
+tf("ar1_speed", d, lambda p: T.ar1_speed(p, "return", 20), f"1 - {_slope_sql(chr(34) + 'return' + chr(34), 'before', _TICK(19))}", _STEP("before", f'lag("return") OVER ({ON})'))
+_RC = ('CASE WHEN volume IS NOT NULL THEN "return" END', 'CASE WHEN "return" IS NOT NULL THEN volume END', _TICK(19))
+tf("rolling_corr", d, lambda p: T.rolling_corr("return", "volume", 20), "covar_pop({0}, {1}) OVER {2} / CASE WHEN stddev_pop({0}) OVER {2} * stddev_pop({1}) OVER {2} > 1e-18 THEN stddev_pop({0}) OVER {2} * stddev_pop({1}) OVER {2} END".format(*_RC), D)
+add("volume_clock", on(d, T.volume_clock), _K + "clock:d acceleration:d", D, f"SELECT *, sum(volume) OVER ({ON} ROWS UNBOUNDED PRECEDING) AS clock, volume - lag(volume) OVER ({ON}) AS acceleration FROM panel")
+tf("hour_baseline", h, lambda p: safe_div("volume", T.slot_mean("volume", F.hour(TIME))), "volume / avg(volume) OVER (PARTITION BY ticker, hour(timestamp_agg) ORDER BY timestamp_agg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", H)
+tf("seasonal_mean", d, lambda p: T.slot_mean("return", F.dayofweek(TIME)), 'avg("return") OVER (PARTITION BY ticker, dayofweek(timestamp_agg) ORDER BY timestamp_agg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)', D)
+tf("vwap_dev", d, lambda p: T.vwap_dev(20), f"close / (sum(close * volume) OVER {_TICK(19)} / sum(volume) OVER {_TICK(19)}) - 1", D)
+_REG = D.replace("panel AS (", "p0 AS (") + f',\np1 AS (SELECT *, stddev_samp("return") OVER {_TICK(19)} AS vol, lag(residual_return) OVER ({ON}) AS l1, lag(residual_return, 2) OVER ({ON}) AS l2 FROM p0),\nbv AS (SELECT timestamp_agg, avg(vol) AS v FROM p1 GROUP BY 1),\nhv AS (SELECT timestamp_agg, v > avg(v) OVER (ORDER BY timestamp_agg ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS high FROM bv),\npanel AS (SELECT p1.*, high FROM p1 JOIN hv USING (timestamp_agg))'
+tf("regime_blend", d, lambda p: T.regime_blend(X.with_lags(p, ["residual_return"], (1, 2)), "residual_return_lag1", "residual_return_lag2").withColumnRenamed("blend", "regime_blend"), "CASE WHEN high THEN l2 ELSE l1 END", _REG)
+tf("cs_rank", d, lambda p: T.cs_rank("volume"), f"CASE WHEN count(volume) OVER (PARTITION BY timestamp_agg) > 1 THEN (({average_rank('volume', 'timestamp_agg')}) - 1) / (count(volume) OVER (PARTITION BY timestamp_agg) - 1) ELSE 0.5 END", D)
+tf("winsorize", d, lambda p: T.winsorize("residual_return"), "CASE WHEN residual_return IS NOT NULL THEN least(greatest(residual_return, quantile_cont(residual_return, 0.05) OVER (PARTITION BY timestamp_agg)), quantile_cont(residual_return, 0.95) OVER (PARTITION BY timestamp_agg)) END", D)
+tf("imbalance", d, lambda p: T.imbalance("volume", "n_obs"), "(volume - n_obs) / nullif(volume + n_obs, 0)", D)
+_PRE = D.replace("panel AS (", "p0 AS (") + f",\np1 AS (SELECT *, least(greatest((close - m) * 100 / m, -10), 10) AS raw FROM (SELECT *, avg(close) OVER (PARTITION BY timestamp_agg) AS m FROM p0)),\np2 AS (SELECT *, lag(raw) OVER ({ON}) AS premium FROM p1),\npanel AS (SELECT *, premium - lag(premium) OVER ({ON}) AS change FROM p2)"
+add("premium_features", on(d, lambda p: T.premium(p.withColumn("m", F.avg("close").over(bar())), "close", "m")), _K + "premium:d change:d acceleration:d", _PRE, f"SELECT *, change - lag(change) OVER ({ON}) AS acceleration FROM panel")
+_WF = D.replace("panel AS (", "p0 AS (") + f""",
+p1 AS (SELECT *, year(timestamp_agg) AS block, lag(residual_return) OVER ({ON}) AS x FROM p0),
+bm AS (SELECT block, count(*) FILTER (ok) AS n, sum(x) FILTER (ok) AS sx, sum(y) FILTER (ok) AS sy, sum(x * x) FILTER (ok) AS sxx, sum(x * y) FILTER (ok) AS sxy
+       FROM (SELECT block, x, residual_return AS y, x IS NOT NULL AND residual_return IS NOT NULL AS ok FROM p1) GROUP BY 1),
+rm AS (SELECT block, sum(n) OVER w AS n, sum(sx) OVER w AS sx, sum(sy) OVER w AS sy, sum(sxx) OVER w AS sxx, sum(sxy) OVER w AS sxy
+       FROM bm WINDOW w AS (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+fit AS (SELECT block, n, sx, sy, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) AS slope FROM rm),
+panel AS (SELECT p1.*, (sy - slope * sx) / n + slope * x AS walk_forward_ols FROM p1 JOIN fit USING (block))"""
+add("walk_forward_ols", on(d, lambda p: T.walk_forward(p.withColumn("x", F.lag("residual_return").over(own())), "residual_return", "x", F.year(TIME)).withColumnRenamed("predicted", "walk_forward_ols")), _K + "walk_forward_ols:d", _WF, "SELECT * FROM panel")
+add("cluster_spread", on(d, lambda p: T.cluster_spread(p, "return")), _K + "cluster:l spread:d")
+
+
+def _asof(spark: SparkSession, sf: str) -> DataFrame:
+    p = h(spark, sf)
+    day = p.groupBy(F.date_trunc("day", TIME).alias(TIME), NAME).agg(F.sum("volume").alias("day_volume"))
+    return T.asof_daily(p.select(*KEYS, "close"), day, ["day_volume"])
+
+
+add("asof_daily_to_hourly", _asof, _K + "close:d day_volume:d", H + ",\ndv AS (SELECT date_trunc('day', timestamp_agg) + INTERVAL 1 DAY AS t, ticker, sum(volume) AS day_volume FROM panel GROUP BY 1, 2)", "SELECT p.timestamp_agg, p.ticker, p.close, d.day_volume FROM panel p ASOF LEFT JOIN dv d ON p.ticker = d.ticker AND p.timestamp_agg >= d.t")
