@@ -3,17 +3,18 @@
 A line is the set of its words; it goes when an earlier line (by doc_id, then place) has a Jaccard
 similarity of ``LIKE`` or more, whether or not that line itself stays. Lines without words stay.
 
-1. Equal sets are one candidate, their first line; every later line of an equal set goes.
-2. Tokens are ordered by rarity, from counts over all lines in ``BUCKETS`` hash buckets (an order is
-   all that the prefix filter needs, so the counts have a fixed size however large the vocabulary).
-3. Leaders: sets that share a least token under one of a few hash orders meet the earliest of them.
+1. Equal lines are one candidate, their first; every later equal line goes. Only distinct lines are split
+   into words, once. Lines that differ but have equal sets meet in step 3.
+2. Tokens are ordered by rarity, from counts over all distinct lines in ``BUCKETS`` hash buckets (an order
+   is all that the prefix filter needs, so the counts have a fixed size however large the vocabulary).
+3. Leaders: lines that share a least token under one of a few hash orders meet the earliest of them.
    That settles large groups of near copies in a number of pairs linear in the group.
-4. Sets that are still open meet all sets that share a token of both prefixes, behind length, position
+4. Lines that are still open meet all lines that share a token of both prefixes, behind length, position
    and signature filters; the pairs that pass are verified on whole sets.
 
-Both joins are on tokens that Spark may split where one is frequent. Sets are kept in a table bucketed by
-set, so that verification moves candidate pairs only. Words are compared by 32-bit hashes within a pair
-of lines and sets by 64-bit ones.
+The prefixes are shuffled once for both sides of their join, which Spark may split where a token is
+frequent. Sets are kept in a table bucketed by line, so that verification moves candidate pairs only.
+Words are compared by 32-bit hashes within a pair of lines and lines by 64-bit ones.
 """
 
 from __future__ import annotations
@@ -28,47 +29,60 @@ from .common import cut, fresh
 
 LIKE = 0.8
 BUCKETS = 1 << 16
+HOT = 1_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def tokens(line: Column) -> Column:
     """Distinct 32-bit hashes of a line's words, A-Z lower-cased."""
-    words = F.array_remove(F.split(F.translate(line, _UPPER, _LOWER), r"[\x20\x09-\x0D]+"), "")
+    words = F.array_remove(F.split(F.translate(line, _UPPER + "\t\v\f\r\n", _LOWER + " " * 5), " "), "")
     return F.array_distinct(F.transform(words, lambda w: F.hash(w)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, pos, toks): lines with words; th tells texts of one doc_id apart."""
+    """(doc_id, th, pos, id, line): lines with words; th tells texts of one doc_id apart, id is the line's hash."""
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.select("doc_id", "th", "pos", tokens(F.col("line")).alias("toks")).where(F.size("toks") > 0)
+    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "th", "pos", F.xxhash64("line").alias("id"), "line")
 
 
 def _place(*at: str) -> Column:
     return F.struct(F.col(at[0]).isNull().alias("none"), *(F.col(c) for c in at))
 
 
-def _rarity(lines: DataFrame) -> Column:
-    """Constant array: the number of lines that have a token of each bucket (``BUCKETS`` numbers, whatever the input)."""
-    seen = lines.select(F.explode("toks").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    n = dict(seen.collect())
-    order = {v: k for k, v in enumerate(sorted(set(n.values())))}  # only the order matters, and ranks are short
+def _rarity(sets: DataFrame) -> Column:
+    """Constant array: rank of each bucket by the number of lines that have a token of it (``BUCKETS`` ranks, whatever the input).
+
+    Rank 0 is for buckets of a single line, whose tokens meet no other line.
+    """
+    n = dict(sets.select(F.explode("toks").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+    order = {v: k for k, v in enumerate(sorted({1, *n.values()}))}  # only the order matters, and ranks are short
     return F.split(F.lit(",".join(str(order.get(n.get(b), 0)) for b in range(BUCKETS))), ",").cast("array<int>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, like: float) -> DataFrame:
-    """(a, b) candidates -> distinct ids of the later set of each pair that is similar."""
+    """(a, b) candidates -> distinct ids of the later line of each pair that is similar."""
     x = sets.select(F.col("id").alias("a"), F.col("toks").alias("ta"), _place("doc_id", "th", "pos").alias("pa"))
     y = sets.select(F.col("id").alias("b"), F.col("toks").alias("tb"), _place("doc_id", "th", "pos").alias("pb"))
     both = pairs.join(x, "a").join(y, "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    ok = common * (1 + like) >= like * (F.size("ta") + F.size("tb")) - 1e-9
+    ok = F.size(F.array_intersect("ta", "tb")) >= _least_common(F.size("ta"), F.size("tb"), like)
     return both.where(ok).select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
 
 
+def _least_common(n: Column, m: Column, like: float) -> Column:
+    """Fewest common tokens with which sets of n and m tokens are similar (not rounded)."""
+    return (n + m) * (like / (1 + like)) - 1e-9
+
+
+def _signature(toks: Column, half: int) -> Column:
+    """Parities of the tokens of one half in 64 classes; with both halves, sets differ in at least as many tokens as bits."""
+    one = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63))
+    return F.aggregate(toks, F.lit(0).cast("long"), lambda s, t: F.when(t.bitwiseAND(64) == 64 * half, s.bitwiseXOR(one(t))).otherwise(s))
+
+
 def _passes(like: float) -> Column:
-    """Length and signature filters on (n, sig) and (m, tig)."""
+    """Length and signature filters on (n, s0, s1) and (m, z0, z1)."""
     longest, shortest = F.greatest("n", "m"), F.least("n", "m")
-    apart = F.bit_count(F.col("sig").bitwiseXOR(F.col("tig")))
+    apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("z0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("z1")))
     return (shortest >= like * longest - 1e-9) & (apart <= (F.col("n") + F.col("m")) * ((1 - like) / (1 + like)) + 1e-9)
 
 
@@ -79,57 +93,60 @@ def removed_lines(docs: DataFrame, like: float = LIKE) -> DataFrame:
     has no lines.
     """
     spark = docs.sparkSession
-    slim = docs.select("doc_id", "text")
-    lines = _lines(slim)
-    counts = _rarity(lines)
-    rank = lambda t: F.element_at(counts, (F.pmod(t, F.lit(BUCKETS)) + 1).cast("int"))
-    by_set = lines.select("doc_id", "th", "pos", F.sort_array("toks").alias("toks"))
-    by_set = by_set.select(F.xxhash64("toks").alias("id"), "doc_id", "th", "pos", "toks")
-    first = by_set.groupBy("id").agg(F.min(_place("doc_id", "th", "pos")).alias("p"), F.first("toks").alias("toks"), F.count(F.lit(1)).alias("copies"))
-    ordered = F.transform(F.sort_array(F.transform("toks", lambda t: F.struct(rank(t).alias("r"), t.alias("t")))), lambda x: x["t"])
-    sets = first.select("id", "p.doc_id", "p.th", "p.pos", "copies", ordered.alias("toks"))
+    lines = _lines(docs.select("doc_id", "text"))
+    first = lines.groupBy("id").agg(F.min(_place("doc_id", "th", "pos")).alias("p"), F.first("line").alias("line"), F.count(F.lit(1)).alias("copies"))
+    toks = first.select("id", "p.doc_id", "p.th", "p.pos", "copies", tokens(F.col("line")).alias("toks"))
+    sets = toks.select("*", F.size("toks").alias("n"), *(_signature(F.col("toks"), k).alias(f"s{k}") for k in (0, 1)))
     name = f"line_sets_{uuid.uuid4().hex}"
     width = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sets.write.format("parquet").option("compression", "zstd").bucketBy(width, "id").saveAsTable(name)
     try:
-        later = _later_sets(spark.table(name), like)
-        return _places(spark.table(name), later, slim)
+        return _places(spark.table(name), _later_sets(spark.table(name), like), lines.drop("line"))
     finally:
         with suppress(Exception):
             spark.sql(f"DROP TABLE {name}")
 
 
 def _later_sets(sets: DataFrame, like: float) -> DataFrame:
-    """Ids of the sets that have an earlier similar set."""
-    sig = F.aggregate("toks", F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(t, F.lit(64)))))
-    n = F.size("toks")
-    other = F.transform("toks", lambda t: t.bitwiseXOR(F.lit(0x5BD1E995)).cast("long") * 2654435761 % 2147483647)
+    """Ids of the lines that have an earlier similar line."""
+    counts = _rarity(sets)
+    other = sets.withColumn("other", F.transform("toks", lambda t: F.hash(t)))
     low = [F.array_min("toks"), F.array_max("toks"), F.array_min("other"), F.array_max("other")]
-    keys = sets.select("id", "doc_id", "th", "pos", n.alias("n"), sig.alias("sig"), "toks", other.alias("other"))
-    keys = keys.select("id", "doc_id", "th", "pos", "n", "sig", F.explode(F.array(*(F.xxhash64(F.lit(k), c) for k, c in enumerate(low)))).alias("key"))
-    lead = keys.groupBy("key").agg(F.min(F.struct(_place("doc_id", "th", "pos").alias("p"), "id", "n", "sig")).alias("x"), F.count(F.lit(1)).alias("c"))
-    lead = lead.where("c > 1").select("key", F.col("x.id").alias("b"), F.col("x.n").alias("m"), F.col("x.sig").alias("tig"))
-    pairs = keys.select("key", F.col("id").alias("a"), "n", "sig").join(lead, "key").where((F.col("a") != F.col("b")) & _passes(like)).select("a", "b").distinct()
+    keys = other.select("id", "doc_id", "th", "pos", "n", "s0", "s1", F.explode(F.array(*(F.xxhash64(F.lit(k), c) for k, c in enumerate(low)))).alias("key"))
+    lead = keys.groupBy("key").agg(F.min(F.struct(_place("doc_id", "th", "pos").alias("p"), "id", "n", "s0", "s1")).alias("x"), F.count(F.lit(1)).alias("c"))
+    lead = lead.where("c > 1").select("key", F.col("x.id").alias("b"), F.col("x.n").alias("m"), F.col("x.s0").alias("z0"), F.col("x.s1").alias("z1"))
+    pairs = keys.select("key", F.col("id").alias("a"), "n", "s0", "s1").join(lead, "key").where((F.col("a") != F.col("b")) & _passes(like)).select("a", "b").distinct()
     settled = cut(_similar(pairs, sets, like))
 
-    prefix = n - F.ceil(like * n - 1e-9).cast("int") + 1
-    shingle = F.slice("toks", F.lit(1), prefix)
-    rows = sets.select("id", n.alias("n"), sig.alias("sig"), F.posexplode(shingle).alias("i", "t"))
-    open_ = rows.join(settled, "id", "left_anti")
-    right = rows.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("sig").alias("tig"), F.col("i").alias("j"), "t")
-    most = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-    near = _passes(like) & (most * (1 + like) >= like * (F.col("n") + F.col("m")) - 1e-9)
-    pairs = open_.withColumnRenamed("id", "a").join(right, "t").where((F.col("a") != F.col("b")) & near)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # a token's rank stands above its hash, so that sorting puts rare tokens first
+    ranked = F.transform("toks", lambda t: F.element_at(counts, F.pmod(t, F.lit(BUCKETS)) + 1) * F.lit(1 << 32) + t)
+    prefix = F.slice(F.sort_array(ranked), F.lit(1), F.col("n") - F.ceil(like * F.col("n") - 1e-9).cast("int") + 1)
+    flagged = sets.join(settled.withColumn("settled", F.lit(True)), "id", "left")
+    rows = flagged.select("id", "n", "s0", "s1", F.col("settled").isNull().alias("open"), F.posexplode(prefix).alias("i", "t")).where(F.col("t") >= 1 << 31)
+    right = rows.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("s0").alias("z0"), F.col("s1").alias("z1"), F.col("open").alias("open_b"), F.col("i").alias("j"), "t")
+    # the first common token of a pair stands within what its least overlap leaves of either set
+    need = _least_common(F.col("n"), F.col("m"), like)
+    near = _passes(like) & (F.col("i") <= F.col("n") - need) & (F.col("j") <= F.col("m") - need)
+    pairs = rows.withColumnRenamed("id", "a").join(right, "t").where((F.col("a") < F.col("b")) & (F.col("open") | F.col("open_b")) & near)
+    pairs = pairs.select("a", "b").distinct()
     return cut(settled.unionByName(_similar(pairs, sets, like)).distinct())
 
 
-def _places(sets: DataFrame, later: DataFrame, docs: DataFrame) -> DataFrame:
-    """Lines of sets that go, and later lines of repeated sets."""
-    lines = _lines(docs).select("doc_id", "th", "pos", F.xxhash64(F.sort_array("toks")).alias("id"))
+def _places(sets: DataFrame, later: DataFrame, lines: DataFrame) -> DataFrame:
+    """Places of the lines that go: those of later lines and of all copies but the first.
+
+    Lines that have a ``HOT``th of all places or more are at most ``HOT`` lines; these are broadcast and
+    the others joined by shuffle.
+    """
     gone = sets.join(later.withColumn("gone", F.lit(True)), "id", "left").where("gone or copies > 1")
-    gone = gone.select("id", F.coalesce("gone", F.lit(False)).alias("gone"), F.struct("doc_id", "th", "pos").alias("first"))
-    hit = lines.join(gone, "id").where(F.col("gone") | ~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
+    gone = cut(gone.select("id", F.coalesce("gone", F.lit(False)).alias("gone"), F.struct("doc_id", "th", "pos").alias("first"), "copies"))
+    total = sets.agg(F.sum("copies")).first()[0] or 0
+    own = F.struct("doc_id", "th", "pos")
+    hot = gone.where(F.col("copies") * HOT >= total).select("id", F.col("gone").alias("hot_gone"), F.col("first").alias("hot_first"))
+    here = lines.join(F.broadcast(hot), "id", "left").withColumn("key", F.when(F.col("hot_gone").isNull(), F.col("id")).otherwise(F.xxhash64("doc_id", "th", "pos")))
+    cold = gone.where(F.col("copies") * HOT < total).select(F.col("id").alias("key"), "gone", "first")
+    hit = here.join(cold, "key", "left").select("doc_id", "th", "pos", F.coalesce("hot_gone", "gone").alias("gone"), F.coalesce("hot_first", "first").alias("first"))
+    hit = hit.where(F.col("first").isNotNull() & (F.col("gone") | ~own.eqNullSafe(F.col("first"))))
     return cut(hit.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("removed")))
 
 
