@@ -12,8 +12,8 @@ similarity of ``LIKE`` or more, whether or not that line itself stays. Lines wit
 4. Lines that are still open meet all lines that share a token of both prefixes, behind length, position
    and signature filters; the pairs that pass are verified on whole sets.
 
-The prefixes are shuffled once for both sides of their join, which Spark may split where a token is
-frequent. Sets are kept in a table bucketed by line, so that verification moves candidate pairs only.
+The prefixes are written and shuffled once for both sides of their join, which Spark may split where a
+token is frequent. Sets are kept in a table bucketed by line, so that verification moves candidate pairs only.
 Words are compared by 32-bit hashes within a pair of lines and lines by 64-bit ones.
 """
 
@@ -25,7 +25,7 @@ from contextlib import suppress
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, fresh, shared_dir
 
 LIKE = 0.8
 BUCKETS = 1 << 16
@@ -123,6 +123,9 @@ def _later_sets(sets: DataFrame, like: float) -> DataFrame:
     prefix = F.slice(F.sort_array(ranked), F.lit(1), F.col("n") - F.ceil(like * F.col("n") - 1e-9).cast("int") + 1)
     flagged = sets.join(settled.withColumn("settled", F.lit(True)), "id", "left")
     rows = flagged.select("id", "n", "s0", "s1", F.col("settled").isNull().alias("open"), F.posexplode(prefix).alias("i", "t")).where(F.col("t") >= 1 << 31)
+    path = f"{shared_dir(sets.sparkSession)}/line-prefixes-{uuid.uuid4().hex}"
+    rows.write.option("compression", "zstd").parquet(path)
+    rows = sets.sparkSession.read.parquet(path)
     right = rows.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("s0").alias("z0"), F.col("s1").alias("z1"), F.col("open").alias("open_b"), F.col("i").alias("j"), "t")
     # the first common token of a pair stands within what its least overlap leaves of either set
     need = _least_common(F.col("n"), F.col("m"), like)
