@@ -12,8 +12,8 @@ similarity of ``LIKE`` or more, whether or not that line itself stays. Lines wit
 4. Lines that are still open meet all lines that share a token of both prefixes, behind length, position
    and signature filters; the pairs that pass are verified on whole sets.
 
-The prefixes are written and shuffled once for both sides of their join, which Spark may split where a
-token is frequent. Sets are kept in a table bucketed by line, so that verification moves candidate pairs only.
+The prefixes are written once for both sides of their join, which Spark may split where a token is
+frequent. Sets are kept in a table bucketed by line, so that verification moves candidate pairs only.
 Words are compared by 32-bit hashes within a pair of lines and lines by 64-bit ones.
 """
 
@@ -126,11 +126,14 @@ def _later_sets(sets: DataFrame, like: float) -> DataFrame:
     path = f"{shared_dir(sets.sparkSession)}/line-prefixes-{uuid.uuid4().hex}"
     rows.write.option("compression", "zstd").parquet(path)
     rows = sets.sparkSession.read.parquet(path)
-    right = rows.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("s0").alias("z0"), F.col("s1").alias("z1"), F.col("open").alias("open_b"), F.col("i").alias("j"), "t")
+    # of a pair, the longer set brings its prefix and the shorter one what the least overlap of two sets of its size leaves
+    short = rows.where(F.col("i") <= F.col("n") - _least_common(F.col("n"), F.col("n"), like))
+    right = short.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("s0").alias("z0"), F.col("s1").alias("z1"), F.col("open").alias("open_b"), F.col("i").alias("j"), "t")
     # the first common token of a pair stands within what its least overlap leaves of either set
     need = _least_common(F.col("n"), F.col("m"), like)
     near = _passes(like) & (F.col("i") <= F.col("n") - need) & (F.col("j") <= F.col("m") - need)
-    pairs = rows.withColumnRenamed("id", "a").join(right, "t").where((F.col("a") < F.col("b")) & (F.col("open") | F.col("open_b")) & near)
+    once = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))
+    pairs = rows.withColumnRenamed("id", "a").join(right, "t").where(once & (F.col("open") | F.col("open_b")) & near)
     pairs = pairs.select("a", "b").distinct()
     return cut(settled.unionByName(_similar(pairs, sets, like)).distinct())
 
