@@ -117,6 +117,13 @@ def test_simhash(docs):
     assert simhash.keep_one(docs).columns == docs.columns
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    a, b, c, d = (some_text(k, 80) for k in range(50, 54))
+    rows = [(None, a), (None, b), (7, c), (7, d), (9, c), (9, d), (None, c)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in [(None, a), (None, b), (7, c), (7, d)])
+
+
 def test_mixing(docs):
     sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     a, b = (sorted(map(tuple, mixing.mix_sizes(sizes).collect()), key=str) for _ in range(2))

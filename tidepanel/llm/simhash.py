@@ -211,16 +211,20 @@ def components(docs: DataFrame) -> DataFrame:
     links. A null text has no words; texts without words share fingerprint zero.
     """
     rows = cut(with_fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"))
-    return attach_components(rows)
+    return attach_components(rows).drop("root")
 
 
 def attach_components(rows: DataFrame) -> DataFrame:
-    """(doc_id, fp) -> (doc_id, fp, component_id); ``rows`` is read more than once."""
+    """(doc_id, fp) -> (doc_id, fp, component_id, root); ``rows`` is read more than once.
+
+    root is a fingerprint of the component and tells components apart, which component_id cannot do
+    where ids are null or repeated.
+    """
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = connected_components(link_fingerprints(fps.select("fp")))
     of = fps.join(linked, fps.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     low = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(of.join(low, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(of.join(low, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -230,10 +234,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     id stays only where its component has no other. Columns pass through unchanged.
     """
     slim = cut(with_fingerprints(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("h"), "fp"))
-    comp = attach_components(slim.select("doc_id", "fp")).select("fp", "component_id").distinct()
+    comp = attach_components(slim.select("doc_id", "fp")).select("fp", "root").distinct()
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "fp")).alias("b")
     each = slim.groupBy("doc_id", "h", "fp").agg(F.count(F.lit(1)).alias("n"))
-    win = each.join(comp, "fp").groupBy("component_id").agg(best, F.min_by("n", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "fp")).alias("n"))
+    win = each.join(comp, "fp").groupBy("root").agg(best, F.min_by("n", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "fp")).alias("n"))
     win = win.select(F.col("b.doc_id").alias("i"), F.col("b.h").alias("g"), "n")
     rows = docs.select(F.struct("*").alias("own"), "doc_id", F.xxhash64("text").alias("h"))
     got = rows.join(win, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")))
