@@ -124,6 +124,31 @@ def test_keep_one_of_null_and_repeated_ids(spark):
     assert sorted(map(str, got)) == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in [(None, a), (None, b), (7, c), (7, d)])
 
 
+def test_keep_one_finds_near_copies(spark):
+    rng, rows = np.random.default_rng(8), []
+    for k in range(70):
+        base = [f"v{x}" for x in rng.integers(0, 5000, 200)]
+        rows.append((3 * k, " ".join(base)))
+        for j, changed in ((1, 2), (2, 4)):
+            own = list(base)
+            for x in rng.choice(200, changed, replace=False):
+                own[x] = f"new{x}"
+            rows.append((3 * k + j, " ".join(own)))
+    hot = [f"c{x}" for x in range(300)]
+    rows += [(1000 + k, " ".join([*hot, f"tail{k}"])) for k in range(90)] + [(2000, "a b"), (2001, "A  b"), (2002, "a c"), (2003, None), (2004, " ")]
+    sets = [{tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    comp = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if comp[a] != comp[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((comp[a], comp[b]))
+                comp = [low if c == high else c for c in comp]
+    want = [rows[k][0] for k in sorted(set(comp))]
+    assert sorted(r[0] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+    far = [(simhash.fingerprint(rows[3 * k][1]) ^ simhash.fingerprint(rows[3 * k + 1][1])) & (1 << 64) - 1 for k in range(70)]
+    assert max(x.bit_count() for x in far) > simhash.LIMIT
+
+
 def test_mixing(docs):
     sizes = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     a, b = (sorted(map(tuple, mixing.mix_sizes(sizes).collect()), key=str) for _ in range(2))

@@ -11,10 +11,15 @@ factored upwards level by level, and pairs of runs are dropped as whole groups a
 differences accumulated from the root exceed the limit.
 
 A node emits a spanning forest of what it linked, never all pairs; components come from the forests.
+
+``LIMIT`` and ``SHINGLE`` are the contract of operator 3. Removal (``keep_one``) does not go by bits: texts
+with a Jaccard of 0.8 differ in ten of 64 bits and more, and no masks are both exact and selective at
+that. It joins the sets of five-word shingles themselves, by an exact prefix filter.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +28,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, shared_path
 
 SEED = 42
 LIMIT = 3
 SHINGLE = 3
+#: Of ``keep_one``: words of a shingle, and Jaccard of near copies.
+WIDE_SHINGLE, LIKE = 5, 0.8
+BUCKETS = 1 << 16
 #: Fingerprints that one node holds before it is refined.
 NODE = 40_000
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
@@ -211,33 +219,230 @@ def components(docs: DataFrame) -> DataFrame:
     links. A null text has no words; texts without words share fingerprint zero.
     """
     rows = cut(with_fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"))
-    return attach_components(rows).drop("root")
+    return attach_components(rows)
 
 
 def attach_components(rows: DataFrame) -> DataFrame:
-    """(doc_id, fp) -> (doc_id, fp, component_id, root); ``rows`` is read more than once.
-
-    root is a fingerprint of the component and tells components apart, which component_id cannot do
-    where ids are null or repeated.
-    """
+    """(doc_id, fp) -> (doc_id, fp, component_id); ``rows`` is read more than once."""
     fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = connected_components(link_fingerprints(fps.select("fp")))
     of = fps.join(linked, fps.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     low = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(of.join(low, "root").select("fp", "component_id", "root"), "fp").select("doc_id", "fp", "component_id", "root")
+    return rows.join(of.join(low, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def shingle_set(text: str | None, size: int = WIDE_SHINGLE) -> np.ndarray:
+    """Sorted distinct 32-bit hashes of a text's runs of ``size`` words (of the whole text where it has fewer)."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint32)
+    digest = xxhash.xxh64_intdigest
+    one = {w: digest(w, SEED) for w in set(words)}
+    h = np.fromiter(map(one.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(h) - size + 1)
+    mixed = np.zeros(n, np.uint64)
+    for k in range(min(size, len(h))):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique((mixed >> np.uint64(32)).astype(np.uint32))
+
+
+def _with_sets(docs: DataFrame, size: int, path: str) -> DataFrame:
+    """(doc_id, text) -> doc_id, h (of the text), g (of its shingle set), and where below ``path`` the set stands: file, at, n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            name, at, rows = uuid.uuid4().hex, 0, []
+            with open(f"{path}/{name}", "wb") as f:
+                for x in b.column(1):
+                    own = shingle_set(x.as_py(), size)
+                    f.write(own.astype("<u4").tobytes())
+                    rows.append((xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0, at, len(own)))
+                    at += len(own)
+            g, at, n = np.array(rows, dtype=np.uint64).reshape(-1, 3).T.copy()
+            columns = [pa.array(g.view(np.int64)), pa.array([name] * len(g), pa.string()), pa.array(at.view(np.int64)), pa.array(n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *columns], names=["doc_id", "h", "g", "file", "at", "n"])
+
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    schema = rows.select("doc_id", "h", *(F.lit(None).cast(t).alias(c) for c, t in (("g", "long"), ("file", "string"), ("at", "long"), ("n", "int")))).schema
+    return rows.mapInArrow(run, schema)
+
+
+class _Sets:
+    """Shingle sets in memory-mapped files."""
+
+    def __init__(self, path: str, files: list[str]):
+        self.path, self.files, self.open = path, files, {}
+
+    def __call__(self, file: int, at: int, n: int) -> np.ndarray:
+        if file not in self.open:
+            if len(self.open) >= 2_000:
+                self.open.clear()
+            self.open[file] = np.memmap(f"{self.path}/{self.files[file]}", "<u4", "r")
+        return self.open[file][at : at + n]
+
+
+def _rarity(nodes: DataFrame, sets: _Sets) -> np.ndarray:
+    """Number of shingles of the sets in each of ``BUCKETS`` hash buckets."""
+    part = BUCKETS // 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for own in zip(*(b.column(c).to_pylist() for c in ("file", "at", "n")), strict=True):
+                np.add.at(total, sets(*own) & np.uint32(BUCKETS - 1), 1)
+        yield packed({k: total[k * part : (k + 1) * part] for k in range(64)})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held[k] = held.get(k, 0) + np.frombuffer(n, np.int64)
+        yield packed(held)
+
+    def packed(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([n.tobytes() for n in held.values()], pa.binary())], names=["part", "n"])
+
+    total = np.zeros(BUCKETS, np.int64)
+    for r in nodes.mapInArrow(count, "part int, n binary").repartition("part").mapInArrow(add, "part int, n binary").collect():
+        total[r["part"] * part : (r["part"] + 1) * part] += np.frombuffer(r["n"], np.int64)
+    return total
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def _least_common(n: np.ndarray, m: np.ndarray, like: float) -> np.ndarray:
+    return (n + m) * (like / (1 + like)) - 1e-9
+
+
+def link_sets(nodes: DataFrame, path: str, like: float = LIKE) -> DataFrame:
+    """(g, file, at, n) of distinct sets -> (src, dst) edges that connect whatever pairs with a Jaccard of ``like`` or more connect.
+
+    Two such sets share an element among the first of either in any common order, as many as the least
+    overlap leaves; the order is by rarity. Sets that meet in one are compared whole, unless they are
+    connected already: a group of near copies is compared with few of its members.
+    """
+    files = sorted(r["file"] for r in nodes.select("file").distinct().collect())
+    number = {f: k for k, f in enumerate(files)}
+    sets = _Sets(path, files)
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([number[x] for x in b.column(1).to_pylist()], pa.int32()), b.column(2), b.column(3)], names=["g", "file", "at", "n"])
+
+    nodes = cut(nodes.where("n > 0").select("g", "file", "at", "n").mapInArrow(numbered, "g long, file int, at long, n int"))
+    rank = _rarity(nodes, sets)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                s = b.slice(lo, 500)
+                out, count = [], []
+                for own in zip(*(s.column(c).to_pylist() for c in ("file", "at", "n")), strict=True):
+                    x = sets(*own)
+                    o = np.lexsort((x, rank[x & np.uint32(BUCKETS - 1)]))
+                    out.append(x[o[: len(x) - int(np.ceil(like * len(x) - 1e-9)) + 1]])
+                    count.append(len(out[-1]))
+                rows = np.repeat(np.arange(len(s)), count)
+                i = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+                key = pa.array(np.concatenate(out).view(np.int32) if out else np.zeros(0, np.int32))
+                yield pa.RecordBatch.from_arrays([key, *(s.column(c).take(pa.array(rows)) for c in range(4)), pa.array(i.astype(np.int32))], names=["key", "g", "file", "at", "n", "i"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, g, *rest in _whole_keys(batches):
+            a, b = _similar(key, g, *rest, sets, like)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
+
+    rows = nodes.mapInArrow(prefixes, "key int, g long, file int, at long, n int, i int")
+    return rows.repartition("key").sortWithinPartitions("key", "n", "g").mapInArrow(run, "src long, dst long").distinct()
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first one, in runs that hold each key whole."""
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append([c.to_numpy(zero_copy_only=False) for c in b.columns])
+        if sum(len(h[0]) for h in held) < 200_000 or held[0][0][0] == held[-1][0][-1]:
+            continue
+        both = [np.concatenate(c) for c in zip(*held, strict=True)]
+        whole = int(np.searchsorted(both[0], both[0][-1]))  # the last key may go on
+        yield [c[:whole] for c in both]
+        held = [[c[whole:] for c in both]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _similar(key, g, file, at, n, i, sets: _Sets, like: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges of the similar pairs among rows of equal key."""
+    names, first, of = np.unique(g, return_index=True, return_inverse=True)
+    parent = np.arange(len(names))
+    n = n.astype(np.int64)
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Length and position filters: the first common element of a similar pair passes both."""
+        need = _least_common(n[x], n[y], like)
+        return (np.minimum(n[x], n[y]) >= like * np.maximum(n[x], n[y]) - 1e-9) & (n[x] - i[x] >= need) & (n[y] - i[y] >= need)
+
+    def unite(x: int, y: int) -> None:
+        a, b = (sets(file[k], at[k], n[k]) for k in (first[x], first[y]))
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        if common >= like * (len(a) + len(b) - common) - 1e-9:
+            _unite(parent, np.array([x]), np.array([y]))
+
+    def apart(x: int, y: int) -> bool:
+        while parent[x] != x:
+            x = parent[x]
+        while parent[y] != y:
+            y = parent[y]
+        return x != y
+
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    count = np.diff(np.r_[start, len(key)])
+    few = (count > 1) & (count <= 64)
+    place, size = start[few], count[few]
+    tried: set[tuple[int, int]] = set()
+    for lo in range(0, len(place), 4096):
+        x, y, _ = _pairs(place[lo : lo + 4096], size[lo : lo + 4096], place[lo : lo + 4096], size[lo : lo + 4096])
+        x, y = x[x < y], y[x < y]
+        ok = near(x, y)
+        pairs = np.unique(np.sort(np.stack([of[x[ok]], of[y[ok]]], axis=1), axis=1), axis=0)
+        for a, b in pairs.tolist():
+            if (a, b) not in tried and apart(a, b):
+                tried.add((a, b))
+                unite(a, b)
+    for lo, m in zip(start[count > 64], count[count > 64], strict=True):
+        own = np.arange(lo, lo + m)
+        for x in own[:-1]:
+            root = _find(parent, of[own])
+            if (root == root[0]).all():
+                break
+            y = own[(own > x) & (root != root[x - lo])]
+            for z in y[near(np.full(len(y), x), y)]:
+                pair = (min(of[x], of[z]), max(of[x], of[z]))
+                if pair not in tried and apart(*pair):
+                    tried.add(pair)
+                    unite(*pair)
+    root = _find(parent, np.arange(len(names)))
+    moved = root != np.arange(len(names))
+    return names[moved], names[root[moved]]
+
+
+def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, like: float = LIKE) -> DataFrame:
     """``docs`` without near-duplicates: of each component the document of the smallest id stays.
 
-    Rows that share that id are told apart by their text, and one of equal rows stays. A row of null
-    id stays only where its component has no other. Columns pass through unchanged.
+    Components are over pairs of texts whose sets of ``shingle``-word runs have a Jaccard of ``like`` or
+    more, each verified. Texts without words are alike. Rows that share that id are told apart by their
+    text, and one of equal rows stays. A row of null id stays only where its component has no other.
+    Columns pass through unchanged.
     """
-    slim = cut(with_fingerprints(docs.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("h"), "fp"))
-    comp = attach_components(slim.select("doc_id", "fp")).select("fp", "root").distinct()
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "fp")).alias("b")
-    each = slim.groupBy("doc_id", "h", "fp").agg(F.count(F.lit(1)).alias("n"))
-    win = each.join(comp, "fp").groupBy("root").agg(best, F.min_by("n", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "fp")).alias("n"))
+    path = shared_path(docs.sparkSession, "shingle-sets")
+    slim = cut(_with_sets(docs.select("doc_id", "text"), shingle, path))
+    nodes = cut(slim.groupBy("g").agg(F.min(F.struct("file", "at", "n")).alias("s")).select("g", "s.*"))
+    linked = connected_components(link_sets(nodes, path, like))
+    comp = nodes.join(linked, nodes.g == linked.node, "left").select("g", F.coalesce("component", "g").alias("root"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "g")
+    each = slim.groupBy("doc_id", "h", "g").agg(F.count(F.lit(1)).alias("n"))
+    win = each.join(comp, "g").groupBy("root").agg(F.min(order).alias("b"), F.min_by("n", order).alias("n"))
     win = win.select(F.col("b.doc_id").alias("i"), F.col("b.h").alias("g"), "n")
     rows = docs.select(F.struct("*").alias("own"), "doc_id", F.xxhash64("text").alias("h"))
     got = rows.join(win, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")))
