@@ -190,6 +190,31 @@ def test_embeddings(spark):
     assert all(got[k]["n_links"] <= link[k].sum() for k in range(300))
 
 
+def test_embeddings_scan_where_audits_fail():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 16))
+    x[200:] = x[:200] + 0.05 * rng.normal(size=(200, 16))
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    blind = embeddings.Graph(y.astype(np.float32), np.zeros(400, int), [np.full((400, 24), -1, np.int32)])  # no edges: searches find their entry only
+    blind.y = y
+    want = int((y @ y.T >= 0.93).sum()) - 400
+    assert sum(len(a) for a, _, _ in embeddings.neighbours(blind, y, own=np.arange(400))) == want
+    far = np.array([y[7], *rng.normal(size=(200, 16))])  # few links: nothing to audit by
+    far /= np.linalg.norm(far, axis=1, keepdims=True)
+    assert sum(len(a) for a, _, _ in embeddings.neighbours(blind, far)) == int((far @ y.T >= 0.93).sum()) > 0
+
+
+def test_embeddings_count_both_ends(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 16))
+    x[300:] = x[:300] + 0.05 * rng.normal(size=(300, 16))
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (y @ y.T >= 0.93) & ~np.eye(600, dtype=bool)
+    df = spark.createDataFrame([(k, [float(v) for v in x[k]], 0) for k in range(600)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df, shard=200, block=100).collect()}
+    assert [got[k] for k in range(600)] == link.sum(1).tolist()
+
+
 def test_licenses(docs):
     got = {r["doc_id"]: r["families"] for r in licenses.report(docs.where("doc_id is not null")).collect()}
     assert got[24] == "MIT" and got[3] == "" and got[23] == ""

@@ -1,10 +1,11 @@
 """Embedding near-duplicates with navigable small-world graphs per shard (operator 8).
 
 Vectors of a label (and length) are dealt into shards of bounded size by a hash. A task builds one
-hierarchical navigable small-world graph per shard, which is stored as one row; every block of vectors
-then queries every shard of its label. Beams start narrow and widen while a brute-force audit of part
+hierarchical navigable small-world graph per shard, which is stored as one row; every two shards of a
+label then query each other in blocks. Beams start narrow and widen while a brute-force audit of part
 of the block finds recall below ``AUDIT``, and for single queries while everything in their beam is
-still linked; queries that outgrow the widest beam scan their shard exactly. Cosines are verified in
+still linked; queries that outgrow the widest beam, blocks whose audit fails at it and blocks with too
+few links to audit scan the shard exactly. A pair that either end finds counts at both. Cosines are verified in
 double precision. Equal vectors are one node with a weight, and a task emits a spanning forest of its
 links rather than the links, so a large group of copies stays linear in what leaves the task.
 """
@@ -26,6 +27,8 @@ LINK = 0.93
 SHARD = 16_384
 BLOCK = 8_192
 AUDIT, AUDITED = 0.97, 128
+#: Links that an audit sees at least.
+TRUE_LINKS = 256
 BEAM, WIDEST = 32, 256
 DEGREE = 12
 
@@ -147,18 +150,37 @@ class Graph:
         return ids, sims
 
 
-def neighbours(g: Graph, q: np.ndarray, link: float = LINK, audit: float = AUDIT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, node, cosine) of pairs at ``link`` or more, in blocks; ``q`` are float64 unit vectors, ``g.y`` the nodes' in order."""
+def neighbours(
+    g: Graph, q: np.ndarray, link: float = LINK, audit: float = AUDIT, own: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, node, cosine) of pairs at ``link`` or more, in blocks; ``q`` are float64 unit vectors, ``g.y`` the nodes' in order.
+
+    ``own`` is the node that a query is itself (-1: none); it is no link. Queries are audited until
+    ``TRUE_LINKS`` links are seen. Where there are fewer, or the widest beam fails the audit, the block
+    scans the shard exactly.
+    """
     small = q.astype(np.float32)
-    sample = np.unique(np.linspace(0, len(q) - 1, min(len(q), AUDITED)).astype(int)) if len(q) else np.zeros(0, int)
-    truth = small[sample] @ g.x.T >= link
-    beam = BEAM
-    while beam < WIDEST and truth.any():
+    own = np.full(len(q), -1) if own is None else own
+    order = np.random.default_rng(len(q)).permutation(len(q))
+    sample, truth, seen = [], [], 0
+    for s in range(0, len(q), AUDITED):
+        part = order[s : s + AUDITED]
+        true = small[part] @ g.x.T >= link
+        mine = np.flatnonzero(own[part] >= 0)
+        true[mine, own[part[mine]]] = False
+        linked = true.any(1)
+        sample.append(part[linked])
+        truth += [np.flatnonzero(t) for t in true[linked]]
+        seen += int(true.sum())
+        if seen >= TRUE_LINKS:
+            break
+    sample = np.concatenate(sample) if sample else order
+    beam = BEAM if seen >= TRUE_LINKS else 2 * WIDEST
+    while beam <= WIDEST:
         ids, _ = g.search(small[sample], beam)
-        found = np.zeros((len(sample), len(g.x) + 1), bool)
-        found[np.arange(len(sample))[:, None], ids] = True
-        full = truth.sum(1) >= beam  # these widen by themselves
-        if (found[:, :-1] & truth)[~full].sum() >= audit * truth[~full].sum():
+        # those with as many links as the beam is wide, itself included, widen by themselves
+        counted = [(len(t), len(np.intersect1d(t, i))) for t, i in zip(truth, ids, strict=True) if len(t) + 1 < beam]
+        if sum(c for _, c in counted) >= audit * sum(n for n, _ in counted):
             break
         beam *= 2
     left = np.arange(len(q))
@@ -177,7 +199,7 @@ def neighbours(g: Graph, q: np.ndarray, link: float = LINK, audit: float = AUDIT
                 a, b = np.nonzero((sims >= link - 1e-4) & (ids >= 0) & ~full[:, None])
                 rows, ids = part[a], ids[a, b]
             cos = np.einsum("ij,ij->i", q[rows], g.y[ids])
-            ok = cos >= link
+            ok = (cos >= link) & (own[rows] != ids)
             yield rows[ok], ids[ok], cos[ok]
         left = np.concatenate(later) if later else left[:0]
         beam *= 2
@@ -201,18 +223,34 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"label": [one["label"]], "dim": [one["dim"]], "shard": [one["shard"]], "graph": [buf.getvalue()], "nodes": [y.getvalue()]})
 
 
-def _query(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """One shard's graph and one block of queries -> (vec_id, links, root): links counted with weights, root of the block's own forest."""
-    if not len(left) or not len(right):
-        return pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype="int64")})
-    z, node = np.load(io.BytesIO(left["graph"].iloc[0])), np.load(io.BytesIO(left["nodes"].iloc[0]))
+def _graph(rows: pd.DataFrame) -> tuple[Graph, np.ndarray, np.ndarray]:
+    """Graph, ids and weights of one stored shard."""
+    z, node = np.load(io.BytesIO(rows["graph"].iloc[0])), np.load(io.BytesIO(rows["nodes"].iloc[0]))
     g = Graph(node["y"].astype(np.float32), z["level"], [z[f"l{k}"] for k in range(len([f for f in z.files if f[0] == "l" and f != "level"]))])
-    g.y, ids, n = node["y"], node["ids"], node["n"]
-    right = right.sort_values("vec_id", kind="stable")
-    own = right["vec_id"].to_numpy()
-    links = np.zeros(len(own), np.int64)
-    nodes = np.unique(np.concatenate([own, ids]))  # of equal ids the query is the node
-    qa, na = np.searchsorted(nodes, own), np.searchsorted(nodes, ids)
+    g.y = node["y"]
+    return g, node["ids"], node["n"]
+
+
+def _query(pair: pd.DataFrame, block: int) -> pd.DataFrame:
+    """One or two shards' graphs -> (vec_id, links, root): links between the two (or within the one), root of their own forest.
+
+    Both shards query each other in blocks. A pair counts at both ends, whichever end found it.
+    """
+    pair = pair.sort_values("shard", kind="stable")
+    sides = [_graph(pair.iloc[k : k + 1]) for k in range(len(pair))]
+    (g, ids, n), (h, jds, m) = sides[0], sides[-1]
+    alone = len(sides) == 1
+    found = np.zeros((len(ids), len(jds)), bool)
+    for s in range(0, len(jds), block):
+        for rows, at, _ in neighbours(g, h.y[s : s + block], own=np.arange(s, min(s + block, len(jds))) if alone else None):
+            found[at, rows + s] = True
+    if not alone:
+        for s in range(0, len(ids), block):
+            for rows, at, _ in neighbours(h, g.y[s : s + block]):
+                found[rows + s, at] = True
+    links_a, links_b = np.zeros(len(ids), np.int64), np.zeros(len(jds), np.int64)
+    nodes = np.unique(np.concatenate([ids, jds]))  # rows of equal id share a node
+    qa, na = np.searchsorted(nodes, ids), np.searchsorted(nodes, jds)
     parent = np.arange(len(nodes))
 
     def root(i: np.ndarray) -> np.ndarray:
@@ -221,20 +259,24 @@ def _query(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             r = up
         return r
 
-    for rows, at, _ in neighbours(g, _unit(right["embedding"])):
-        other = own[rows] != ids[at]
-        rows, at = rows[other], at[other]
-        np.add.at(links, rows, n[at])
-        a, b = qa[rows], na[at]
+    for s in range(0, len(ids), 256):
+        here = found[s : s + 256]
+        x, y = np.nonzero(here | found[:, s : s + 256].T if alone else here)
+        x = x + s
+        other = ids[x] != jds[y]
+        x, y = x[other], y[other]
+        np.add.at(links_a, x, m[y])
+        if not alone:
+            np.add.at(links_b, y, n[x])
+        a, b = qa[x], na[y]
         while len(a):
             ra, rb = root(a), root(b)
             differ = ra != rb
             a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
             np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
     top = root(np.arange(len(nodes)))
-    count = pd.DataFrame({"vec_id": own, "links": links, "root": nodes[top[qa]]})
-    rest = np.setdiff1d(np.flatnonzero(top != np.arange(len(nodes))), qa)
-    return pd.concat([count, pd.DataFrame({"vec_id": nodes[rest], "links": 0, "root": nodes[top[rest]]})])
+    out = pd.DataFrame({"vec_id": ids, "links": links_a, "root": nodes[top[qa]]})
+    return out if alone else pd.concat([out, pd.DataFrame({"vec_id": jds, "links": links_b, "root": nodes[top[na]]})])
 
 
 def near_duplicates(vectors: DataFrame, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -252,19 +294,18 @@ def near_duplicates(vectors: DataFrame, shard: int = SHARD, block: int = BLOCK)
     reps = rows.where(good).groupBy("label", "h", "x").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"))
     reps = reps.select("label", F.size("x").alias("dim"), "h", "vec_id", "n", F.col("x").alias("embedding"))
     reps = cut(reps)
-    sizes = reps.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard)).alias("shards"), F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("blocks"))
-    dealt = reps.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod("h", "shards")).withColumn("block", F.pmod(F.xxhash64("h", F.lit(1)), "blocks"))
+    sizes = reps.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard)).alias("shards"))
+    dealt = reps.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod("h", "shards"))
     graphs = cut(
         dealt.select("label", "dim", "shard", "vec_id", "n", "embedding").groupBy("label", "dim", "shard")
         .applyInPandas(_build, "label int, dim int, shard long, graph binary, nodes binary")
     )
-    some = graphs.join(sizes.select("label", "dim", "blocks"), ["label", "dim"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    asked = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
-    key = ["label", "dim", "shard", "block"]
+    # a task has two shards of a label, or one with itself
+    pairs = graphs.join(sizes.select("label", "dim", "shards"), ["label", "dim"]).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    pairs = pairs.withColumn("low", F.least("shard", "other")).withColumn("high", F.greatest("shard", "other"))
     found = cut(
-        some.select(*key, "graph", "nodes").groupBy(*key)
-        .cogroup(asked.select(*key, "vec_id", "embedding").groupBy(*key))
-        .applyInPandas(_query, "vec_id long, links long, root long")
+        pairs.select("label", "dim", "low", "high", "shard", "graph", "nodes").groupBy("label", "dim", "low", "high")
+        .applyInPandas(lambda pdf: _query(pdf, block), "vec_id long, links long, root long")
     )
     comp = connected_components(found.where("vec_id <> root").select(F.col("vec_id").alias("src"), F.col("root").alias("dst")))
     of = reps.select("h", F.col("vec_id").alias("rep"), "n").join(found.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("links")), "rep", "left")
