@@ -220,6 +220,22 @@ def test_licenses(docs):
     assert got[24] == "MIT" and got[3] == "" and got[23] == ""
 
 
+def test_wrapped_licenses(spark, docs):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    gpl = (
+        "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n"
+        "# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version."
+    )
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at'
+    narrow = "Permission is hereby granted,\nfree of charge, to any person\nobtaining a copy of this software\nand associated documentation\nfiles"
+    text = some_text(60, 90)
+    cases = [(bsd, "BSD"), (gpl.format(3), "GPL-3.0"), (gpl.format(2), "GPL-2.0"), (apache, "Apache-2.0"), (narrow, "MIT"), ("Released under the MIT License.\n" + bsd, "BSD,MIT"), (text, "")]
+    rows = [(100 + k, f"{text}\n\n{t}\n\n{text}") for k, (t, _) in enumerate(cases)]
+    got = {r["doc_id"]: (r["families"], r["n_licensed"]) for r in licenses.report(docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert [got[100 + k][0] for k in range(len(cases))] == [f for _, f in cases]
+    assert got[100][1] == 1 and got[105][1] == 2
+
+
 def test_classifiers(spark):
     rng = np.random.default_rng(5)
     rows = []
