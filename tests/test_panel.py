@@ -1,5 +1,6 @@
 """Golden figures of the synthetic panel, gate controls, splits, and SQL parity of a few queries."""
 
+import hashlib
 import math
 from datetime import datetime, timedelta
 
@@ -87,6 +88,14 @@ def test_same_as_sql(spark, name):
             assert (a[c].astype(str) == b[c].astype(str)).all(), c
 
 
+def test_bundle_checksums(spark, tmp_path):
+    for name, data in (("a.parquet", b"one"), ("b.parquet/part-0.parquet", b"two"), ("c.parquet/part-0.parquet", b"")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    want = sorted((str(p.relative_to(tmp_path)), p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.rglob("*") if p.is_file())
+    assert sorted(map(tuple, queries.QUERIES["bundle_checksums"](spark, str(tmp_path)).collect())) == want
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 

@@ -343,7 +343,7 @@ def _plan(s: SparkSession, sf: str) -> DataFrame:
 
 
 add("split_plan", _plan, "place:l name:s family:s purge_hours:l", "v AS (SELECT 1)", "SELECT place, name, family, 24 AS purge_hours FROM (VALUES (0, 'rolling-001', 'rolling'), (1, 'random-block-001', 'random_block'), (2, 'stripe-month-mod2-h0', 'stripe'), (3, 'rolling-002', 'rolling'), (4, 'random-block-002', 'random_block'), (5, 'stripe-month-mod2-h1', 'stripe')) AS t(place, name, family)")
-add("bundle_checksums", lambda s, sf: A.checksums(s, sf, "region.parquet").select("name", "size", "sha256"), "name:s size:l sha256:s")
+add("bundle_checksums", lambda s, sf: A.checksums(s, sf).select("name", "size", "sha256"), "name:s size:l sha256:s")
 
 
 # many streams
