@@ -257,6 +257,14 @@ def test_classifiers(spark):
     assert np.mean([r["predicted"] == own[r["doc_id"]][3] for r in held]) > 0.9
 
 
+def test_quality_sample_passes_over_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 1000)
+    monkeypatch.setattr(quality, "train", lambda texts, y: sorted(texts))
+    rows = [(k, "x" * 2000 if k % 2 else f"short {k}", 1) for k in range(40)]
+    got = quality.learn(spark.createDataFrame(rows, "doc_id long, text string, quality int"))
+    assert got == sorted(t for k, t, _ in rows if k % 2 == 0)
+
+
 def test_no_rows(spark, docs, bench):
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -152,12 +152,15 @@ def learn(texts: DataFrame, sample: int = SAMPLE) -> Net:
         share = int((1 << 62) * min(1.0, 1.2 * sample / total))
         known = known.where(F.shiftrightunsigned("h", 2) < share)
     sizes = cut(known.select("h", F.octet_length("text").alias("n"))).orderBy("h").limit(sample).collect()
-    most, used = None, 0
+    chosen, used = [], 0
     for h, n in sizes:
-        if used + n > SAMPLE_BYTES and most is not None:
-            break
-        used, most = used + n, h
-    rows = known.where(F.col("h") <= most).orderBy("h").select("text", "y").collect() if most is not None else []
+        if used + n <= SAMPLE_BYTES:  # a text that does not fit is passed over
+            used += n
+            chosen.append((h, n))
+    if sizes and not chosen:
+        chosen = [tuple(min(sizes, key=lambda r: r["n"]))]
+    some = F.broadcast(texts.sparkSession.createDataFrame(sorted(set(chosen)), "h long, n int"))
+    rows = known.withColumn("n", F.octet_length("text")).join(some, ["h", "n"]).orderBy("h").select("text", "y").collect() if chosen else []
     return train([r["text"] for r in rows], np.array([r["y"] for r in rows], float))
 
 
