@@ -265,6 +265,12 @@ def test_quality_sample_passes_over_long_texts(spark, monkeypatch):
     assert got == sorted(t for k, t, _ in rows if k % 2 == 0)
 
 
+def test_toxicity_reads_whole_texts():
+    text = "quiet " * 700 + "LOUD! " * 4000
+    assert toxicity._patterns(text, toxicity.words(text))[2] == 1
+    assert toxicity.words("y" * 50 + " z") == {"y" * 50: 1, "z": 1}
+
+
 def test_no_rows(spark, docs, bench):
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -54,7 +54,7 @@ def words(text: str | None) -> Counter:
     out: Counter = Counter()
     for w, n in raw.items():
         if w := w.strip(_EDGES):
-            out[w[:40]] += n
+            out[w] += n
     return out
 
 
@@ -67,8 +67,8 @@ def _patterns(text: str, found: Counter) -> list[int]:
     """Votes of the fixed and pattern voters: 1 toxic, -1 not, 0 none."""
     n = sum(found.values()) or 1
     insults = [w for w in found if w in _FIXED]
-    letters = sum(map(str.isalpha, text[:4000])) or 1
-    shout = sum(map(str.isupper, text[:4000])) / letters
+    letters = sum(map(str.isalpha, text)) or 1
+    shout = sum(map(str.isupper, text)) / letters
     return [
         1 if insults else 0,
         1 if len(insults) > 1 else 0,
@@ -121,8 +121,8 @@ def score_text(text: str | None, model: Model, memo: dict) -> float:
 def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Posterior of each row, vote rates per class, residual correlations and prior.
 
-    ``votes`` are 1, 0 or -1. The sample's own labels join as the last voter, whose accuracy is estimated
-    like any other's, and give the classes their names; it weighs twice what the others may together.
+    ``votes`` are 1, 0 or -1. The sample's own labels join as the last voter and give the classes their names; that voter's weight is
+    fixed, at twice what the others may together, and its estimated rates are not used for it.
     Expectation maximisation; a voter's log ratio is divided by one plus the absolute correlations it has
     with other voters within the classes.
     """
