@@ -1,42 +1,69 @@
 """Line deduplication by an exact set-similarity join (operator 6, DataFrame functions only).
 
-A line is the set of its words; it goes when an earlier line (by doc_id, then place) has a Jaccard
-similarity of ``LIKE`` or more, whether or not that line itself stays. Lines without words stay.
-
-1. Equal lines are one candidate, their first; every later equal line goes. Only distinct lines are split
-   into words, once. Lines that differ but have equal sets meet in step 3.
-2. Tokens are ordered by rarity, from counts over all distinct lines in ``BUCKETS`` hash buckets (an order
-   is all that the prefix filter needs, so the counts have a fixed size however large the vocabulary).
-3. Leaders: lines that share a least token under one of a few hash orders meet the earliest of them.
-   That settles large groups of near copies in a number of pairs linear in the group.
-4. Lines that are still open meet all lines that share a token of both prefixes, behind length, position
-   and signature filters; the pairs that pass are verified on whole sets.
-
-The prefixes are written once for both sides of their join, which Spark may split where a token is
-frequent. Sets are kept in a table bucketed by line, so that verification moves candidate pairs only.
-Words are compared by 32-bit hashes within a pair of lines and lines by 64-bit ones.
+A line is the set of its words, lower-cased; it goes when an earlier line (by doc_id, then place) has a
+Jaccard similarity of ``LIKE`` or more, whether or not that line itself stays. Lines without words stay.
+
+1. A line's words become 32-bit hashes in the scan itself; line text is never shuffled. Equal lines are one
+   candidate, their first; every later equal line goes. Lines that differ but have equal sets meet in step 3.
+2. Tokens are ordered by rarity, from counts over all distinct lines in ``BUCKETS`` hash buckets (an order is
+   all that the prefix filter needs, so the counts have a fixed size however large the vocabulary).
+3. The prefix (``head``) of every distinct line is exploded to (token, line, place in the set) rows. Tokens
+   of at most ``CROWD`` lines are joined with themselves behind length, position and signature filters.
+4. Tokens of more lines are crowded. Their lines first meet the earliest line of the token, which settles
+   large groups of near copies in a number of pairs linear in the group; only lines that are still open
+   meet all lines of the token whose length is near.
+5. Pairs that pass are verified on whole sets.
+
+Sets are kept in a table bucketed by line, so that verification moves candidate pairs only. Words are
+compared by 32-bit hashes within a pair of lines and lines by 64-bit ones.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, shared_dir
+from .common import cut, fresh
 
 LIKE = 0.8
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20
 HOT = 1_000
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Lines of a token from which its lines are settled by a leader first, and crowded tokens that are broadcast at most (more are joined by shuffle).
+CROWD, BROADCAST = 256, 100_000
 
 
 def tokens(line: Column) -> Column:
-    """Distinct 32-bit hashes of a line's words, A-Z lower-cased."""
-    words = F.array_remove(F.split(F.translate(line, _UPPER + "\t\v\f\r\n", _LOWER + " " * 5), " "), "")
-    return F.array_distinct(F.transform(words, lambda w: F.hash(w)))
+    """Distinct 32-bit hashes of a line's words, lower-cased."""
+    low = F.lower(line)
+    for c in "\t\v\f\r":
+        low = F.replace(low, F.lit(c), F.lit(" "))
+    return F.array_distinct(F.transform(F.array_remove(F.split(low, " "), ""), lambda w: F.hash(w)))
+
+
+def _rarity(sets: DataFrame) -> Column:
+    """Constant array: rank of each bucket by the number of lines that have a token of it (``BUCKETS`` ranks, whatever the input)."""
+    some = sets.select(F.explode("toks").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    every = sets.sparkSession.range(BUCKETS).join(some, F.col("id") == F.col("b"), "left")
+    # steps of a quarter octave, as only the order matters; above 32 bits, so that a token added keeps its bucket's rank first
+    rank = F.coalesce(F.floor(4 * F.log2(F.col("n"))) + 1, F.lit(0)).cast("long") * F.lit(1 << 32)
+    part = every.groupBy(F.floor(F.col("id") / 1024).alias("part")).agg(F.sort_array(F.collect_list(F.struct("id", rank.alias("r")))).alias("rs"))
+    found = part.select("part", F.array_join(F.col("rs.r").cast("array<string>"), ",").alias("rs")).collect()
+    return F.split(F.lit(",".join(r["rs"] for r in sorted(found))), ",").cast("array<bigint>")
+
+
+def _head(toks: Column, n: Column, rank: Column, like: float) -> Column:
+    """A set's rarest tokens, as many as any similar set must share one of; each is added to its rank."""
+    ranked = F.transform(toks, lambda t: F.coalesce(F.get(rank, t.bitwiseAND(F.lit(BUCKETS - 1))) + t, F.lit(0).cast("long")))
+    return F.slice(F.sort_array(ranked), F.lit(1), n - F.ceil(like * n - 1e-9).cast("int") + 1)
+
+
+def _signature(toks: Column) -> Column:
+    """Parities of the tokens in 64 classes: sets differ in at least as many tokens as their signatures in bits."""
+    return F.aggregate(toks, F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -49,93 +76,91 @@ def _place(*at: str) -> Column:
     return F.struct(F.col(at[0]).isNull().alias("none"), *(F.col(c) for c in at))
 
 
-def _rarity(sets: DataFrame) -> Column:
-    """Constant array: rank of each bucket by the number of lines that have a token of it (``BUCKETS`` ranks, whatever the input).
+def _least_common(n: Column, m: Column, like: float) -> Column:
+    """Fewest common tokens with which sets of n and m tokens are similar (not rounded)."""
+    return (n + m) * (like / (1 + like)) - 1e-9
 
-    Rank 0 is for buckets of a single line, whose tokens meet no other line.
-    """
-    n = dict(sets.select(F.explode("toks").alias("t")).groupBy(F.pmod("t", F.lit(BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
-    order = {v: k for k, v in enumerate(sorted({1, *n.values()}))}  # only the order matters, and ranks are short
-    return F.split(F.lit(",".join(str(order.get(n.get(b), 0)) for b in range(BUCKETS))), ",").cast("array<int>")
+
+def _passes(like: float) -> Column:
+    """Signature and length filters on (n1, s1) and (n2, s2)."""
+    n, m = F.col("n1"), F.col("n2")
+    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("s2")))
+    return (apart <= (n + m) * ((1 - like) / (1 + like)) + 1e-9) & (F.least(n, m) >= like * F.greatest(n, m) - 1e-9)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, like: float) -> DataFrame:
-    """(a, b) candidates -> distinct ids of the later line of each pair that is similar."""
+    """(a, b) candidates, once or more -> distinct ids of the later line of each pair that is similar."""
     x = sets.select(F.col("id").alias("a"), F.col("toks").alias("ta"), _place("doc_id", "th", "pos").alias("pa"))
     y = sets.select(F.col("id").alias("b"), F.col("toks").alias("tb"), _place("doc_id", "th", "pos").alias("pb"))
-    both = pairs.join(x, "a").join(y, "b")
+    both = pairs.repartition("a").distinct().join(x, "a").join(y, "b")
     ok = F.size(F.array_intersect("ta", "tb")) >= _least_common(F.size("ta"), F.size("tb"), like)
     return both.where(ok).select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
 
 
-def _least_common(n: Column, m: Column, like: float) -> Column:
-    """Fewest common tokens with which sets of n and m tokens are similar (not rounded)."""
-    return (n + m) * (like / (1 + like)) - 1e-9
-
-
-def _signature(toks: Column, half: int) -> Column:
-    """Parities of the tokens of one half in 64 classes; with both halves, sets differ in at least as many tokens as bits."""
-    one = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63))
-    return F.aggregate(toks, F.lit(0).cast("long"), lambda s, t: F.when(t.bitwiseAND(64) == 64 * half, s.bitwiseXOR(one(t))).otherwise(s))
-
-
-def _passes(like: float) -> Column:
-    """Length and signature filters on (n, s0, s1) and (m, z0, z1)."""
-    longest, shortest = F.greatest("n", "m"), F.least("n", "m")
-    apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("z0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("z1")))
-    return (shortest >= like * longest - 1e-9) & (apart <= (F.col("n") + F.col("m")) * ((1 - like) / (1 + like)) + 1e-9)
-
-
 def removed_lines(docs: DataFrame, like: float = LIKE) -> DataFrame:
     """(doc_id, th, removed): sorted places of the lines that go, per (doc_id, xxhash64 of the text).
 
     Rows that are equal in doc_id and text are one document. A null id comes last in order; a null text
-    has no lines.
+    has no lines, an empty one a line without words, which stays. Of lines that tie at ``like`` the earlier stays.
     """
     spark = docs.sparkSession
     lines = _lines(docs.select("doc_id", "text"))
-    first = lines.groupBy("id").agg(F.min(_place("doc_id", "th", "pos")).alias("p"), F.first("line").alias("line"), F.count(F.lit(1)).alias("copies"))
-    toks = first.select("id", "p.doc_id", "p.th", "p.pos", "copies", tokens(F.col("line")).alias("toks"))
-    sets = toks.select("*", F.size("toks").alias("n"), *(_signature(F.col("toks"), k).alias(f"s{k}") for k in (0, 1)))
-    name = f"line_sets_{uuid.uuid4().hex}"
+    toks = lines.select("doc_id", "th", "pos", "id", tokens(F.col("line")).alias("toks"))
+    first = toks.groupBy("id").agg(F.min(_place("doc_id", "th", "pos")).alias("p"), F.first("toks").alias("toks"), F.count(F.lit(1)).alias("copies"))
+    sets = first.select("id", "p.doc_id", "p.th", "p.pos", "copies", F.size("toks").alias("n"), _signature(F.col("toks")).alias("s"), "toks")
+    mark = uuid.uuid4().hex
     width = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sets.write.format("parquet").option("compression", "zstd").bucketBy(width, "id").saveAsTable(name)
+    sets.write.format("parquet").option("compression", "zstd").bucketBy(width, "id").saveAsTable(f"line_sets_{mark}")
     try:
-        return _places(spark.table(name), _later_sets(spark.table(name), like), lines.drop("line"))
+        sets = spark.table(f"line_sets_{mark}")
+        heads = sets.select("id", "doc_id", "th", "pos", "n", "s", _head(F.col("toks"), F.col("n"), _rarity(sets), like).alias("head"))
+        heads.write.format("parquet").option("compression", "zstd").saveAsTable(f"line_heads_{mark}")
+        return _places(sets, _later_sets(sets, spark.table(f"line_heads_{mark}"), like), lines.drop("line"))
     finally:
-        with suppress(Exception):
-            spark.sql(f"DROP TABLE {name}")
+        for kind in ("sets", "heads"):
+            with suppress(Exception):
+                spark.sql(f"DROP TABLE IF EXISTS line_{kind}_{mark}")
+
+
+def _meeting(left: DataFrame, right: DataFrame, on: list[str], like: float, once: Column) -> DataFrame:
+    """Rows of ``left`` (a, n1, s1, i1) and ``right`` (b, n2, s2, i2) of equal token that pass all filters.
+
+    The first common token of a similar pair stands, in either set, within what the least overlap leaves.
+    """
+    need = _least_common(F.col("n1"), F.col("n2"), like)
+    return left.join(right, on).where(once & _passes(like) & (F.col("n1") - F.col("i1") >= need) & (F.col("n2") - F.col("i2") >= need))
+
+
+def _renamed(rows: DataFrame, left: bool, *more: str | Column) -> DataFrame:
+    """Rows (t, id, n, s, i) as one side of a join. All columns are renamed on either side, so that both have one shuffle."""
+    names = ("a", "n1", "s1", "i1") if left else ("b", "n2", "s2", "i2")
+    return rows.select("t", *(F.col(c).alias(x) for c, x in zip(("id", "n", "s", "i"), names, strict=True)), *more)
 
 
-def _later_sets(sets: DataFrame, like: float) -> DataFrame:
+def _later_sets(sets: DataFrame, heads: DataFrame, like: float) -> DataFrame:
     """Ids of the lines that have an earlier similar line."""
-    counts = _rarity(sets)
-    other = sets.withColumn("other", F.transform("toks", lambda t: F.hash(t)))
-    low = [F.array_min("toks"), F.array_max("toks"), F.array_min("other"), F.array_max("other")]
-    keys = other.select("id", "doc_id", "th", "pos", "n", "s0", "s1", F.explode(F.array(*(F.xxhash64(F.lit(k), c) for k, c in enumerate(low)))).alias("key"))
-    lead = keys.groupBy("key").agg(F.min(F.struct(_place("doc_id", "th", "pos").alias("p"), "id", "n", "s0", "s1")).alias("x"), F.count(F.lit(1)).alias("c"))
-    lead = lead.where("c > 1").select("key", F.col("x.id").alias("b"), F.col("x.n").alias("m"), F.col("x.s0").alias("z0"), F.col("x.s1").alias("z1"))
-    pairs = keys.select("key", F.col("id").alias("a"), "n", "s0", "s1").join(lead, "key").where((F.col("a") != F.col("b")) & _passes(like)).select("a", "b").distinct()
-    settled = cut(_similar(pairs, sets, like))
-
-    # a token's rank stands above its hash, so that sorting puts rare tokens first
-    ranked = F.transform("toks", lambda t: F.element_at(counts, F.pmod(t, F.lit(BUCKETS)) + 1) * F.lit(1 << 32) + t)
-    prefix = F.slice(F.sort_array(ranked), F.lit(1), F.col("n") - F.ceil(like * F.col("n") - 1e-9).cast("int") + 1)
-    flagged = sets.join(settled.withColumn("settled", F.lit(True)), "id", "left")
-    rows = flagged.select("id", "n", "s0", "s1", F.col("settled").isNull().alias("open"), F.posexplode(prefix).alias("i", "t")).where(F.col("t") >= 1 << 31)
-    path = f"{shared_dir(sets.sparkSession)}/line-prefixes-{uuid.uuid4().hex}"
-    rows.write.option("compression", "zstd").parquet(path)
-    rows = sets.sparkSession.read.parquet(path)
-    # of a pair, the longer set brings its prefix and the shorter one what the least overlap of two sets of its size leaves
-    short = rows.where(F.col("i") <= F.col("n") - _least_common(F.col("n"), F.col("n"), like))
-    right = short.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("s0").alias("z0"), F.col("s1").alias("z1"), F.col("open").alias("open_b"), F.col("i").alias("j"), "t")
-    # the first common token of a pair stands within what its least overlap leaves of either set
-    need = _least_common(F.col("n"), F.col("m"), like)
-    near = _passes(like) & (F.col("i") <= F.col("n") - need) & (F.col("j") <= F.col("m") - need)
-    once = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))
-    pairs = rows.withColumnRenamed("id", "a").join(right, "t").where(once & (F.col("open") | F.col("open_b")) & near)
-    pairs = pairs.select("a", "b").distinct()
-    return cut(settled.unionByName(_similar(pairs, sets, like)).distinct())
+    rows = heads.select("id", "n", "s", F.posexplode("head").alias("i", "t"))
+    # a token of so many lines is in a bucket of as many
+    least = (math.floor(4 * math.log2(CROWD)) + 1) * (1 << 32) - (1 << 31)
+    crowded = cut(rows.where(F.col("t") >= least).groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).select("t"))
+    many = crowded.count()
+    small = F.broadcast if many <= BROADCAST else (lambda df: df)
+    quiet = rows.join(small(crowded), "t", "left_anti") if many else rows
+    pairs = _meeting(_renamed(quiet, True), _renamed(quiet, False), ["t"], like, F.col("a") < F.col("b")).select("a", "b")
+    if not many:
+        return cut(_similar(pairs, sets, like))
+
+    loud = heads.select("id", "n", "s", _place("doc_id", "th", "pos").alias("p"), F.posexplode("head").alias("i", "t")).join(small(crowded), "t")
+    lead = cut(loud.groupBy("t").agg(F.min(F.struct("p", "id", "n", "s")).alias("x")).select("t", F.col("x.id").alias("b"), F.col("x.n").alias("n2"), F.col("x.s").alias("s2")))
+    met = loud.select("t", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("s").alias("s1")).join(small(lead), "t").where((F.col("a") != F.col("b")) & _passes(like))
+    settled = cut(_similar(met.select("a", "b"), sets, like))
+
+    # lengths of a similar pair are at most one step apart
+    step = F.floor(F.log("n") / F.lit(-math.log(like))).cast("int")
+    loud = loud.select("t", "id", "n", "s", "i", step.alias("l"))
+    probe = _renamed(loud.join(settled, "id", "left_anti"), True, F.explode(F.array(*(F.col("l") + k for k in (-1, 0, 1)))).alias("l"))
+    again = _meeting(probe, _renamed(loud, False, "l"), ["t", "l"], like, F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return cut(settled.unionByName(_similar(pairs.unionByName(again), sets, like)).distinct())
 
 
 def _places(sets: DataFrame, later: DataFrame, lines: DataFrame) -> DataFrame:
