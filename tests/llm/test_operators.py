@@ -162,7 +162,7 @@ def test_mixing(docs):
 def test_kneser_ney(spark, docs):
     model = kneser_ney.fit(docs.where("doc_id < 8").select("text")).open()
     ids = np.r_[np.arange(model.size), model.size + 1].astype(np.int64)
-    ctx = int(np.asarray(model.ctx[0])[0])
+    ctx = int(model.array("ctx", 0, "bigrams")[0])
     keys = np.sort(np.uint64(ctx) << np.uint64(32) | ids.astype(np.uint64))
     n, total, gamma = model.bigrams(keys)
     low = kneser_ney._discounted(model.continuations(ids), model.low_discount) / model.types + model.low_gamma / (model.size + 1)

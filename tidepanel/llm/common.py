@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections import OrderedDict
 from urllib.parse import urlparse
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,45 @@ def shared_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
+def save_array(path: str, array: np.ndarray) -> None:
+    """Write under a temporary name and rename: a task that runs again replaces its output with the same bytes."""
+    draft = f"{path}.{uuid.uuid4().hex}"
+    with open(draft, "wb") as f:
+        np.save(f, array)
+    os.replace(draft, path)
+
+
+class Maps:
+    """Memory-mapped arrays of a folder, of which at most ``most`` are open at once. One that is missing is an error."""
+
+    def __init__(self, path: str, most: int = 96):
+        self.path, self.most = path, most
+        self.held: OrderedDict[str, np.ndarray] = OrderedDict()
+
+    def __call__(self, name: str) -> np.ndarray:
+        if name in self.held:
+            self.held.move_to_end(name)
+        else:
+            while len(self.held) >= self.most:
+                self.held.popitem(last=False)
+            self.held[name] = np.load(f"{self.path}/{name}.npy", mmap_mode="r")
+        return self.held[name]
+
+
+def join_by_hot_key(rows: DataFrame, of: DataFrame, key: str, count: str, most: int = 1_000) -> DataFrame:
+    """Left join of ``rows`` with ``of`` on ``key``, unique in ``of``, whose column ``count`` says how many rows have it.
+
+    Keys of a ``most``th of the rows or more are at most ``most`` and are broadcast; no task gets all rows of one.
+    """
+    total = of.agg(F.sum(count)).first()[0] or 0
+    hot = of.where(F.col(count) * most >= total).select(F.col(key).alias("hot_key"), F.struct(*(c for c in of.columns if c != key)).alias("hot"))
+    cold = of.where(F.col(count) * most < total).select(F.col(key).alias("cold_key"), F.struct(*(c for c in of.columns if c != key)).alias("cold"))
+    here = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    spread = F.when(F.col("hot_key").isNull(), F.col(key)).otherwise(F.xxhash64(F.monotonically_increasing_id()))
+    got = here.withColumn("spread", spread).join(cold, (F.col("spread") == F.col("cold_key")) & F.col("hot_key").isNull(), "left")
+    return got.select(*rows.columns, *(F.coalesce(f"hot.{c}", f"cold.{c}").alias(c) for c in of.columns if c != key))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget its lineage."""
     shared_dir(df.sparkSession)

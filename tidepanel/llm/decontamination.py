@@ -56,10 +56,10 @@ def _grams(ids: np.ndarray, width: int) -> np.ndarray:
 class Items:
     """A block of benchmark items: word ids and all their suffixes, cut at the item's end."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], window: int = WINDOW):
+    def __init__(self, rows: list[tuple[int | None, str | None]], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
         self.window = window
-        own = [(i, w) for i, t in rows if i is not None and (w := words(t))]
+        own = [(i, w) for i, t in rows if (w := words(t))]
         self.item = [i for i, _ in own]
         toks = [np.array([self.ids.setdefault(x, len(self.ids) + 1) for x in w], np.int64) for _, w in own]
         self.flat = np.concatenate([*toks, np.zeros(1, np.int64)])
@@ -201,14 +201,15 @@ STATE = "struct<n_words:bigint,spans:array<struct<a:bigint,b:bigint>>,items:arra
 def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", name: str = "hits", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with a struct column ``name``: n_words, spans of hit words [a, b], sorted item ids.
 
-    A null text has no words. An item without words (or of null id) has no windows. Columns of any
-    name pass through; ``name`` must be new.
+    A null text has no words. An item without words has no windows. Items of null id are one item, the
+    last of ``items``. Columns of any name pass through; ``name`` must be new.
     """
     spark = docs.sparkSession
-    bench = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
+    bench = benchmark.select("item_id", "text").where("text is not null")
     total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * total // block_chars) if total > block_chars else 1)
-    part = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))  # rows of one id may be many, equal rows are one
+    bench = bench.distinct() if blocks > 1 else bench
     at = docs.columns.index(text)
     out = docs.withColumn(name, F.lit(None).cast(STATE))
     schema = out.schema
@@ -235,7 +236,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", name: s
                         hit = np.unique(np.concatenate([hit, *(np.arange(s["a"], s["b"] + 1) for s in old["spans"])]))
                     if old:
                         found = found + old["items"]
-                    state.append({"n_words": n, "spans": _runs(hit), "items": sorted(set(found))})
+                    state.append({"n_words": n, "spans": _runs(hit), "items": sorted(set(found), key=lambda i: (i is None, i or 0))})
                 last = pa.array(state, b.schema.types[-1])
                 return pa.RecordBatch.from_arrays([*b.columns[:-1], last], names=b.schema.names)
 
@@ -251,7 +252,11 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", name: s
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per document row."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per document row.
+
+    Items of null id count as one and have no part in the digest. Empty texts have no words; repeated rows
+    have equal results; of equal items each id counts.
+    """
     found = with_hits(docs.select("doc_id", "text"), benchmark).drop("text")
     listed = F.array_join(F.array_sort(F.transform("hits.items", lambda x: x.cast("string"))), ",")
     n_hit = F.aggregate("hits.spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"] + 1)
@@ -269,4 +274,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def digest(items: list[int]) -> str:
     """What ``report`` gives as items_sha256 for these item ids."""
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+    return hashlib.sha256(",".join(sorted(str(i) for i in items if i is not None)).encode()).hexdigest()

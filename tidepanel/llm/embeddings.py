@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut
+from .common import connected_components, cut, join_by_hot_key
 
 LINK = 0.93
 #: Vectors of a shard, and of a block that queries it.
@@ -283,7 +283,7 @@ def near_duplicates(vectors: DataFrame, shard: int = SHARD, block: int = BLOCK)
     """(vec_id, embedding, label) -> vec_id, n_links, component_id, kept; one row per row.
 
     Null labels and vectors that are null, empty, zero or hold null or non-finite components link with
-    nothing. Vectors of different lengths are not comparable. Rows of one vec_id are distinct vectors
+    nothing and are kept; a null vec_id is its own component where its vector has no other id. Vectors of different lengths are not comparable. Rows of one vec_id are distinct vectors
     that share a node id; their copies count as links of each other.
     """
     x = F.transform("embedding", lambda v: v.cast("double"))
@@ -310,9 +310,10 @@ def near_duplicates(vectors: DataFrame, shard: int = SHARD, block: int = BLOCK)
     comp = connected_components(found.where("vec_id <> root").select(F.col("vec_id").alias("src"), F.col("root").alias("dst")))
     of = reps.select("h", F.col("vec_id").alias("rep"), "n").join(found.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("links")), "rep", "left")
     of = of.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("root"))
-    out = slim.join(of, F.col("good") & (slim.h == of.h), "left")
+    out = slim.where("good").select("vec_id", "h")
+    out = join_by_hot_key(out, of, "h", "n").unionByName(slim.where("not good").select("vec_id", "h", *(F.lit(None).cast("long").alias(c) for c in ("n", "links", "root"))))
     component = F.coalesce("root", "vec_id")
     return out.select(
         "vec_id", F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"), (F.col("vec_id") == component).alias("kept"),
+        component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"),
     )

@@ -8,13 +8,12 @@ context totals, continuation counts. Buckets are of bounded size and their numbe
 Workers memory-map the arrays and look up a batch's distinct words and bigrams by binary search.
 
 Files are written under a temporary name and renamed, so a task that runs again after its executor was
-lost replaces its own output with the same bytes.
+lost replaces its own output with the same bytes. Workers open a bucket's array when they need it and keep a
+bounded number open; an array that a worker does not find is an error, never an empty table.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold, shared_path
+from .common import Maps, cut, fold, fresh, save_array, shared_path
 
 HELD_MODULUS, HELD = 7, 2
 #: Words of a batch that are counted at once, and entries of a bucket.
@@ -44,17 +43,12 @@ def _hashes(found: list[bytes]) -> np.ndarray:
     return np.fromiter((digest(w, 1) for w in found), np.uint64, len(found))
 
 
-def _save(path: str, array: np.ndarray) -> None:
-    draft = f"{path}.{uuid.uuid4().hex}"
-    with open(draft, "wb") as f:
-        np.save(f, array)
-    os.replace(draft, path)
-
-
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys and their counts; gaps and counts are stored byte plane by byte plane."""
     gaps = np.diff(keys, prepend=keys.dtype.type(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T
     planes = np.concatenate([gaps.ravel(), counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel()])
+    if len(counts) and counts.max() >= 1 << 32:
+        raise OverflowError("a chunk has more occurrences of an entry than 32 bits count")
     return zstandard.compress(planes.tobytes(), 1)
 
 
@@ -92,33 +86,37 @@ class Model:
     low_discount: tuple[float, float, float] = (0.5, 1.0, 1.5)
     low_gamma: float = 1.0
     span: int = 1
+    #: Buckets that hold something, by kind; their files must be there.
+    filled: dict[str, frozenset[int]] = field(default_factory=dict)
 
     def open(self) -> Model:
-        get = lambda kind, n: [np.load(f"{self.path}/{kind}-{b}.npy", mmap_mode="r") if os.path.exists(f"{self.path}/{kind}-{b}.npy") else np.zeros(0, np.uint64) for b in range(n)]
-        if self.tokens:
-            self.word_hash, self.word_count = get("hash", len(self.offsets)), get("count", len(self.offsets))
-            self.keys, self.counts = get("key", self.buckets), get("n", self.buckets)
-            self.ctx, self.totals, self.kinds = get("ctx", self.buckets), get("total", self.buckets), get("kinds", self.buckets)
-            self.cont = get("cont", -(-self.size // self.span))
+        self.maps = Maps(self.path)
         return self
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "maps"}  # every worker opens its own
+
+    def array(self, kind: str, bucket: int, group: str) -> np.ndarray:
+        return self.maps(f"{kind}-{bucket}") if bucket in self.filled[group] else np.zeros(0, np.uint64)
+
     def number(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers (``size`` + 1 if unknown) and training counts of sorted hashes."""
         ids, count = np.full(len(hashes), self.size + 1, np.int64), np.zeros(len(hashes), np.int64)
         if self.tokens:
             of = _vocabulary_bucket(hashes, len(self.offsets))
-            for b in np.unique(of):
+            for b in np.unique(of).tolist():
                 k = np.flatnonzero(of == b)
-                i, hit = _find(self.word_hash[b], hashes[k])
-                ids[k[hit]], count[k[hit]] = i[hit] + self.offsets[b], self.word_count[b][i[hit]]
+                i, hit = _find(self.array("hash", b, "words"), hashes[k])
+                if hit.any():
+                    ids[k[hit]], count[k[hit]] = i[hit] + self.offsets[b], self.maps(f"count-{b}")[i[hit]]
         return ids, count
 
     def continuations(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), np.int64)
-        for b in np.unique(ids // self.span):
+        for b in np.unique(ids // self.span).tolist():
             k = np.flatnonzero((ids // self.span == b) & (ids < self.size))
             if len(k):
-                out[k] = self.cont[b][ids[k] - b * self.span]
+                out[k] = self.maps(f"cont-{b}")[ids[k] - b * self.span] if b in self.filled["words at ends"] else 0
         return out
 
     def bigrams(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,13 +125,15 @@ class Model:
         ctx = (keys >> np.uint64(32)).astype(np.int64)
         of = _bucket_of(ctx, self.buckets)
         d = np.array(self.discount)
-        for b in np.unique(of):
+        for b in np.unique(of).tolist():
             k = np.flatnonzero(of == b)
-            i, hit = _find(self.keys[b], keys[k])
-            n[k[hit]] = self.counts[b][i[hit]]
-            i, hit = _find(self.ctx[b], ctx[k])
-            total[k[hit]] = self.totals[b][i[hit]]
-            gamma[k[hit]] = self.kinds[b][i[hit]] @ d / total[k[hit]]
+            i, hit = _find(self.array("key", b, "bigrams"), keys[k])
+            if hit.any():
+                n[k[hit]] = self.maps(f"n-{b}")[i[hit]]
+            i, hit = _find(self.array("ctx", b, "bigrams"), ctx[k])
+            if hit.any():
+                total[k[hit]] = self.maps(f"total-{b}")[i[hit]]
+                gamma[k[hit]] = self.maps(f"kinds-{b}")[i[hit]] @ d / total[k[hit]]
         return n, total, gamma
 
 
@@ -226,14 +226,15 @@ def fit(texts: DataFrame) -> Model:
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, (h, c) in _groups(batches):
-            _save(f"{path}/hash-{bucket}.npy", h.view(np.uint64))
-            _save(f"{path}/count-{bucket}.npy", c)
+            save_array(f"{path}/hash-{bucket}.npy", h.view(np.uint64))
+            save_array(f"{path}/count-{bucket}.npy", c)
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([len(h)], pa.int64())], names=["bucket", "n"])
 
     ordered = vocabulary.withColumn("bucket", F.shiftrightunsigned(span_of, 32)).repartition(word_buckets, "bucket")
     # unsigned order of the hashes
     ordered = ordered.sortWithinPartitions("bucket", F.col("h").bitwiseXOR(F.lit(-(1 << 63)))).select("bucket", "h", "c")
     sizes = dict(cut(ordered.mapInArrow(write_words, "bucket long, n long")).collect())
+    model.filled["words"] = frozenset(sizes)
     model.offsets = np.cumsum([0, *(sizes.get(b, 0) for b in range(word_buckets))])[:-1].tolist()
 
     def count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,34 +250,36 @@ def fit(texts: DataFrame) -> Model:
             first = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
             kind = np.minimum(counts, 3)
             small = counts.max(initial=0) < 256
-            _save(f"{path}/key-{bucket}.npy", keys)
-            _save(f"{path}/n-{bucket}.npy", counts.astype(np.uint8 if small else np.int64))
-            _save(f"{path}/ctx-{bucket}.npy", ctx[first])
-            _save(f"{path}/total-{bucket}.npy", np.add.reduceat(counts, first))
-            _save(f"{path}/kinds-{bucket}.npy", np.stack([np.add.reduceat((kind == k).astype(np.int64), first) for k in (1, 2, 3)], axis=1))
+            save_array(f"{path}/key-{bucket}.npy", keys)
+            save_array(f"{path}/n-{bucket}.npy", counts.astype(np.uint8 if small else np.int64))
+            save_array(f"{path}/ctx-{bucket}.npy", ctx[first])
+            save_array(f"{path}/total-{bucket}.npy", np.add.reduceat(counts, first))
+            save_array(f"{path}/kinds-{bucket}.npy", np.stack([np.add.reduceat((kind == k).astype(np.int64), first) for k in (1, 2, 3)], axis=1))
             word, times = np.unique((keys & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
             out = _dealt(word.astype(np.uint64), times, (word // model.span).astype(np.uint64))
             per = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([[0] * 5] * (out.num_rows - 1) + [[len(keys), *per]], pa.list_(pa.int64()))], names=["bucket", "blob", "stats"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array([[0] * 6] * (out.num_rows - 1) + [[len(keys), *per, bucket + 1]], pa.list_(pa.int64()))], names=["bucket", "blob", "stats"])
 
     def write_continuations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, (blobs,) in _groups(batches, binary=True):
-            dense = np.zeros(min(model.span, model.size - bucket * model.span), np.int32)
+            dense = np.zeros(min(model.span, model.size - bucket * model.span), np.int64)
             for blob in blobs:
                 word, times = _unpack(blob)
-                dense[word.astype(np.int64) - bucket * model.span] += times.astype(np.int32)
-            _save(f"{path}/cont-{bucket}.npy", dense)
-            per = [int((dense == k).sum()) for k in (1, 2, 3, 4)] + [int((dense >= 3).sum())]
+                dense[word.astype(np.int64) - bucket * model.span] += times
+            save_array(f"{path}/cont-{bucket}.npy", dense)
+            per = [int((dense == k).sum()) for k in (1, 2, 3, 4)] + [int((dense >= 3).sum()), bucket]
             yield pa.RecordBatch.from_arrays([pa.array([per], pa.list_(pa.int64()))], names=["stats"])
 
     found = texts.mapInArrow(count_bigrams, "bucket long, blob binary").repartition(model.buckets, "bucket").sortWithinPartitions("bucket")
     found = cut(found.mapInArrow(write_bigrams, "bucket long, blob binary, stats array<long>"))
     at = [F.sum(F.col("stats")[k]) for k in range(5)]
     model.types, *per = found.agg(*at).first()
+    model.filled["bigrams"] = frozenset(r[0] - 1 for r in found.select(F.col("stats")[5].alias("of")).where("of > 0").distinct().collect())
     model.discount = _discounts(per)
     spans = -(-model.size // model.span)
     low = cut(found.select("bucket", "blob").repartition(spans, "bucket").sortWithinPartitions("bucket").mapInArrow(write_continuations, "stats array<long>"))
     *per, more = low.agg(*at).first()
+    model.filled["words at ends"] = frozenset(r[0] for r in low.select(F.col("stats")[5]).collect())
     model.low_discount = _discounts(per)
     model.low_gamma = sum(d * n for d, n in zip(model.low_discount, (per[0], per[1], more), strict=True)) / model.types
     return model
@@ -333,10 +336,10 @@ def _groups(batches: Iterator[pa.RecordBatch], binary: bool = False) -> Iterator
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with kn_tokens, kn_known, kn_base and kn_score (log10 probability of the whole text) appended."""
+    """``docs`` with kn_tokens, kn_known, kn_base and kn_score (log10 probability of the whole text) appended, each prefixed where the name is taken."""
 
     at = docs.columns.index(text)
-    names = ["kn_tokens", "kn_known", "kn_base", "kn_score"]
+    names = [fresh(docs.columns, n) for n in ("kn_tokens", "kn_known", "kn_base", "kn_score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.open()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold
+from .common import fold
 
 HELD_MODULUS, HELD = 3, 1
 THRESHOLD = 0.5
@@ -144,28 +144,29 @@ def train(texts: list[str], target: np.ndarray, rounds: int = 10, batch: int = 3
 
 
 def learn(texts: DataFrame, sample: int = SAMPLE) -> Net:
-    """Net from (doc_id, text, quality) rows; null labels and texts are left out."""
+    """Net from (doc_id, text, quality) rows; null labels and texts are left out, rows of equal id and text are one.
+
+    At most ``sample`` rows, those of lowest hash, and ``SAMPLE_BYTES`` reach the driver.
+    """
     known = texts.where("quality is not null and text is not null")
-    known = known.select("text", F.col("quality").cast("int").alias("y"), F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(9)).alias("h"))
-    total = known.count()
-    if total > sample:  # the rows of lowest hash
-        share = int((1 << 62) * min(1.0, 1.2 * sample / total))
-        known = known.where(F.shiftrightunsigned("h", 2) < share)
-    sizes = cut(known.select("h", F.octet_length("text").alias("n"))).orderBy("h").limit(sample).collect()
+    known = known.select("text", F.col("quality").cast("int").alias("y"), F.xxhash64("doc_id", "text", F.lit(9)).alias("h"))
+    sizes = known.groupBy("h").agg(F.min(F.octet_length("text")).alias("n")).orderBy("h").limit(sample).collect()
     chosen, used = [], 0
     for h, n in sizes:
         if used + n <= SAMPLE_BYTES:  # a text that does not fit is passed over
             used += n
-            chosen.append((h, n))
+            chosen.append((h,))
     if sizes and not chosen:
-        chosen = [tuple(min(sizes, key=lambda r: r["n"]))]
-    some = F.broadcast(texts.sparkSession.createDataFrame(sorted(set(chosen)), "h long, n int"))
-    rows = known.withColumn("n", F.octet_length("text")).join(some, ["h", "n"]).orderBy("h").select("text", "y").collect() if chosen else []
+        chosen = [(min(sizes, key=lambda r: (r["n"], r["h"]))["h"],)]
+    if not chosen:
+        return train([], np.zeros(0))
+    some = F.broadcast(texts.sparkSession.createDataFrame(chosen, "h long"))
+    rows = known.join(some, "h").dropDuplicates(["h"]).orderBy("h").select("text", "y").collect()
     return train([r["text"] for r in rows], np.array([r["y"] for r in rows], float))
 
 
 def with_score(docs: DataFrame, net: Net, text: str = "text", name: str = "quality") -> DataFrame:
-    """``docs`` with a double column ``name`` appended; null and empty texts are one chunk of padding."""
+    """``docs`` with a double column ``name`` appended, which must be new; null and empty texts are one chunk of padding."""
     at = docs.columns.index(text)
     held = docs.sparkSession.sparkContext.broadcast(net)
 

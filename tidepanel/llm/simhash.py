@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, shared_path
+from .common import connected_components, cut, join_by_hot_key, shared_path
 
 SEED = 42
 LIMIT = 3
@@ -224,11 +224,11 @@ def components(docs: DataFrame) -> DataFrame:
 
 def attach_components(rows: DataFrame) -> DataFrame:
     """(doc_id, fp) -> (doc_id, fp, component_id); ``rows`` is read more than once."""
-    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows")))
     linked = connected_components(link_fingerprints(fps.select("fp")))
-    of = fps.join(linked, fps.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    of = fps.join(linked, fps.fp == linked.node, "left").select("fp", "least", "n_rows", F.coalesce("component", "fp").alias("root"))
     low = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(of.join(low, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return join_by_hot_key(rows, of.join(low, "root").select("fp", "component_id", "n_rows"), "fp", "n_rows").select("doc_id", "fp", "component_id")
 
 
 def shingle_set(text: str | None, size: int = WIDE_SHINGLE) -> np.ndarray:
@@ -441,7 +441,9 @@ def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, like: float = LIKE) -
     linked = connected_components(link_sets(nodes, path, like))
     comp = nodes.join(linked, nodes.g == linked.node, "left").select("g", F.coalesce("component", "g").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "g")
+    # the winner of a set first: a set that many documents share is one row by then
     each = slim.groupBy("doc_id", "h", "g").agg(F.count(F.lit(1)).alias("n"))
+    each = each.groupBy("g").agg(F.min(order).alias("b"), F.min_by("n", order).alias("n")).select("b.doc_id", "b.h", "g", "n")
     win = each.join(comp, "g").groupBy("root").agg(F.min(order).alias("b"), F.min_by("n", order).alias("n"))
     win = win.select(F.col("b.doc_id").alias("i"), F.col("b.h").alias("g"), "n")
     rows = docs.select(F.struct("*").alias("own"), "doc_id", F.xxhash64("text").alias("h"))

@@ -10,14 +10,13 @@ compared in turn, and runs of repeated passages join to maximal spans.
 Tasks sort a batch of documents at a time and ship packed runs of distinct keys per bucket of the hash
 range, so a passage that a third of the corpus shares is one entry per batch. What repeats is written as
 sorted arrays below the shared folder, which workers memory-map in the next pass over the documents.
-Files are written under a temporary name and renamed, so repeated tasks do no harm.
+Files are written under a temporary name and renamed, so repeated tasks do no harm; workers keep a bounded
+number of maps open, and an array that a worker does not find is an error.
 """
 
 from __future__ import annotations
 
-import os
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, shared_path
+from .common import Maps, cut, fresh, save_array, shared_path
 
 PASSAGE = 50
 GRAM = 25
@@ -109,21 +108,11 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def _save(path: str, array: np.ndarray) -> None:
-    draft = f"{path}.{uuid.uuid4().hex}"
-    with open(draft, "wb") as f:
-        np.save(f, array)
-    os.replace(draft, path)
-
-
 class Repeated:
-    """Sorted arrays of repeated keys, memory-mapped."""
+    """Sorted arrays of repeated keys, memory-mapped; ``filled`` says which buckets have one."""
 
-    def __init__(self, path: str, kind: str, buckets: int, with_docs: bool):
-        at = lambda k, b: np.load(name, mmap_mode="r") if os.path.exists(name := f"{path}/{kind}-{k}-{b}.npy") else None
-        self.buckets = buckets
-        self.keys = [at("key", b) for b in range(buckets)]
-        self.docs = [at("doc", b) for b in range(buckets)] if with_docs else None
+    def __init__(self, path: str, kind: str, filled: frozenset[int], buckets: int, with_docs: bool):
+        self.maps, self.kind, self.filled, self.buckets, self.with_docs = Maps(path), kind, filled, buckets, with_docs
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys repeat, and the least document of each that does."""
@@ -133,14 +122,16 @@ class Repeated:
         cuts = np.searchsorted(_bucket(sorted_, self.buckets), np.arange(self.buckets + 1))
         for b in range(self.buckets):
             a, e = cuts[b], cuts[b + 1]
-            array = self.keys[b]
-            if a == e or array is None or not len(array):
+            if a == e or b not in self.filled:
+                continue
+            array = self.maps(f"{self.kind}-key-{b}")
+            if not len(array):
                 continue
             i = np.minimum(np.searchsorted(array, sorted_[a:e]), len(array) - 1)
             same = array[i] == sorted_[a:e]
             hit[order[a:e]] = same
-            if self.docs is not None:
-                docs[order[a:e][same]] = self.docs[b][i[same]]
+            if self.with_docs and same.any():
+                docs[order[a:e][same]] = self.maps(f"{self.kind}-doc-{b}")[i[same]]
         return hit, docs
 
 
@@ -190,15 +181,16 @@ def with_repeats(docs: DataFrame, name: str = "repeats", passage: int = PASSAGE,
     buckets = max(1, -(-chars // (6 * ENTRIES)))
     path = shared_path(spark, "suffixes")
     width = passage - gram + 1
+    filled: dict[str, frozenset[int]] = {}
 
     def write(kind: str, with_docs: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def out(bucket: int, blobs: list[bytes]) -> pa.RecordBatch:
                 keys, many, least = _distinct(*(np.concatenate(x) for x in zip(*(_unpack(x, with_docs) for x in blobs), strict=True)))
-                _save(f"{path}/{kind}-key-{bucket}.npy", keys[many])
+                save_array(f"{path}/{kind}-key-{bucket}.npy", keys[many])
                 if with_docs:
-                    _save(f"{path}/{kind}-doc-{bucket}.npy", least[many])
-                return pa.RecordBatch.from_arrays([pa.array([int(many.sum())], pa.int64())], names=["n"])
+                    save_array(f"{path}/{kind}-doc-{bucket}.npy", least[many])
+                return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64())], names=["n"])
 
             bucket, held = None, []
             for b in batches:
@@ -234,7 +226,7 @@ def with_repeats(docs: DataFrame, name: str = "repeats", passage: int = PASSAGE,
 
     def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
-        grams = Repeated(path, "gram", buckets, False)
+        grams = Repeated(path, "gram", filled["gram"], buckets, False)
         for b, first, rows in _texts(batches, 1):
             found, least = [], []
             for of, keys, _, _ in around(rows, _ids(b, 0, first, len(rows)), grams, memo):
@@ -269,7 +261,7 @@ def with_repeats(docs: DataFrame, name: str = "repeats", passage: int = PASSAGE,
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, int] = {}
-        grams, passages = Repeated(path, "gram", buckets, False), Repeated(path, "passage", buckets, True)
+        grams, passages = Repeated(path, "gram", filled["gram"], buckets, False), Repeated(path, "passage", filled["passage"], buckets, True)
         for b, first, rows in _texts(batches, last[0]):
             state = [{"n_words": len(w), "repeated": [], "later": [], "first_docs": []} for w in rows]
             held = list(around(rows, _ids(b, last[1], first, len(rows)), grams, memo))
@@ -289,8 +281,9 @@ def with_repeats(docs: DataFrame, name: str = "repeats", passage: int = PASSAGE,
             own = b.slice(first, len(rows))
             yield pa.RecordBatch.from_arrays([*own.columns[: len(own.columns) - 1], pa.array(state, own.schema.types[-1])], names=own.schema.names)
 
-    cut(slim.mapInArrow(suffixes, "bucket long, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(write("gram", False), "n long"))
-    cut(slim.mapInArrow(extended, "bucket long, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(write("passage", True), "n long"))
+    for kind, emit, with_docs in (("gram", suffixes, False), ("passage", extended, True)):
+        runs = slim.mapInArrow(emit, "bucket long, blob binary").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        filled[kind] = frozenset(r[0] for r in cut(runs.mapInArrow(write(kind, with_docs), "n long")).collect())  # bucket numbers
     return plain.mapInArrow(marked, kind_of)
 
 
