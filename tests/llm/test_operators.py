@@ -271,6 +271,49 @@ def test_toxicity_reads_whole_texts():
     assert toxicity.words("y" * 50 + " z") == {"y" * 50: 1, "z": 1}
 
 
+def test_label_model_contradicts_noisy_labels():
+    rng = np.random.default_rng(1)
+    truth = (rng.random(4000) < 0.3).astype(int)
+    votes = np.where(rng.random((4000, 14)) < 0.95, 2 * truth[:, None] - 1, 1 - 2 * truth[:, None])
+    label = np.where(rng.random(4000) < 0.25, 1 - truth, truth)
+    post, rates, _, _ = toxicity.label_model(votes, label)
+    assert ((post > 0.5) == truth).mean() > 0.96
+    assert abs(rates[-1][0] - 0.75) < 0.15 and abs(rates[-1][1] - 0.25) < 0.05  # the labels' own rates are found
+    assert np.abs(rates[:-1] - [0.95, 0.05]).max() < 0.06
+
+
+def test_samples_of_repeated_rows_are_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, y: seen.append(len(texts)))
+    quality.learn(spark.createDataFrame([(1, "same text", k % 2) for k in range(500)], "doc_id long, text string, quality int"), sample=100)
+    assert seen == [1]
+
+
+def test_null_benchmark_ids_count(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, item), (2, "nothing of it"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (7, "ONE two"), (None, None)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"], r["items_sha256"]) for r in decontamination.report(docs, bench).collect()}
+    assert got[1] == (11, 2, True, decontamination.digest([7])) and got[2][:3] == got[3][:3] == (0, 0, False)
+
+
+def test_missing_arrays_are_errors(tmp_path):
+    model = kneser_ney.Model(str(tmp_path), tokens=10, offsets=[0], size=3, filled={"words": frozenset([0])}).open()
+    with pytest.raises(FileNotFoundError):
+        model.number(np.array([5], np.uint64))
+    with pytest.raises(FileNotFoundError):
+        suffixes.Repeated(str(tmp_path), "gram", frozenset([0]), 1, False).find(np.array([5], np.uint64))
+
+
+def test_open_maps_are_bounded(tmp_path):
+    from tidepanel.llm.common import Maps, save_array
+
+    for k in range(300):
+        save_array(f"{tmp_path}/x-{k}.npy", np.arange(k, k + 3))
+    maps = Maps(str(tmp_path), most=16)
+    assert [int(maps(f"x-{k}")[1]) for k in range(300)] == list(range(1, 301)) and len(maps.held) == 16
+
+
 def test_no_rows(spark, docs, bench):
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -4,7 +4,7 @@ Voters look at a text's words: fixed lexicons of insults, lexicons of words and
 labelled rows associate with toxicity or its absence (dealt over several voters), and patterns (shouting,
 second-person address, repeated punctuation). A generative label model takes their votes, estimates per
 class how each votes and how votes correlate beyond the class, discounts correlated voters and gives a
-posterior for every row. A linear classifier over the lexicon entries is trained on those posteriors and
+posterior for every row; the sample's labels are one voter among them and may be outvoted. A linear classifier over the lexicon entries is trained on those posteriors and
 scores whole texts anywhere in one narrow pass.
 
 Learning uses at most ``SAMPLE`` labelled rows of the learning folds (those of lowest hash); counting the
@@ -33,8 +33,8 @@ THRESHOLD = 0.3
 SAMPLE = 12_000
 #: Entries of the learned lexicon at most, and voters that share it.
 ENTRIES, DEALT = 4_000, 6
-#: Log odds that the voters add at most.
-BOUND = 2.5
+#: Log ratio of a lexicon entry between the classes at most.
+BOUND = 3.0
 #: A short list of English insults, for a first opinion where labels are few.
 INSULTS = (
     "airhead bastard bitch bonehead bozo buffoon chump clown coward crap creep cretin crook degenerate dimwit "
@@ -118,34 +118,54 @@ def score_text(text: str | None, model: Model, memo: dict) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Posterior of each row, vote rates per class, residual correlations and prior.
+def _centred(z: np.ndarray, share: float) -> np.ndarray:
+    """Log odds moved by a constant, so that their probabilities have the mean ``share``."""
+    low, high = -40.0, 40.0
+    for _ in range(50):
+        mid = (low + high) / 2
+        low, high = (low, mid) if _sigmoid(z + mid).mean() > share else (mid, high)
+    return z + low
 
-    ``votes`` are 1, 0 or -1. The sample's own labels join as the last voter and give the classes their names; that voter's weight is
-    fixed, at twice what the others may together, and its estimated rates are not used for it.
-    Expectation maximisation; a voter's log ratio is divided by one plus the absolute correlations it has
-    with other voters within the classes.
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Posterior of each row, P(vote toxic | toxic) and P(vote toxic | not) of each voter, residual correlations and prior.
+
+    ``votes`` are 1, 0 or -1. The sample's own labels are the last voter; they start the model and so name the
+    classes, but weigh by their rates like any voter. In the first half of the rounds these are estimated
+    against the posterior of the other voters alone, so that others may outvote the labels that started them,
+    and the prior is the one that the labels' share and rates imply; then by plain expectation maximisation. A voter's log ratio is divided
+    by one plus the absolute correlations it has with other voters within the classes.
     """
-    post = np.clip(known.astype(float), 0.02, 0.98)
-    votes = np.column_stack([votes, 2 * known.astype(int) - 1])
-    v = votes[:, :, None] == np.array([1, 0, -1])
-    m = votes.shape[1]
-    corr, rates, prior = np.eye(m), np.zeros((2, m, 3)), 0.5
-    for _ in range(rounds):
-        prior = min(max(post.mean(), 0.01), 0.99)
+    labels = known.astype(int)
+    share, own = labels.mean(), np.array([0.05, 0.95])
+    post = np.clip(known.astype(float), 0.05, 0.95)
+    kinds = votes[:, :, None] == np.array([1, 0, -1])
+    rates, prior = np.zeros((2, votes.shape[1], 3)), share
+    for turn in range(rounds):
+        alone = turn < rounds // 2  # by then the other voters have had their say on the labels
+        if not alone:
+            prior = min(max(post.mean(), 0.01), 0.99)
+        elif turn and own[1] - own[0] >= 0.2:
+            prior = min(max((share - own[0]) / (own[1] - own[0]), 0.01), share)
         for c, w in enumerate((1 - post, post)):
-            rates[c] = (np.einsum("n,nms->ms", w, v) + 0.5) / (w.sum() + 1.5)
-        mean = np.stack([rates[c][:, 0] - rates[c][:, 2] for c in (0, 1)])
+            rates[c] = (np.einsum("n,nms->ms", w, kinds) + 0.5) / (w.sum() + 1.5)
+        mean = np.stack([r[:, 0] - r[:, 2] for r in rates])
         rest = votes - ((1 - post)[:, None] * mean[0] + post[:, None] * mean[1])
         spread = rest.std(0) + 1e-9
         corr = (rest.T @ rest) / len(rest) / np.outer(spread, spread)
         discount = 1 / (1 + np.maximum(np.abs(corr) - 0.05, 0).sum(1) - np.abs(np.diag(corr)).clip(0, 0.95))
         ratio = (np.log(rates[1]) - np.log(rates[0])) * discount[:, None]
-        each = np.einsum("nms,ms->nm", v, ratio)
-        # voters are only nearly independent: together they outweigh no label
-        z = math.log(prior / (1 - prior)) + np.clip(each[:, :-1].sum(1), -BOUND, BOUND) + 2 * BOUND * votes[:, -1]
-        post = 0.5 * (1 / (1 + np.exp(-np.clip(z, -30, 30)))) + 0.5 * post
-    return post, rates[:, :, 0].T, corr, prior
+        z = np.einsum("nms,ms->n", kinds, ratio)
+        seen = _sigmoid(_centred(z, prior)) if alone else post
+        own = np.array([((w * labels).sum() + 1) / (w.sum() + 2) for w in (1 - seen, seen)])
+        said = np.where(labels == 1, math.log(own[1] / own[0]), math.log((1 - own[1]) / (1 - own[0])))
+        z = _centred(z + said, prior) if alone else z + said + math.log(prior / (1 - prior))
+        post = 0.5 * post + 0.5 * _sigmoid(z)
+    return post, np.vstack([rates[::-1, :, 0].T, own[::-1]]), corr, prior
 
 
 def _linear(rows: list[tuple[np.ndarray, np.ndarray, int]], target: np.ndarray, k: int, rounds: int = 300) -> np.ndarray:
@@ -169,13 +189,14 @@ def _linear(rows: list[tuple[np.ndarray, np.ndarray, int]], target: np.ndarray,
 
 
 def learn(texts: DataFrame, sample: int = SAMPLE) -> Model:
-    """Model from (doc_id, text, toxic) rows; null labels are left out, of rows with equal ids one label counts."""
-    known = texts.where("toxic is not null and text is not null").select("text", F.col("toxic").cast("int").alias("y"), F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(5)).alias("h"))
-    total = known.count()
-    if total > sample:
-        share = int((1 << 62) * min(1.0, 1.1 * sample / total))
-        known = known.where((F.shiftrightunsigned("h", 2) < share)).orderBy("h").limit(sample)
-    known = cut(known.select("text", "y").repartition(24))  # of bounded size, and after a limit in one piece
+    """Model from (doc_id, text, toxic) rows; null labels and texts are left out, rows of equal id and text are one.
+
+    Long texts count like others, by the words they have; those that tie in hash are equal.
+    """
+    known = texts.where("toxic is not null and text is not null").select("text", F.col("toxic").cast("int").alias("y"), F.xxhash64("doc_id", "text", F.lit(5)).alias("h"))
+    last = known.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    known = known.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"])
+    known = cut(known.select("text", "y").repartition(24))  # of bounded size
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
@@ -200,9 +221,9 @@ def learn(texts: DataFrame, sample: int = SAMPLE) -> Model:
     sign = np.ones(len(lexicon))
     for r in chosen:
         sign[lexicon[r["e"]]] = 1 if r["z"] > 0 else -1
-    strong = np.zeros(len(lexicon))
+    ratio = np.zeros(len(lexicon))
     for r in chosen:
-        strong[lexicon[r["e"]]] = r["z"]
+        ratio[lexicon[r["e"]]] = np.clip(math.log((r["a"] + 0.5) / (y1 + 1)) - math.log((r["b"] + 0.5) / (y0 + 1)), -BOUND, BOUND)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
@@ -216,31 +237,35 @@ def learn(texts: DataFrame, sample: int = SAMPLE) -> Model:
     got = known.mapInArrow(sparse, "x struct<at:array<bigint>,c:array<double>,n:bigint,v:array<bigint>>, y int").collect()
     rows = [(np.array(r["x"]["at"], np.int64), np.array(r["x"]["c"], float), r["x"]["n"]) for r in got]
     truth = np.array([r["y"] for r in got], float)
-    votes = [_dealt_votes(at, c, n, strong, lexicon) + list(r["x"]["v"]) for (at, c, n), r in zip(rows, got, strict=True)]
     names = [f"lexicon-{k}" for k in range(DEALT)] + ["density", "balance", "insult", "insults", "shouting", "address", "punctuation", "tiny", "label"]
     if not rows or not y1 or not y0:  # nothing to learn from: the fixed list speaks
         k = len(lexicon)
-        w = np.concatenate([np.where(strong >= 0, 2.0, 0.0), np.zeros(k + 1), [-1.5]])
+        w = np.concatenate([np.where(ratio >= 0, 2.0, 0.0), np.zeros(k + 1), [-1.5]])
         return Model(lexicon, sign, w, names, np.zeros((len(names), 2)), np.eye(len(names)), 0.1)
-    post, rates, corr, prior = label_model(np.array(votes), truth)
+    votes = np.column_stack([_lexicon_votes(rows, ratio, truth.mean()), np.array([r["x"]["v"] for r in got])])
+    post, rates, corr, prior = label_model(votes, truth)
     return Model(lexicon, sign, _linear(rows, post, len(lexicon)), names, rates, corr, prior)
 
 
 _SPARSE = pa.struct([("at", pa.list_(pa.int64())), ("c", pa.list_(pa.float64())), ("n", pa.int64()), ("v", pa.list_(pa.int64()))])
 
 
-def _dealt_votes(at: np.ndarray, count: np.ndarray, n: int, strong: np.ndarray, lexicon: dict[str, int]) -> list[int]:
-    """Votes of the learned lexicons (entries dealt by number), of toxic density and of the balance of evidence."""
-    z = strong[at]
-    out = []
-    for k in range(DEALT):
-        own = z[at % DEALT == k]
-        out.append(1 if (own > 6).any() else -1 if len(own) and (own < 0).all() else 0)
-    dense = float((count * (z > 4)).sum()) / max(n, 1)
-    out.append(1 if dense > 0.02 else -1 if dense == 0 else 0)
-    total = float(z.sum())
-    out.append(1 if total > 10 else -1 if total < -5 else 0)
-    return out
+def _lexicon_votes(rows: list[tuple[np.ndarray, np.ndarray, int]], ratio: np.ndarray, share: float) -> np.ndarray:
+    """Votes of the learned lexicons (entries dealt by number), of toxic density and of the balance of evidence.
+
+    A voter says toxic of the part of texts, as large as ``share``, that has most evidence, and not of most of the others.
+    """
+    n = len(rows)
+    row = np.repeat(np.arange(n), [len(at) for at, _, _ in rows])
+    col = np.concatenate([at for at, _, _ in rows])
+    count = np.concatenate([c for _, c, _ in rows])
+    size = np.array([max(m, 1) for _, _, m in rows])
+    evidence = [np.bincount(row, np.where(col % DEALT == k, ratio[col], 0), n) for k in range(DEALT)]
+    evidence.append(np.bincount(row, count * (ratio[col] > 1), n) / size)
+    evidence.append(np.bincount(row, ratio[col], n) / np.sqrt(np.maximum(np.bincount(row, minlength=n), 1)))
+    high = [max(np.quantile(e, 1 - share), 1e-9) for e in evidence]
+    low = [np.quantile(e, 0.7 * (1 - share)) for e in evidence]
+    return np.column_stack([np.where(e >= h, 1, np.where(e <= b, -1, 0)) for e, h, b in zip(evidence, high, low, strict=True)])
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
