@@ -78,4 +78,65 @@ QUERIES = {
         op7_repeated_passages, op8_embedding_components, op9_quality, op10_kneser_ney,
     )
 }
-SQL: dict[str, str] = {}
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_DECONTAMINATE = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') END AS w FROM documents),
+b AS (SELECT * FROM (SELECT item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS g
+       FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS i FROM b)),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT rid, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g
+       FROM (SELECT rid, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d JOIN ks ON len(w) >= k)),
+hit AS (SELECT rid, i, k, item_id FROM dw JOIN bw USING (k, g)),
+cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(generate_series(i, i + k - 1)) AS p FROM hit) GROUP BY rid),
+its AS (SELECT rid, count(DISTINCT item_id) AS n, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM hit GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(cov.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(cov.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
+"""
+
+# lines of a document are in order; documents are told apart by their id
+_LINES = r"""
+WITH l AS (SELECT doc_id, p, list_distinct(list_filter(regexp_split_to_array(lower(line), '[ \t\x0B\f\r]'), lambda x: x <> '')) AS w
+           FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents WHERE text IS NOT NULL)),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, p) AS nr, array_to_string(list_sort(w), ' ') AS s FROM l WHERE len(w) > 0),
+sets AS (SELECT s, any_value(w) AS w, min(nr) AS first FROM o GROUP BY s),
+t AS (SELECT s, len(w) AS n, unnest(w) AS t FROM sets),
+f AS (SELECT t, count(*) AS c FROM t GROUP BY t),
+pre AS (SELECT s, n, t FROM (SELECT s, n, t.t, row_number() OVER (PARTITION BY s ORDER BY c, t.t) AS i FROM t JOIN f USING (t)) WHERE i <= n - ceil(0.8 * n - 1e-9) + 1),
+pairs AS (SELECT DISTINCT a.s AS a, b.s AS b FROM pre a JOIN pre b ON a.t = b.t AND a.s <> b.s AND b.n BETWEEN 0.8 * a.n - 1e-9 AND 1.25 * a.n + 1e-9),
+near AS (SELECT a, min(y.first) AS first FROM pairs JOIN sets x ON x.s = a JOIN sets y ON y.s = b
+         WHERE len(list_intersect(x.w, y.w)) >= (len(x.w) + len(y.w)) * (0.8 / 1.8) - 1e-9 GROUP BY a),
+gone AS (SELECT doc_id, list_sort(list(p)) AS removed FROM o JOIN sets USING (s) LEFT JOIN near ON near.a = o.s
+         WHERE least(sets.first, coalesce(near.first, sets.first)) < nr GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(len(removed), 0)::BIGINT AS n_removed,
+       coalesce(removed, [])::INTEGER[] AS removed
+FROM documents d LEFT JOIN gone ON d.doc_id IS NOT DISTINCT FROM gone.doc_id
+"""
+
+_PASSAGES = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') END AS w FROM documents),
+g AS (SELECT rid, doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS g FROM (SELECT rid, doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+c AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g HAVING count(*) > 1),
+m AS (SELECT rid, i, least, (coalesce(least, 9223372036854775807) < coalesce(doc_id, 9223372036854775807) OR row_number() OVER (PARTITION BY rid, g ORDER BY i) > 1) AS later FROM g JOIN c USING (g)),
+p AS (SELECT rid, count(DISTINCT q) AS n, count(DISTINCT q) FILTER (later) AS n_later FROM (SELECT rid, later, unnest(generate_series(i, i + 49)) AS q FROM m) GROUP BY rid),
+f AS (SELECT rid, list_sort(list(DISTINCT least)) AS first_docs FROM m WHERE later AND least IS NOT NULL GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_repeated, coalesce(n_later, 0)::BIGINT AS n_later, coalesce(first_docs, [])::BIGINT[] AS first_docs
+FROM d LEFT JOIN p USING (rid) LEFT JOIN f USING (rid)
+"""
+
+_EMBEDDINGS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(x, lambda y: y <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+      WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+r AS (SELECT a, a AS c FROM (SELECT DISTINCT a FROM e) UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a),
+low AS (SELECT a, min(c) AS c FROM r GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(low.c, vec_id) AS component_id, coalesce(low.c, vec_id) = vec_id AS kept
+FROM v LEFT JOIN low ON low.a = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+#: Random choices (1), trained models (2, 4, 9, 10) and 64-bit hashes (3) are beyond SQL.
+SQL: dict[str, str] = {"op5_decontaminate": _DECONTAMINATE, "op6_line_dedup": _LINES, "op7_repeated_passages": _PASSAGES, "op8_embedding_components": _EMBEDDINGS}
