@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import cut, fresh
 
 LIKE = 0.8
-BUCKETS = 1 << 20
+BUCKETS = 1 << 19
 HOT = 1_000
 #: Lines of a token from which its lines are settled by a leader first, and crowded tokens that are broadcast at most (more are joined by shuffle).
 CROWD, BROADCAST = 256, 100_000
@@ -48,16 +48,16 @@ def _rarity(sets: DataFrame) -> Column:
     """Constant array: rank of each bucket by the number of lines that have a token of it (``BUCKETS`` ranks, whatever the input)."""
     some = sets.select(F.explode("toks").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     every = sets.sparkSession.range(BUCKETS).join(some, F.col("id") == F.col("b"), "left")
-    # steps of a quarter octave, as only the order matters; above 32 bits, so that a token added keeps its bucket's rank first
-    rank = F.coalesce(F.floor(4 * F.log2(F.col("n"))) + 1, F.lit(0)).cast("long") * F.lit(1 << 32)
+    # steps of a quarter octave, as only the order matters
+    rank = F.coalesce(F.floor(4 * F.log2(F.col("n"))) + 1, F.lit(0))
     part = every.groupBy(F.floor(F.col("id") / 1024).alias("part")).agg(F.sort_array(F.collect_list(F.struct("id", rank.alias("r")))).alias("rs"))
     found = part.select("part", F.array_join(F.col("rs.r").cast("array<string>"), ",").alias("rs")).collect()
-    return F.split(F.lit(",".join(r["rs"] for r in sorted(found))), ",").cast("array<bigint>")
+    return F.split(F.lit(",".join(r["rs"] for r in sorted(found))), ",").cast("array<int>")
 
 
 def _head(toks: Column, n: Column, rank: Column, like: float) -> Column:
     """A set's rarest tokens, as many as any similar set must share one of; each is added to its rank."""
-    ranked = F.transform(toks, lambda t: F.coalesce(F.get(rank, t.bitwiseAND(F.lit(BUCKETS - 1))) + t, F.lit(0).cast("long")))
+    ranked = F.transform(toks, lambda t: F.coalesce(F.get(rank, t.bitwiseAND(F.lit(BUCKETS - 1))).cast("long") * F.lit(1 << 32) + t, F.lit(0).cast("long")))
     return F.slice(F.sort_array(ranked), F.lit(1), n - F.ceil(like * n - 1e-9).cast("int") + 1)
 
 
@@ -88,11 +88,16 @@ def _passes(like: float) -> Column:
     return (apart <= (n + m) * ((1 - like) / (1 + like)) + 1e-9) & (F.least(n, m) >= like * F.greatest(n, m) - 1e-9)
 
 
+def _distinct(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b), cut, so that what found them can be let go before their sets are moved."""
+    return cut(pairs.repartition("a").distinct())
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, like: float) -> DataFrame:
-    """(a, b) candidates, once or more -> distinct ids of the later line of each pair that is similar."""
+    """Distinct (a, b) candidates -> distinct ids of the later line of each pair that is similar."""
     x = sets.select(F.col("id").alias("a"), F.col("toks").alias("ta"), _place("doc_id", "th", "pos").alias("pa"))
     y = sets.select(F.col("id").alias("b"), F.col("toks").alias("tb"), _place("doc_id", "th", "pos").alias("pb"))
-    both = pairs.repartition("a").distinct().join(x, "a").join(y, "b")
+    both = pairs.join(x, "a").join(y, "b")
     ok = F.size(F.array_intersect("ta", "tb")) >= _least_common(F.size("ta"), F.size("tb"), like)
     return both.where(ok).select(F.when(F.col("pa") > F.col("pb"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
 
@@ -147,20 +152,21 @@ def _later_sets(sets: DataFrame, heads: DataFrame, like: float) -> DataFrame:
     small = F.broadcast if many <= BROADCAST else (lambda df: df)
     quiet = rows.join(small(crowded), "t", "left_anti") if many else rows
     pairs = _meeting(_renamed(quiet, True), _renamed(quiet, False), ["t"], like, F.col("a") < F.col("b")).select("a", "b")
+    pairs = _distinct(pairs)
     if not many:
         return cut(_similar(pairs, sets, like))
 
     loud = heads.select("id", "n", "s", _place("doc_id", "th", "pos").alias("p"), F.posexplode("head").alias("i", "t")).join(small(crowded), "t")
     lead = cut(loud.groupBy("t").agg(F.min(F.struct("p", "id", "n", "s")).alias("x")).select("t", F.col("x.id").alias("b"), F.col("x.n").alias("n2"), F.col("x.s").alias("s2")))
     met = loud.select("t", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("s").alias("s1")).join(small(lead), "t").where((F.col("a") != F.col("b")) & _passes(like))
-    settled = cut(_similar(met.select("a", "b"), sets, like))
+    settled = cut(_similar(_distinct(met.select("a", "b")), sets, like))
 
     # lengths of a similar pair are at most one step apart
     step = F.floor(F.log("n") / F.lit(-math.log(like))).cast("int")
     loud = loud.select("t", "id", "n", "s", "i", step.alias("l"))
     probe = _renamed(loud.join(settled, "id", "left_anti"), True, F.explode(F.array(*(F.col("l") + k for k in (-1, 0, 1)))).alias("l"))
     again = _meeting(probe, _renamed(loud, False, "l"), ["t", "l"], like, F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return cut(settled.unionByName(_similar(pairs.unionByName(again), sets, like)).distinct())
+    return cut(settled.unionByName(_similar(_distinct(pairs.unionByName(again)), sets, like)).distinct())
 
 
 def _places(sets: DataFrame, later: DataFrame, lines: DataFrame) -> DataFrame:
