@@ -54,7 +54,7 @@ def test_gate(golden):
     assert features.run_gate(alpha, train, hidden)["status"] == "passed"
     assert features.run_gate(leak, train, hidden)["reason"] == "current view changes the signal"
     assert features.run_gate(none, train, hidden)["reason"] == "insufficient rows"
-    assert features.policy_violations("x = 'a/test.parquet'") and not features.policy_violations("x = 1")
+    assert features.policy_violations("x = 'a/val.parquet?x'") and features.policy_violations("x = 'a/test.parquet'") and not features.policy_violations("x = 1")
 
 
 def test_splits(spark):
@@ -100,3 +100,28 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_random_blocks():
+    import random
+
+    got = splits.random_blocks(datetime(2020, 1, 5), datetime(2026, 2, 10), random.Random(5))  # 74 months
+    assert len(got) == 12 and all(a[1] < b[0] for a, b in zip(got, got[1:]))
+    rng, first = random.Random(5), datetime(2020, 1, 1)
+    offset = rng.choice([0, 1])
+    starts = sorted(rng.sample(list(range(offset, 73, 2)), 12))
+    assert [g[0] for g in got] == [splits.add_months(first, k) for k in starts]
+    # 24 months: only the grid from the first month has twelve blocks
+    assert [g[0] for g in splits.random_blocks(datetime(2020, 1, 1), datetime(2021, 12, 9), random.Random(1))] == [splits.add_months(first, k) for k in range(0, 24, 2)]
+    assert splits.random_blocks(datetime(2020, 1, 1), datetime(2020, 1, 30), random.Random(1)) == ()
+
+
+def test_optional_and_task_names(spark, tmp_path):
+    from tidepanel.sources import panel
+
+    assert panel.read_optional(spark, f"file://{tmp_path}/none", "a long").count() == 0
+    spark.range(3).write.parquet(f"{tmp_path}/some")
+    assert panel.read_optional(spark, f"file://{tmp_path}/some", "id long").count() == 3
+    (tmp_path / "signal-b").mkdir()
+    (tmp_path / "signal-a").mkdir()
+    assert panel.tasks(str(tmp_path), "all") == panel.tasks(str(tmp_path)) and panel.tasks(str(tmp_path), "y, x") == ["x", "y"]

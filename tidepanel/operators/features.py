@@ -137,7 +137,7 @@ def run_gate(signal: Signal, train: DataFrame | None, hidden: DataFrame, days: i
 
 
 #: What a candidate's text must not hold inside a string.
-POLICY = (r"""['"][^'"]*/tests/[^'"]*['"]""", r"""['"][^'"]*test\.parquet['"]""", r"""['"][^'"]*val\.parquet['"]""")
+POLICY = (r"""['"][^'"]*/tests/[^'"]*['"]""", r"""['"][^'"]*test\.parquet[^'"]*['"]""", r"""['"][^'"]*val\.parquet[^'"]*['"]""")
 
 
 def policy_violations(text: str) -> list[str]:

@@ -96,13 +96,18 @@ def rolling(low: datetime, high: datetime, train: int = 36, test: int = 12, step
 
 
 def random_blocks(low: datetime, high: datetime, rng: random.Random, block: int = 2, most: int = 12) -> tuple[tuple[datetime, datetime], ...]:
-    """Disjoint test blocks of whole months on a common grid, drawn at random."""
+    """Disjoint test blocks of ``block`` whole months, drawn at random from a grid; none where there are fewer months.
+
+    There are ``most`` blocks, or as many as fit. Of the grids (by their first month) one that holds so many is drawn.
+    """
     first = month_floor(low)
     months = (high.year - first.year) * 12 + high.month - first.month + 1
-    offset = rng.randrange(block) if months > block else 0
-    starts = list(range(offset, months - block + 1, block)) or [0]
-    n = max(1, min(most // block, len(starts) // 2))
-    return tuple((add_months(first, k), add_months(first, k + block) - TICK) for k in sorted(rng.sample(starts, n)))
+    if months < max(block, 2):
+        return ()
+    n = min(most, months // block)
+    grids = [range(k, months - block + 1, block) for k in range(block)]
+    grid = rng.choice([g for g in grids if len(g) >= n])
+    return tuple((add_months(first, k), add_months(first, k + block) - TICK) for k in sorted(rng.sample(grid, n)))
 
 
 def plan(base_task: str, train: DataFrame, test: DataFrame, config: SplitConfig) -> list[SplitSpec]:
@@ -117,7 +122,8 @@ def plan(base_task: str, train: DataFrame, test: DataFrame, config: SplitConfig)
         elif family == "rolling":
             own = [SplitSpec(f"rolling-{k:03d}", family, base_task, config.seed, config.purge_hours, t, (u,)) for k, (t, u) in enumerate(rolling(low, high), 1)]
         elif family == "random_block":
-            own = [SplitSpec(f"random-block-{k:03d}", family, base_task, config.seed, config.purge_hours, None, random_blocks(low, high, rng)) for k in range(1, config.count + 1)]
+            drawn = [random_blocks(low, high, rng) for _ in range(config.count)]
+            own = [SplitSpec(f"random-block-{k:03d}", family, base_task, config.seed, config.purge_hours, None, d) for k, d in enumerate(drawn, 1) if d]
         else:
             own = [
                 SplitSpec(f"stripe-{u}-mod2-h{h}", family, base_task, config.seed, config.purge_hours, None, (), {"unit": u, "modulus": 2, "holdout": h})

@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-import os
 import tomllib
 from fnmatch import fnmatch
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +48,12 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A Parquet file, or no rows where there is none."""
-    return spark.read.parquet(path) if os.path.exists(path) else spark.createDataFrame([], schema)
+    try:  # any store that Spark reads
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def timestamp_column(df: DataFrame) -> str:
@@ -75,8 +80,8 @@ def read_task(spark: SparkSession, task: str) -> tuple[DataFrame, DataFrame, Dat
 
 
 def tasks(root: str, names: str | None = None) -> list[str]:
-    """Task folders below ``root``, or those of a comma-separated list, sorted."""
-    if names:
+    """Task folders below ``root`` (also for "all"), or those of a comma-separated list, sorted."""
+    if names and names != "all":
         return sorted(n.strip() for n in names.split(",") if n.strip())
     return sorted(p.name for p in Path(root).glob("signal-*") if p.is_dir())
 
