@@ -33,7 +33,7 @@ LIKE = 0.8
 BUCKETS = 1 << 19
 HOT = 1_000
 #: Lines of a token from which its lines are settled by a leader first, and crowded tokens that are broadcast at most (more are joined by shuffle).
-CROWD, BROADCAST = 256, 100_000
+CROWD, BROADCAST = 32, 100_000
 
 
 def tokens(line: Column) -> Column:
