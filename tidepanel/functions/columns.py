@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-8
@@ -85,6 +85,14 @@ def safe_corr(x: Column | str, y: Column | str, default: float | None = None) ->
     return safe_div(F.covar_pop(x, y), F.when(spread > 1e-15, spread), default)
 
 
+def with_row_index(df: DataFrame, name: str = "row") -> DataFrame:
+    """``name``: place of every row, from 0, in order of ticker and time. Only the tickers' counts meet in one window."""
+    before = F.sum("n").over(Window.orderBy(NAME).rowsBetween(Window.unboundedPreceding, -1))
+    counts = df.groupBy(NAME).agg(F.count(F.lit(1)).alias("n")).select(F.col(NAME).alias("_name"), F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = df.withColumn(name, F.row_number().over(own()) - 1).join(counts, F.col(NAME).eqNullSafe(F.col("_name")))
+    return rows.withColumn(name, F.col(name) + F.col("_before")).drop("_name", "_before")
+
+
 def any_of(c: Column | str, values: list) -> Column:
     return reduce(lambda a, b: a | b, (col(c) == F.lit(v) for v in values), F.lit(False))
 

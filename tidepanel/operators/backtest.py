@@ -6,23 +6,37 @@ or had one at the bar before, so every row is dealt to its own and the next bar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import EPS, KEYS, NAME, TIME, is_finite, safe_div
+from .stats import aligned
 
 HOURS = 8760.0
 
 
-def backtest_bars(signal: DataFrame, panel: DataFrame, target: str = "residual_return", max_gross: float = 2.0, dialect: str = "engine") -> DataFrame:
-    """One row per bar: gross_returns, net_ret, turnover, cost, funding_pnl, gross_leverage, equity_curve."""
-    rows = signal.select(*KEYS, "signal").join(panel.select(*KEYS, F.col(target).alias("r")), KEYS)
+def _enough(bars: str) -> Column:
+    """True, or an error below two bars."""
+    return F.when(F.col(bars) >= 2, F.lit(True)).otherwise(F.raise_error(F.lit("a backtest needs two bars")).cast("boolean"))
+
+
+def backtest_bars(signal: DataFrame, panel: DataFrame | None = None, target: str = "residual_return", max_gross: float = 2.0, dialect: str = "engine") -> DataFrame:
+    """One row per bar: gross_returns, net_ret, turnover, cost, funding_pnl, gross_leverage, equity_curve.
+
+    A panel that has the signal as a column needs no join. A single bar raises an error; without any row there is no bar,
+    and ``metrics`` raises.
+    """
+    if panel is None:
+        rows = signal.select(*KEYS, "signal", F.col(target).alias("r"))
+    else:
+        rows = aligned(signal, panel).select(*KEYS, "signal").join(panel.select(*KEYS, F.col(target).alias("r")), KEYS)
     if dialect == "engine":
         rows = rows.where(is_finite("signal") & is_finite("r"))
     rows = rows.select(*KEYS, F.coalesce("signal", F.lit(0.0)).alias("w"), F.coalesce("r", F.lit(0.0)).alias("r"))
     gross = F.sum(F.abs("w")).over(Window.partitionBy(TIME))
     rows = rows.withColumn("w", F.col("w") * F.when(gross > max_gross, max_gross / F.greatest(gross, F.lit(EPS))).otherwise(1.0))
     bars = rows.select(TIME).distinct().withColumn("i", F.row_number().over(Window.orderBy(TIME)))
+    bars = bars.withColumn("bars", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).where(_enough("bars")).drop("bars")
     numbered = rows.join(bars, TIME)
     none = F.lit(None).cast("double")
     cells = numbered.select(NAME, F.explode(F.array(F.struct("i", F.col("w").alias("w"), "r", F.lit(0.0).alias("w0")), F.struct((F.col("i") + 1).alias("i"), F.lit(0.0).alias("w"), none.alias("r"), F.col("w").alias("w0")))).alias("x"))
@@ -45,7 +59,7 @@ def drawdown(bars: DataFrame) -> DataFrame:
 
 
 def metrics(bars: DataFrame, per_year: float = HOURS) -> DataFrame:
-    """One row of performance figures (hourly bars by default)."""
+    """One row of performance figures (hourly bars by default); fewer than two bars raise an error."""
     n, end = F.count(F.lit(1)), F.max_by("equity_curve", TIME)
     vol = F.stddev_samp("net_ret")
     sharpe = lambda c: safe_div(F.avg(c) * per_year**0.5, F.when(F.stddev_samp(c) > 0, F.stddev_samp(c)), 0.0)
@@ -53,7 +67,7 @@ def metrics(bars: DataFrame, per_year: float = HOURS) -> DataFrame:
         n.alias("n_timestamps"), (end - 1).alias("total_return"), F.when(end > 0, F.pow(end, per_year / n) - 1).otherwise(0.0).alias("CAGR"),
         (vol * per_year**0.5).alias("volatility"), sharpe("net_ret").alias("sharpe_net"), sharpe("gross_returns").alias("sharpe_gross"), F.min("drawdown").alias("max_drawdown"),
         (F.avg("turnover") * per_year).alias("turnover_ann"), (F.avg("cost") * 1e4).alias("cost_bps"), F.avg("gross_leverage").alias("gross_leverage"),
-    )
+    ).where(_enough("n_timestamps"))
 
 
 def daily_pnl(bars: DataFrame) -> DataFrame:

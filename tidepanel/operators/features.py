@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import KEYS, NAME, TIME, any_of, is_finite, lcg_noise, own, zscore
+from ..functions.columns import KEYS, NAME, TIME, any_of, is_finite, lcg_noise, own, with_row_index, zscore
 
 LAGS = (1, 2, 3, 6, 12, 24)
 FLAG = "is_prediction_period"
@@ -83,15 +83,15 @@ def gate_view(train: DataFrame | None, hidden: DataFrame, at, *, current_noise:
     if train is not None:
         rows = train.withColumn(FLAG, F.lit(False)).unionByName(rows, allowMissingColumns=True)
     columns = return_columns(rows)
-    rows = with_lags(rows, columns)
-    # numbered per ticker, so that no window spans the whole panel
-    noise = lcg_noise(F.row_number().over(own()) + F.pmod(F.xxhash64(NAME), F.lit(1_000_003)))
+    place = next(c for c in ("row", "_row", "__row") if c not in rows.columns)
+    rows = with_row_index(with_lags(rows, columns), place)
+    noise = lcg_noise(place)
 
     def changed(c: str) -> Column:
         now = noise if current_noise else F.lit(None).cast("double")
         return F.when(F.col(TIME) == F.lit(at), now).when(F.col(TIME) > F.lit(at), noise).otherwise(F.col(c))
 
-    return rows.withColumns({c: changed(c) for c in columns})
+    return rows.withColumns({c: changed(c) for c in columns}).drop(place)
 
 
 def delta(left: DataFrame, right: DataFrame, tolerance: float = 1e-8) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import KEYS, NAME, TIME, avg_rank, is_finite, own, qcut_bucket, rank_quintile, safe_corr, safe_div
@@ -13,14 +11,22 @@ DECAY = {"engine": (1, 2, 3, 6, 12, 24), "evaluator": (1, 2, 4, 8, 24)}
 LEAST = {"engine": 20, "evaluator": 100}
 
 
-def with_next(panel: DataFrame, target: str = "residual_return") -> DataFrame:
-    """Keys with the return of the same bar and of the ticker's next row."""
-    return panel.select(*KEYS, F.col(target).alias("ret"), F.lead(target).over(own()).alias("ret_next"))
+def with_next(panel: DataFrame, target: str = "residual_return", *keep: str) -> DataFrame:
+    """Keys (and columns to keep) with the return of the same bar and of the ticker's next row."""
+    return panel.select(*KEYS, *keep, F.col(target).alias("ret"), F.lead(target).over(own()).alias("ret_next"))
+
+
+def aligned(right: DataFrame, left: DataFrame) -> DataFrame:
+    """``right`` with its keys cast to the types that they have in ``left``."""
+    want = {c: left.schema[c].dataType for c in KEYS if left.schema[c].dataType != right.schema[c].dataType}
+    return right.withColumns({c: F.col(c).cast(t) for c, t in want.items()}) if want else right
 
 
-def scored(signal: DataFrame, panel: DataFrame, target: str = "residual_return") -> DataFrame:
-    """The one join that most statistics share: signal, ret, ret_next."""
-    return signal.select(*KEYS, "signal").join(with_next(panel, target), KEYS)
+def scored(signal: DataFrame, panel: DataFrame | None = None, target: str = "residual_return") -> DataFrame:
+    """signal, ret, ret_next: what most statistics read. A panel that has the signal as a column needs no join."""
+    if panel is None:
+        return with_next(signal, target, "signal")
+    return aligned(signal, panel).select(*KEYS, "signal").join(with_next(panel, target), KEYS)
 
 
 def ic_per_bar(rows: DataFrame) -> DataFrame:
@@ -70,46 +76,62 @@ def quantile_spread(rows: DataFrame, dialect: str = "engine", n: int = 5) -> Dat
     return ranked.agg(F.when(total, F.coalesce(top - low, F.lit(0.0))).otherwise(0.0).alias("spread"), F.when(total, safe_corr("rx", "ry", 0.0)).otherwise(0.0).alias("monotonicity"))
 
 
+def with_ahead(panel: DataFrame, dialect: str = "engine", target: str = "residual_return", *keep: str) -> DataFrame:
+    """Keys (and columns to keep) with the target so many rows ahead as h<rows>."""
+    return panel.select(*KEYS, *keep, *(F.lead(target, h).over(own()).alias(f"h{h}") for h in DECAY[dialect]))
+
+
+def decay_of(rows: DataFrame, dialect: str = "engine") -> DataFrame:
+    """horizon, ic from rows (bar, signal, h<rows>): all horizons in one aggregate per bar. One without any pair is left out."""
+    hs = DECAY[dialect]
+    pair = {h: F.when(is_finite("signal") & is_finite(f"h{h}"), F.col("signal") * F.col(f"h{h}")) for h in hs}
+    per = rows.groupBy(TIME).agg(*(F.avg(v).alias(f"ic{h}") for h, v in pair.items()), *(F.count(v).alias(f"n{h}") for h, v in pair.items()))
+    total = per.agg(*(F.avg(f"ic{h}").alias(f"ic{h}") for h in hs), *(F.sum(f"n{h}").alias(f"n{h}") for h in hs))
+    each = F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"ic{h}").alias("ic"), F.col(f"n{h}").alias("n")) for h in hs)))
+    least = 1 if dialect == "engine" else LEAST[dialect]
+    return total.select(each.alias("x")).where("x.n > 0").select("x.horizon", F.when(F.col("x.n") >= least, F.col("x.ic")).otherwise(0.0).alias("ic"))
+
+
 def ic_decay(signal: DataFrame, panel: DataFrame, dialect: str = "engine", target: str = "residual_return") -> DataFrame:
     """horizon, ic: mean over bars of the bar's mean of signal times the return so many rows ahead."""
-    hs = DECAY[dialect]
-    ahead = panel.select(*KEYS, *(F.lead(target, h).over(own()).alias(f"h{h}") for h in hs))
-    rows = signal.select(*KEYS, "signal").join(ahead, KEYS)
-    long = rows.select(TIME, "signal", F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"h{h}").alias("r")) for h in hs))).alias("x"))
-    ok = long.select(TIME, "signal", "x.horizon", "x.r").where(is_finite("signal") & is_finite("r"))
-    per = ok.groupBy("horizon", TIME).agg(F.avg(F.col("signal") * F.col("r")).alias("ic"), F.count(F.lit(1)).alias("n"))
-    return per.groupBy("horizon").agg(F.when(F.sum("n") >= (1 if dialect == "engine" else LEAST[dialect]), F.avg("ic")).otherwise(0.0).alias("ic"))
+    return decay_of(signal.select(*KEYS, "signal").join(with_ahead(panel, dialect, target), KEYS), dialect)
 
 
 def dk_tstat(rows: DataFrame, dialect: str = "engine") -> DataFrame:
     """One row: t statistic of a pooled regression on the signal, robust to correlation across and along bars.
 
-    Moments give the coefficients; scores are summed per bar, and only bar-level rows meet in one window.
+    The rows are read once, for moments per bar; all else happens on bar rows. With the Bartlett kernel of
+    ``width`` lags the long-run variance of the scores is the mean square of their sums over ``width + 1`` bars,
+    so each running sum is dealt to its own place and, negated, ``width + 1`` places on. Below the least number
+    of rows it is 0. Where no slope exists (constant signal, one bar) the engine gives the IC's t statistic.
     """
-    y = F.col("ret") if dialect == "engine" else F.col("ret_next")
-    data = rows.select(TIME, F.col("signal").alias("x"), y.alias("y")).where(is_finite("x") & is_finite("y"))
-    m = data.agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_pop("x").alias("vx"), F.covar_pop("x", "y").alias("cxy"), F.countDistinct(TIME).alias("bars"))
-    n, mx, my, vx, cxy, bars = m.first()
-    spark = rows.sparkSession
-    if n < LEAST[dialect] or not vx or bars < 2:
-        return spark.range(1).select(F.lit(0.0).alias("dk_tstat"))
-    slope = cxy / vx
-    icept = my - slope * mx
-    e = F.col("y") - icept - slope * F.col("x")
-    u = data.groupBy(TIME).agg(F.sum(e).alias("u0"), F.sum(e * F.col("x")).alias("u1"))
-    length = next(k for k in range(1, bars + 1) if k**3 >= bars)
-    order = Window.orderBy(TIME)
-    lagged = u.select("u0", "u1", *(F.lag(c, k, 0.0).over(order).alias(f"{c}_{k}") for k in range(1, length + 1) for c in ("u0", "u1")))
-
-    def s(a: str, b: str) -> Column:
-        both = F.sum(F.col(a) * F.col(b))
-        terms = [(F.sum(F.col(a) * F.col(f"{b}_{k}")) + F.sum(F.col(b) * F.col(f"{a}_{k}"))) * (1 - k / (length + 1)) for k in range(1, length + 1)]
-        return reduce(lambda p, q: p + q, terms, both)
-
-    # second row of the inverse moment matrix: (-mean, 1) / (n var)
-    a, b = -mx / (n * vx), 1 / (n * vx)
-    v = (s("u0", "u0") * (a * a) + s("u0", "u1") * (2 * a * b) + s("u1", "u1") * (b * b)) * (bars / (bars - 1)) * ((n - 1) / (n - 2))
-    return lagged.agg(safe_div(F.lit(float(slope)), F.when(v > 0, F.sqrt(v)), 0.0).alias("dk_tstat"))
+    y = "ret" if dialect == "engine" else "ret_next"
+    ok = is_finite("signal") & is_finite(y)
+    x, y = F.when(ok, F.col("signal")), F.when(ok, F.col(y))
+    ic = F.when(is_finite("signal") & is_finite("ret_next"), F.col("signal") * F.col("ret_next"))
+    per = rows.groupBy(TIME).agg(
+        F.count(x).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.covar_pop(x, y).alias("cxy"),
+        F.min(x).alias("low"), F.max(x).alias("high"), F.avg(ic).alias("ic"),
+    )
+    every = Window.partitionBy(F.lit(0))
+    spread = F.stddev_samp("ic").over(every)
+    by_ic = safe_div(F.avg("ic").over(every) * F.sqrt(F.count("ic").over(every).cast("double")), F.when(spread > 0, spread), 0.0)
+    per = per.withColumn("by_ic", by_ic).where("n > 0").withColumn("rows", F.sum("n").over(every)).withColumn("bars", F.count(F.lit(1)).over(every))
+    mean = lambda c: F.sum(F.col("n") * F.col(c)).over(every) / F.col("rows")
+    per = per.withColumn("varies", F.min("low").over(every) < F.max("high").over(every)).withColumns({"dx": F.col("mx") - mean("mx"), "dy": F.col("my") - mean("my")})
+    xx, xy = F.col("n") * (F.col("vx") + F.col("dx") * F.col("dx")), F.col("n") * (F.col("cxy") + F.col("dx") * F.col("dy"))
+    per = per.withColumns({"xx": xx, "xy": xy}).withColumn("sxx", F.sum("xx").over(every))
+    per = per.withColumn("slope", safe_div(F.sum("xy").over(every), F.when(F.col("varies"), F.col("sxx"))))
+    run = Window.orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
+    width = F.ceil(F.cbrt(F.col("bars")) - 1e-9)
+    per = per.select("by_ic", "rows", "bars", "sxx", "slope", width.alias("width"), F.count(F.lit(1)).over(run).alias("i"), F.sum(F.col("xy") - F.col("slope") * F.col("xx")).over(run).alias("c"))
+    same = ("by_ic", "rows", "bars", "sxx", "slope", "width")
+    cells = per.select(*same, F.explode(F.array(F.struct("i", "c"), F.struct((F.col("i") + F.col("width") + 1).alias("i"), (-F.col("c")).alias("c")))).alias("x"))
+    sums = cells.groupBy("x.i").agg(F.sum("x.c").alias("v"), *(F.max(c).alias(c) for c in same))
+    one = sums.agg(F.sum(F.col("v") * F.col("v")).alias("vv"), *(F.max(c).alias(c) for c in same))
+    var = F.col("vv") / (F.col("width") + 1) / F.pow("sxx", F.lit(2)) * F.try_divide("bars", F.col("bars") - 1) * ((F.col("rows") - 1) / (F.col("rows") - 2))
+    t = F.when(F.col("slope").isNull() | (F.col("bars") < 2), F.col("by_ic") if dialect == "engine" else F.lit(0.0)).otherwise(safe_div("slope", F.when(var > 0, F.sqrt(var)), 0.0))
+    return one.select(F.when(F.col("rows") >= LEAST[dialect], t).otherwise(0.0).alias("dk_tstat"))
 
 
 def calibration(rows: DataFrame, n: int = 10) -> DataFrame:

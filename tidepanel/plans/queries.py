@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
-    KEYS, NAME, TIME, any_of, avg_rank, bar, clip, closed_range, is_finite, lcg_noise, own, qcut_bucket, rank_quintile, safe_div, stripe_ordinal,
+    KEYS, NAME, TIME, any_of, avg_rank, bar, clip, closed_range, is_finite, lcg_noise, own, qcut_bucket, rank_quintile, safe_div, stripe_ordinal, with_row_index,
 )
 from ..operators import backtest as B
 from ..operators import features as X
@@ -95,12 +95,21 @@ def sig(panel):
     return X.normalised(reversal(panel))
 
 
+def raw(panel):
+    """The panel with the candidate as a column, so that nothing joins it with itself."""
+    return panel.withColumn("signal", -F.lag("residual_return").over(own()))
+
+
 def sc(panel):
-    return G.scored(sig(panel), panel)
+    return X.normalised(G.scored(raw(panel)))
 
 
 def bt(panel):
-    return B.backtest_bars(sig(panel), panel)
+    return B.backtest_bars(X.normalised(raw(panel)))
+
+
+def decay(panel, dialect="engine"):
+    return G.decay_of(X.normalised(G.with_ahead(raw(panel), dialect, "residual_return", "signal")), dialect)
 
 
 def on(source: Callable, f: Callable) -> Query:
@@ -122,12 +131,13 @@ add("drop_nulls", on(d, lambda p: p.where(reduce(lambda a, b: a & b, (F.col(c).i
 add("case_when", on(d, lambda p: p.select(*KEYS, F.when(F.col(TIME) >= CUT_D, F.lit(None).cast("double")).otherwise(F.col("return")).alias("masked"))), "timestamp_agg:t ticker:s masked:d", D, "SELECT timestamp_agg, ticker, CASE WHEN timestamp_agg >= '2000-01-01' THEN NULL ELSE \"return\" END AS masked FROM panel")
 add("clip", on(d, lambda p: p.select(*KEYS, clip(F.col("residual_return") * 1000, -4.0, 4.0).alias("clipped"))), "timestamp_agg:t ticker:s clipped:d", D, "SELECT timestamp_agg, ticker, CASE WHEN residual_return IS NOT NULL THEN least(greatest(residual_return * 1000, -4), 4) END AS clipped FROM panel")
 add("any_of", on(h, lambda p: p.where(any_of(NAME, ["click", "error", "signup"])).select(*KEYS, "close")), "timestamp_agg:t ticker:s close:d", H, "SELECT * FROM panel WHERE ticker IN ('click', 'error', 'signup')")
-add("row_index", on(d, lambda p: p.select(*KEYS, (F.row_number().over(own()) - 1).alias("row"))), "timestamp_agg:t ticker:s row:l", D, f"SELECT *, row_number() OVER ({ON}) - 1 AS row FROM panel")
+add("row_index", on(d, lambda p: with_row_index(p).select(*KEYS, "row")), "timestamp_agg:t ticker:s row:l", D, "SELECT *, row_number() OVER (ORDER BY ticker, timestamp_agg) - 1 AS row FROM panel")
 add("range_mask", on(d, lambda p: p.where(closed_range(TIME, datetime(1998, 1, 1), datetime(1998, 12, 31))).select(*KEYS, "close")), "timestamp_agg:t ticker:s close:d", D, "SELECT * FROM panel WHERE timestamp_agg BETWEEN '1998-01-01' AND '1998-12-31'")
 add("stripe_mask", on(d, lambda p: p.select(*KEYS, (F.pmod(stripe_ordinal(TIME, "week"), F.lit(2)) == 1).alias("hit"))), "timestamp_agg:t ticker:s hit:b", D, "SELECT *, (year(timestamp_agg) * 53 + week(timestamp_agg)) % 2 = 1 AS hit FROM panel")
 
 # joins, sets, selection
 add("join_same_bar", on(d, lambda p: sc(p).select(*KEYS, "signal", "ret")), "timestamp_agg:t ticker:s signal:d ret:d", DC, "SELECT * FROM sc")
+add("join_aligned", on(d, lambda p: G.scored(sig(p).withColumn(TIME, F.col(TIME).cast("string")), p).select(*KEYS, "signal", "ret")), "timestamp_agg:t ticker:s signal:d ret:d", DC, "SELECT * FROM sc")
 add("join_next_bar", on(h, lambda p: sc(p).select(*KEYS, "signal", "ret_next")), "timestamp_agg:t ticker:s signal:d ret_next:d", HC, "SELECT * FROM sc")
 
 
@@ -150,7 +160,7 @@ add("union_diag", lambda s, sf: h(s, sf).select(*KEYS, "close", "n_obs").unionBy
 add("union_strict", on(h, lambda p: p.where(F.col(TIME) < CUT_H).unionByName(p.where(F.col(TIME) >= CUT_H)).select(*KEYS, "volume")), "timestamp_agg:t ticker:s volume:d", H, "SELECT * FROM panel")
 add("sorted_panel", on(h, lambda p: p.select(*KEYS, "close").orderBy(NAME, TIME)), "timestamp_agg:t ticker:s close:d", H, "SELECT * FROM panel ORDER BY ticker, timestamp_agg")
 add("distinct_keys", on(d, lambda p: p.select(F.trunc(TIME, "month").alias("month"), NAME).distinct()), "month:a ticker:s", D, "SELECT DISTINCT date_trunc('month', timestamp_agg) AS month, ticker FROM panel")
-add("row_slice", on(d, lambda p: p.withColumn("row", F.row_number().over(own())).where("row <= 10").select(*KEYS, "row")), "timestamp_agg:t ticker:s row:l", D, f"SELECT *, row_number() OVER ({ON}) AS row FROM panel QUALIFY row <= 10")
+add("row_slice", on(d, lambda p: p.orderBy(NAME, TIME).limit(10).select(*KEYS, "close")), "timestamp_agg:t ticker:s close:d", D, "SELECT * FROM panel ORDER BY ticker, timestamp_agg LIMIT 10")
 add("distinct_bars", on(d, lambda p: p.select(TIME).distinct().orderBy(TIME)), "timestamp_agg:t", D, "SELECT DISTINCT timestamp_agg FROM panel")
 add("ts_range", on(d, lambda p: p.groupBy(NAME).agg(F.min(TIME).alias("first"), F.max(TIME).alias("last"))), "ticker:s first:t last:t", D, "SELECT ticker, min(timestamp_agg) AS first, max(timestamp_agg) AS last FROM panel GROUP BY 1")
 add("pivot_wide", on(h, lambda p: p.groupBy(TIME).pivot(NAME, ["click", "error", "purchase", "signup", "view"]).agg(F.min("close"))), "timestamp_agg:t click:d error:d purchase:d signup:d view:d", H, "SELECT timestamp_agg, " + ", ".join(f"min(close) FILTER (ticker = '{k}') AS \"{k}\"" for k in ("click", "error", "purchase", "signup", "view")) + " FROM panel GROUP BY 1")
@@ -190,9 +200,9 @@ def _decay_sql(hs: tuple) -> str:
     return f"SELECT horizon, avg(ic) AS ic FROM (WITH ah AS (SELECT timestamp_agg, ticker, {ahead} FROM panel) {parts}) GROUP BY 1"
 
 
-add("ic_decay", on(d, lambda p: G.ic_decay(sig(p), p)), "horizon:l ic:d", DS, _decay_sql(G.DECAY["engine"]))
-add("ic_decay_evaluator", on(h, lambda p: G.ic_decay(sig(p), p, "evaluator")), "horizon:l ic:d", HS, _decay_sql(G.DECAY["evaluator"]))
-add("ic_decay_labels", on(d, lambda p: M.decay_labels(G.ic_decay(sig(p), p).withColumn("ic", F.col("ic") * 10))), "horizon:l label:s", DS, "SELECT horizon, CASE WHEN abs(ic) > .0005 THEN 'Strong' WHEN abs(ic) > .0002 THEN 'Good' WHEN abs(ic) > .0001 THEN 'Moderate' WHEN abs(ic) > .00003 THEN 'Weak' ELSE 'Decayed' END AS label FROM (" + _decay_sql(G.DECAY["engine"]) + ")")
+add("ic_decay", on(d, lambda p: decay(p)), "horizon:l ic:d", DS, _decay_sql(G.DECAY["engine"]))
+add("ic_decay_evaluator", on(h, lambda p: decay(p, "evaluator")), "horizon:l ic:d", HS, _decay_sql(G.DECAY["evaluator"]))
+add("ic_decay_labels", on(d, lambda p: M.decay_labels(decay(p).withColumn("ic", F.col("ic") * 10))), "horizon:l label:s", DS, "SELECT horizon, CASE WHEN abs(ic) > .0005 THEN 'Strong' WHEN abs(ic) > .0002 THEN 'Good' WHEN abs(ic) > .0001 THEN 'Moderate' WHEN abs(ic) > .00003 THEN 'Weak' ELSE 'Decayed' END AS label FROM (" + _decay_sql(G.DECAY["engine"]) + ")")
 
 
 def _dk_sql(y: str) -> str:
@@ -212,7 +222,7 @@ add("dk_tstat_evaluator", on(h, lambda p: G.dk_tstat(sc(p), "evaluator")), "dk_t
 _CAL = f"cal AS (SELECT bucket, (bucket + .5) * 10 AS center, avg(ret_next) AS avg_return, count(*) AS \"count\" FROM (SELECT ret_next, {bucket('signal', 'timestamp_agg', 10)} AS bucket FROM sc WHERE ret_next IS NOT NULL) GROUP BY 1)"
 add("calibration", on(d, lambda p: G.calibration(sc(p))), "bucket:l center:d avg_return:d count:l", _with(DC, _CAL), "SELECT * FROM cal")
 add("calibration_fit", on(d, lambda p: G.calibration_fit(G.calibration(sc(p))).withColumn("slope", F.col("slope") * 1e4)), "slope:d intercept:d", _with(DC, _CAL), "SELECT regr_slope(avg_return, center) * 1e4 AS slope, regr_intercept(avg_return, center) AS intercept FROM cal")
-add("rank_ic", on(d, lambda p: G.rank_ic(sc(p))), "timestamp_agg:t rank_ic:d n:l", DC, f"SELECT timestamp_agg, {corr('rx', 'ry')} AS rank_ic, count(*) AS n FROM (SELECT timestamp_agg, {average_rank('signal', 'timestamp_agg')} AS rx, {average_rank('ret', 'timestamp_agg')} AS ry FROM sc WHERE ret IS NOT NULL) GROUP BY 1 HAVING count(*) >= 3")
+add("rank_ic", on(d, lambda p: G.rank_ic(X.normalised(G.scored(raw(p), target="return")))), "timestamp_agg:t rank_ic:d n:l", DS, f"SELECT timestamp_agg, {corr('rx', 'ry')} AS rank_ic, count(*) AS n FROM (SELECT timestamp_agg, {average_rank('signal', 'timestamp_agg')} AS rx, {average_rank('ret', 'timestamp_agg')} AS ry FROM (SELECT sig.timestamp_agg, sig.signal, panel.\"return\" AS ret FROM sig JOIN panel USING (timestamp_agg, ticker)) WHERE ret IS NOT NULL) GROUP BY 1 HAVING count(*) >= 3")
 add("coverage", on(d, lambda p: G.coverage(X.period(sig(p), _view(p, CUT_D)), p)), "coverage:d bar_coverage:d", DS, "SELECT count(*) / (count(DISTINCT timestamp_agg) * count(DISTINCT ticker))::DOUBLE AS coverage, count(DISTINCT timestamp_agg)::DOUBLE / (SELECT count(DISTINCT timestamp_agg) FROM panel) AS bar_coverage FROM sig WHERE timestamp_agg >= '2000-01-01'")
 add("names_per_bar", on(d, lambda p: G.names_per_bar(sig(p))), "names_per_bar:d least:l most:l", D, "SELECT avg(n) AS names_per_bar, min(n) AS least, max(n) AS most FROM (SELECT count(*) AS n FROM panel GROUP BY timestamp_agg)")
 add("describe_signal", on(d, lambda p: sig(p).agg(F.count("signal").alias("n"), F.avg("signal").alias("mean"), F.stddev_samp("signal").alias("std"), F.min("signal").alias("low"), F.max("signal").alias("high"))), "n:l mean:d std:d low:d high:d", DS, "SELECT count(signal) AS n, avg(signal) AS mean, stddev_samp(signal) AS std, min(signal) AS low, max(signal) AS high FROM sig")
@@ -254,33 +264,54 @@ add("gate_bars", lambda s, sf: (lambda p: s.createDataFrame([(t,) for t in X.gat
 _G = "timestamp_agg:t ticker:s is_prediction_period:b residual_return:d residual_return_lag1:d"
 _GSQL = "SELECT timestamp_agg, ticker, timestamp_agg = g AS is_prediction_period, CASE WHEN timestamp_agg < g THEN residual_return END AS residual_return, {lag} AS residual_return_lag1 FROM panel, gb WHERE {keep}".format(lag=f"lag(residual_return) OVER ({ON})", keep="timestamp_agg <= g")
 add("gate_view", on(h, lambda p: _gate(p)), _G, _GB, _GSQL)
-_GN = "timestamp_agg:t ticker:s moved:b in_range:b residual_return_lag1:d"
+_GE = _GB + ",\nse AS (SELECT min(timestamp_agg) AS a, max(timestamp_agg) AS b FROM panel, gb WHERE timestamp_agg > g)"
+_NOISE = "((((row_number() OVER (ORDER BY ticker, timestamp_agg) - 1) * 1103515245::BIGINT + 12345) % 2000000) / 1e6 - 1) * 0.25"
+
 
+def _gate_sql(kind: str) -> str:
+    """A gate view: ``kind`` is base, current (noise at the bar) or future (noise at the first and last bar after it)."""
+    at = _NOISE if kind == "current" else "NULL::DOUBLE"
+    rows = "SELECT panel.*, g FROM panel, gb, se WHERE timestamp_agg <= g" + (" OR timestamp_agg IN (a, b)" if kind == "future" else "")
+    return f"SELECT timestamp_agg, ticker, g, timestamp_agg = g AS is_prediction_period, CASE WHEN timestamp_agg < g THEN residual_return WHEN timestamp_agg = g THEN {at} ELSE {_NOISE} END AS residual_return, lag(residual_return) OVER ({ON}) AS residual_return_lag1 FROM ({rows})"
 
-def _moved(v: DataFrame, p: DataFrame) -> DataFrame:
-    both = v.join(p.select(*KEYS, F.col("residual_return").alias("was")), KEYS)
-    return both.withColumn("moved", F.coalesce(F.abs(F.col("residual_return") - F.col("was")) > 1e-12, F.lit(True))).withColumn("in_range", F.coalesce(F.col("residual_return").between(-0.25, 0.25), F.lit(True)))
 
+def _quadrupled(v: DataFrame) -> DataFrame:
+    """Noise has eight digits, the last a five; four times it has six and rounds alike everywhere."""
+    return v.withColumn("residual_return", 4 * F.col("residual_return"))
 
-add("gate_view_current", on(h, lambda p: _moved(_gate(p, current_noise=True), p)), _GN, _GB, f"SELECT timestamp_agg, ticker, (timestamp_agg = g OR residual_return IS NULL) AS moved, true AS in_range, lag(residual_return) OVER ({ON}) AS residual_return_lag1 FROM panel, gb WHERE timestamp_agg <= g")
-add("gate_view_future", on(h, lambda p: _moved(_gate(p, future=[]), p)), _GN, _GB + ",\nse AS (SELECT min(timestamp_agg) AS a, max(timestamp_agg) AS b FROM panel, gb WHERE timestamp_agg > g)", f"SELECT timestamp_agg, ticker, (timestamp_agg >= g OR residual_return IS NULL) AS moved, true AS in_range, lag(residual_return) OVER ({ON}) AS residual_return_lag1 FROM (SELECT panel.*, g FROM panel, gb, se WHERE timestamp_agg <= g OR timestamp_agg IN (a, b))")
-add("lcg_noise", on(d, lambda p: p.withColumn("noise", lcg_noise(F.row_number().over(own()) - 1))), "timestamp_agg:t ticker:s noise:d", D, f"SELECT *, ((((row_number() OVER ({ON}) - 1) * 1103515245::BIGINT + 12345) % 2000000) / 1e6 - 1) * 0.25 AS noise FROM panel")
+
+for _kind, _how in (("current", {"current_noise": True}), ("future", {"future": []})):
+    add(f"gate_view_{_kind}", on(h, lambda p, how=_how: _quadrupled(_gate(p, **how))), _G, _GE, f"SELECT * REPLACE (4 * residual_return AS residual_return) FROM ({_gate_sql(_kind)})")
+add("lcg_noise", on(d, lambda p: with_row_index(p).withColumn("noise", 4 * lcg_noise("row"))), "timestamp_agg:t ticker:s noise:d", D, f"SELECT *, ((((row_number() OVER (ORDER BY ticker, timestamp_agg) - 1) * 1103515245::BIGINT + 12345) % 2000000) / 1e6 - 1) AS noise FROM panel")
 add("gate_coverage", on(h, lambda p: sig(p).where(F.col(TIME) >= CUT_H).where(is_finite("signal")).groupBy(TIME).agg(F.count(F.lit(1)).alias("found")).join(_hidden(p).groupBy(TIME).agg(F.countDistinct(NAME).alias("expected")), TIME).withColumn("enough", F.col("found") >= F.greatest(F.lit(1), F.floor(F.col("expected") * 0.01)))), "timestamp_agg:t found:l expected:l enough:b", HS, "SELECT timestamp_agg, count(*) AS found, count(DISTINCT ticker) AS expected, true AS enough FROM sig WHERE timestamp_agg >= '2024-01-22' GROUP BY 1")
 
 
+#: Candidates: one that is causal, one that reads the label of its bar, one that reads a later bar.
+CANDIDATES = {
+    "lagged": (lambda v: v.withColumn("signal", -F.col("residual_return_lag1")), "-residual_return_lag1"),
+    "same_bar": (lambda v: v.withColumn("signal", F.coalesce("residual_return", F.lit(0.0))), "coalesce(residual_return, 0)"),
+    "ahead": (lambda v: v.withColumn("signal", F.coalesce(F.lead("residual_return").over(own()), F.lit(0.0))), f"coalesce(lead(residual_return) OVER ({ON}), 0)"),
+}
+
+
 def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
     p = h(spark, sf).persist()
     train, hid = p.where(F.col(TIME) < CUT_H), _hidden(p)
-    lagged = lambda v: v.withColumn("signal", -F.col("residual_return_lag1"))
-    same = lambda v: v.withColumn("signal", F.coalesce("residual_return", F.lit(0.0)))
-    ahead = lambda v: v.withColumn("signal", F.coalesce(F.lead("residual_return").over(own()), F.lit(0.0)))
-    rows = [(k, X.run_gate(f, train, hid)["status"]) for k, f in (("lagged", lagged), ("same_bar", same), ("ahead", ahead))]
+    rows = [(k, X.run_gate(f, train, hid)["status"]) for k, (f, _) in CANDIDATES.items()]
+    p.unpersist()
     return spark.createDataFrame(rows, "candidate string, status string")
 
 
-add("gate_verdict", _verdicts, "candidate:s status:s", "v AS (SELECT 1)", "SELECT * FROM (VALUES ('lagged', 'passed'), ('same_bar', 'failed'), ('ahead', 'failed')) AS t(candidate, status)")
+def _verdict_sql() -> str:
+    parts = [f"SELECT '{k}' AS candidate, '{kind}' AS kind, ticker, signal FROM (SELECT ticker, is_prediction_period AS here, {e} AS signal FROM ({_gate_sql(kind)})) WHERE here AND isfinite(signal)" for k, (_, e) in CANDIDATES.items() for kind in ("base", "current", "future")]
+    z = f"SELECT candidate, kind, ticker, least(greatest((signal - avg(signal) OVER o) / greatest(coalesce(stddev_samp(signal) OVER o, 1e-8), 1e-8), -4), 4) AS z FROM ({' UNION ALL '.join(parts)}) WINDOW o AS (PARTITION BY candidate, kind)"
+    both = f"WITH z AS ({z}) SELECT candidate, kind, ticker, b.z AS base, o.z AS other FROM (SELECT candidate, ticker, z, unnest(['current', 'future']) AS kind FROM z WHERE kind = 'base') b FULL JOIN (SELECT * FROM z WHERE kind <> 'base') o USING (candidate, kind, ticker)"
+    return f"SELECT candidate, CASE WHEN bool_or(base IS NULL OR other IS NULL OR abs(base - other) > 1e-8) THEN 'failed' ELSE 'passed' END AS status FROM ({both}) GROUP BY 1"
+
+
+add("gate_verdict", _verdicts, "candidate:s status:s", _GE, _verdict_sql())
 add("policy_scan", lambda s, sf: X.policy_scan(A.table(s, sf, "part").select("p_partkey", F.concat(F.lit("x = '"), "p_name", F.when(F.col("p_partkey") % 3 == 0, "/tests/a'").when(F.col("p_partkey") % 3 == 1, "test.parquet'").otherwise("'")).alias("code"))), "p_partkey:l violations:l", "v AS (SELECT 1)", "SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN 1 ELSE 0 END AS violations FROM part")
-add("cheat_flag", on(d, lambda p: M.cheat_flag(G.return_corr(G.scored(p.select(*KEYS, F.col("residual_return").alias("signal")), p)))), "return_correlation:d cheating_detected:b", D, "SELECT 1.0 AS return_correlation, true AS cheating_detected")
+add("cheat_flag", on(d, lambda p: M.cheat_flag(G.return_corr(G.scored(p.select(*KEYS, F.col("residual_return").alias("signal")), p)))), "return_correlation:d cheating_detected:b", DS, f"SELECT c AS return_correlation, abs(c) > .9 AS cheating_detected FROM (SELECT {corr('x', 'y')} AS c FROM (SELECT p.residual_return AS x, r.residual_return AS y FROM panel p JOIN panel r USING (timestamp_agg, ticker) WHERE p.residual_return IS NOT NULL))")
 
 # scoring
 _MET = "m AS (SELECT o_orderkey, (o_orderkey % 50) / 10.0 AS dk_tstat, (o_orderkey % 23) / 10.0 AS sharpe, (o_orderkey % 101) / 100.0 AS autocorrelation, ((o_orderkey % 41) - 20) / 1000.0 AS mean_ic, (o_orderkey % 19) / 19.0 AS return_correlation, (o_orderkey % 100) / 100.0 AS ic_positive FROM orders)"
@@ -300,13 +331,16 @@ add("implausible_flags", lambda s, sf: M.implausible(_metrics(s, sf).withColumn(
 
 
 def _gaps(p: DataFrame) -> DataFrame:
-    rows = sc(p).withColumn("oos", F.col(TIME) >= CUT_D)
-    ic = rows.where(is_finite("ret_next")).groupBy("oos", TIME).agg(F.avg(F.col("signal") * F.col("ret_next")).alias("ic"))
-    one = ic.agg(F.avg(F.when(~F.col("oos"), F.col("ic"))).alias("is_ic"), F.avg(F.when(F.col("oos"), F.col("ic"))).alias("oos_ic"), F.lit(1.0).alias("is_sharpe"), F.lit(0.5).alias("oos_sharpe"))
-    return M.gaps(one)
+    late = F.col(TIME) >= CUT_D
+    half = lambda f, c: [f(F.when(~late, F.col(c))), f(F.when(late, F.col(c)))]
+    ic = [c.alias(k) for c, k in zip(half(F.avg, "ic"), ("is_ic", "oos_ic"), strict=True)]
+    mean, std = half(F.avg, "net_ret"), half(F.stddev_samp, "net_ret")
+    sharpe = [safe_div(m, s, 0.0).alias(k) for m, s, k in zip(mean, std, ("is_sharpe", "oos_sharpe"), strict=True)]
+    both = G.ic_per_bar(sc(p)).agg(*ic).unionByName(bt(p).agg(*sharpe), allowMissingColumns=True)
+    return M.gaps(both.agg(*(F.max(c).alias(c) for c in both.columns)))
 
 
-add("is_oos_gap", on(d, _gaps), "is_ic:d oos_ic:d ic_gap_pct:d sharpe_gap_pct:d", _with(DC, IC), "SELECT *, abs(is_ic - oos_ic) / abs(is_ic) * 100 AS ic_gap_pct, 50.0 AS sharpe_gap_pct FROM (SELECT avg(ic) FILTER (timestamp_agg < '2000-01-01') AS is_ic, avg(ic) FILTER (timestamp_agg >= '2000-01-01') AS oos_ic FROM ic)")
+add("is_oos_gap", on(d, _gaps), "is_ic:d oos_ic:d ic_gap_pct:d sharpe_gap_pct:d", _with(DB, SCORED, IC), "SELECT *, abs(is_ic - oos_ic) / abs(is_ic) * 100 AS ic_gap_pct, abs(i - o) / abs(i) * 100 AS sharpe_gap_pct FROM (SELECT avg(ic) FILTER (timestamp_agg < '2000-01-01') AS is_ic, avg(ic) FILTER (timestamp_agg >= '2000-01-01') AS oos_ic FROM ic), (SELECT avg(net_ret) FILTER (timestamp_agg < '2000-01-01') / stddev_samp(net_ret) FILTER (timestamp_agg < '2000-01-01') AS i, avg(net_ret) FILTER (timestamp_agg >= '2000-01-01') / stddev_samp(net_ret) FILTER (timestamp_agg >= '2000-01-01') AS o FROM bt)")
 
 # splits
 _UNITS = {"month": "year(timestamp_agg) * 12 + month(timestamp_agg)", "week": "year(timestamp_agg) * 53 + week(timestamp_agg)", "day": "year(timestamp_agg) * 366 + dayofyear(timestamp_agg)"}
