@@ -125,3 +125,25 @@ def test_optional_and_task_names(spark, tmp_path):
     (tmp_path / "signal-b").mkdir()
     (tmp_path / "signal-a").mkdir()
     assert panel.tasks(str(tmp_path), "all") == panel.tasks(str(tmp_path)) and panel.tasks(str(tmp_path), "y, x") == ["x", "y"]
+
+
+def test_backtest_guards_and_row_index(spark):
+    from tidepanel.functions.columns import with_row_index
+    from tidepanel.operators import backtest
+
+    at = [datetime(2024, 1, 1, k) for k in range(3)]
+    rows = spark.createDataFrame([(t, n, 1.0, 0.01) for t in at for n in ("b", "a", None)], "timestamp_agg timestamp, ticker string, signal double, residual_return double")
+    assert sorted((r["row"], r["ticker"] or "") for r in with_row_index(rows).collect()) == [(k, n) for k, n in enumerate(["", "", "", "a", "a", "a", "b", "b", "b"])]
+    one = rows.where(F.col("timestamp_agg") == F.lit(at[0]))
+    for bars in (backtest.backtest_bars(one), backtest.metrics(backtest.backtest_bars(rows.limit(0)))):
+        with pytest.raises(Exception, match="two bars"):
+            bars.collect()
+    assert backtest.metrics(backtest.backtest_bars(rows)).first()["n_timestamps"] == 3
+
+
+def test_constant_signal_falls_back_to_ic(spark):
+    rows = spark.range(60).select((F.to_timestamp(F.lit("2024-01-01")) + F.make_dt_interval(hours=F.floor(F.col("id") / 3).cast("int"))).alias("timestamp_agg"), F.lit(1.0).alias("signal"), F.sin("id").alias("ret"), F.cos(F.col("id") * 7).alias("ret_next"))
+    want = stats.ic_tstat(stats.ic_per_bar(rows)).first()[0]
+    assert want and math.isclose(stats.dk_tstat(rows).first()[0], want, rel_tol=1e-9)
+    assert stats.dk_tstat(rows, "evaluator").first()[0] == 0.0
+    assert stats.dk_tstat(rows.limit(5)).first()[0] == 0.0
