@@ -45,6 +45,20 @@ def test_five_thousand_lines(spark, monkeypatch, crowd):
     assert got == brute(rows)
 
 
+def test_long_lines_around_the_wide_signature(spark):
+    rng, rows = np.random.default_rng(4), []
+    words = [f"w{k}" for k in range(400)]
+    base = [list(rng.choice(words, int(n), replace=False)) for n in rng.integers(lines.LONG - 15, lines.LONG + 90, 40)]
+    for i in range(160):
+        own = list(base[int(rng.integers(40))])
+        for _ in range(int(rng.integers(0, 14))):
+            own[int(rng.integers(len(own)))] = f"x{rng.integers(10**6)}"
+        rows.append((i, " ".join(own[: len(own) - int(rng.integers(0, 12))])))
+    got = {r["doc_id"]: r["removed"] for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["removed"]}
+    want = brute(rows)
+    assert got == want and 20 < len(want) < 140
+
+
 def test_very_long_line_and_ties(spark):
     long = " ".join(f"l{k}" for k in range(20_000))
     five = "a b c d e"  # four of five words: 4/6 is below the bound, five of six above it

@@ -8,7 +8,8 @@ Jaccard similarity of ``LIKE`` or more, whether or not that line itself stays. L
 2. Tokens are ordered by rarity, from counts over all distinct lines in ``BUCKETS`` hash buckets (an order is
    all that the prefix filter needs, so the counts have a fixed size however large the vocabulary).
 3. The prefix (``head``) of every distinct line is exploded to (token, line, place in the set) rows. Tokens
-   of at most ``CROWD`` lines are joined with themselves behind length, position and signature filters.
+   of at most ``CROWD`` lines are joined with themselves behind length, position and signature filters
+   (signatures of lines of more than ``LONG`` words have twice the classes).
 4. Tokens of more lines are crowded. Their lines first meet the earliest line of the token, which settles
    large groups of near copies in a number of pairs linear in the group; only lines that are still open
    meet all lines of the token whose length is near.
@@ -34,6 +35,8 @@ BUCKETS = 1 << 19
 HOT = 1_000
 #: Lines of a token from which its lines are settled by a leader first, and crowded tokens that are broadcast at most (more are joined by shuffle).
 CROWD, BROADCAST = 256, 100_000
+#: Words from which a line's signature has 128 classes: in 64 classes unlike lines of so many words differ too little.
+LONG = 90
 
 
 def tokens(line: Column) -> Column:
@@ -66,6 +69,11 @@ def _signature(toks: Column) -> Column:
     return F.aggregate(toks, F.lit(0).cast("long"), lambda s, t: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t)))
 
 
+def _half(toks: Column) -> Column:
+    """Signature of the half of a long line's tokens that bit 6 marks; with the whole one it tells the other half's. 0 for other lines."""
+    return F.when(F.size(toks) > LONG, _signature(F.filter(toks, lambda t: t.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, th, pos, id, line): lines with words; th tells texts of one doc_id apart, id is the line's hash."""
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -82,10 +90,12 @@ def _least_common(n: Column, m: Column, like: float) -> Column:
 
 
 def _passes(like: float) -> Column:
-    """Signature and length filters on (n1, s1) and (n2, s2)."""
+    """Signature and length filters on (n1, s1, h1) and (n2, s2, h2)."""
     n, m = F.col("n1"), F.col("n2")
-    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("s2")))
-    return (apart <= (n + m) * ((1 - like) / (1 + like)) + 1e-9) & (F.least(n, m) >= like * F.greatest(n, m) - 1e-9)
+    whole, half = F.col("s1").bitwiseXOR(F.col("s2")), F.col("h1").bitwiseXOR(F.col("h2"))
+    most = (n + m) * ((1 - like) / (1 + like)) + 1e-9
+    halves = (F.least(n, m) <= LONG) | (F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half)) <= most)
+    return (F.bit_count(whole) <= most) & (F.least(n, m) >= like * F.greatest(n, m) - 1e-9) & halves
 
 
 def _distinct(pairs: DataFrame) -> DataFrame:
@@ -112,13 +122,13 @@ def removed_lines(docs: DataFrame, like: float = LIKE) -> DataFrame:
     lines = _lines(docs.select("doc_id", "text"))
     toks = lines.select("doc_id", "th", "pos", "id", tokens(F.col("line")).alias("toks"))
     first = toks.groupBy("id").agg(F.min(_place("doc_id", "th", "pos")).alias("p"), F.first("toks").alias("toks"), F.count(F.lit(1)).alias("copies"))
-    sets = first.select("id", "p.doc_id", "p.th", "p.pos", "copies", F.size("toks").alias("n"), _signature(F.col("toks")).alias("s"), "toks")
+    sets = first.select("id", "p.doc_id", "p.th", "p.pos", "copies", F.size("toks").alias("n"), _signature(F.col("toks")).alias("s"), _half(F.col("toks")).alias("h"), "toks")
     mark = uuid.uuid4().hex
     width = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sets.write.format("parquet").option("compression", "zstd").bucketBy(width, "id").saveAsTable(f"line_sets_{mark}")
     try:
         sets = spark.table(f"line_sets_{mark}")
-        heads = sets.select("id", "doc_id", "th", "pos", "n", "s", _head(F.col("toks"), F.col("n"), _rarity(sets), like).alias("head"))
+        heads = sets.select("id", "doc_id", "th", "pos", "n", "s", "h", _head(F.col("toks"), F.col("n"), _rarity(sets), like).alias("head"))
         heads.write.format("parquet").option("compression", "zstd").saveAsTable(f"line_heads_{mark}")
         return _places(sets, _later_sets(sets, spark.table(f"line_heads_{mark}"), like), lines.drop("line"))
     finally:
@@ -128,7 +138,7 @@ def removed_lines(docs: DataFrame, like: float = LIKE) -> DataFrame:
 
 
 def _meeting(left: DataFrame, right: DataFrame, on: list[str], like: float, once: Column) -> DataFrame:
-    """Rows of ``left`` (a, n1, s1, i1) and ``right`` (b, n2, s2, i2) of equal token that pass all filters.
+    """Rows of ``left`` (a, n1, s1, h1, i1) and ``right`` (b, n2, s2, h2, i2) of equal token that pass all filters.
 
     The first common token of a similar pair stands, in either set, within what the least overlap leaves.
     """
@@ -137,14 +147,14 @@ def _meeting(left: DataFrame, right: DataFrame, on: list[str], like: float, once
 
 
 def _renamed(rows: DataFrame, left: bool, *more: str | Column) -> DataFrame:
-    """Rows (t, id, n, s, i) as one side of a join. All columns are renamed on either side, so that both have one shuffle."""
-    names = ("a", "n1", "s1", "i1") if left else ("b", "n2", "s2", "i2")
-    return rows.select("t", *(F.col(c).alias(x) for c, x in zip(("id", "n", "s", "i"), names, strict=True)), *more)
+    """Rows (t, id, n, s, h, i) as one side of a join. All columns are renamed on either side, so that both have one shuffle."""
+    names = ("a", "n1", "s1", "h1", "i1") if left else ("b", "n2", "s2", "h2", "i2")
+    return rows.select("t", *(F.col(c).alias(x) for c, x in zip(("id", "n", "s", "h", "i"), names, strict=True)), *more)
 
 
 def _later_sets(sets: DataFrame, heads: DataFrame, like: float) -> DataFrame:
     """Ids of the lines that have an earlier similar line."""
-    rows = heads.select("id", "n", "s", F.posexplode("head").alias("i", "t"))
+    rows = heads.select("id", "n", "s", "h", F.posexplode("head").alias("i", "t"))
     # a token of so many lines is in a bucket of as many
     least = (math.floor(4 * math.log2(CROWD)) + 1) * (1 << 32) - (1 << 31)
     crowded = cut(rows.where(F.col("t") >= least).groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).select("t"))
@@ -156,14 +166,14 @@ def _later_sets(sets: DataFrame, heads: DataFrame, like: float) -> DataFrame:
     if not many:
         return cut(_similar(pairs, sets, like))
 
-    loud = heads.select("id", "n", "s", _place("doc_id", "th", "pos").alias("p"), F.posexplode("head").alias("i", "t")).join(small(crowded), "t")
-    lead = cut(loud.groupBy("t").agg(F.min(F.struct("p", "id", "n", "s")).alias("x")).select("t", F.col("x.id").alias("b"), F.col("x.n").alias("n2"), F.col("x.s").alias("s2")))
-    met = loud.select("t", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("s").alias("s1")).join(small(lead), "t").where((F.col("a") != F.col("b")) & _passes(like))
+    loud = heads.select("id", "n", "s", "h", _place("doc_id", "th", "pos").alias("p"), F.posexplode("head").alias("i", "t")).join(small(crowded), "t")
+    lead = cut(loud.groupBy("t").agg(F.min(F.struct("p", "id", "n", "s", "h")).alias("x")).select("t", F.col("x.id").alias("b"), F.col("x.n").alias("n2"), F.col("x.s").alias("s2"), F.col("x.h").alias("h2")))
+    met = loud.select("t", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("s").alias("s1"), F.col("h").alias("h1")).join(small(lead), "t").where((F.col("a") != F.col("b")) & _passes(like))
     settled = cut(_similar(_distinct(met.select("a", "b")), sets, like))
 
     # lengths of a similar pair are at most one step apart
     step = F.floor(F.log("n") / F.lit(-math.log(like))).cast("int")
-    loud = loud.select("t", "id", "n", "s", "i", step.alias("l"))
+    loud = loud.select("t", "id", "n", "s", "h", "i", step.alias("l"))
     probe = _renamed(loud.join(settled, "id", "left_anti"), True, F.explode(F.array(*(F.col("l") + k for k in (-1, 0, 1)))).alias("l"))
     again = _meeting(probe, _renamed(loud, False, "l"), ["t", "l"], like, F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return cut(settled.unionByName(_similar(_distinct(pairs.unionByName(again)), sets, like)).distinct())
