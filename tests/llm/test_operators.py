@@ -58,10 +58,32 @@ def test_decontamination(docs, bench):
     assert decontamination.remove_contaminated(docs, bench).columns == docs.columns
 
 
-def test_longest_matches(docs, bench):
-    texts = [r["text"] for r in docs.where("doc_id = 3").collect()]
-    items = decontamination.Items([(r["item_id"], r["text"]) for r in bench.collect()])
-    assert any(m[1] == 1 and m[2] == 25 and m[3] == 5 for m in decontamination.longest_matches(texts, items))
+def longest(w, items):
+    """(words, place, item, place in the item) of the longest match, extended word by word."""
+    best = None
+    for j, x in items:
+        n = min(10, len(x))
+        for a in range(len(x) - n + 1) if n else ():
+            for p in range(len(w) - n + 1):
+                m = n
+                if w[p : p + n] == x[a : a + n]:
+                    while p + m < len(w) and a + m < len(x) and w[p + m] == x[a + m]:
+                        m += 1
+                    best = min(best or (0,), (-m, p, j is None, j or 0, a))
+    return (-best[0], best[1], None if best[2] else best[3], best[4]) if best else (0, None, None, None)
+
+
+@pytest.mark.parametrize("block_chars", [8_000_000, 60])
+def test_longest_matches(spark, docs, bench, block_chars):
+    more = spark.createDataFrame([(11, "w1"), (12, "w2"), (13, "w3"), (None, " ".join(some_text(3, 93).split()[7:33]))], bench.schema)
+    bench = bench.unionByName(more)
+    items = [(r["item_id"], decontamination.words(r["text"])) for r in bench.collect()]
+    want = [(str(i), *longest(decontamination.words(t), items)) for i, t in [*plain(docs), (50, "w1 w2 w3 w1 w2"), (51, "w2")]]
+    texts = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(50, "w1 w2 w3 w1 w2"), (51, "w2")], "doc_id long, text string"))
+    got = decontamination.with_hits(texts.repartition(2), bench, block_chars=block_chars).select("doc_id", "hits.longest").collect()
+    got = [(str(r[0]), r[1]["n"], r[1]["at"], r[1]["item"], r[1]["item_at"]) if r[1] else (str(r[0]), 0, None, None, None) for r in got]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert max(m[1] for m in want) >= 25
 
 
 def test_suffixes(docs):

@@ -4,8 +4,9 @@ Each task takes its documents in shards of bounded size. A shard's suffix array
 suffixes of its documents in word order; suffixes that cannot match (their first words are no word
 sequence of any benchmark item) are left out before the sort. Every suffix of every benchmark item is
 then binary-searched in the array, all of them at once and one word deeper each round, so the range of
-equal prefixes after w rounds holds all verbatim occurrences of a window of w words, and the deepest
-round with a range gives the longest match. Nothing is shuffled: a document's words, hits and items all
+equal prefixes after w rounds holds all verbatim occurrences of a window of w words. Windows that follow
+one another in both the document and the item are one match, as long as the texts agree; the longest one of
+each document is kept with its places. Nothing is shuffled: a document's words, hits and items all
 come from its own shard, so a passage that many documents share costs each of them the same.
 
 The benchmark reaches the tasks in blocks of at most ``BLOCK_CHARS`` characters; a larger benchmark
@@ -66,6 +67,7 @@ class Items:
         length = np.array([len(t) for t in toks], np.int64)
         begin = np.cumsum(length) - length
         self.of = np.repeat(np.arange(len(toks)), length)
+        self.begin = begin
         self.start = np.arange(len(self.of))
         self.left = (begin + length)[self.of] - self.start  # words to the item's end
         # the window that begins here: ten words, or the whole of a shorter item
@@ -131,20 +133,39 @@ def _expand(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[k] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), k
 
 
-def shard_hits(texts: list[str | None], items: Items) -> list[tuple[int, np.ndarray, list[int]]]:
-    """Per document: number of words, sorted positions of hit words, sorted distinct item indexes."""
+def _longest(p: np.ndarray, s: np.ndarray, wide: np.ndarray, doc: np.ndarray, begin: np.ndarray, items: Items) -> dict[int, dict]:
+    """Document -> its longest match, from all windows (place p in the shard, s in the items, width).
+
+    Windows on one diagonal whose places follow one another are one match. Of equally long ones the first
+    in the document counts, then the item of the smallest id (null last), then the first place in the item.
+    """
+    order = np.lexsort((p, p - s))
+    p, s, wide = p[order], s[order], wide[order]
+    other = (np.diff(doc[p]) != 0) | (np.diff(items.of[s]) != 0)
+    first = np.flatnonzero(np.r_[True, (np.diff(p) != 1) | (np.diff(s) != 1) | other])
+    n = np.diff(np.r_[first, len(p)]) + wide[first] - 1
+    p, s = p[first], s[first]
+    ids = np.array([np.iinfo(np.int64).max if i is None else i for i in items.item], np.int64)[items.of[s]]
+    order = np.lexsort((s, ids, p, -n, doc[p]))
+    best = order[np.flatnonzero(np.r_[True, np.diff(doc[p[order]]) > 0])]
+    own = zip(*(x.tolist() for x in (doc[p[best]], n[best], p[best] - begin[doc[p[best]]], items.of[s[best]], s[best] - items.begin[items.of[s[best]]])), strict=True)
+    return {d: {"n": n, "at": at, "item": items.item[k], "item_at": j} for d, n, at, k, j in own}
+
+
+def shard_hits(texts: list[str | None], items: Items) -> list[tuple[int, np.ndarray, list[int], dict | None]]:
+    """Per document: number of words, sorted positions of hit words, sorted distinct item indexes, longest match."""
     get = items.ids.get
     toks = [np.array([get(w, 0) for w in words(t)], np.int64) for t in texts]
     size = np.array([len(t) for t in toks], np.int64)
     if not size.sum():
-        return [(0, np.zeros(0, np.int64), []) for _ in toks]
+        return [(0, np.zeros(0, np.int64), [], None) for _ in toks]
     ids = np.concatenate(toks)
     stop = np.cumsum(size)
     doc = np.repeat(np.arange(len(toks)), size)
     ends = stop[doc]
     sa = suffix_array(ids, ends, items)
     mark = np.zeros(len(ids) + 1, np.int64)
-    pairs = []
+    pairs, windows = [], []
     for depth, (suffix, low, high) in enumerate(search(sa, ids, ends, items), 1):
         whole = items.wide[suffix] == depth
         if not whole.any():
@@ -152,39 +173,13 @@ def shard_hits(texts: list[str | None], items: Items) -> list[tuple[int, np.ndar
         at, k = _expand(low[whole], high[whole])
         np.add.at(mark, sa[at], 1)
         np.add.at(mark, sa[at] + depth, -1)
+        windows.append((sa[at], suffix[whole][k], np.full(len(at), depth)))
         pairs.append(np.unique(doc[sa[at]] * len(items.item) + items.of[suffix[whole]][k]))
     hit = np.cumsum(mark[:-1]) > 0
     both = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+    longest = _longest(*(np.concatenate(c) for c in zip(*windows, strict=True)), doc, stop - size, items) if len(both) else {}
     first, last = np.searchsorted(both, np.arange(len(toks)) * len(items.item)), np.searchsorted(both, (np.arange(len(toks)) + 1) * len(items.item))
-    return [(int(n), np.flatnonzero(hit[e - n : e]), (both[a:b] - k * len(items.item)).tolist()) for k, (n, e, a, b) in enumerate(zip(size, stop, first, last, strict=True))]
-
-
-def longest_matches(texts: list[str | None], items: Items) -> list[tuple[int, int, int, int, int]]:
-    """(document, item, words, place in the document, place in the item) of each pair's longest match of a window or more."""
-    toks = [np.array([items.ids.get(w, 0) for w in words(t)], np.int64) for t in texts]
-    size = np.array([len(t) for t in toks], np.int64)
-    if not size.sum():
-        return []
-    ids, stop, doc = np.concatenate(toks), np.cumsum(size), np.repeat(np.arange(len(toks)), size)
-    ends = stop[doc]
-    sa = suffix_array(ids, ends, items)
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for depth, (suffix, low, high) in enumerate(search(sa, ids, ends, items), 1):
-        whole = items.wide[suffix] == depth
-        at, k = _expand(low[whole], high[whole])
-        p, s = sa[at], suffix[whole][k]
-        long = np.full(len(p), depth)
-        room = np.minimum(ends[p] - p, items.left[s])
-        grow = long < room
-        while grow.any():  # on from the window, word by word
-            same = grow & (ids[np.minimum(p + long, len(ids) - 1)] == items.flat[items.start[s] + np.minimum(long, items.left[s] - 1)])
-            long = long + same
-            grow = same & (long < room)
-        for a, b, n in zip(p, s, long, strict=True):
-            key, place = (int(doc[a]), items.item[items.of[b]]), int(a - (stop[doc[a]] - size[doc[a]]))
-            found = (-int(n), place, int(items.start[b] - np.searchsorted(items.of, items.of[b])))
-            best[key] = min(best.get(key, (0, 0, 0)), found)
-    return [(d, i, -n, place, at) for (d, i), (n, place, at) in sorted(best.items())]
+    return [(int(n), np.flatnonzero(hit[e - n : e]), (both[a:b] - k * len(items.item)).tolist(), longest.get(k)) for k, (n, e, a, b) in enumerate(zip(size, stop, first, last, strict=True))]
 
 
 def _runs(hit: np.ndarray) -> list[dict[str, int]]:
@@ -195,11 +190,18 @@ def _runs(hit: np.ndarray) -> list[dict[str, int]]:
     return [{"a": int(a), "b": int(b)} for a, b in zip(hit[np.r_[0, cut + 1]], hit[np.r_[cut, len(hit) - 1]], strict=True)]
 
 
-STATE = "struct<n_words:bigint,spans:array<struct<a:bigint,b:bigint>>,items:array<bigint>>"
+def _order(match: dict) -> tuple:
+    return -match["n"], match["at"], match["item"] is None, match["item"] or 0, match["item_at"]
+
+
+STATE = "struct<n_words:bigint,spans:array<struct<a:bigint,b:bigint>>,items:array<bigint>,longest:struct<n:bigint,at:bigint,item:bigint,item_at:bigint>>"
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", name: str = "hits", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` with a struct column ``name``: n_words, spans of hit words [a, b], sorted item ids.
+    """``docs`` with a struct column ``name``: n_words, spans of hit words [a, b], sorted item ids, longest.
+
+    ``longest`` is the longest verbatim match of a window or more: its words, its place (in words, from 0) in
+    the document, the item and the place there; null without any.
 
     A null text has no words. An item without words has no windows. Items of null id are one item, the
     last of ``items``. Columns of any name pass through; ``name`` must be new.
@@ -230,13 +232,14 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", name: s
                     own += shard_hits(texts[lo:hi], items)
                     lo = hi
                 state = []
-                for (n, hit, of), old in zip(own, before, strict=True):
+                for (n, hit, of, longest), old in zip(own, before, strict=True):
                     found = [items.item[k] for k in of]
                     if old and old["spans"]:
                         hit = np.unique(np.concatenate([hit, *(np.arange(s["a"], s["b"] + 1) for s in old["spans"])]))
                     if old:
                         found = found + old["items"]
-                    state.append({"n_words": n, "spans": _runs(hit), "items": sorted(set(found), key=lambda i: (i is None, i or 0))})
+                        longest = min((m for m in (longest, old["longest"]) if m), key=_order, default=None)
+                    state.append({"n_words": n, "spans": _runs(hit), "items": sorted(set(found), key=lambda i: (i is None, i or 0)), "longest": longest})
                 last = pa.array(state, b.schema.types[-1])
                 return pa.RecordBatch.from_arrays([*b.columns[:-1], last], names=b.schema.names)
 
@@ -252,7 +255,9 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", name: s
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per document row.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, longest_at, longest_item, longest_item_at; one row per document row.
+
+    The last four are the longest match (0 and nulls without any).
 
     Items of null id count as one and have no part in the digest. Empty texts have no words; repeated rows
     have equal results; of equal items each id counts.
@@ -263,6 +268,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", F.col("hits.n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("hits.items").cast("long").alias("n_items"),
         F.sha2(listed.cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        F.coalesce("hits.longest.n", F.lit(0)).cast("long").alias("longest"), F.col("hits.longest.at").alias("longest_at"),
+        F.col("hits.longest.item").alias("longest_item"), F.col("hits.longest.item_at").alias("longest_item_at"),
     )
 
 

@@ -90,10 +90,16 @@ dw AS (SELECT rid, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS g
        FROM (SELECT rid, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d JOIN ks ON len(w) >= k)),
 hit AS (SELECT rid, i, k, item_id FROM dw JOIN bw USING (k, g)),
 cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(generate_series(i, i + k - 1)) AS p FROM hit) GROUP BY rid),
+bi AS (SELECT *, row_number() OVER () AS br FROM b),
+bp AS (SELECT br, item_id, j, least(10, len(w)) AS k, array_to_string(list_slice(w, j, j + least(10, len(w)) - 1), ' ') AS g
+       FROM (SELECT br, item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS j FROM bi)),
+run AS (SELECT rid, br, item_id, k, i, j, i - row_number() OVER (PARTITION BY rid, br, i - j ORDER BY i) AS r FROM dw JOIN bp USING (k, g)),
+far AS (SELECT rid, item_id, count(*) + k - 1 AS n, min(i) - 1 AS doc_at, min(j) - 1 AS item_at FROM run GROUP BY rid, br, item_id, k, i - j, r),
+top AS (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY rid ORDER BY n DESC, doc_at, item_id NULLS LAST, item_at) = 1),
 its AS (SELECT rid, count(DISTINCT item_id) AS n, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM hit GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(cov.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(cov.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
+       coalesce(cov.n, 0) > 0 AS contaminated, coalesce(top.n, 0)::BIGINT AS longest, top.doc_at::BIGINT AS longest_at, top.item_id AS longest_item, top.item_at::BIGINT AS longest_item_at
+FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid) LEFT JOIN top USING (rid)
 """
 
 # lines of a document are in order; documents are told apart by their id
