@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators import backtest, features, splits, stats
 from tidepanel.plans import queries
+from tidepanel.streaming.scores import bar_scores
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,7 +70,8 @@ def test_splits(spark):
         splits.SplitConfig(families=("other",))
 
 
-@pytest.mark.parametrize("name", ["ic_per_bar", "backtest_hourly", "quantile_spread", "residualize", "split_validation", "portfolio_sharpe", "rsi"])
+@pytest.mark.parametrize("name", ["ic_per_bar", "backtest_hourly", "quantile_spread", "residualize", "split_validation", "portfolio_sharpe", "rsi", "ewm_mean", "ewm_std", "mad", "trailing_p99",
+    "market_relative_vol", "corr_change", "rolling_rank_corr", "amihud", "flow_ratio", "walk_forward_ols", "walk_forward_ridge", "stream_bar_scores"])
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "lineitem", "orders", "part"):
@@ -147,3 +149,17 @@ def test_constant_signal_falls_back_to_ic(spark):
     assert want and math.isclose(stats.dk_tstat(rows).first()[0], want, rel_tol=1e-9)
     assert stats.dk_tstat(rows, "evaluator").first()[0] == 0.0
     assert stats.dk_tstat(rows.limit(5)).first()[0] == 0.0
+
+
+def test_scores_of_a_stream_equal_those_of_the_batch(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(minutes=7 * k), f"s{k % 5}", float((k * 37) % 101) if k % 11 else None) for k in range(400)]
+    for part in range(4):
+        spark.createDataFrame(rows[part * 100 : part * 100 + 100], "timestamp_agg timestamp, ticker string, value double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("timestamp_agg timestamp, ticker string, value double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sink = bar_scores(source, "value").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).outputMode("append")
+    sink.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(120)
+    got = {(*r[:3], round(r[3], 9)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {(*r[:3], round(r[3], 9)) for r in bar_scores(spark.read.parquet(str(tmp_path / "in")), "value").collect()}
+    closed = {r for r in want if r[0] < start + timedelta(minutes=7 * 399) - timedelta(hours=4)}
+    assert len(closed) > 100 and closed <= got <= want

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import NAME, TIME, avg_rank, bar, no_nan, own, safe_corr, safe_div, zscore
+from ..functions.columns import NAME, TIME, avg_rank, bar, own, safe_div
 
 
 def momentum(c: str, k: int) -> Column:
@@ -43,6 +43,38 @@ def ewm_mean(c: str, alpha: float, n: int) -> Column:
     return safe_div(top, F.aggregate(weight, F.lit(0.0), lambda a, b: a + b))
 
 
+def ewm_std(c: str, alpha: float, n: int) -> Column:
+    """Exponentially weighted deviation from the weighted mean, over the same rows as ``ewm_mean``."""
+    x = F.reverse(F.collect_list(c).over(own(n - 1)))
+    weight = F.transform(x, lambda v, k: F.pow(F.lit(1 - alpha), k))
+    total = F.aggregate(weight, F.lit(0.0), lambda a, b: a + b)
+    # the mean goes in as an array of one, so that it is computed once a row
+    off = F.flatten(F.transform(F.array(ewm_mean(c, alpha, n)), lambda mean: F.transform(x, lambda v: v - mean)))
+    top = F.aggregate(F.zip_with(off, weight, lambda v, u: u * v * v), F.lit(0.0), lambda a, b: a + b)
+    return F.sqrt(safe_div(top, total))
+
+
+def _median(x: Column) -> Column:
+    """Median of an array without nulls; null where it is empty."""
+    s, n = F.sort_array(x), F.size(x)
+    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+
+
+def mad(c: str, n: int) -> Column:
+    """Median absolute deviation from the median of the last n rows."""
+    x = F.collect_list(c).over(own(n - 1))
+    return _median(F.flatten(F.transform(F.array(_median(x)), lambda m: F.transform(x, lambda v: F.abs(v - m)))))
+
+
+def trailing_quantile(c: str, n: int, q: float) -> Column:
+    return F.expr(f"percentile({c}, {q}) over (partition by {NAME} order by {TIME} rows between {n - 1} preceding and current row)")
+
+
+def market_relative_vol(df: DataFrame, c: str, n: int) -> DataFrame:
+    """Realized volatility against its mean over the bar."""
+    return df.withColumn("vol", realized_vol(c, n)).withColumn("market_relative_vol", safe_div("vol", F.avg("vol").over(bar())))
+
+
 def realized_vol(c: str, n: int) -> Column:
     return F.stddev_samp(c).over(own(n - 1))
 
@@ -113,6 +145,41 @@ def rolling_corr(x: str, y: str, n: int) -> Column:
     return safe_div(F.covar_pop(a, b).over(w), F.when(s > 1e-18, s))
 
 
+def corr_change(df: DataFrame, x: str, y: str, n: int) -> DataFrame:
+    """Rolling correlation less its value n rows ago, and how much it varied over the last n rows."""
+    d = df.withColumn("corr", rolling_corr(x, y, n))
+    return d.withColumn("change", F.col("corr") - F.lag("corr", n).over(own())).withColumn("stability", F.stddev_samp("corr").over(own(n - 1)))
+
+
+def rolling_rank_corr(x: str, y: str, n: int) -> Column:
+    """Correlation of the ranks within the last n rows that have both values; ties share their mean rank."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    rows = F.collect_list(F.when(both, F.struct(F.col(x).alias("x"), F.col(y).alias("y")))).over(own(n - 1))
+
+    def centred(side: str) -> Column:
+        # values below less values above: twice the mean rank, less a constant
+        v = F.transform(rows, lambda r: r[side])
+        return F.transform(v, lambda a: F.aggregate(v, F.lit(0.0), lambda t, b: t + F.signum((a - b).cast("double"))))
+
+    def dot(a: Column, b: Column) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda t, v: t + v)
+
+    a, b = centred("x"), centred("y")
+    spread = F.sqrt(dot(a, a) * dot(b, b))
+    return safe_div(dot(a, b), F.when(spread > 0, spread))
+
+
+def amihud(n: int, c: str = "return", price: str = "close", volume: str = "volume", scale: float = 1e6) -> Column:
+    """Mean absolute return by traded value over the last n rows, for ``scale`` of value."""
+    return scale * F.avg(safe_div(F.abs(c), F.col(price) * F.col(volume))).over(own(n - 1))
+
+
+def flow_ratio(part: str, whole: str, n: int) -> Column:
+    """Share of one flow (such as taker volume) in another over the last n rows."""
+    w = own(n - 1)
+    return safe_div(F.sum(part).over(w), F.sum(whole).over(w))
+
+
 def volume_clock(df: DataFrame, c: str = "volume") -> DataFrame:
     """Running volume of the ticker, its velocity (this row) and acceleration."""
     total = F.sum(c).over(Window.partitionBy(NAME).orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0))
@@ -162,8 +229,8 @@ def premium(df: DataFrame, a: str, b: str, limit: float = 10.0) -> DataFrame:
     return d.withColumn("acceleration", F.col("change") - F.lag("change").over(own()))
 
 
-def walk_forward(df: DataFrame, y: str, x: str, block: Column) -> DataFrame:
-    """Prediction of y from x by a regression over all rows of earlier blocks.
+def walk_forward(df: DataFrame, y: str, x: str, block: Column, ridge: float = 0.0) -> DataFrame:
+    """Prediction of y from x by a regression over all rows of earlier blocks; ``ridge`` penalises the squared slope.
 
     Moments are summed per block; only block rows meet in the running window, then join back.
     """
@@ -174,7 +241,7 @@ def walk_forward(df: DataFrame, y: str, x: str, block: Column) -> DataFrame:
     blocks = d.select("block").distinct().join(m, "block", "left")
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     run = blocks.select("block", *(F.sum(c).over(before).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy")))
-    var = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
+    var = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx") + F.col("n") * F.lit(ridge)
     run = run.withColumn("slope", safe_div(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.when(var > 1e-18, var)))
     run = run.withColumn("icept", safe_div(F.col("sy") - F.col("slope") * F.col("sx"), "n"))
     return d.join(run.select("block", "slope", "icept"), "block").withColumn("predicted", F.col("icept") + F.col("slope") * F.col(x))
@@ -199,15 +266,3 @@ def asof_daily(hourly: DataFrame, daily: DataFrame, columns: list[str], days: in
     w = Window.partitionBy(NAME).orderBy(TIME, "_kind").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
     return rows.where("_kind = 1").drop("_kind")
-
-
-def score_of(c: str) -> Column:
-    return zscore(no_nan(c))
-
-
-def stability(c: Column, n: int) -> Column:
-    return F.stddev_samp(c).over(own(n - 1))
-
-
-def pair_corr(x: str, y: str) -> Column:
-    return safe_corr(x, y)

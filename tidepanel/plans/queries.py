@@ -24,6 +24,7 @@ from ..operators import splits as S
 from ..operators import stats as G
 from ..operators import transforms as T
 from ..sources import panel as A
+from ..streaming.scores import bar_scores
 from .panel_sql import BACKTEST, IC, PANEL_D, PANEL_H, SCORED, SIGNAL, STREAMS, average_rank, bucket, corr
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -478,6 +479,23 @@ rm AS (SELECT block, sum(n) OVER w AS n, sum(sx) OVER w AS sx, sum(sy) OVER w AS
 fit AS (SELECT block, n, sx, sy, (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) AS slope FROM rm),
 panel AS (SELECT p1.*, (sy - slope * sx) / n + slope * x AS walk_forward_ols FROM p1 JOIN fit USING (block))"""
 add("walk_forward_ols", on(d, lambda p: T.walk_forward(p.withColumn("x", F.lag("residual_return").over(own())), "residual_return", "x", F.year(TIME)).withColumnRenamed("predicted", "walk_forward_ols")), _K + "walk_forward_ols:d", _WF, "SELECT * FROM panel")
+add("walk_forward_ridge", on(d, lambda p: T.walk_forward(p.withColumn("x", F.lag("residual_return").over(own())), "residual_return", "x", F.year(TIME), 0.01).withColumnRenamed("predicted", "walk_forward_ridge")), _K + "walk_forward_ridge:d",
+    _WF.replace("n * sxx - sx * sx", "n * sxx - sx * sx + n * 0.01::DOUBLE").replace("walk_forward_ols", "walk_forward_ridge"), "SELECT * FROM panel")
+_EW = H.replace("panel AS (", "p0 AS (") + ",\np1 AS (SELECT *, " + ", ".join(f"lag(volume, {k}) OVER ({ON}) AS v{k}" for k in range(12)) + " FROM p0),\np2 AS (SELECT *, " + " + ".join(f"CASE WHEN v{k} IS NULL THEN 0 ELSE {0.8**k!r}::DOUBLE END" for k in range(12)) + " AS wt FROM p1),\npanel AS (SELECT *, (" + " + ".join(f"coalesce(v{k}, 0) * {0.8**k!r}::DOUBLE" for k in range(12)) + ") / wt AS m FROM p2)"
+tf("ewm_std", h, lambda p: T.ewm_std("volume", 0.2, 12), "sqrt((" + " + ".join(f"coalesce((v{k} - m) * (v{k} - m), 0) * {0.8**k!r}::DOUBLE" for k in range(12)) + ") / wt)", _EW)
+_LAST = lambda src, e, n: src.replace("panel AS (", "p0 AS (") + f",\npanel AS (SELECT *, list({e}) OVER {_TICK(n - 1)} AS r FROM p0)"
+tf("mad", d, lambda p: T.mad("volume", 20), "list_median(list_transform(r, lambda v: abs(v - list_median(r))))", _LAST(D, "volume", 20))
+tf("trailing_p99", d, lambda p: T.trailing_quantile("volume", 20, 0.99), f"quantile_cont(volume, 0.99) OVER {_TICK(19)}", D)
+tf("market_relative_vol", d, lambda p: T.market_relative_vol(p, "return", 20), "vol / nullif(avg(vol) OVER (PARTITION BY timestamp_agg), 0)", _STEP("vol", f'stddev_samp("return") OVER {_TICK(19)}'))
+_CC = _STEP("corr", "covar_pop({0}, {1}) OVER {2} / CASE WHEN stddev_pop({0}) OVER {2} * stddev_pop({1}) OVER {2} > 1e-18 THEN stddev_pop({0}) OVER {2} * stddev_pop({1}) OVER {2} END".format(*_RC))
+add("corr_change", on(d, lambda p: T.corr_change(p, "return", "volume", 20)), _K + "change:d stability:d", _CC, f"SELECT timestamp_agg, ticker, corr - lag(corr, 20) OVER ({ON}) AS change, stddev_samp(corr) OVER {_TICK(19)} AS stability FROM panel")
+_SIGN = lambda k: f"list_transform(r, lambda a: list_sum(list_transform(r, lambda b: sign(a.{k} - b.{k}))))"
+_RANKED = D.replace("panel AS (", "p0 AS (") + f""",
+p1 AS (SELECT *, list_filter(list(CASE WHEN "return" IS NOT NULL THEN {{'x': "return", 'y': volume}} END) OVER {_TICK(9)}, lambda v: v IS NOT NULL) AS r FROM p0),
+panel AS (SELECT *, {_SIGN('x')} AS a, {_SIGN('y')} AS b FROM p1)"""
+tf("rolling_rank_corr", d, lambda p: T.rolling_rank_corr("return", "volume", 10), "list_dot_product(a::DOUBLE[], b::DOUBLE[]) / nullif(sqrt(list_dot_product(a::DOUBLE[], a::DOUBLE[]) * list_dot_product(b::DOUBLE[], b::DOUBLE[])), 0)", _RANKED)
+tf("amihud", d, lambda p: T.amihud(20), f'1e6 * avg(abs("return") / nullif(close * volume, 0)) OVER {_TICK(19)}', D)
+tf("flow_ratio", d, lambda p: T.flow_ratio("n_obs", "volume", 20), f"sum(n_obs) OVER {_TICK(19)} / nullif(sum(volume) OVER {_TICK(19)}, 0)::DOUBLE", D)
 add("cluster_spread", on(d, lambda p: T.cluster_spread(p, "return")), _K + "cluster:l spread:d")
 
 
@@ -488,3 +506,13 @@ def _asof(spark: SparkSession, sf: str) -> DataFrame:
 
 
 add("asof_daily_to_hourly", _asof, _K + "close:d day_volume:d", H + ",\ndv AS (SELECT date_trunc('day', timestamp_agg) + INTERVAL 1 DAY AS t, ticker, sum(volume) AS day_volume FROM panel GROUP BY 1, 2)", "SELECT p.timestamp_agg, p.ticker, p.close, d.day_volume FROM panel p ASOF LEFT JOIN dv d ON p.ticker = d.ticker AND p.timestamp_agg >= d.t")
+
+
+def _stream_scores(spark: SparkSession, sf: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("ts").cast("timestamp").alias(TIME), F.col("event_type").alias(NAME), "value")
+    return bar_scores(events, "value")
+
+
+add("stream_bar_scores", _stream_scores, _K + "value:d score:d",
+    "e AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS timestamp_agg, event_type AS ticker, avg(value) AS value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2)",
+    "SELECT *, least(greatest((value - avg(value) OVER b) / greatest(coalesce(stddev_samp(value) OVER b, 0), 1e-8), -4), 4) AS score FROM e WINDOW b AS (PARTITION BY timestamp_agg)")
