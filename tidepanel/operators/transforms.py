@@ -158,15 +158,17 @@ def rolling_rank_corr(x: str, y: str, n: int) -> Column:
 
     def centred(side: str) -> Column:
         # values below less values above: twice the mean rank, less a constant
-        v = F.transform(rows, lambda r: r[side])
-        return F.transform(v, lambda a: F.aggregate(v, F.lit(0.0), lambda t, b: t + F.signum((a - b).cast("double"))))
+        return F.transform(rows, lambda a: F.aggregate(rows, F.lit(0.0), lambda t, b: t + F.signum((a[side] - b[side]).cast("double"))))
 
     def dot(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda t, v: t + v)
 
-    a, b = centred("x"), centred("y")
-    spread = F.sqrt(dot(a, a) * dot(b, b))
-    return safe_div(dot(a, b), F.when(spread > 0, spread))
+    def corr(s: Column) -> Column:
+        spread = F.sqrt(dot(s["a"], s["a"]) * dot(s["b"], s["b"]))
+        return safe_div(dot(s["a"], s["b"]), F.when(spread > 0, spread))
+
+    # an array of one, so that the ranks are computed once a row
+    return F.get(F.transform(F.array(F.struct(centred("x").alias("a"), centred("y").alias("b"))), corr), F.lit(0))
 
 
 def amihud(n: int, c: str = "return", price: str = "close", volume: str = "volume", scale: float = 1e6) -> Column:
