@@ -71,11 +71,35 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import report
+
+    return report(table(spark, sf_dir, "conversations"))
+
+
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align
+
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))[0]
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import decode, encode
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_license_scan, op3_simhash_components, op4_toxicity, op5_decontaminate, op6_line_dedup,
-        op7_repeated_passages, op8_embedding_components, op9_quality, op10_kneser_ney,
+        op7_repeated_passages, op8_embedding_components, op9_quality, op10_kneser_ney, op11_conversation_trie, op12_align_tokenizers, op13_bpe,
     )
 }
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -144,5 +168,28 @@ SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(low.c, vec_id) AS c
 FROM v LEFT JOIN low ON low.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
-#: Random choices (1), trained models (2, 4, 9, 10) and 64-bit hashes (3) are beyond SQL.
-SQL: dict[str, str] = {"op5_decontaminate": _DECONTAMINATE, "op6_line_dedup": _LINES, "op7_repeated_passages": _PASSAGES, "op8_embedding_components": _EMBEDDINGS}
+_CRC = """list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b:
+  list_reduce(list_prepend(xor(c, b), [1::BIGINT, 1, 1, 1, 1, 1, 1, 1]), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"""
+
+_TRIE = rf"""
+WITH own AS (SELECT conv_id, list({{'r': r, 't': t}} ORDER BY turn NULLS FIRST, sha256(r || chr(10) || t)) AS s
+             FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+h AS (SELECT conv_id, s, xor({_CRC}, 4294967295) % 4 AS h FROM own),
+re AS (SELECT h.conv_id, list_concat(list_slice(coalesce(b.s, []), 1, h), list_slice(h.s, h + 1, len(h.s))) AS s
+       FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20),
+m AS (SELECT conv_id, d, list_slice(s, 1, d) AS p, len(s) = d AS ended, CASE WHEN d > 0 THEN s[d].t ELSE '' END AS t
+      FROM (SELECT conv_id, s, unnest(generate_series(0, len(s))) AS d FROM re)),
+n AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * len(regexp_extract_all(any_value(t), '[^ 	-
+]+')) AS own_saved,
+             coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '') AS ends FROM m GROUP BY p, d),
+kids AS (SELECT list_slice(p, 1, d - 1) AS p, d - 1 AS d, count(*) AS k FROM n WHERE d > 0 GROUP BY ALL),
+up AS (SELECT list_slice(n.p, 1, a) AS p, a AS d, count(*) FILTER (kids.k IS NULL) AS leaves, sum(own_saved) AS saved
+       FROM (SELECT *, unnest(generate_series(0, d)) AS a FROM n) n LEFT JOIN kids ON kids.p = n.p AND kids.d = n.d GROUP BY ALL)
+SELECT n.conv_id, n.d::BIGINT AS depth, par.conv_id AS parent_conv_id, n.n::BIGINT AS n_convs, coalesce(kids.k, 0)::BIGINT AS n_children,
+       up.leaves::BIGINT AS n_leaves, up.saved::BIGINT AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN up ON up.p = n.p AND up.d = n.d LEFT JOIN kids ON kids.p = n.p AND kids.d = n.d
+LEFT JOIN n par ON n.d > 0 AND par.p = list_slice(n.p, 1, n.d - 1) AND par.d = n.d - 1
+"""
+
+#: Random choices (1), trained models (2, 4, 9, 10), 64-bit hashes (3) and tokenizers (12, 13) are beyond SQL.
+SQL: dict[str, str] = {"op5_decontaminate": _DECONTAMINATE, "op6_line_dedup": _LINES, "op7_repeated_passages": _PASSAGES, "op8_embedding_components": _EMBEDDINGS, "op11_conversation_trie": _TRIE}
