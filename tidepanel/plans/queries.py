@@ -19,6 +19,8 @@ from ..functions.columns import (
 from ..operators import backtest as B
 from ..operators import features as X
 from ..operators import portfolio as P
+from ..operators import regression as L
+from ..operators import scan as E
 from ..operators import scoring as M
 from ..operators import splits as S
 from ..operators import stats as G
@@ -516,3 +518,60 @@ def _stream_scores(spark: SparkSession, sf: str) -> DataFrame:
 add("stream_bar_scores", _stream_scores, _K + "value:d score:d",
     "e AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS timestamp_agg, event_type AS ticker, avg(value) AS value FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2)",
     "SELECT *, least(greatest((value - avg(value) OVER b) / greatest(coalesce(stddev_samp(value) OVER b, 0), 1e-8), -4), 4) AS score FROM e WINDOW b AS (PARTITION BY timestamp_agg)")
+
+
+# regressions on several columns, exact recursions
+def _two_sql(v: str) -> str:
+    """Coefficients b1, b2 of y on x and z from co-moments; a column without variation of its own gets 0."""
+    rest = f"({v}.vzz - CASE WHEN {v}.vxx > 1e-18 THEN {v}.vxz * {v}.vxz / {v}.vxx ELSE 0 END)"
+    top = f"({v}.czy - CASE WHEN {v}.vxx > 1e-18 THEN {v}.vxz * {v}.cxy / {v}.vxx ELSE 0 END)"
+    b2 = f"CASE WHEN {rest} > 1e-18 AND {rest} > 1e-9 * {v}.vzz THEN {top} / {rest} ELSE 0 END"
+    return f"CASE WHEN {v}.vxx > 1e-18 THEN ({v}.cxy - {v}.vxz * ({b2})) / {v}.vxx ELSE 0 END AS b1, {b2} AS b2"
+
+
+_MOMENTS2 = "count(*) AS n, avg(y) AS my, avg(x) AS mx, avg(z) AS mz, var_pop(x) * count(*) AS vxx, var_pop(z) * count(*) AS vzz, covar_pop(x, z) * count(*) AS vxz, covar_pop(x, y) * count(*) AS cxy, covar_pop(z, y) * count(*) AS czy"
+_RES2 = D.replace("panel AS (", "p0 AS (") + f""",
+p1 AS (SELECT *, "return" AS y, volume AS x, ln(close) AS z FROM p0),
+mo AS (SELECT timestamp_agg, {_MOMENTS2} FROM p1 WHERE y IS NOT NULL AND x IS NOT NULL AND z IS NOT NULL GROUP BY 1),
+fit AS (SELECT *, {_two_sql('mo')} FROM mo),
+panel AS (SELECT p1.timestamp_agg, ticker, y - my - b1 * (x - mx) - b2 * (z - mz) AS residualize_two FROM p1 LEFT JOIN fit USING (timestamp_agg))"""
+add("residualize_two", on(d, lambda p: L.residualize(p.withColumn("z", F.log("close")), "return", ["volume", "z"], name="residualize_two")), _K + "residualize_two:d", _RES2, "SELECT * FROM panel")
+_WF2 = D.replace("panel AS (", "p0 AS (") + f""",
+p1 AS (SELECT *, residual_return AS y, lag(residual_return) OVER ({ON}) AS x, lag(volume) OVER ({ON}) AS z, year(timestamp_agg) AS block FROM p0),
+mo AS (SELECT b.block, {_MOMENTS2} FROM (SELECT DISTINCT block FROM p1) b JOIN p1 ON p1.block < b.block WHERE y IS NOT NULL AND x IS NOT NULL AND z IS NOT NULL GROUP BY 1),
+fit AS (SELECT *, {_two_sql('mo')} FROM mo),
+panel AS (SELECT p1.timestamp_agg, ticker, my + b1 * (x - mx) + b2 * (z - mz) AS walk_forward_two FROM p1 LEFT JOIN fit USING (block))"""
+add("walk_forward_two", on(d, lambda p: L.walk_forward(p.withColumn("x", F.lag("residual_return").over(own())).withColumn("z", F.lag("volume").over(own())), "residual_return", ["x", "z"], F.year(TIME), name="walk_forward_two")), _K + "walk_forward_two:d", _WF2, "SELECT * FROM panel")
+_AGED = H.replace("panel AS (", "p0 AS (") + f""",
+p1 AS (SELECT *, volume - first_value(volume) OVER ({ON}) AS x, row_number() OVER ({ON}) AS k FROM p0),
+p2 AS (SELECT *, sum(pow(0.94, -k)) OVER w AS sw, sum(pow(0.94, -2 * k)) OVER w AS s2, sum(x * pow(0.94, -k)) OVER w AS sx, sum(x * x * pow(0.94, -k)) OVER w AS sxx FROM p1 WINDOW w AS ({ON} ROWS UNBOUNDED PRECEDING)),
+panel AS (SELECT *, sx / sw AS m, greatest(sxx / sw - (sx / sw) * (sx / sw), 0) AS v, sw * sw - s2 AS rest FROM p2)"""
+add("ewm_exact", on(h, lambda p: E.ewm(p, "volume", 0.06, seconds=2 * E.DAY)), _K + "ewm_mean:d ewm_std:d", _AGED,
+    f"SELECT timestamp_agg, ticker, m + first_value(volume) OVER ({ON}) AS ewm_mean, CASE WHEN rest > 1e-15 * sw * sw THEN sqrt(v * sw * sw / rest) END AS ewm_std FROM panel")
+
+
+def _ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily high, low and close of suppliers' prices."""
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    rows = A.table(spark, sf, "lineitem").groupBy(F.date_trunc("day", F.col("l_shipdate").cast("timestamp")).alias(TIME), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias(NAME))
+    return rows.agg(F.max(price).cast("double").alias("high"), F.min(price).cast("double").alias("low"), (F.sum("l_extendedprice") / F.sum("l_quantity")).cast("double").alias("close"))
+
+
+_ADX = f"""base AS (SELECT date_trunc('day', l_shipdate)::TIMESTAMP AS timestamp_agg, 'S' || l_suppkey::VARCHAR AS ticker, max(l_extendedprice / l_quantity)::DOUBLE AS high,
+    min(l_extendedprice / l_quantity)::DOUBLE AS low, (sum(l_extendedprice) / sum(l_quantity))::DOUBLE AS close FROM lineitem GROUP BY 1, 2),
+mv AS (SELECT *, high - lag(high) OVER o AS up, lag(low) OVER o - low AS down, lag(close) OVER o AS c0, row_number() OVER o AS k FROM base WINDOW o AS ({ON})),
+st AS (SELECT *, CASE WHEN up > down AND up > 0 THEN up ELSE 0 END AS p, CASE WHEN down > up AND down > 0 THEN down ELSE 0 END AS m, greatest(high - low, abs(high - c0), abs(low - c0)) AS r FROM mv WHERE k > 1),
+sm(ticker, k, p, m, r, adx) AS (
+  SELECT ticker, k, p::DOUBLE, m::DOUBLE, r::DOUBLE, CASE WHEN r <> 0 THEN coalesce(100 * abs(p - m) / nullif(p + m, 0), 0) END FROM st WHERE k = 2
+  UNION ALL
+  SELECT ticker, k, p, m, r, CASE WHEN dx IS NULL THEN adx WHEN adx IS NULL THEN dx ELSE adx + (dx - adx) / 14 END FROM (
+    SELECT *, CASE WHEN r <> 0 THEN coalesce(100 * abs(p - m) / nullif(p + m, 0), 0) END AS dx FROM (
+      SELECT st.ticker, st.k, sm.p + (st.p - sm.p) / 14 AS p, sm.m + (st.m - sm.m) / 14 AS m, sm.r + (st.r - sm.r) / 14 AS r, sm.adx FROM sm JOIN st ON st.ticker = sm.ticker AND st.k = sm.k + 1))),
+panel AS (SELECT b.timestamp_agg, b.ticker, 100 * p / nullif(r, 0) AS plus_di, 100 * m / nullif(r, 0) AS minus_di, CASE WHEN r <> 0 THEN adx END AS adx FROM mv b LEFT JOIN sm USING (ticker, k))"""
+add("adx_regime", lambda spark, sf: E.hysteresis(E.adx(_ranges(spark, sf), "high", "low", "close", 14, 180 * E.DAY), "adx", 25.0, 18.0), _K + "plus_di:d minus_di:d adx:d regime:l",
+    _ADX.replace("base AS", "RECURSIVE base AS", 1), f"SELECT *, coalesce(last_value(CASE WHEN adx >= 25 THEN 1 WHEN adx <= 18 THEN 0 END IGNORE NULLS) OVER ({ON} ROWS UNBOUNDED PRECEDING), 0) AS regime FROM panel")
+_AC = _STEP("before", f'lag("return") OVER ({ON})').replace("panel AS (SELECT *", "p1 AS (SELECT *") + f""",
+panel AS (SELECT timestamp_agg, ticker, covar_pop(a, b) OVER w / CASE WHEN stddev_pop(a) OVER w * stddev_pop(b) OVER w > 1e-18 THEN stddev_pop(a) OVER w * stddev_pop(b) OVER w END AS autocorr
+  FROM (SELECT *, CASE WHEN before IS NOT NULL THEN "return" END AS a, CASE WHEN "return" IS NOT NULL THEN before END AS b FROM p1) WINDOW w AS ({ON} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
+add("autocorr_regime", on(d, lambda p: E.hysteresis(p.withColumn("before", F.lag("return").over(own())).withColumn("autocorr", T.rolling_corr("return", "before", 20)), "autocorr", 0.2, -0.2)), _K + "autocorr:d regime:l", _AC,
+    f"SELECT *, coalesce(last_value(CASE WHEN autocorr >= 0.2 THEN 1 WHEN autocorr <= -0.2 THEN 0 END IGNORE NULLS) OVER ({ON} ROWS UNBOUNDED PRECEDING), 0) AS regime FROM panel")
