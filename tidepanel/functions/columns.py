@@ -50,10 +50,10 @@ def no_nan(c: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
-def zscore(c: Column | str, dialect: str = "engine") -> Column:
+def zscore(c: Column | str, dialect: str = "engine", by: tuple[str, ...] = ()) -> Column:
     """Cross-sectional score within +-4; the engine dialect reads missing as 0, the evaluator keeps nulls."""
-    c = col(c)
-    z = (c - F.avg(c).over(bar())) / F.greatest(F.stddev_samp(c).over(bar()), F.lit(EPS))
+    c, w = col(c), Window.partitionBy(*by, TIME)
+    z = (c - F.avg(c).over(w)) / F.greatest(F.stddev_samp(c).over(w), F.lit(EPS))
     z = F.when(F.isnan(z), F.lit(0.0)).otherwise(clip(z, -4.0, 4.0))
     return F.coalesce(z, F.lit(0.0)) if dialect == "engine" else z
 

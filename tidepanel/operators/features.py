@@ -53,8 +53,8 @@ def period(signal: DataFrame, features: DataFrame, prediction: bool = True, dial
     return signal.join(keys, KEYS)
 
 
-def normalised(signal: DataFrame, dialect: str = "engine") -> DataFrame:
-    return signal.withColumn("signal", zscore("signal", dialect))
+def normalised(signal: DataFrame, dialect: str = "engine", by: tuple[str, ...] = ()) -> DataFrame:
+    return signal.withColumn("signal", zscore("signal", dialect, by))
 
 
 def gate_bars(hidden: DataFrame, days: int = 1) -> list:

@@ -22,21 +22,24 @@ def aligned(right: DataFrame, left: DataFrame) -> DataFrame:
     return right.withColumns({c: F.col(c).cast(t) for c, t in want.items()}) if want else right
 
 
-def scored(signal: DataFrame, panel: DataFrame | None = None, target: str = "residual_return") -> DataFrame:
-    """signal, ret, ret_next: what most statistics read. A panel that has the signal as a column needs no join."""
+def scored(signal: DataFrame, panel: DataFrame | None = None, target: str = "residual_return", by: tuple[str, ...] = ()) -> DataFrame:
+    """signal, ret, ret_next: what most statistics read. A panel that has the signal as a column needs no join.
+
+    Several candidates, told apart by the signal's ``by`` columns, share the panel's scan.
+    """
     if panel is None:
         return with_next(signal, target, "signal")
-    return aligned(signal, panel).select(*KEYS, "signal").join(with_next(panel, target), KEYS)
+    return aligned(signal, panel).select(*by, *KEYS, "signal").join(with_next(panel, target), KEYS)
 
 
-def ic_per_bar(rows: DataFrame) -> DataFrame:
+def ic_per_bar(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     ok = is_finite("signal") & is_finite("ret_next")
-    return rows.where(ok).groupBy(TIME).agg(F.avg(F.col("signal") * F.col("ret_next")).alias("ic"), F.count(F.lit(1)).alias("n"))
+    return rows.where(ok).groupBy(*by, TIME).agg(F.avg(F.col("signal") * F.col("ret_next")).alias("ic"), F.count(F.lit(1)).alias("n"))
 
 
-def ic_summary(ic: DataFrame, checker: bool = False) -> DataFrame:
+def ic_summary(ic: DataFrame, checker: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     std = F.stddev_samp("ic") if checker else F.stddev_pop("ic")
-    return ic.agg(F.avg("ic").alias("mean_ic"), std.alias("ic_std"), F.avg((F.col("ic") > 0).cast("double")).alias("ic_positive"), F.count(F.lit(1)).alias("n_timestamps"))
+    return ic.groupBy(*by).agg(F.avg("ic").alias("mean_ic"), std.alias("ic_std"), F.avg((F.col("ic") > 0).cast("double")).alias("ic_positive"), F.count(F.lit(1)).alias("n_timestamps"))
 
 
 def ic_tstat(ic: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from ..operators import features as X
 from ..operators import portfolio as P
 from ..operators import regression as L
 from ..operators import scan as E
+from ..operators import snapshots as C
 from ..operators import scoring as M
 from ..operators import splits as S
 from ..operators import stats as G
@@ -575,3 +576,45 @@ panel AS (SELECT timestamp_agg, ticker, covar_pop(a, b) OVER w / CASE WHEN stdde
   FROM (SELECT *, CASE WHEN before IS NOT NULL THEN "return" END AS a, CASE WHEN "return" IS NOT NULL THEN before END AS b FROM p1) WINDOW w AS ({ON} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
 add("autocorr_regime", on(d, lambda p: E.hysteresis(p.withColumn("before", F.lag("return").over(own())).withColumn("autocorr", T.rolling_corr("return", "before", 20)), "autocorr", 0.2, -0.2)), _K + "autocorr:d regime:l", _AC,
     f"SELECT *, coalesce(last_value(CASE WHEN autocorr >= 0.2 THEN 1 WHEN autocorr <= -0.2 THEN 0 END IGNORE NULLS) OVER ({ON} ROWS UNBOUNDED PRECEDING), 0) AS regime FROM panel")
+
+
+# candidates as an axis: three of them over one read of the panel
+_CHECKS = {1: lambda v: -F.col("residual_return_lag1"), 2: lambda v: F.col("residual_return_lag2"), 3: lambda v: v.select(*KEYS, (-F.log("volume")).alias("signal"))}
+_REPLAY = D + f""",
+lagged AS (SELECT *, lag(residual_return) OVER ({ON}) AS l1, lag(residual_return, 2) OVER ({ON}) AS l2 FROM panel),
+hid AS (SELECT *, lead(residual_return) OVER ({ON}) AS ret_next FROM lagged WHERE timestamp_agg >= '2000-01-01'),
+cand AS (SELECT 1 AS check_num, timestamp_agg, ticker, -l1 AS signal FROM hid UNION ALL SELECT 2, timestamp_agg, ticker, l2 FROM hid UNION ALL SELECT 3, timestamp_agg, ticker, -ln(volume) FROM hid),
+sg AS (SELECT check_num, timestamp_agg, ticker, least(greatest(coalesce((signal - avg(signal) OVER b) / greatest(coalesce(stddev_samp(signal) OVER b, 0), 1e-8), 0), -4), 4) AS signal
+       FROM cand WINDOW b AS (PARTITION BY check_num, timestamp_agg)),
+ic AS (SELECT check_num, avg(ic) AS mean_ic FROM (SELECT check_num, timestamp_agg, avg(signal * ret_next) AS ic FROM sg JOIN hid USING (timestamp_agg, ticker) WHERE ret_next IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+cell AS (SELECT check_num, timestamp_agg, ticker, signal, residual_return AS r FROM sg JOIN hid USING (timestamp_agg, ticker) WHERE residual_return IS NOT NULL),
+g AS (SELECT *, signal * CASE WHEN sum(abs(signal)) OVER b > 2 THEN 2 / sum(abs(signal)) OVER b ELSE 1 END AS w FROM cell WINDOW b AS (PARTITION BY check_num, timestamp_agg)),
+grid AS (SELECT c.check_num, t.timestamp_agg, k.ticker, coalesce(g.w, 0) AS w, coalesce(g.r, 0) AS r FROM (SELECT DISTINCT check_num FROM g) c
+         CROSS JOIN (SELECT DISTINCT timestamp_agg FROM g) t CROSS JOIN (SELECT DISTINCT ticker FROM g) k LEFT JOIN g USING (check_num, timestamp_agg, ticker)),
+held AS (SELECT *, lag(w, 1, 0) OVER (PARTITION BY check_num, ticker ORDER BY timestamp_agg) AS w0 FROM grid),
+bars AS (SELECT check_num, timestamp_agg, sum(w0 * r) AS ret FROM held GROUP BY 1, 2),
+eq AS (SELECT *, 1 + sum(ret) OVER (PARTITION BY check_num ORDER BY timestamp_agg ROWS UNBOUNDED PRECEDING) AS e FROM bars),
+dd AS (SELECT check_num, min(e / p - 1) AS low FROM (SELECT *, greatest(max(e) OVER (PARTITION BY check_num ORDER BY timestamp_agg ROWS UNBOUNDED PRECEDING), 1e-8) AS p FROM eq) GROUP BY 1),
+day AS (SELECT check_num, timestamp_agg::DATE AS date, sum(ret) AS daily_ret FROM bars GROUP BY 1, 2),
+sh AS (SELECT check_num, avg(daily_ret) * sqrt(365) / stddev_samp(daily_ret) AS sharpe FROM day GROUP BY 1)"""
+
+
+def _split(panel: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return panel.where(F.col(TIME) < CUT_D), panel.where(F.col(TIME) >= CUT_D)
+
+
+add("replay_checks", on(d, lambda p: C.replay(*_split(p), _CHECKS)[0]), "check_num:l status:s signal_rows:l mean_ic:d hidden_oos_sharpe:d hidden_oos_max_drawdown:d", _REPLAY,
+    "SELECT check_num, 'completed' AS status, n AS signal_rows, mean_ic, sharpe AS hidden_oos_sharpe, low AS hidden_oos_max_drawdown FROM (SELECT check_num, count(*) AS n FROM cand GROUP BY 1) JOIN ic USING (check_num) JOIN sh USING (check_num) JOIN dd USING (check_num)")
+add("replay_daily_pnl", on(d, lambda p: C.replay(*_split(p), _CHECKS)[1]), "check_num:l date:a daily_ret:d", _REPLAY, "SELECT * FROM day")
+
+
+def _repeated(panel: DataFrame) -> DataFrame:
+    """The candidate's rows, and those of every third bar again with another signal, seen later."""
+    rows = raw(panel).withColumn("seen", F.lit(1))
+    return rows.unionByName(rows.where(F.dayofyear(TIME) % 3 == 0).withColumn("signal", F.lit(1.0)).withColumn("seen", F.lit(2)))
+
+
+add("backtest_repeated_keys", on(d, lambda p: B.backtest_bars(_repeated(p), order="seen")), "timestamp_agg:t gross_returns:d turnover:d gross_leverage:d equity_curve:d", _with(
+    PANEL_D, f"""twice AS (SELECT timestamp_agg, ticker, -lag(residual_return) OVER ({ON}) AS signal, residual_return, 1 AS seen FROM panel
+  UNION ALL SELECT timestamp_agg, ticker, 1.0, residual_return, 2 FROM panel WHERE dayofyear(timestamp_agg) % 3 = 0)""",
+    "sig AS (SELECT timestamp_agg, ticker, signal FROM twice QUALIFY row_number() OVER (PARTITION BY timestamp_agg, ticker ORDER BY seen) = 1 AND signal IS NOT NULL)", BACKTEST), "SELECT * FROM bt")
