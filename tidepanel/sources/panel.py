@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import math
 import tomllib
-from fnmatch import fnmatch
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -14,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import NAME, TIME, bar, own
+from .bundle import hashes
 
 ALIASES = ("timestamp", "timestamp_agg", "date", "datetime")
 
@@ -110,18 +109,8 @@ def write_json(path: str, value: dict) -> None:
 
 
 def checksums(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """name (path below the folder), size and SHA-256 of each file below a folder; every executor hashes its own files."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    store = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    root = store.makeQualified(at).toString().rstrip("/")
-    listed, empty = store.listFiles(at, True), []  # Spark's reader passes over files without bytes
-    while listed.hasNext():
-        f = listed.next()
-        if not f.getLen() and fnmatch(f.getPath().getName(), glob):
-            empty.append((f.getPath().toString()[len(root) + 1 :], 0, hashlib.sha256().hexdigest()))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
-    found = files.select(F.expr(f"substring(path, {len(root) + 2})").alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-    return found.unionByName(spark.createDataFrame(empty, "name string, size long, sha256 string"))
+    """name (path below the folder), size and SHA-256 of each file below a folder; tasks hash files in blocks."""
+    return hashes(spark, folder, glob)
 
 
 def compare_checksums(there: DataFrame, expected: DataFrame) -> DataFrame:
