@@ -126,7 +126,7 @@ def test_optional_and_task_names(spark, tmp_path):
     assert panel.read_optional(spark, f"file://{tmp_path}/some", "id long").count() == 3
     (tmp_path / "signal-b").mkdir()
     (tmp_path / "signal-a").mkdir()
-    assert panel.tasks(str(tmp_path), "all") == panel.tasks(str(tmp_path)) and panel.tasks(str(tmp_path), "y, x") == ["x", "y"]
+    assert panel.tasks(spark, str(tmp_path), "all") == panel.tasks(spark, str(tmp_path)) and panel.tasks(spark, str(tmp_path), "y, x") == ["x", "y"]
 
 
 def test_backtest_guards_and_row_index(spark):

@@ -97,11 +97,11 @@ def test_parts_are_written_by_one_job(spark, tmp_path):
     df = spark.createDataFrame([(START + timedelta(days=k), k) for k in range(10)], "timestamp_agg timestamp, x int")
     side = F.when(F.col("x") < 3, "a").when(F.col("x") < 9, "b")
     targets = {"a": str(tmp_path / "one/a.parquet"), "b": str(tmp_path / "two/b.parquet")}
-    got = store.write_parts(df, side, targets, "timestamp_agg")
+    got = store.write_parts(df.withColumn("_part", side), targets, "timestamp_agg")
     assert got == {"a": {"rows": 3, "start": START, "end": START + timedelta(days=2)}, "b": {"rows": 6, "start": START + timedelta(days=3), "end": START + timedelta(days=8)}}
     assert spark.read.parquet(targets["a"]).columns == df.columns and sorted(r["x"] for r in spark.read.parquet(targets["b"]).collect()) == list(range(3, 9))
     with pytest.raises(ValueError, match="no rows for b"):
-        store.write_parts(df.where("x < 2"), side, targets)
+        store.write_parts(df.where("x < 2").withColumn("_part", side), targets)
     assert spark.read.parquet(targets["a"]).count() == 3  # as before
 
 

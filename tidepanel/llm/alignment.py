@@ -1,6 +1,6 @@
 """Alignment of two tokenizers over the same texts (operator 12).
 
-Python tokenises and gives ids and byte end offsets; from there on everything is Spark's array functions. The offsets
+Python tokenises and gives ids, byte end offsets and lengths; from there on everything is Spark's array functions. The offsets
 where tokens of both sides end (``array_intersect`` of the end arrays) cut the tokens into groups. A token number per
 byte (``array_repeat`` and ``flatten``) makes every look-up a plain index, so groups and links (pairs of overlapping
 tokens) are built by ``transform`` over ``sequence`` in time linear in
@@ -14,7 +14,9 @@ pairs is hot. Tokens are not stored: the one table written holds ids of links an
 from __future__ import annotations
 
 import json
+import re
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -27,11 +29,13 @@ from .common import shared_dir
 
 #: Most pairs that are broadcast (about 16 MB).
 FREQUENT = 1 << 18
-#: Texts that are tokenised at once, by number and by characters.
-TEXTS, CHARS = 256, 1 << 20
+#: Texts that are given back at once, by number and by characters; runs that a worker remembers, and their length.
+TEXTS, CHARS, CACHE, SHORT = 256, 1 << 20, 100_000, 48
+#: White space beside a space: there a text is not cut.
+_EDGES = re.compile(r"[^\S ] | [^\S ]")
 #: Fixed value: how byte-level vocabularies cut a text before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-TOKENS = "rid long, doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
+TOKENS = "rid long, doc_id long, " + ", ".join(f"{x}_{c} array<int>" for x in "ab" for c in ("ids", "ends", "lens"))
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -41,61 +45,88 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-@lru_cache(2)
-def _byte_side(source: bytes) -> tuple[Callable, list[bytes]]:
-    """Merge ranks of a byte-level vocabulary are its ids in order; ``tiktoken`` then gives the same ids and is faster."""
-    import tiktoken
+class Pair:
+    """Both tokenizers of a text at once, with ids packed as 32-bit integers.
 
-    spec = json.loads(source)
-    vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
-    pairs = [x.split(" ") if isinstance(x, str) else x for x in spec["model"]["merges"]]
-    merged = [vocab[a + b] for a, b in pairs]
-    if spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or spec["normalizer"] or merged != sorted(set(merged)):
-        raise ValueError("not a plain byte-level vocabulary whose ids follow its merges")
-    ranks = {bytes(alphabet[c] for c in piece): i for piece, i in vocab.items()}
-    tok = tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    table = [b""] * (max(ranks.values()) + 1)
-    for piece, i in ranks.items():
-        table[i] = piece
-    return lambda texts: [tok.encode_ordinary(" " + t) for t in texts], table
-
-
-@lru_cache(2)
-def _piece_side(source: bytes) -> tuple[Callable, list[bytes]]:
-    import sentencepiece
-
-    tok = sentencepiece.SentencePieceProcessor(model_proto=source)
-    table = [bytes([int(tok.id_to_piece(i)[3:5], 16)]) if tok.is_byte(i) else tok.id_to_piece(i).replace("▁", " ").encode() for i in range(tok.get_piece_size())]
-    return lambda texts: tok.encode(texts, num_threads=1), table
-
-
-class _Side:
-    """Ids and end offsets of a block of texts, as Arrow lists."""
+    No token of either side holds a space after another character (both files are checked for it), so a text falls
+    apart at each single space between two characters that are no white space, and most of its runs are known already:
+    a worker remembers those of late, at least ``CACHE``.
+    """
 
-    def __init__(self, call: Callable, table: list[bytes]):
-        self.call, self.table = call, table
-        self.length = np.array(list(map(len, table)), np.int32)
+    def __init__(self, byte_source: bytes, piece_source: bytes):
+        import sentencepiece
+        import tiktoken
+
+        spec, alphabet = json.loads(byte_source), byte_alphabet()
+        vocab = spec["model"]["vocab"]
+        merged = [vocab["".join(x.split(" ") if isinstance(x, str) else x)] for x in spec["model"]["merges"]]
+        # ids in the order of merges are ranks, which tiktoken reads; its ids are then the same
+        plain = spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} and not spec["normalizer"]
+        if not plain or merged != sorted(set(merged)) or not set(alphabet) <= set(vocab):
+            raise ValueError("not a plain byte-level vocabulary whose ids follow its merges")
+        ranks = {bytes(alphabet[c] for c in piece): i for piece, i in vocab.items()}
+        self.a = tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_source)
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.b_table = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        a_table = [b""] * (max(ranks.values()) + 1)
+        for piece, i in ranks.items():
+            a_table[i] = piece
+        self.a_bytes = list(map(len, a_table))
+        self.a_length, self.b_length = (np.array(list(map(len, t)), np.int32) for t in (a_table, self.b_table))
+        apart = not any("▁" in p.lstrip("▁") for p in pieces) and self.b.encode("x") == self.b.encode("y x")[-len(self.b.encode("x")) :]
+        self.apart = apart
+        self.young: dict[str, tuple[bytes, bytes] | None] = {}
+        self.old: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Packed ids of each text of both sides; nothing where a side does not spell it back after a space."""
+        out = []
+        for t, b in zip(texts, self.b.encode(texts, num_threads=1), strict=True):
+            whole, a = (" " + t).encode(), self.a.encode_ordinary(" " + t)
+            # the byte-level side has all bytes, so its length tells
+            same = b"".join(map(self.b_table.__getitem__, b)) == whole and sum(map(self.a_bytes.__getitem__, a)) == len(whole)
+            out.append((array("i", a).tobytes(), array("i", b).tobytes()) if same else None)
+        return out
 
-    def read(self, texts: list[str]) -> list[np.ndarray | None]:
-        """Ids of each text, nothing where they do not spell it back after a space."""
+    def runs(self, text: str) -> list[str]:
+        cut = text.split(" ")
+        return cut if self.apart and "" not in cut and not _EDGES.search(text) else [text]
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of a block of texts; runs that are not known are encoded together."""
+        of = [self.runs(t) if t else [] for t in texts]
+        new = {r for runs in of for r in runs} - self.young.keys()
+        for r in new & self.old.keys():
+            self.young[r] = self.old[r]
+        new = list(new - self.old.keys())
+        self.young.update(zip(new, self.encode(new), strict=True))
         out = []
-        for t, ids in zip(texts, self.call(texts), strict=True):
-            same = bool(t) and b"".join(map(self.table.__getitem__, ids)) == (" " + t).encode()
-            out.append(np.array(ids, np.int32) if same else None)
+        for runs in of:
+            found = list(map(self.young.__getitem__, runs))
+            if not found or None in found:
+                out.append(None)
+                continue
+            a, b = zip(*found, strict=True)
+            out.append((np.frombuffer(b"".join(a), np.int32), np.frombuffer(b"".join(b), np.int32)))
+        for r in new:
+            if len(r) > SHORT:
+                del self.young[r]
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
         return out
 
-    def lists(self, found: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
-        at = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-        flat = np.concatenate([*found, np.zeros(0, np.int32)]).astype(np.int32)
-        ends = np.concatenate([*(np.cumsum(self.length[x]) for x in found), np.zeros(0, np.int32)]).astype(np.int32)
-        return pa.ListArray.from_arrays(at, flat), pa.ListArray.from_arrays(at, ends)
+
+@lru_cache(1)
+def _pair(byte_source: bytes, piece_source: bytes) -> Pair:
+    return Pair(byte_source, piece_source)
 
 
 def tokens(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
-    """(rid, doc_id, a_ids, a_ends, b_ids, b_ends), one row per row of ``docs`` (doc_id, text).
+    """(rid, doc_id, and of both sides ids, ends, lens), one row per row of ``docs`` (doc_id, text).
 
-    Null and empty texts, and texts that either side does not spell back byte for byte, have empty arrays. Texts of a
-    batch are tokenised in blocks bounded in number and characters; a text longer than that is a block of its own.
+    Null and empty texts, and texts that either side does not spell back byte for byte, have empty arrays. Texts are
+    given back in blocks bounded in number and characters; a text longer than that is a block of its own.
     Vocabulary files are read by the driver and broadcast (both are of fixed size).
     """
     sources = []
@@ -104,28 +135,36 @@ def tokens(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
             sources.append(f.read())
     held = docs.sparkSession.sparkContext.broadcast(sources)
     ints = pa.list_(pa.int32())
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("a_ids", ints), ("a_ends", ints), ("b_ids", ints), ("b_ends", ints)])
+    names = [x.split()[0] for x in TOKENS.split(", ")]
+    schema = pa.schema([(c, pa.int64() if c in ("rid", "doc_id") else ints) for c in names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _Side(*_byte_side(held.value[0])), _Side(*_piece_side(held.value[1]))
+    def lists(found: list[np.ndarray], length: np.ndarray) -> list[pa.Array]:
         none = np.zeros(0, np.int32)
+        at = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+        lens = [length[x] for x in found]
+        columns = (found, [np.cumsum(x, dtype=np.int32) for x in lens], lens)
+        return [pa.ListArray.from_arrays(at, np.concatenate([none, *c])).cast(ints) for c in columns]
 
-        def block(rid: list, doc: list, texts: list[str]) -> pa.RecordBatch:
-            both = [(x, y) if x is not None and y is not None else (none, none) for x, y in zip(a.read(texts), b.read(texts), strict=True)]
-            columns = [*a.lists([x for x, _ in both]), *b.lists([y for _, y in both])]
-            return pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(doc, pa.int64()), *(c.cast(ints) for c in columns)], schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = _pair(*held.value)
+        none = (np.zeros(0, np.int32),) * 2
+
+        def block(batch: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
+            found = [x or none for x in pair(texts)]
+            return pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), *lists([x for x, _ in found], pair.a_length), *lists([y for _, y in found], pair.b_length)], schema=schema)
 
         for batch in batches:
-            rid, doc, texts = (batch.column(c) for c in ("rid", "doc_id", "text"))
-            start, held_chars = 0, 0
-            for k in range(len(texts)):
-                n = len(texts[k].as_py() or "")
-                if k > start and (k - start >= TEXTS or held_chars + n > CHARS):
-                    yield block(rid[start:k].to_pylist(), doc[start:k].to_pylist(), [t or "" for t in texts[start:k].to_pylist()])
-                    start, held_chars = k, 0
-                held_chars += n
-            if len(texts) > start:
-                yield block(rid[start:].to_pylist(), doc[start:].to_pylist(), [t or "" for t in texts[start:].to_pylist()])
+            start, chars, texts = 0, 0, []
+            for k, t in enumerate(batch.column("text")):
+                t = t.as_py()
+                n = len(t or "")
+                if texts and (len(texts) >= TEXTS or chars + n > CHARS):
+                    yield block(batch.slice(start, k - start), texts)
+                    start, chars, texts = k, 0, []
+                texts.append(t)
+                chars += n
+            if texts:
+                yield block(batch.slice(start), texts)
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, TOKENS)
@@ -136,40 +175,40 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _token_at(ends: Column) -> Column:
+def _token_at(lens: str) -> Column:
     """Number of the token that covers each byte."""
-    return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, (e - F.coalesce(F.get(ends, i - 1), F.lit(0))).cast("int"))))
+    return F.flatten(F.transform(lens, lambda n, i: F.array_repeat(i, n)))
 
 
 def groups_and_links(rows: DataFrame) -> DataFrame:
     """Rows of ``tokens`` with ``groups`` (array of ``a1,a2|b1``) and links (``link_a``, ``link_b``, arrays of ids side by side)."""
 
-    def ids(name: str, at: Column, start: Column, end: Column) -> Column:
-        low, high = F.get(at, start), F.get(at, end - 1)
-        many = F.array_join(F.transform(F.sequence(low, high), lambda j: F.get(name, j).cast("string")), ",")
-        return F.when(low == high, F.get(name, low).cast("string")).otherwise(many)
+    def side(name: str, at: Column, cuts: Column) -> Column:
+        """Ids of each group, comma-joined. Nearly all groups have one token a side."""
 
-    def groups(at_a: Column, at_b: Column) -> Column:
-        def one(cuts: Column) -> Column:
-            def group(c: Column, k: Column) -> Column:
-                start = F.coalesce(F.get(cuts, k - 1), F.lit(0))
-                return F.concat(ids("a_ids", at_a, start, c), F.lit("|"), ids("b_ids", at_b, start, c))
+        def group(high: Column, k: Column, last: Column) -> Column:
+            low = F.coalesce(F.get(last, k - 1), F.lit(-1)) + 1
+            many = F.array_join(F.transform(F.sequence(low, high), lambda j: F.get(name, j).cast("string")), ",")
+            return F.when(low == high, F.get(name, high).cast("string")).otherwise(many)
 
-            return F.transform(cuts, group)
+        last_tokens = F.transform(cuts, lambda c: F.get(at, c - 1))
+        return _let(last_tokens, lambda last: F.transform(last, lambda high, k: group(high, k, last)))
 
-        return _let(F.array_intersect("a_ends", "b_ends"), one)
+    def groups(at_a: Column, at_b: Column) -> Column:
+        both = lambda cuts: F.zip_with(side("a_ids", at_a, cuts), side("b_ids", at_b, cuts), lambda a, b: F.concat(a, F.lit("|"), b))
+        return _let(F.array_intersect("a_ends", "b_ends"), both)
 
     def links(at_a: Column, at_b: Column) -> Column:
-        def side(name: str, at: Column, ends: Column) -> Column:
+        def ids(name: str, at: Column, ends: Column) -> Column:
             return F.transform(ends, lambda e: F.get(name, F.get(at, e - 1)))
 
         # between two ends that follow one another, of whichever side, exactly one pair of tokens overlaps
-        return _let(F.sort_array(F.array_union("a_ends", "b_ends")), lambda u: F.struct(side("a_ids", at_a, u).alias("a"), side("b_ids", at_b, u).alias("b")))
+        return _let(F.sort_array(F.array_union("a_ends", "b_ends")), lambda u: F.struct(ids("a_ids", at_a, u).alias("a"), ids("b_ids", at_b, u).alias("b")))
 
     def all_(at_a: Column) -> Column:
-        return _let(_token_at(F.col("b_ends")), lambda at_b: F.struct(groups(at_a, at_b).alias("groups"), links(at_a, at_b).alias("links")))
+        return _let(_token_at("b_lens"), lambda at_b: F.struct(groups(at_a, at_b).alias("groups"), links(at_a, at_b).alias("links")))
 
-    made = rows.withColumn("made", _let(_token_at(F.col("a_ends")), all_))
+    made = rows.withColumn("made", _let(_token_at("a_lens"), all_))
     return made.select(*rows.columns, "made.groups", F.col("made.links.a").alias("link_a"), F.col("made.links.b").alias("link_b"))
 
 

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import json
 import random
-import shutil
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timedelta
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import closed_range, stripe_ordinal
-from ..sources.panel import full_frame, read_task, timestamp_column, write_json
+from ..sources import store
+from ..sources.bundle import copy_tree
+from ..sources.panel import TEST, TRAIN, VAL, full_frame, plain, read_task, timestamp_column, write_json
 
 FAMILIES = ("fixed", "rolling", "random_block", "stripe")
 UNITS = ("month", "week", "day", "hour")
@@ -163,13 +163,35 @@ def cut_split(full: DataFrame, spec: SplitSpec) -> tuple[DataFrame, DataFrame]:
     return train, test
 
 
+def held_units(train: DataFrame, config: ValidationConfig) -> DataFrame:
+    """(unit, is_validation) of the units present: numbered in order, every so many held out."""
+    unit = stripe_ordinal(timestamp_column(train), config.stripe_unit)
+    held = F.pmod(F.row_number().over(Window.orderBy("unit")) - 1, F.lit(config.stripe_modulus)) == config.stripe_holdout
+    return train.select(unit.alias("unit")).distinct().withColumn("is_validation", held)
+
+
 def validation(train: DataFrame, config: ValidationConfig) -> DataFrame:
     """``train`` with is_validation: its present units are numbered and every so many held out."""
-    c = timestamp_column(train)
-    unit = stripe_ordinal(c, config.stripe_unit)
-    units = train.select(unit.alias("unit")).distinct()
-    held = F.pmod(F.row_number().over(Window.orderBy("unit")) - 1, F.lit(config.stripe_modulus)) == config.stripe_holdout
-    return train.withColumn("unit", unit).join(units.withColumn("is_validation", held), "unit").drop("unit")
+    unit = stripe_ordinal(timestamp_column(train), config.stripe_unit)
+    return train.withColumn("unit", unit).join(held_units(train, config), "unit").drop("unit")
+
+
+def validation_metadata(config: ValidationConfig, parts: dict[str, dict]) -> dict:
+    """The eleven keys that describe a validation split, from what its write observed."""
+    own = {"split": config.split, "stripe_unit": config.stripe_unit, "stripe_modulus": config.stripe_modulus, "stripe_holdout": config.stripe_holdout}
+    seen = {f"{side}_{k}": parts[side][k] for side in ("train", "val") for k in ("start", "end", "rows")}
+    return own | {"stripe_basis": "current_is_ordinal"} | seen
+
+
+def validation_report(train: DataFrame, config: ValidationConfig) -> DataFrame:
+    """One row: the metadata of a validation split without writing it."""
+    marked, c = validation(train, config), timestamp_column(train)
+    side = {"train": ~F.col("is_validation"), "val": F.col("is_validation")}
+    own = validation_metadata(config, {k: dict.fromkeys(("start", "end", "rows")) for k in side})
+    mine = lambda k, x: F.when(side[k], x)
+    seen = [x for k in side for x in (F.min(mine(k, F.col(c))).alias(f"{k}_start"), F.max(mine(k, F.col(c))).alias(f"{k}_end"), F.count(mine(k, F.lit(1))).alias(f"{k}_rows"))]
+    named = [f"{k}_{x}" for k in side for x in ("start", "end", "rows")]
+    return marked.agg(*seen).select(*(F.lit(own[k]).alias(k) for k in own if k not in named), *named)
 
 
 def manifest_rows(specs: list[SplitSpec]) -> list[dict]:
@@ -184,33 +206,103 @@ def manifest_rows(specs: list[SplitSpec]) -> list[dict]:
     return rows
 
 
-def write_manifest(spark: SparkSession, specs: list[SplitSpec], json_path: str, parquet_path: str | None = None) -> None:
-    rows = manifest_rows(specs)
-    write_json(json_path, {"splits": rows})
-    if parquet_path:
-        names = list(dict.fromkeys(k for r in rows for k in r)) or ["name", "family", "base_task", "seed"]
-        data = [tuple(None if r.get(n) is None else str(r[n]) for n in names) for r in rows]
-        spark.createDataFrame(data, ", ".join(f"`{n}` string" for n in names)).write.mode("overwrite").parquet(parquet_path)
+#: Columns of a manifest without any split.
+NO_SPLITS = ("base_task", "task_name", "split_id", "split_family")
 
 
-def materialise(spark: SparkSession, source: str, target: str, config: SplitConfig, held: ValidationConfig | None = None) -> list[SplitSpec]:
-    """Writes each planned split of a task folder: template files, train, test, optional validation, metadata."""
+def write_manifest(spark: SparkSession, rows: list[dict], json_path: str | None, parquet_path: str | None = None) -> None:
+    """Rows as JSON and as Parquet: one text column per key, nested values as JSON; without rows the four base columns."""
+    if json_path:
+        write_json(spark, json_path, rows)
+    if parquet_path:
+        names = list(dict.fromkeys(k for r in rows for k in r)) or list(NO_SPLITS)
+        text = lambda v: None if v is None else json.dumps(plain(v), sort_keys=True) if isinstance(v, (dict, list)) else str(plain(v))
+        data = [tuple(text(r.get(n)) for n in names) for r in rows]
+        store.write_frame(spark.createDataFrame(data, ", ".join(f"`{n}` string" for n in names)).coalesce(1), parquet_path)
+
+
+#: What a task's instruction says once it has a validation part.
+MARKER = "<!-- validation part -->"
+INSTRUCTION = f"""{MARKER}
+
+## Validation
+
+This task has a validation part besides its training data. Choose among candidates with the validation check, in which
+rows of the validation part are prediction rows and their current returns are hidden. Do not read its files, and do not
+train on its results; the final score comes from the test part.
+"""
+
+
+def add_instruction(spark: SparkSession, task: str, text: str = INSTRUCTION, marker: str = MARKER) -> bool:
+    """Adds a text to a task's instruction.md, once; tells whether it was added. A task without that file stays as it is."""
+    path = f"{task.rstrip('/')}/instruction.md"
+    if not store.exists(spark, path):
+        return False
+    old = store.read_text(spark, path)
+    if marker in old:
+        return False
+    store.write_text(spark, path, old.rstrip() + "\n\n" + text.lstrip())
+    return True
+
+
+#: Left out of a task's copy.
+_DATA = ("*__pycache__/*", "train.parquet", "train.parquet/*", "*/train.parquet/*", "test.parquet", "test.parquet/*", "*/test.parquet/*", "val.parquet", "val.parquet/*", "*/val.parquet/*")
+
+
+def _write_task(spark: SparkSession, source: str, home: str, rows: DataFrame, train: Column, test: Column, held: ValidationConfig | None) -> tuple[dict, dict | None]:
+    """Copies a task's files without data and writes its parts in one job; (observed parts, validation metadata)."""
+    part, c = {"train": train, "test": test}, timestamp_column(rows)
+    copy_tree(spark, source, home, _DATA)
+    targets = {"train": f"{home}/{TRAIN}", "test": f"{home}/{TEST}"}
+    kept = [x for x in rows.columns if x != "_test"]
+    if held and held.split != "none":
+        unit = stripe_ordinal(c, held.stripe_unit)
+        units = held_units(rows.where(train), held).select(F.col("unit").alias("_unit"), F.col("is_validation").alias("_held"))
+        rows = rows.join(units, unit == F.col("_unit"), "left")
+        part |= {"train": train & ~F.coalesce("_held", F.lit(False)), "val": train & F.coalesce("_held", F.lit(False))}
+        targets["val"] = f"{home}/{VAL}"
+    names = F.filter(F.array(*(F.when(m, F.lit(k)) for k, m in part.items())), lambda x: x.isNotNull())
+    parts = store.write_parts(rows.select(*kept, names.alias("_part")), targets, c)
+    if "val" not in parts:
+        return parts, None
+    add_instruction(spark, home)
+    return parts, validation_metadata(held, parts)
+
+
+def materialise(
+    spark: SparkSession, source: str, target: str, config: SplitConfig, held: ValidationConfig | None = None, manifest: str | None = None, manifest_parquet: str | None = None,
+) -> list[dict]:
+    """Writes each planned split of a task folder: its files, train, test, optional validation, split_metadata.json.
+
+    Each split is one job over the task's rows that writes all its parts and observes their rows and ranges. Gives back
+    the manifest rows and writes them where paths are given. A split without rows on a side is an error.
+    """
+    base = source.rstrip("/").rsplit("/", 1)[-1]
     train, test, _ = read_task(spark, source)
-    full = full_frame(train, test).persist()
-    specs = plan(Path(source).name, train, test, config)
-    for spec in specs:
-        home = Path(target) / f"{Path(source).name}--{spec.name}"
-        shutil.copytree(source, home, dirs_exist_ok=True, ignore=shutil.ignore_patterns("*.parquet"))
-        left, right = cut_split(full, spec)
-        counts = {"test_rows": right.count()}
-        if held and held.split != "none":
-            marked = validation(left, held)
-            value = marked.where("is_validation").drop("is_validation")
-            left = marked.where("not is_validation").drop("is_validation")
-            value.write.mode("overwrite").parquet(str(home / "environment/data/val.parquet"))
-            counts["val_rows"] = value.count()
-        left.write.mode("overwrite").parquet(str(home / "environment/data/train.parquet"))
-        right.write.mode("overwrite").parquet(str(home / "tests/test.parquet"))
-        write_json(str(home / "split_metadata.json"), manifest_rows([spec])[0] | counts | {"train_rows": left.count()})
-    full.unpersist()
-    return specs
+    full, out = full_frame(train, test), []
+    for spec in plan(base, train, test, config):
+        home = f"{target.rstrip('/')}/{base}--{spec.name}"
+        parts, checked = _write_task(spark, source, home, full, *masks(full, spec), held)
+        row = manifest_rows([spec])[0] | {f"{k}_rows": v["rows"] for k, v in parts.items()} | ({"details_validation": plain(checked)} if checked else {})
+        write_json(spark, f"{home}/split_metadata.json", row)
+        out.append(row)
+    write_manifest(spark, out, manifest, manifest_parquet)
+    return out
+
+
+def materialise_validation(
+    spark: SparkSession, sources: list[str], target: str, config: ValidationConfig, manifest: str | None = None, manifest_parquet: str | None = None,
+) -> list[dict]:
+    """Writes each task again with a validation part cut out of its training rows; its test rows stay as they are."""
+    out = []
+    for source in sources if config.split != "none" else []:
+        base = source.rstrip("/").rsplit("/", 1)[-1]
+        train, test, _ = read_task(spark, source)
+        rows = train.withColumn("_test", F.lit(False)).unionByName(test.withColumn("_test", F.lit(True)), allowMissingColumns=True)
+        home = f"{target.rstrip('/')}/{base}"
+        _, checked = _write_task(spark, source, home, rows, ~F.col("_test"), F.col("_test"), config)
+        row = dict(zip(NO_SPLITS, (base, base, "base", "base"), strict=True)) | {"validation": plain(checked)}
+        write_json(spark, f"{home}/split_metadata.json", row)
+        out.append(row)
+    write_manifest(spark, out, manifest, manifest_parquet)
+    return out

@@ -196,6 +196,26 @@ def stage(
     return manifest
 
 
+def copy_tree(spark: SparkSession, source: str, target: str, excluded: tuple[str, ...] = ()) -> int:
+    """Copies a folder without the excluded names or paths, in place of what is at the target; gives the number of files."""
+    base, draft = store.qualified(spark, source), f"{store.qualified(spark, target)}.{uuid.uuid4().hex}"
+    names = [(n,) for n, _ in store.files(spark, source) if not any(fnmatch(n, p) or fnmatch(n.rsplit("/", 1)[-1], p) for p in excluded)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                copy(f"{base}/{r['name']}", f"{draft}/{r['name']}")
+                yield pa.RecordBatch.from_pydict({"name": [r["name"]]})
+
+    try:
+        n = _deal(spark, names, "name string").mapInArrow(run, "name string").count() if names else 0
+        if n:
+            store.swap(spark, draft, target)
+    finally:
+        store.delete(spark, draft)
+    return n
+
+
 def verify(spark: SparkSession, bundle: str) -> DataFrame:
     """(name, problem) of the files of SHA256SUMS that are missing or differ; a bundle without that file is an error."""
     root = store.qualified(spark, bundle)

@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 import math
 import tomllib
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import NAME, TIME, bar, own
+from . import store
 from .bundle import hashes
 
 ALIASES = ("timestamp", "timestamp_agg", "date", "datetime")
@@ -67,27 +67,29 @@ def full_frame(train: DataFrame, test: DataFrame) -> DataFrame:
     return train.unionByName(test, allowMissingColumns=True).distinct()
 
 
+TRAIN, TEST, VAL = "environment/data/train.parquet", "tests/test.parquet", "tests/val.parquet"
+
+
 def read_task(spark: SparkSession, task: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(train, test, full) of a task folder."""
-    paths = [Path(task) / "environment/data/train.parquet", Path(task) / "tests/test.parquet"]
+    """(train, test, full) of a task folder in any store."""
+    paths = [f"{task.rstrip('/')}/{p}" for p in (TRAIN, TEST)]
     for p in paths:
-        if not p.exists():
+        if not store.exists(spark, p):
             raise FileNotFoundError(p)
-    train, test = (spark.read.parquet(str(p)) for p in paths)
+    train, test = (spark.read.parquet(p) for p in paths)
     full = full_frame(train, test)
     return train, test, full.orderBy(timestamp_column(full))
 
 
-def tasks(root: str, names: str | None = None) -> list[str]:
+def tasks(spark: SparkSession, root: str, names: str | None = None) -> list[str]:
     """Task folders below ``root`` (also for "all"), or those of a comma-separated list, sorted."""
     if names and names != "all":
         return sorted(n.strip() for n in names.split(",") if n.strip())
-    return sorted(p.name for p in Path(root).glob("signal-*") if p.is_dir())
+    return store.folders(spark, root, "signal-*")
 
 
-def load_profile(path: str) -> dict:
-    with open(path, "rb") as f:
-        return tomllib.load(f)
+def load_profile(spark: SparkSession, path: str) -> dict:
+    return tomllib.loads(store.read_text(spark, path))
 
 
 def plain(x):
@@ -103,9 +105,9 @@ def plain(x):
     return None if isinstance(x, float) and not math.isfinite(x) else x
 
 
-def write_json(path: str, value: dict) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(plain(value), indent=2, sort_keys=True) + "\n")
+def write_json(spark: SparkSession, path: str, value: dict | list) -> None:
+    """JSON with sorted keys, put in place at once, in any store."""
+    store.write_text(spark, path, json.dumps(plain(value), indent=2, sort_keys=True) + "\n")
 
 
 def checksums(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:

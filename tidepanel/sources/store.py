@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _at(spark: SparkSession, uri: str):
@@ -43,6 +44,12 @@ def files(spark: SparkSession, uri: str) -> list[tuple[str, int]]:
     return sorted(out)
 
 
+def folders(spark: SparkSession, uri: str, glob: str) -> list[str]:
+    """Last names of the folders right below one whose names match the glob, sorted."""
+    store, path = _at(spark, f"{uri.rstrip('/')}/{glob}")
+    return sorted(f.getPath().getName() for f in store.globStatus(path) or [] if f.isDirectory())
+
+
 def read_text(spark: SparkSession, uri: str) -> str:
     """A small text, whole."""
     store, path = _at(spark, uri)
@@ -100,29 +107,29 @@ def write_frame(df: DataFrame, path: str, **measures: Column) -> dict:
     return seen.get
 
 
-def write_parts(df: DataFrame, part: Column, targets: dict[str, str], time: str | None = None) -> dict[str, dict]:
-    """Writes each part's rows to its own folder, all in one job; rows of other parts, or of none, go nowhere.
+def write_parts(df: DataFrame, targets: dict[str, str], time: str | None = None) -> dict[str, dict]:
+    """Writes each part's rows, without the column ``_part``, to its own folder, all in one job.
 
-    Gives back rows and, with ``time``, the first and last time of each part, observed by the same job. A part without
-    rows is an error, before anything is put in place.
+    ``_part`` holds a name or an array of names (a row may belong to several parts); rows of other parts, or of none, go
+    nowhere. Gives back rows and, with ``time``, the first and last time of each part, observed by the same job. A part
+    without rows is an error, before anything is put in place.
     """
     spark, names = df.sparkSession, list(targets)
-    if len({c.lower() for c in df.columns} & {"_part"}):
-        raise ValueError("the frame has a column _part")
-    rows = df.withColumn("_part", part).where(F.col("_part").isin(names))
+    rows = df
+    if not isinstance(rows.schema["_part"].dataType, StringType):
+        rows = rows.withColumn("_part", F.explode("_part"))
     seen, draft = Observation(), f"{targets[names[0]].rstrip('/')}.{uuid.uuid4().hex}"
     mine = lambda n, c: F.when(F.col("_part") == n, c)
     measures = [F.count(mine(n, F.lit(1))).alias(f"rows_{k}") for k, n in enumerate(names)]
     if time:
         measures += [f(mine(n, F.col(time))).alias(f"{f.__name__}_{k}") for k, n in enumerate(names) for f in (F.min, F.max)]
     try:
-        rows.observe(seen, *measures).write.partitionBy("_part").parquet(draft)
+        rows.where(F.col("_part").isin(names)).observe(seen, *measures).write.partitionBy("_part").parquet(draft)
         got = seen.get
         if empty := [n for k, n in enumerate(names) if not got[f"rows_{k}"]]:
             raise ValueError(f"no rows for {', '.join(empty)}")
-        folders = {f"_part={n}": targets[n] for n in names}
-        for folder, target in folders.items():
-            swap(spark, f"{draft}/{folder}", target)
+        for name in names:
+            swap(spark, f"{draft}/_part={name}", targets[name])
     finally:
         delete(spark, draft)
     return {n: {"rows": got[f"rows_{k}"]} | ({"start": got[f"min_{k}"], "end": got[f"max_{k}"]} if time else {}) for k, n in enumerate(names)}
