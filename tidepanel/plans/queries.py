@@ -27,6 +27,7 @@ from ..operators import splits as S
 from ..operators import stats as G
 from ..operators import transforms as T
 from ..sources import panel as A
+from ..sources import sinks as K
 from ..streaming.scores import bar_scores
 from .panel_sql import BACKTEST, IC, PANEL_D, PANEL_H, SCORED, SIGNAL, STREAMS, average_rank, bucket, corr
 
@@ -377,10 +378,21 @@ add("month_calendar", on(d, S.month_calendar), "month:a", D, "SELECT unnest(gene
 def _plan(s: SparkSession, sf: str) -> DataFrame:
     p = d(s, sf)
     specs = S.plan("t", p.where(F.col(TIME) < CUT_D), p.where(F.col(TIME) >= CUT_D), S.SplitConfig())
-    return s.createDataFrame([(k, x.name, x.family, x.purge_hours) for k, x in enumerate(specs)], "place int, name string, family string, purge_hours int")
-
-
-add("split_plan", _plan, "place:l name:s family:s purge_hours:l", "v AS (SELECT 1)", "SELECT place, name, family, 24 AS purge_hours FROM (VALUES (0, 'rolling-001', 'rolling'), (1, 'random-block-001', 'random_block'), (2, 'stripe-month-mod2-h0', 'stripe'), (3, 'rolling-002', 'rolling'), (4, 'random-block-002', 'random_block'), (5, 'stripe-month-mod2-h1', 'stripe')) AS t(place, name, family)")
+    until = lambda r: (r[0], r[1] + S.TICK) if r else (None, None)
+    ends = lambda x: (*until(x.train), *until(x.tests[0] if x.family == "rolling" else None))
+    rows = [(k, x.name, x.family, x.purge_hours, *ends(x)) for k, x in enumerate(specs)]
+    return s.createDataFrame(rows, "place int, name string, family string, purge_hours int, train_start timestamp, train_until timestamp, test_start timestamp, test_until timestamp")
+
+
+# rolling train and test ranges and stripes; drawn blocks come from Python's generator, so their rows only name the family
+_PLANNED = D + """,
+r AS (SELECT min(timestamp_agg) AS low, max(timestamp_agg) AS high, date_trunc('month', min(timestamp_agg))::TIMESTAMP AS first FROM panel),
+ro AS (SELECT k, first + to_months(12 * k::INT) AS a, first + to_months(36 + 12 * k::INT) AS t, high FROM r, (SELECT unnest(generate_series(0, 1)) AS k) WHERE first + to_months(36 + 12 * k::INT) <= high),
+st AS (SELECT unnest([0, 1]) AS h),
+own AS (SELECT 3 * k AS place, 'rolling-00' || (k + 1) AS name, 'rolling' AS family, a AS train_start, t AS train_until, t AS test_start, least(t + to_months(12), high + INTERVAL 1 MICROSECOND) AS test_until FROM ro
+  UNION ALL SELECT 3 * k + 1, 'random-block-00' || (k + 1), 'random_block', NULL, NULL, NULL, NULL FROM ro
+  UNION ALL SELECT 3 * h + 2, 'stripe-month-mod2-h' || h, 'stripe', NULL, NULL, NULL, NULL FROM st)"""
+add("split_plan", _plan, "place:l name:s family:s purge_hours:l train_start:t train_until:t test_start:t test_until:t", _PLANNED, "SELECT *, 24 AS purge_hours FROM own")
 add("bundle_checksums", lambda s, sf: A.checksums(s, sf).select("name", "size", "sha256"), "name:s size:l sha256:s")
 
 
@@ -414,11 +426,13 @@ add("sharpe_scatter", on(d, lambda p: P.sharpe_scatter(_pairs(p))), "r:d n:l t:d
 
 
 def _gates(x: DataFrame) -> DataFrame:
-    status = F.when((F.col("task") == "T1") & (F.col("attempt") == 3), "failed").when((F.col("task") == "T2") & (F.col("attempt") == 1), "failed").otherwise("passed")
-    return x.select(*P.STREAM).distinct().withColumn("status", status)
+    """A stream passes where its mean daily return is not negative."""
+    return x.groupBy(*P.STREAM).agg(F.when(F.avg("daily_ret") < 0, "failed").otherwise("passed").alias("status"))
 
 
-add("gate_exclusion", on(d, lambda p: (lambda x: P.gate_exclusion(x, _gates(x)))(streams(p))), "task:s model:s attempt:l date:a daily_ret:d", DP, "SELECT * FROM streams WHERE task <> 'T1'")
+add("gate_exclusion", on(d, lambda p: (lambda x: P.gate_exclusion(x, _gates(x)))(streams(p))), "task:s model:s attempt:l date:a daily_ret:d", _with(
+    DP, "gates AS (SELECT task, model, attempt, CASE WHEN avg(daily_ret) < 0 THEN 'failed' ELSE 'passed' END AS status FROM streams GROUP BY 1, 2, 3)",
+    "latest AS (SELECT task, model, arg_max(status, attempt) AS status FROM gates GROUP BY 1, 2)"), "SELECT * FROM streams ANTI JOIN (SELECT * FROM latest WHERE status = 'failed') f USING (task, model)")
 
 # residuals and transforms
 _TICK = lambda n, upto=0: f"({ON} ROWS BETWEEN {n} PRECEDING AND {'CURRENT ROW' if not upto else f'{upto} PRECEDING'})"
@@ -618,3 +632,13 @@ add("backtest_repeated_keys", on(d, lambda p: B.backtest_bars(_repeated(p), orde
     PANEL_D, f"""twice AS (SELECT timestamp_agg, ticker, -lag(residual_return) OVER ({ON}) AS signal, residual_return, 1 AS seen FROM panel
   UNION ALL SELECT timestamp_agg, ticker, 1.0, residual_return, 2 FROM panel WHERE dayofyear(timestamp_agg) % 3 = 0)""",
     "sig AS (SELECT timestamp_agg, ticker, signal FROM twice QUALIFY row_number() OVER (PARTITION BY timestamp_agg, ticker ORDER BY seen) = 1 AND signal IS NOT NULL)", BACKTEST), "SELECT * FROM bt")
+
+_MONTHS = "(dense_rank() OVER (ORDER BY year(timestamp_agg) * 12 + month(timestamp_agg)) - 1) % 3 = 1"
+add("validation_metadata", on(d, lambda p: S.validation_report(p.where(F.col(TIME) < CUT_D), S.ValidationConfig("is-month-stripe", "month", 3, 1))),
+    "split:s stripe_unit:s stripe_modulus:l stripe_holdout:l stripe_basis:s train_start:t train_end:t val_start:t val_end:t train_rows:l val_rows:l",
+    D + f",\nm AS (SELECT timestamp_agg AS t, {_MONTHS} AS v FROM panel WHERE timestamp_agg < '2000-01-01')",
+    "SELECT 'is-month-stripe' AS split, 'month' AS stripe_unit, 3 AS stripe_modulus, 1 AS stripe_holdout, 'current_is_ordinal' AS stripe_basis, min(t) FILTER (NOT v) AS train_start, max(t) FILTER (NOT v) AS train_end, "
+    "min(t) FILTER (v) AS val_start, max(t) FILTER (v) AS val_end, count(*) FILTER (NOT v) AS train_rows, count(*) FILTER (v) AS val_rows FROM m")
+add("view_metadata", on(d, lambda p: K.view_report(*_split(p))), "return_mode:s safe_return_lags:s return_columns:s train_rows:l hidden_rows:l prediction_rows:l feature_rows:l", D,
+    "SELECT 'null' AS return_mode, '1,2,3,6,12,24' AS safe_return_lags, 'residual_return,return' AS return_columns, count(*) FILTER (timestamp_agg < '2000-01-01') AS train_rows, "
+    "count(*) FILTER (timestamp_agg >= '2000-01-01') AS hidden_rows, count(*) FILTER (timestamp_agg >= '2000-01-01') AS prediction_rows, count(*) AS feature_rows FROM panel")
