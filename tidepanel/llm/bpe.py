@@ -1,7 +1,8 @@
 """Byte-pair encoding and decoding of whole texts with a public vocabulary (operator 13).
 
-A word's adjacent pairs are the leaves of a segment tree of (merge rank, place); the root is the leftmost pair of the
-lowest rank. A merge changes three leaves, each in logarithmic time, until the root says that no pair can be merged.
+A word's adjacent pairs are the leaves of a segment tree of (merge rank, place) with sixteen children a node; the root
+is the leftmost pair of the lowest rank. A merge changes three leaves and the nodes above them, in logarithmic time,
+until the root says that no pair can be merged.
 So a word of a million letters takes n log n steps. Words repeat, and a bounded cache keeps the short ones' ids.
 
 Documents are dealt by Spark as they are stored, without a shuffle; a task holds one text at a time besides its batch.
@@ -25,8 +26,9 @@ from .alignment import byte_alphabet
 from .common import fresh
 
 #: Words, and runs of words, that a worker remembers, their longest length, and runs that are joined at once.
-CACHE, SHORT, BLOCK = 1 << 19, 64, 1 << 16
-_NONE = 1 << 62
+CACHE, SHORT, BLOCK = 1 << 18, 48, 1 << 16
+#: Children of a node of the tree, and the key of a pair that can't be merged.
+FAN, _NONE = 16, 1 << 62
 #: White space as the pattern means it. Python's ``split`` also splits at four control characters.
 WHITE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 _RUNS, _SEPARATORS = regex.compile(f"[^{WHITE}]+"), regex.compile(r"[\x1C-\x1F]")
@@ -76,45 +78,46 @@ class Bpe:
         ids = [self.inner[b] for b in data]
         ids[-1] = self.last[data[-1]]
         n, merges = len(ids), self.merges
-        if n > 1:
-            width = 1 << (n - 2).bit_length()
-            tree = [_NONE] * (2 * width)
-            for i in range(n - 1):
-                got = merges.get((ids[i] << 32) | ids[i + 1])
-                if got:
-                    tree[width + i] = (got[0] << 32) | i
-            for k in range(width - 1, 0, -1):
-                x, y = tree[2 * k], tree[2 * k + 1]
-                tree[k] = x if x < y else y
-            after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-            while tree[1] != _NONE:
-                i = tree[1] & 0xFFFFFFFF
-                j = after[i]
-                ids[i] = merges[(ids[i] << 32) | ids[j]][1]
-                ids[j] = -1
-                k = after[i] = after[j]
-                if k < n:
-                    before[k] = i
-                for at in (j, i, before[i]):  # the pairs that end, change, change
-                    if at < 0 or at == n - 1:
-                        continue
-                    value, k = _NONE, after[at]
-                    if at != j and k < n:
-                        got = merges.get((ids[at] << 32) | ids[k])
-                        if got:
-                            value = (got[0] << 32) | at
-                    k = width + at
-                    tree[k] = value
-                    while k > 1:
-                        other = tree[k ^ 1]
-                        k >>= 1
-                        if other < value:
-                            value = other
-                        if tree[k] == value:
-                            break
-                        tree[k] = value
-            ids = [i for i in ids if i >= 0]
-        return array("I", ids).tobytes()
+        if n == 1:
+            return array("I", ids).tobytes()
+        leaves = [_NONE] * (n - 1)
+        left = ids[0]
+        for i in range(n - 1):
+            right = ids[i + 1]
+            got = merges.get((left << 32) | right)
+            if got:
+                leaves[i] = (got[0] << 32) | i
+            left = right
+        levels = [leaves]
+        while len(levels[-1]) > FAN:
+            below = levels[-1]
+            levels.append([min(below[k : k + FAN]) for k in range(0, len(below), FAN)])
+        root, deep = levels[-1], len(levels) > 1
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while (least := min(root)) != _NONE:
+            i = least & 0xFFFFFFFF
+            j = after[i]
+            merged = ids[i] = merges[(ids[i] << 32) | ids[j]][1]
+            ids[j] = -1
+            k = after[i] = after[j]
+            p = before[i]
+            # the pair at i changes, the one at j ends, the one before changes
+            got = None
+            if k < n:
+                before[k] = i
+                leaves[j] = _NONE
+                got = merges.get((merged << 32) | ids[k])
+            leaves[i] = (got[0] << 32) | i if got else _NONE
+            if p >= 0:
+                got = merges.get((ids[p] << 32) | merged)
+                leaves[p] = (got[0] << 32) | p if got else _NONE
+            if deep:
+                changed = {x // FAN for x in (p, i, j) if 0 <= x < n - 1}
+                for below, level in zip(levels, levels[1:], strict=False):
+                    for x in changed:
+                        level[x] = min(below[x * FAN : x * FAN + FAN])
+                    changed = {x // FAN for x in changed}
+        return array("I", [i for i in ids if i >= 0]).tobytes()
 
     def run(self, run: str) -> bytes:
         """Ids of what stands between two white spaces; no word holds any."""
