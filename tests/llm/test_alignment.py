@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 
 import public_tokenizers
 import pytest
@@ -74,5 +75,17 @@ def test_no_rows(spark):
 def test_another_kind_of_vocabulary_is_refused():
     with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
         source = f.read()
-    with pytest.raises((ValueError, KeyError)):
-        alignment._byte_side(source)
+    with open(B, "rb") as f, pytest.raises((ValueError, KeyError)):
+        alignment.Pair(source, f.read())
+
+
+def test_runs_are_cut_only_where_both_sides_stay_the_same():
+    a, b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    a.encode_special_tokens = True
+    with open(A, "rb") as f, open(B, "rb") as g:
+        pair = alignment.Pair(f.read(), g.read())
+    rnd = random.Random(4)
+    parts = [" "] * 12 + ["\n", "\t", "  ", "\u00a0", "\u3000", "a", "the", "'s", "'", "12", "é", "漢", "<s>", "\x1c", ".", "naïve", "😀"]
+    texts = ["".join(rnd.choices(parts, k=rnd.randint(1, 20))) for _ in range(4_000)]
+    for text, found in zip(texts, pair(texts), strict=True):
+        assert found and found[0].tolist() == a.encode(" " + text, add_special_tokens=False).ids and found[1].tolist() == b.encode(text)
