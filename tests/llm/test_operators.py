@@ -212,6 +212,34 @@ def test_embeddings(spark):
     assert all(got[k]["n_links"] <= link[k].sum() for k in range(300))
 
 
+def test_embeddings_of_null_and_repeated_ids(spark):
+    at = lambda a: [math.cos(a), math.sin(a), 0.0]  # noqa: E731  0.3 apart: linked, 0.6 apart: not
+    rows = [(None, at(0.0), 1), (5, at(0.3), 1), (7, at(0.6), 1), (7, at(2.0), 1), (7, at(0.3), 1), (None, at(4.0), 1), (None, at(5.0), 1), (2, at(0.0), 2), (3, None, 1), (None, None, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"]), r["kept"]) for r in embeddings.near_duplicates(df).collect())
+    want = [("None", 2, "5", False), ("5", 3, "5", True), ("7", 2, "5", False), ("7", 0, "7", True), ("7", 3, "5", False), ("None", 0, "None", True), ("None", 0, "None", True), ("2", 0, "2", True), ("3", 0, "3", True), ("None", 0, "None", True)]
+    assert got == sorted(want)
+    assert embeddings.near_duplicates(df.where("false")).count() == 0
+
+
+def test_shingle_sets_stay_below_the_limit_of_open_files(tmp_path):
+    resource = pytest.importorskip("resource")
+    names = []
+    for k in range(400):
+        np.arange(k, k + 5, dtype="<u4").tofile(tmp_path / str(k))
+        names.append(str(k))
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (len(__import__("os").listdir("/proc/self/fd")) + 150, hard))
+    try:
+        sets = simhash._Sets(str(tmp_path), names)
+        held = [sets(k, 1, 3) for k in range(400)]
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+    assert all(x.tolist() == [k + 1, k + 2, k + 3] for k, x in enumerate(held)) and len(sets.open) == 96
+    with pytest.raises(FileNotFoundError):
+        simhash._Sets(str(tmp_path), ["absent"])(0, 0, 1)
+
+
 def test_embeddings_scan_where_audits_fail():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 16))
@@ -258,6 +286,20 @@ def test_wrapped_licenses(spark, docs):
     assert got[100][1] == 1 and got[105][1] == 2
 
 
+def test_every_notice_is_found_and_near_misses_are_not(spark, docs):
+    prose = some_text(61, 40)
+    cases = [(f"{prose}\n\n" + "\n".join(" ".join(t.split()[k : k + 4]) for k in range(0, len(t.split()), 4)), f) for f, t in licenses.TEMPLATES]
+    cases += [(f"{prose}\n{t[0].upper()}{t[1:]}.\n{prose}", f) for f, t in licenses.TEMPLATES]
+    cases += [(f"{prose}\n{t}\n{prose}", "") for t in licenses.NEAR_MISSES]
+    cases += [
+        ('Licensed under the Apache License, Version 2.0 (the "License");', "Apache-2.0"), ("Licensed under the Apache License, Version 1.1", ""), ("SPDX-License-Identifier: MIT", "MIT"),
+        ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("Licensed under the GNU Lesser General Public License", "LGPL"), ("A license to sell wine was granted.", ""),
+    ]
+    rows = [(100 + k, t) for k, (t, _) in enumerate(cases)]
+    got = {r["doc_id"]: r["families"] for r in licenses.report(docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert [(t, got[100 + k]) for k, (t, _) in enumerate(cases)] == cases
+
+
 def test_classifiers(spark):
     rng = np.random.default_rng(5)
     rows = []

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from .alignment import byte_alphabet
 from .common import fresh
 
-#: Words, and runs of words, that a worker remembers, their longest length, and runs that are joined at once.
+#: Runs of words (and half the words) that a worker remembers, their longest length, and runs that are joined at once.
 CACHE, SHORT, BLOCK = 1 << 18, 48, 1 << 16
 #: Children of a node of the tree, and the key of a pair that can't be merged.
 FAN, _NONE = 16, 1 << 62
@@ -70,7 +70,7 @@ class Bpe:
         pattern = pattern.replace(f"[^{WHITE}\\p{{L}}\\p{{N}}]", f"[^{WHITE}[\\p{{L}}\\p{{N}}--[{ranges}]]]") if ranges else pattern
         self.words = regex.compile(pattern, regex.V1)
         self.apart = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.cached_word, self.cached_run = lru_cache(CACHE)(self.word), lru_cache(CACHE)(self.run)
+        self.cached_word, self.cached_run = lru_cache(2 * CACHE)(self.word), lru_cache(CACHE)(self.run)
 
     def word(self, word: str) -> bytes:
         """Ids of one word, packed."""
@@ -121,6 +121,11 @@ class Bpe:
 
     def run(self, run: str) -> bytes:
         """Ids of what stands between two white spaces; no word holds any."""
+        # letters alone are one word, letters and a mark two: most runs need no pattern
+        if len(run) <= SHORT and run.isalpha():
+            return self.cached_word(run)
+        if len(run) <= SHORT and run[:-1].isalpha() and run[-1] in ".,;:!?":
+            return self.cached_word(run[:-1]) + self.cached_word(run[-1])
         return b"".join([self.cached_word(w) if len(w) <= SHORT else self.word(w) for w in self.words.findall(run)])
 
     def plain(self, text: str) -> Iterator[bytes]:

@@ -282,18 +282,19 @@ def _query(pair: pd.DataFrame, block: int) -> pd.DataFrame:
 def near_duplicates(vectors: DataFrame, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(vec_id, embedding, label) -> vec_id, n_links, component_id, kept; one row per row.
 
-    Null labels and vectors that are null, empty, zero or hold null or non-finite components link with
-    nothing and are kept; a null vec_id is its own component where its vector has no other id. Vectors of different lengths are not comparable. Rows of one vec_id are distinct vectors
-    that share a node id; their copies count as links of each other.
+    Null labels and vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
+    kept. Vectors of different lengths are not comparable. A row is told apart by its label and vector, not by its id:
+    rows of one vec_id with different vectors have links of their own, rows of equal vectors are links of each other, and
+    a row of null id links like any other. A component's id is its smallest vec_id, null where it has none.
     """
     x = F.transform("embedding", lambda v: v.cast("double"))
     usable = F.col("label").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("x", lambda v: v != 0)
     rows = vectors.select("vec_id", "label", x.alias("x"), F.xxhash64("label", x).alias("h"))
     good = F.coalesce(usable, F.lit(False))
     slim = cut(rows.select("vec_id", "h", good.alias("good")))
-    reps = rows.where(good).groupBy("label", "h", "x").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"))
-    reps = reps.select("label", F.size("x").alias("dim"), "h", "vec_id", "n", F.col("x").alias("embedding"))
-    reps = cut(reps)
+    # below, a distinct vector's number stands in the column vec_id
+    reps = rows.where(good).groupBy("label", "h", "x").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    reps = cut(reps.select("label", F.size("x").alias("dim"), "h", F.monotonically_increasing_id().alias("vec_id"), "least", "n", F.col("x").alias("embedding")))
     sizes = reps.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard)).alias("shards"))
     dealt = reps.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod("h", "shards"))
     graphs = cut(
@@ -308,8 +309,10 @@ def near_duplicates(vectors: DataFrame, shard: int = SHARD, block: int = BLOCK)
         .applyInPandas(lambda pdf: _query(pdf, block), "vec_id long, links long, root long")
     )
     comp = connected_components(found.where("vec_id <> root").select(F.col("vec_id").alias("src"), F.col("root").alias("dst")))
-    of = reps.select("h", F.col("vec_id").alias("rep"), "n").join(found.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("links")), "rep", "left")
-    of = of.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("root"))
+    of = reps.select("h", F.col("vec_id").alias("rep"), "least", "n").join(found.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("links")), "rep", "left")
+    of = cut(of.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h", "n", "least", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("node")))
+    low = of.groupBy("node").agg(F.min("least").alias("root"), F.count(F.lit(1)).alias("members"))
+    of = join_by_hot_key(of, low, "node", "members").select("h", "n", "links", "root")
     out = slim.where("good").select("vec_id", "h")
     out = join_by_hot_key(out, of, "h", "n").unionByName(slim.where("not good").select("vec_id", "h", *(F.lit(None).cast("long").alias(c) for c in ("n", "links", "root"))))
     component = F.coalesce("root", "vec_id")

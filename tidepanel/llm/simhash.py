@@ -20,6 +20,7 @@ that. It joins the sets of five-word shingles themselves, by an exact prefix fil
 from __future__ import annotations
 
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -269,17 +270,20 @@ def _with_sets(docs: DataFrame, size: int, path: str) -> DataFrame:
 
 
 class _Sets:
-    """Shingle sets in memory-mapped files."""
+    """Shingle sets in memory-mapped files, of which at most ``most`` are open at once. One that is missing is an error."""
 
-    def __init__(self, path: str, files: list[str]):
-        self.path, self.files, self.open = path, files, {}
+    def __init__(self, path: str, files: list[str], most: int = 96):
+        self.path, self.files, self.most = path, files, most
+        self.open: OrderedDict[int, np.ndarray] = OrderedDict()
 
     def __call__(self, file: int, at: int, n: int) -> np.ndarray:
-        if file not in self.open:
-            if len(self.open) >= 2_000:
-                self.open.clear()
+        if file in self.open:
+            self.open.move_to_end(file)
+        else:
+            while len(self.open) >= self.most:
+                self.open.popitem(last=False)
             self.open[file] = np.memmap(f"{self.path}/{self.files[file]}", "<u4", "r")
-        return self.open[file][at : at + n]
+        return np.array(self.open[file][at : at + n])  # a copy: what is held must not keep a map open
 
 
 def _rarity(nodes: DataFrame, sets: _Sets) -> np.ndarray:
