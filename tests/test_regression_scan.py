@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.operators import regression, scan
+from tidepanel.functions.columns import own
+from tidepanel.operators import regression, scan, transforms
 
 START = datetime(2024, 1, 1)
 
@@ -112,6 +113,23 @@ def test_one_ticker_is_spread_over_tasks(series):
     assert df.where("ticker = 'A'").select(scan.slice_of(5 * scan.DAY).alias("k")).distinct().count() > 90
 
 
+@pytest.mark.parametrize("back,size", [(19, 19), (19, 50), (40, 5_000)])
+def test_windows_over_slices_equal_those_over_tickers(series, back, size):
+    _, df = series
+    f = lambda x: x.withColumn("z", transforms.ts_zscore("x", 20)).withColumn("m", F.lag("x", 3).over(own()))
+    got = scan.over_slices(df, f, back, size, 5 * scan.DAY)
+    want = f(df)
+    assert got.columns == want.columns and got.schema[1].dataType == df.schema[1].dataType
+    key = lambda r: (str(r["ticker"]), r["timestamp_agg"])
+    a, b = sorted(got.collect(), key=key), sorted(want.collect(), key=key)
+    assert [key(r) for r in a] == [key(r) for r in b] and [r["m"] for r in a] == [r["m"] for r in b]
+    assert all((x["z"] is None) == (y["z"] is None) and (x["z"] is None or abs(x["z"] - y["z"]) < 1e-9) for x, y in zip(a, b, strict=True))
+    places = scan.with_place(df.where("ticker = 'A'"), 5 * scan.DAY).orderBy("timestamp_agg").collect()
+    assert [r["place"] for r in places] == list(range(6_000))
+    with pytest.raises(ValueError):
+        scan.over_slices(df, f, 5, 4)
+
+
 def test_wilder_against_a_loop(series):
     rows, df = series
     got = {(r["ticker"], r["timestamp_agg"]): r["w"] for r in scan.wilder(df, {"w": F.col("x")}, 14, seconds=3 * scan.DAY).collect()}

@@ -8,6 +8,7 @@ the carry that reaches them. So a ticker of any length is spread over as many ta
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,34 @@ def reach(keep: float) -> int:
     return math.ceil(-20 / math.log10(keep))
 
 
+def with_place(df: DataFrame, seconds: int = 30 * DAY, name: str = "place") -> DataFrame:
+    """``name``: number of the row within its ticker, from 0, counted slice by slice; only slices' counts go along a ticker."""
+    d = df.withColumn("_slice", slice_of(seconds))
+    d = d.withColumn("_row", F.row_number().over(Window.partitionBy(NAME, "_slice").orderBy(TIME)) - 1)
+    before = F.sum("_n").over(Window.partitionBy(NAME).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    counts = d.groupBy(NAME, "_slice").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    counts = counts.select(F.col(NAME).alias("_name"), F.col("_slice").alias("_slice2"), "_before")
+    same = F.col(NAME).eqNullSafe(F.col("_name")) & F.col("_slice").eqNullSafe(F.col("_slice2"))
+    return d.join(counts, same, "left").select(*df.columns, (F.col("_row") + F.col("_before")).alias(name))
+
+
+def over_slices(df: DataFrame, apply: Callable[[DataFrame], DataFrame], back: int, size: int = 1 << 16, seconds: int = 30 * DAY) -> DataFrame:
+    """``apply`` on runs of ``size`` rows of a ticker, each with the ``back`` rows before it, so that long tickers are many tasks.
+
+    For transforms of a ticker's own last rows (windows of ``own``): ``back`` is how many rows they look back, all in all.
+    They see a run in place of the ticker and must keep the frame's rows and columns; cross-sections of a bar do not belong
+    here, as rows that only serve as history stand in two runs. A run's size must not lie below ``back``.
+    """
+    if not 0 <= back <= size:
+        raise ValueError("the rows looked back on must fit into one run")
+    d = with_place(df, seconds, "_place")
+    run, late = F.floor(F.col("_place") / size), F.col("_place") % size >= size - back
+    own, next_ = F.struct(run.alias("run"), F.lit(False).alias("past")), F.struct((run + 1).alias("run"), F.lit(True).alias("past"))
+    d = d.withColumn("_run", F.explode(F.array_compact(F.array(own, F.when(late, next_))))).withColumn("_own", F.col(NAME))
+    out = apply(d.withColumn(NAME, F.struct(F.col("_own"), F.col("_run.run").alias("run"))))
+    return out.where(~F.col("_run.past")).withColumn(NAME, F.col("_own")).drop("_own", "_run", "_place")
+
+
 def decayed_sums(df: DataFrame, terms: dict[str, Column], keep: dict[str, float], slices: Column) -> DataFrame:
     """``df`` with s[t] = keep * s[t-1] + term[t] along each ticker in time order, for every named term (null terms add nothing).
 

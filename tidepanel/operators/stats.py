@@ -166,6 +166,14 @@ def names_per_bar(signal: DataFrame) -> DataFrame:
     return per.agg(F.avg("n").alias("names_per_bar"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
-def rolling_ic(ic: DataFrame, window: int = 168) -> DataFrame:
-    """Trailing mean of the bars' IC; rows of bars only, so one window holds them."""
-    return ic.withColumn("rolling_ic", F.avg("ic").over(Window.orderBy(TIME).rowsBetween(-(window - 1), 0)))
+def rolling_ic(ic: DataFrame, window: int = 168, trimmed: bool = False) -> DataFrame:
+    """Trailing mean of the bars' IC; rows of bars only, so one window holds them.
+
+    ``trimmed`` leaves out the first bars, at most ``window`` of them or a quarter of all, whose means are of few bars.
+    """
+    out = ic.withColumn("rolling_ic", F.avg("ic").over(Window.orderBy(TIME).rowsBetween(-(window - 1), 0)))
+    if not trimmed:
+        return out
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    place = F.row_number().over(Window.orderBy(TIME))
+    return out.withColumns({"_n": n, "_place": place}).where(F.col("_place") > F.least(F.lit(window), F.floor(F.col("_n") / 4))).drop("_n", "_place")

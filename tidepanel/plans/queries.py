@@ -642,3 +642,7 @@ add("validation_metadata", on(d, lambda p: S.validation_report(p.where(F.col(TIM
 add("view_metadata", on(d, lambda p: K.view_report(*_split(p))), "return_mode:s safe_return_lags:s return_columns:s train_rows:l hidden_rows:l prediction_rows:l feature_rows:l", D,
     "SELECT 'null' AS return_mode, '1,2,3,6,12,24' AS safe_return_lags, 'residual_return,return' AS return_columns, count(*) FILTER (timestamp_agg < '2000-01-01') AS train_rows, "
     "count(*) FILTER (timestamp_agg >= '2000-01-01') AS hidden_rows, count(*) FILTER (timestamp_agg >= '2000-01-01') AS prediction_rows, count(*) AS feature_rows FROM panel")
+tf("sliced_zscore", h, lambda p: E.over_slices(p, lambda x: x.withColumn("sliced_zscore", T.ts_zscore("volume", 20)), 19, 64, 2 * E.DAY), f"(volume - avg(volume) OVER {_TICK(19)}) / nullif(stddev_samp(volume) OVER {_TICK(19)}, 0)", H)
+tf("sliced_momentum", d, lambda p: E.over_slices(p, lambda x: x.withColumn("sliced_momentum", T.momentum("close", 10)), 10, 50, 90 * E.DAY), f"close / nullif(lag(close, 10) OVER ({ON}), 0) - 1", D)
+add("rolling_ic_trimmed", on(h, lambda p: G.rolling_ic(G.ic_per_bar(sc(p)), 168, True)), "timestamp_agg:t rolling_ic:d", _with(HC, IC),
+    "SELECT timestamp_agg, rolling_ic FROM (SELECT *, avg(ic) OVER (ORDER BY timestamp_agg ROWS BETWEEN 167 PRECEDING AND CURRENT ROW) AS rolling_ic, row_number() OVER (ORDER BY timestamp_agg) AS k, count(*) OVER () AS m FROM ic) WHERE k > least(168, m // 4)")
