@@ -18,6 +18,7 @@ from ..functions.columns import (
 )
 from ..operators import backtest as B
 from ..operators import features as X
+from ..operators import peers as N
 from ..operators import portfolio as P
 from ..operators import regression as L
 from ..operators import scan as E
@@ -646,3 +647,25 @@ tf("sliced_zscore", h, lambda p: E.over_slices(p, lambda x: x.withColumn("sliced
 tf("sliced_momentum", d, lambda p: E.over_slices(p, lambda x: x.withColumn("sliced_momentum", T.momentum("close", 10)), 10, 50, 90 * E.DAY), f"close / nullif(lag(close, 10) OVER ({ON}), 0) - 1", D)
 add("rolling_ic_trimmed", on(h, lambda p: G.rolling_ic(G.ic_per_bar(sc(p)), 168, True)), "timestamp_agg:t rolling_ic:d", _with(HC, IC),
     "SELECT timestamp_agg, rolling_ic FROM (SELECT *, avg(ic) OVER (ORDER BY timestamp_agg ROWS BETWEEN 167 PRECEDING AND CURRENT ROW) AS rolling_ic, row_number() OVER (ORDER BY timestamp_agg) AS k, count(*) OVER () AS m FROM ic) WHERE k > least(168, m // 4)")
+
+
+# peers
+def _lloyd_sql(k: int, rounds: int) -> str:
+    """Lloyd's rounds, one after the other, over one row per ticker."""
+    parts = ['pt AS (SELECT ticker, avg("return") * 1e3 AS m, stddev_pop("return") * 1e3 AS s FROM panel WHERE "return" IS NOT NULL GROUP BY 1)',
+             "rk AS (SELECT *, row_number() OVER (ORDER BY m, s, ticker) AS i, count(*) OVER () AS n FROM pt)",
+             f"c0 AS (SELECT c, m, s FROM rk, (SELECT unnest(generate_series(0, {k - 1})) AS c) WHERE i = ((2 * c + 1) * n) // {2 * k} + 1)"]
+    near = lambda r: f"(SELECT ticker, any_value(p.m) AS m, any_value(p.s) AS s, arg_min(c, (p.m - q.m) * (p.m - q.m) + (p.s - q.s) * (p.s - q.s)) AS c FROM pt p CROSS JOIN c{r} q GROUP BY ticker)"
+    parts += [f"c{r + 1} AS (SELECT c, coalesce(a.m, b.m) AS m, coalesce(a.s, b.s) AS s FROM c{r} b LEFT JOIN (SELECT c, avg(m) AS m, avg(s) AS s FROM {near(r)} GROUP BY c) a USING (c))" for r in range(rounds)]
+    return _with(*parts, f"cl AS (SELECT ticker, c AS cluster FROM {near(rounds)})")
+
+
+add("cluster_peers", on(d, lambda p: N.spread(p, N.lloyd(N.return_moments(p), ["m", "s"], 4, 6), "return")), _K + "cluster:l spread:d", _with(D, _lloyd_sql(4, 6)),
+    'SELECT timestamp_agg, ticker, cluster, "return" - avg("return") OVER (PARTITION BY timestamp_agg, cluster) AS spread FROM panel JOIN cl USING (ticker)')
+_PEERS = D + """,
+co AS (SELECT a.ticker, b.ticker AS peer, count(*) AS n, corr(a."return", b."return") AS corr FROM panel a JOIN panel b ON a.timestamp_agg = b.timestamp_agg AND a.ticker <> b.ticker
+       WHERE a."return" IS NOT NULL AND b."return" IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 30),
+nr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY corr DESC, peer) AS place FROM co) WHERE place <= 3)"""
+add("closest_peers", on(d, lambda p: N.closest(N.correlations(p, "return", 40), 3)), "ticker:s place:l peer:s n:l corr:d", _PEERS, "SELECT * FROM nr")
+add("pair_spread", on(d, lambda p: N.pair_spread(p.select(*KEYS, "return"), N.correlations(p, "return", 40), "return")), _K + "peer:s pair_spread:d", _PEERS,
+    'SELECT p.timestamp_agg, p.ticker, nr.peer, p."return" - q."return" AS pair_spread FROM panel p LEFT JOIN nr ON nr.ticker = p.ticker AND place = 1 LEFT JOIN panel q ON q.ticker = nr.peer AND q.timestamp_agg = p.timestamp_agg')
