@@ -179,8 +179,7 @@ re AS (SELECT h.conv_id, list_concat(list_slice(coalesce(b.s, []), 1, h), list_s
        FROM h LEFT JOIN own b ON b.conv_id = h.conv_id - h.conv_id % 20),
 m AS (SELECT conv_id, d, list_slice(s, 1, d) AS p, len(s) = d AS ended, CASE WHEN d > 0 THEN s[d].t ELSE '' END AS t
       FROM (SELECT conv_id, s, unnest(generate_series(0, len(s))) AS d FROM re)),
-n AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * len(regexp_extract_all(any_value(t), '[^ 	-
-]+')) AS own_saved,
+n AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * len(regexp_extract_all(any_value(t), '[^\x20\x09-\x0D]+')) AS own_saved,
              coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '') AS ends FROM m GROUP BY p, d),
 kids AS (SELECT list_slice(p, 1, d - 1) AS p, d - 1 AS d, count(*) AS k FROM n WHERE d > 0 GROUP BY ALL),
 up AS (SELECT list_slice(n.p, 1, a) AS p, a AS d, count(*) FILTER (kids.k IS NULL) AS leaves, sum(own_saved) AS saved
