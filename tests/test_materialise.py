@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.operators import splits
+from tidepanel.operators import splits, transforms
 from tidepanel.sources import panel
 
 START = datetime(2020, 1, 1)
@@ -85,6 +85,26 @@ def test_a_missing_side_is_an_error(spark, task, tmp_path):
         panel.read_task(spark, str(tmp_path))
 
 
+def test_configurations_from_text(spark, task, tmp_path):
+    made = splits.config_of("volume-variety", " rolling, stripe", "0", "3", "day,", "-5")
+    assert made == splits.SplitConfig(("rolling", "stripe"), 1, 3, 0, ("day",), "volume-variety")
+    assert splits.config_of() == splits.SplitConfig(count=1, preset="none")
+    assert splits.materialise(spark, task, str(tmp_path / "none"), splits.config_of()) == []
+    for bad in ({"preset": "other"}, {"families": "monthly"}, {"stripe_units": "year"}):
+        with pytest.raises(ValueError):
+            splits.config_of(**bad)
+
+
+def test_wide_takes_the_first_of_equal_keys(spark):
+    rows = [(START, "B", 1.0, 2), (START, "B", 9.0, 1), (START, "A", 3.0, 1), (START + timedelta(days=1), "A", None, 1)]
+    df = spark.createDataFrame(rows, "timestamp_agg timestamp, ticker string, x double, k int")
+    out = transforms.wide(df, "x", order="k")
+    assert out.columns == ["timestamp_agg", "A", "B"] and sorted((r["A"], r["B"]) for r in out.where("A is not null").collect()) == [(3.0, 9.0)]
+    assert out.count() == 2 and transforms.wide(df.where("false"), "x").columns == ["timestamp_agg"]
+    with pytest.raises(ValueError):
+        transforms.wide(df, "x", most=1)
+
+
 def test_profiles_of_any_store(spark, tmp_path):
     (tmp_path / "p.toml").write_text("[split]\ncount = 3\n")
     assert panel.load_profile(spark, str(tmp_path / "p.toml")) == {"split": {"count": 3}}

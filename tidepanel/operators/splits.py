@@ -18,6 +18,7 @@ from ..sources.panel import TEST, TRAIN, VAL, full_frame, plain, read_task, time
 
 FAMILIES = ("fixed", "rolling", "random_block", "stripe")
 UNITS = ("month", "week", "day", "hour")
+PRESETS = ("none", "volume-variety")
 TICK = timedelta(microseconds=1)
 
 
@@ -28,14 +29,26 @@ class SplitConfig:
     seed: int = 0
     purge_hours: int = 24
     stripe_units: tuple[str, ...] = ("month", "week")
+    preset: str = "volume-variety"
 
     def __post_init__(self):
+        if self.preset not in PRESETS:
+            raise ValueError(f"preset must be among {PRESETS}")
         if not self.families or set(self.families) - set(FAMILIES):
             raise ValueError(f"families must be among {FAMILIES}")
         if self.count < 1 or self.purge_hours < 0 or set(self.stripe_units) - set(UNITS):
             raise ValueError("count must be positive, purge_hours not negative, stripe units known")
 
 
+def config_of(preset: str | None = None, families: str | None = None, count: int | str = 1, seed: int | str = 0, stripe_units: str | None = None, purge_hours: int | str = 24) -> SplitConfig:
+    """A configuration from settings as text, lists comma-separated; what is missing is the default, counts are at least 1, hours at least 0."""
+    listed = lambda text, default: tuple(x.strip() for x in (text or "").split(",") if x.strip()) or default
+    own = SplitConfig()
+    return SplitConfig(
+        listed(families, own.families), max(1, int(count)), int(seed), max(0, int(purge_hours)), listed(stripe_units, own.stripe_units), preset or "none",
+    )
+
+
 @dataclass(frozen=True)
 class ValidationConfig:
     split: str = "none"
@@ -275,12 +288,13 @@ def materialise(
     """Writes each planned split of a task folder: its files, train, test, optional validation, split_metadata.json.
 
     Each split is one job over the task's rows that writes all its parts and observes their rows and ranges. Gives back
-    the manifest rows and writes them where paths are given. A split without rows on a side is an error.
+    the manifest rows and writes them where paths are given. A split without rows on a side is an error; the preset "none"
+    writes no split.
     """
     base = source.rstrip("/").rsplit("/", 1)[-1]
     train, test, _ = read_task(spark, source)
     full, out = full_frame(train, test), []
-    for spec in plan(base, train, test, config):
+    for spec in plan(base, train, test, config) if config.preset != "none" else []:
         home = f"{target.rstrip('/')}/{base}--{spec.name}"
         parts, checked = _write_task(spark, source, home, full, *masks(full, spec), held)
         row = manifest_rows([spec])[0] | {f"{k}_rows": v["rows"] for k, v in parts.items()} | ({"details_validation": plain(checked)} if checked else {})

@@ -213,6 +213,20 @@ def cs_rank(c: str) -> Column:
     return F.when(n > 1, (avg_rank(c, TIME) - 1) / (n - 1)).otherwise(0.5)
 
 
+def wide(df: DataFrame, value: str, names: list[str] | None = None, order: str | None = None, most: int = 10_000) -> DataFrame:
+    """A row per bar with a column per ticker, null where it has no row.
+
+    The tickers are the given ones, or all (sorted; more than ``most`` are an error, as columns must be few). Of several
+    rows of a bar and ticker the first in ``order`` counts, without one any of them.
+    """
+    if names is None:
+        names = sorted(r[0] for r in df.select(NAME).where(F.col(NAME).isNotNull()).distinct().limit(most + 1).collect())
+        if len(names) > most:
+            raise ValueError(f"more than {most} tickers")
+    picked = F.min_by(value, order) if order else F.first(value)
+    return df.groupBy(TIME).pivot(NAME, names).agg(picked) if names else df.select(TIME).distinct()
+
+
 def winsorize(c: str, low: float = 0.05, high: float = 0.95) -> Column:
     """Clipped to percentiles of the bar."""
     p = F.expr(f"percentile({c}, array({low}, {high})) over (partition by {TIME})")

@@ -169,7 +169,7 @@ add("distinct_keys", on(d, lambda p: p.select(F.trunc(TIME, "month").alias("mont
 add("row_slice", on(d, lambda p: p.orderBy(NAME, TIME).limit(10).select(*KEYS, "close")), "timestamp_agg:t ticker:s close:d", D, "SELECT * FROM panel ORDER BY ticker, timestamp_agg LIMIT 10")
 add("distinct_bars", on(d, lambda p: p.select(TIME).distinct().orderBy(TIME)), "timestamp_agg:t", D, "SELECT DISTINCT timestamp_agg FROM panel")
 add("ts_range", on(d, lambda p: p.groupBy(NAME).agg(F.min(TIME).alias("first"), F.max(TIME).alias("last"))), "ticker:s first:t last:t", D, "SELECT ticker, min(timestamp_agg) AS first, max(timestamp_agg) AS last FROM panel GROUP BY 1")
-add("pivot_wide", on(h, lambda p: p.groupBy(TIME).pivot(NAME, ["click", "error", "purchase", "signup", "view"]).agg(F.min("close"))), "timestamp_agg:t click:d error:d purchase:d signup:d view:d", H, "SELECT timestamp_agg, " + ", ".join(f"min(close) FILTER (ticker = '{k}') AS \"{k}\"" for k in ("click", "error", "purchase", "signup", "view")) + " FROM panel GROUP BY 1")
+add("pivot_wide", on(h, lambda p: T.wide(p, "close", order="n_obs")), "timestamp_agg:t click:d error:d purchase:d signup:d view:d", H, "SELECT timestamp_agg, " + ", ".join(f"min(close) FILTER (ticker = '{k}') AS \"{k}\"" for k in ("click", "error", "purchase", "signup", "view")) + " FROM panel GROUP BY 1")
 
 # windows
 _lag = lambda c: ", ".join(f"lag({c}, {k}) OVER ({ON}) AS {c}_lag{k}" for k in X.LAGS)
