@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import safe_div
 
 
 def steps(c: Column, *grades: tuple[float, float]) -> Column:
@@ -82,7 +81,3 @@ def table_text(rows: dict) -> str:
     """Metrics as a two-column markdown table."""
     show = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v)
     return "\n".join(["| metric | value |", "|---|---|", *(f"| {k} | {show(v)} |" for k, v in rows.items())])
-
-
-def ratio(a: str, b: str) -> Column:
-    return safe_div(a, b, 0.0)
