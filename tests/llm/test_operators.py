@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 
 import numpy as np
 import pytest
@@ -300,6 +301,31 @@ def test_every_notice_is_found_and_near_misses_are_not(spark, docs):
     assert [(t, got[100 + k]) for k, (t, _) in enumerate(cases)] == cases
 
 
+def test_licenses_without_cue_words_are_found(spark, docs):
+    prose = some_text(62, 40)
+    cases = [
+        ("distributed under CC-BY 4.0", "CC-BY-4.0"), ("Use of this source code is governed by a BSD-style file", "BSD"),
+        ("This work is under a Creative Commons Attribution-ShareAlike 4.0 International agreement", "CC-BY-SA-4.0"), ("made under the terms of the Eclipse Public 2.0", ""),
+    ]
+    rows = [(100 + k, f"{prose}\n{t}.\n{prose}") for k, (t, _) in enumerate(cases)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not licenses.cue_windows(texts).count()
+    got = {r["doc_id"]: r["families"] for r in licenses.report(docs.select("doc_id", "text").unionByName(texts)).collect()}
+    assert [(t, got[100 + k]) for k, (t, _) in enumerate(cases)] == cases
+
+
+def test_only_paragraphs_that_cannot_confirm_are_passed_over(spark):
+    draw = random.Random(63)
+    for _, text in licenses.TEMPLATES:
+        pairs, versions, need = licenses._needed(text)
+        must, some, least = licenses._strings(text)
+        for _ in range(40):
+            own = {*versions, *draw.sample(pairs, max(need - len(versions), 0))}
+            own |= set(draw.sample(pairs, need)) if len(own) < need else set()
+            words = {w for p in own for w in p.split()}
+            assert set(must) <= words and words & set(some) and len(words) >= least
+
+
 def test_classifiers(spark):
     rng = np.random.default_rng(5)
     rows = []

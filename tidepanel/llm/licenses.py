@@ -1,19 +1,24 @@
 """License scan by a trained paragraph classifier (operator 2, DataFrame functions and spark.ml only).
 
 A paragraph is a run of lines up to a blank one; its line breaks count as spaces, so that wrapped notices
-are read whole. Around every cue word of a paragraph (words that each notice has some of and prose seldom)
-windows of a few widths are classed by sparse logistic regression on the word n-grams that they hold. It is
-trained on short notices of each family, varied by cutting and by surroundings, against the unknown class:
-windows of the corpus at cue words that are like no notice, and other paragraphs. A temperature fitted on
-held-out notices calibrates the probabilities, the unknown class's included. A family counts only where
-the best template of it confirms it: enough of the template's word pairs stand in the window.
-
-Texts without a cue cost one search for strings. The corpus gives at most ``NEGATIVES`` windows of either
-kind for training, those of lowest hash.
+are read whole. Around every word pair of a template and every cue word windows of a few widths are classed
+by sparse logistic regression on the word n-grams that they hold. It is trained on short notices of each
+family, varied by cutting and by surroundings, against the unknown class: windows of the corpus at cue words
+that are like no notice, and other paragraphs. A temperature fitted on held-out notices calibrates the
+probabilities, the unknown class's included. A family counts only where the best template of it confirms it:
+enough of the template's word pairs stand in the window.
+
+A paragraph is passed over only where none of its windows could be confirmed: it holds too few pairs of every
+template (``may_hold``, exact), which most texts show by a search for strings. The corpus gives at most
+``NEGATIVES`` windows of either kind for training, those of lowest hash.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -29,7 +34,7 @@ UNLIKE = 0.34
 UNKNOWN = "unknown"
 #: Words to either side of a cue word in a window.
 RADII = (6, 14, 32)
-#: Words of which every notice has some (one of them within three fifths of its word pairs), and strings of which one is in each of these.
+#: Words at which the training's negative windows stand, and strings of which one is in each of these.
 CUES = "license licensed licence licenced spdx redistribution redistribute hereby permission obtaining binary unencumbered reserved reproduced cc0".split()
 STEMS = "licen spdx redistribut hereby permission obtaining binary unencumbered reserved reproduced cc0".split()
 #: Notices by family, lower case, words only.
@@ -131,15 +136,62 @@ def _shares(families: Column | None = None) -> Column:
     return F.greatest(*each)
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """doc_id, th, place (paragraph, from 0), at (first word), w: windows around cue words, th the text's xxhash64."""
-    low = F.lower("text")
-    some = docs.where(F.col("text").isNotNull()).select("doc_id", "text", low.alias("low"))
-    some = some.where(" or ".join(f"contains(low, '{s}')" for s in STEMS))
-    rows = some.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("low", BLANK)).alias("place", "paragraph"))
-    rows = rows.where(" or ".join(f"contains(paragraph, '{s}')" for s in STEMS)).withColumn("all", words(F.col("paragraph")))
-    cue = F.array_compact(F.transform("all", lambda w, i: F.when(w.isin(*CUES), i)))
-    rows = rows.select("doc_id", "th", "place", "all", F.explode(cue).alias("p"))
+def _needed(text: str) -> tuple[list[str], list[str], int]:
+    """A template's word pairs, those with a number (all must be there), and how many of them confirm it at least."""
+    pairs = _template_pairs(text)
+    return pairs, [p for p in pairs if any(w.isdigit() for w in p.split())], math.ceil(MIN_OVERLAP * len(pairs) - 1e-9)
+
+
+def _strings(text: str) -> tuple[list[str], list[str], int]:
+    """Words without which no text confirms the template, words of which it has at least one, and how many of all it has at least.
+
+    A part of the template's chain of words with k words has k - 1 pairs, and one more for each that closes a ring.
+    """
+    pairs, versions, need = _needed(text)
+    left = lambda gone: [p for p in pairs if not set(p.split()) & gone]
+    each = list(dict.fromkeys(sorted(text.split(), key=lambda w: (w.isdigit(), -len(w), w))))
+    must = [w for w in each if len(left({w})) < need or any(w in p.split() for p in versions)]
+    some: list[str] = []
+    for w in each:
+        if len(left(set(some))) >= need and len(left({*some, w})) < len(left(set(some))):
+            some.append(w)
+    return must, some, need + len(each) - len(pairs)
+
+
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def may_name(low: Column) -> Column:
+    """False only for a lower-case text none of whose windows can be confirmed: a search for strings."""
+    each = []
+    for text in dict.fromkeys(t for _, t in TEMPLATES):
+        must, some, least = _strings(text)
+        count = reduce(lambda a, b: a + b, [F.contains(low, F.lit(w)).cast("int") for w in dict.fromkeys(text.split())])
+        each.append(reduce(lambda a, b: a & b, [*(F.contains(low, F.lit(w)) for w in must), _any([F.contains(low, F.lit(w)) for w in some]), count >= least]))
+    return _any(each)
+
+
+def may_hold(own: Column) -> Column:
+    """True where the distinct template pairs ``own`` of a paragraph could confirm a template, were they in one window."""
+    each = []
+    for _, t in TEMPLATES:
+        pairs, versions, need = _needed(t)
+        ok = F.size(F.array_intersect(own, F.array(*map(F.lit, pairs)))) >= need
+        each.append(ok & (F.size(F.array_intersect(own, F.array(*map(F.lit, versions)))) == len(versions)) if versions else ok)
+    return _any(each)
+
+
+def _paragraphs(docs: DataFrame, texts: Callable[[Column], Column]) -> DataFrame:
+    """doc_id, th, place, all (words): paragraphs for which ``texts`` holds."""
+    low = F.split(F.lower("text"), BLANK)
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(low).alias("place", "paragraph"))
+    return rows.where(texts(F.col("paragraph"))).withColumn("all", words(F.col("paragraph"))).drop("paragraph")
+
+
+def _around(rows: DataFrame, centres: Column) -> DataFrame:
+    """doc_id, th, place (paragraph, from 0), at (first word), w: windows of ``RADII`` words around the given places."""
+    rows = rows.select("doc_id", "th", "place", "all", F.explode(centres).alias("p"))
     r, before = F.col("r.to"), F.col("r.from")
     rows = rows.withColumn("r", F.explode(F.array(*(F.struct(F.lit(r).alias("to"), F.lit(b).alias("from")) for r, b in zip(RADII, (-1, *RADII), strict=False)))))
     # a wider window that holds nothing more is no other
@@ -148,6 +200,26 @@ def windows(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "th", "place", at.alias("at"), F.slice("all", at + 1, F.col("p") + r - at + 1).alias("w"))
 
 
+def cue_windows(docs: DataFrame) -> DataFrame:
+    """Windows around cue words, from which the training's negatives are taken."""
+    rows = _paragraphs(docs, lambda t: _any([F.contains(t, F.lit(s)) for s in STEMS]))
+    return _around(rows, F.array_compact(F.transform("all", lambda w, i: F.when(w.isin(*CUES), i))))
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """doc_id, th, place (paragraph, from 0), at (first word), w: windows around every template pair and cue word, th the text's xxhash64.
+
+    Only paragraphs that cannot confirm any template have none.
+    """
+    every = list(dict.fromkeys(p for _, t in TEMPLATES for p in _template_pairs(t)))
+    rows = _paragraphs(docs, may_name)
+    own = F.transform(_pairs(F.col("all")), lambda p: F.when(p.isin(*every), p))
+    rows = rows.select("*", F.explode(F.array(own)).alias("own"))  # generated, so that it is computed once
+    rows = rows.select("*", F.explode(F.array(F.array_distinct(F.array_compact("own")))).alias("held")).where(may_hold(F.col("held")))
+    pairs = F.array_compact(F.transform("own", lambda p, i: F.when(p.isNotNull(), i)))
+    return _around(rows, F.array_union(pairs, F.array_compact(F.transform("all", lambda w, i: F.when(w.isin(*CUES), i)))))
+
+
 def _training(docs: DataFrame) -> DataFrame:
     """(w, y, fold) rows: varied notices, and near misses and windows of the corpus as the unknown class.
 
@@ -161,7 +233,7 @@ def _training(docs: DataFrame) -> DataFrame:
     blocks = F.split("text", BLANK)
     prose = lowest.select("h", words(F.element_at(blocks, (F.pmod("h", F.size(blocks)) + 1).cast("int"))).alias("w"))
     prose = prose.select("h", F.slice("w", (F.pmod("h", F.greatest(F.size("w") - 39, F.lit(1))) + 1).cast("int"), 40).alias("w"))
-    hard = windows(docs).select("w", F.xxhash64("w").alias("h")).where(_shares()["share"] <= UNLIKE)
+    hard = cue_windows(docs).select("w", F.xxhash64("w").alias("h")).where(_shares()["share"] <= UNLIKE)
     hard = hard.groupBy("h").agg(F.first("w").alias("w")).orderBy("h").limit(NEGATIVES).select("h", "w")
     negative = cut(prose.where(_shares()["share"] <= UNLIKE).unionByName(hard).where(F.size("w") > 0))
     around = [r["w"] for r in negative.orderBy("h", F.size("w")).limit(24).collect()]
