@@ -8,7 +8,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.llm import kneser_ney
+from tidepanel.llm import kneser_ney, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,6 +81,18 @@ def test_near_dedup_leaves_one_of_each_group(spark, docs):
         assert not ids or kept[next(x for x in stays if kept[x])] and next(x for x in stays if kept[x])[0] == min(ids)
 
 
+def test_near_dedup_takes_the_links_of_fingerprints(spark, docs):
+    """Where one shingle is most of a text the fingerprint is its hash, however unlike the sets of five-word shingles are."""
+    made = [(1, "q " * 20 + "one two three"), (2, "Q " * 20 + "four five six"), (3, "other words here"), (4, None), (5, "")]
+    rows = spark.createDataFrame(made, "doc_id long, text string")
+    of = {r["doc_id"]: r["component_id"] for r in simhash.components(rows).collect()}
+    assert of == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+    assert {r["doc_id"] for r in simhash.keep_one(rows).collect()} == {1, 3, 4}
+    every = docs.where("doc_id is not null").select("doc_id", "text")
+    of = {r["doc_id"]: r["component_id"] for r in simhash.components(every).collect()}
+    assert max(Counter(of[r["doc_id"]] for r in simhash.keep_one(every).collect()).values()) == 1
+
+
 def test_decontamination_drops_what_holds_ten_words(spark, docs):
     out = corpus_pipeline.drop_benchmark_leaks(spark, docs, SF)
     assert out.columns == docs.columns

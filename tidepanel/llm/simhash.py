@@ -12,9 +12,9 @@ differences accumulated from the root exceed the limit.
 
 A node emits a spanning forest of what it linked, never all pairs; components come from the forests.
 
-``LIMIT`` and ``SHINGLE`` are the contract of operator 3. Removal (``keep_one``) does not go by bits: texts
-with a Jaccard of 0.8 differ in ten of 64 bits and more, and no masks are both exact and selective at
-that. It joins the sets of five-word shingles themselves, by an exact prefix filter.
+``LIMIT`` and ``SHINGLE`` are the contract of operator 3. Removal (``keep_one``) takes the same links, and as texts
+with a Jaccard of 0.8 differ in ten of 64 bits and more, at which no masks are both exact and selective, it
+adds to them the links of an exact prefix join over the sets of five-word shingles.
 """
 
 from __future__ import annotations
@@ -249,7 +249,7 @@ def shingle_set(text: str | None, size: int = WIDE_SHINGLE) -> np.ndarray:
 
 
 def _with_sets(docs: DataFrame, size: int, path: str) -> DataFrame:
-    """(doc_id, text) -> doc_id, h (of the text), g (of its shingle set), and where below ``path`` the set stands: file, at, n."""
+    """(doc_id, text) -> doc_id, h (of the text), fp, g (of its shingle set), and where below ``path`` the set stands: file, at, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -261,11 +261,12 @@ def _with_sets(docs: DataFrame, size: int, path: str) -> DataFrame:
                     rows.append((xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0, at, len(own)))
                     at += len(own)
             g, at, n = np.array(rows, dtype=np.uint64).reshape(-1, 3).T.copy()
-            columns = [pa.array(g.view(np.int64)), pa.array([name] * len(g), pa.string()), pa.array(at.view(np.int64)), pa.array(n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *columns], names=["doc_id", "h", "g", "file", "at", "n"])
+            fps = pa.array([fingerprint(x.as_py()) for x in b.column(1)], pa.int64())
+            columns = [fps, pa.array(g.view(np.int64)), pa.array([name] * len(g), pa.string()), pa.array(at.view(np.int64)), pa.array(n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *columns], names=["doc_id", "h", "fp", "g", "file", "at", "n"])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    schema = rows.select("doc_id", "h", *(F.lit(None).cast(t).alias(c) for c, t in (("g", "long"), ("file", "string"), ("at", "long"), ("n", "int")))).schema
+    schema = rows.select("doc_id", "h", *(F.lit(None).cast(t).alias(c) for c, t in (("fp", "long"), ("g", "long"), ("file", "string"), ("at", "long"), ("n", "int")))).schema
     return rows.mapInArrow(run, schema)
 
 
@@ -431,18 +432,28 @@ def _similar(key, g, file, at, n, i, sets: _Sets, like: float) -> tuple[np.ndarr
     return names[moved], names[root[moved]]
 
 
+def _links_by_bits(rows: DataFrame) -> DataFrame:
+    """(fp, g) rows -> (src, dst) edges of sets: of equal fingerprints, and of those that differ in ``LIMIT`` or fewer bits."""
+    both = cut(rows.select("fp", "g").distinct())
+    least = cut(both.groupBy("fp").agg(F.min("g").alias("least")))
+    equal = both.join(least, "fp").where("g <> least").select(F.col("g").alias("src"), F.col("least").alias("dst"))
+    near = link_fingerprints(least.select("fp"))
+    near = near.join(least.select(F.col("fp").alias("src"), F.col("least").alias("a")), "src").join(least.select(F.col("fp").alias("dst"), F.col("least").alias("b")), "dst")
+    return equal.unionByName(near.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
 def keep_one(docs: DataFrame, shingle: int = WIDE_SHINGLE, like: float = LIKE) -> DataFrame:
     """``docs`` without near-duplicates: of each component the document of the smallest id stays.
 
-    Components are over pairs of texts whose sets of ``shingle``-word runs have a Jaccard of ``like`` or
-    more, each verified. Texts without words are alike. Rows that share that id are told apart by their
+    Components are over the links of fingerprints (``LIMIT`` bits, as in ``components``) and over pairs of texts
+    whose sets of ``shingle``-word runs have a Jaccard of ``like`` or more, each verified. Texts without words are alike. Rows that share that id are told apart by their
     text, and one of equal rows stays. A row of null id stays only where its component has no other.
     Columns pass through unchanged.
     """
     path = shared_path(docs.sparkSession, "shingle-sets")
     slim = cut(_with_sets(docs.select("doc_id", "text"), shingle, path))
     nodes = cut(slim.groupBy("g").agg(F.min(F.struct("file", "at", "n")).alias("s")).select("g", "s.*"))
-    linked = connected_components(link_sets(nodes, path, like))
+    linked = connected_components(_links_by_bits(slim).unionByName(link_sets(nodes, path, like)))
     comp = nodes.join(linked, nodes.g == linked.node, "left").select("g", F.coalesce("component", "g").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "g")
     # the winner of a set first: a set that many documents share is one row by then
