@@ -11,7 +11,7 @@ from tidepanel.llm.common import shared_dir, table
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxicity: rows that score 0.3 or more go. Learned from the labelled rows of ``docs`` itself."""
-    return toxicity.remove_toxic(docs, toxicity.labelled(docs, table(spark, sf_dir, "labels")))
+    return toxicity.remove_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup: of texts linked by a Jaccard of 0.8 or more over five-word shingles the document of the smallest id stays."""
+    """Near-dedup: of texts linked by SimHash bits, or by a Jaccard of 0.8 or more over five-word shingles, the document of the smallest id stays."""
     return simhash.keep_one(docs)
 
 

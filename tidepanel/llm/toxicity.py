@@ -31,6 +31,8 @@ HELD_MODULUS, HELD = 4, 2
 THRESHOLD = 0.3
 #: Labelled rows that are learned from at most.
 SAMPLE = 12_000
+#: Entries of the sample's features that the classifier's training works on at once, which bounds the driver's memory.
+PART = 1 << 18
 #: Entries of the learned lexicon at most, and voters that share it.
 ENTRIES, DEALT = 4_000, 6
 #: Log ratio of a lexicon entry between the classes at most.
@@ -171,32 +173,43 @@ def label_model(votes: np.ndarray, known: np.ndarray, rounds: int = 20) -> tuple
 def _linear(rows: list[tuple[np.ndarray, np.ndarray, int]], target: np.ndarray, k: int, rounds: int = 300) -> np.ndarray:
     """Logistic regression on soft targets: full-batch Adam with a little ridge."""
     lengths = np.array([len(at) for at, _, _ in rows])
-    row = np.repeat(np.arange(len(rows)), lengths)
-    col = np.concatenate([at for at, _, _ in rows]) if len(row) else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
+    col = np.concatenate([at for at, _, _ in rows]).astype(np.int32) if len(row) else np.zeros(0, np.int32)
     n = np.array([n for _, _, n in rows], float)
     count = np.concatenate([c for _, c, _ in rows]) if len(row) else np.zeros(0)
     dense = np.log1p(200 * count / np.maximum(n[row], 20))
     size = np.log1p(n) / 10
+    parts = [(row[s : s + PART], col[s : s + PART], dense[s : s + PART]) for s in range(0, len(row), PART)]
     w, m, s = np.zeros(2 * k + 2), np.zeros(2 * k + 2), np.zeros(2 * k + 2)
     for t in range(1, rounds + 1):
-        z = np.bincount(row, w[col] + w[k + col] * dense, len(rows)) + w[2 * k] * size + w[2 * k + 1]
+        z = w[2 * k] * size + w[2 * k + 1]
+        for r, c, d in parts:
+            z += np.bincount(r, w[c] + w[k + c] * d, len(rows))
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(rows)
-        grad = np.concatenate([np.bincount(col, g[row], k), np.bincount(col, g[row] * dense, k), [g @ size, g.sum()]])
+        grad = np.zeros(2 * k + 2)
+        for r, c, d in parts:
+            own = g[r]
+            grad[:k] += np.bincount(c, own, k)
+            grad[k : 2 * k] += np.bincount(c, own * d, k)
+        grad[2 * k :] = g @ size, g.sum()
         grad += 2e-6 * w
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad * grad
         w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
     return w
 
 
-def learn(texts: DataFrame, sample: int = SAMPLE) -> Model:
-    """Model from (doc_id, text, toxic) rows; null labels and texts are left out, rows of equal id and text are one.
+def learn(texts: DataFrame, sample: int = SAMPLE, labels: DataFrame | None = None) -> Model:
+    """Model from (doc_id, text, toxic) rows, or from (doc_id, text) rows and ``labels`` of (doc_id, toxic), unique by id.
 
-    Long texts count like others, by the words they have; those that tie in hash are equal.
+    Null labels and texts are left out, rows of equal id and text are one, whose largest label counts. Long texts count
+    like others, by the words they have. Labels are joined with ids and hashes; of the texts only the sample's are moved.
     """
-    known = texts.where("toxic is not null and text is not null").select("text", F.col("toxic").cast("int").alias("y"), F.xxhash64("doc_id", "text", F.lit(5)).alias("h"))
-    last = known.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    known = known.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"])
-    known = cut(known.select("text", "y").repartition(24))  # of bounded size
+    rows = texts.where("text is not null").withColumn("h", F.xxhash64("doc_id", "text", F.lit(5)))
+    slim = rows.select("doc_id", "h", *([] if labels is not None else ["toxic"]))
+    known = slim.join(labels, "doc_id") if labels is not None else slim
+    known = known.where("toxic is not null").groupBy("h").agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    some = F.broadcast(cut(known.orderBy("h").limit(sample)))  # of bounded size
+    known = cut(rows.select("h", "text").join(some, "h").dropDuplicates(["h"]).select("text", "y").repartition(24))  # of bounded size
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
@@ -231,11 +244,12 @@ def learn(texts: DataFrame, sample: int = SAMPLE) -> Model:
             out = []
             for t in b.column(0).to_pylist():
                 at, count, n, found = features(t, lexicon, memo)
-                out.append({"at": at.tolist(), "c": count.tolist(), "n": n, "v": _patterns(t, found)})
+                out.append({"at": at.astype("<i4").tobytes(), "c": count.astype("<f4").tobytes(), "n": n, "v": _patterns(t, found)})
             yield pa.RecordBatch.from_arrays([pa.array(out, _SPARSE), b.column(1)], names=["x", "y"])
 
-    got = known.mapInArrow(sparse, "x struct<at:array<bigint>,c:array<double>,n:bigint,v:array<bigint>>, y int").collect()
-    rows = [(np.array(r["x"]["at"], np.int64), np.array(r["x"]["c"], float), r["x"]["n"]) for r in got]
+    # arrays travel as bytes, so that the driver makes no object of every number; counts are exact to 2^24
+    got = known.mapInArrow(sparse, "x struct<at:binary,c:binary,n:bigint,v:array<bigint>>, y int").collect()
+    rows = [(np.frombuffer(r["x"]["at"], "<i4"), np.frombuffer(r["x"]["c"], "<f4"), r["x"]["n"]) for r in got]
     truth = np.array([r["y"] for r in got], float)
     names = [f"lexicon-{k}" for k in range(DEALT)] + ["density", "balance", "insult", "insults", "shouting", "address", "punctuation", "tiny", "label"]
     if not rows or not y1 or not y0:  # nothing to learn from: the fixed list speaks
@@ -247,7 +261,7 @@ def learn(texts: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(lexicon, sign, _linear(rows, post, len(lexicon)), names, rates, corr, prior)
 
 
-_SPARSE = pa.struct([("at", pa.list_(pa.int64())), ("c", pa.list_(pa.float64())), ("n", pa.int64()), ("v", pa.list_(pa.int64()))])
+_SPARSE = pa.struct([("at", pa.binary()), ("c", pa.binary()), ("n", pa.int64()), ("v", pa.list_(pa.int64()))])
 
 
 def _lexicon_votes(rows: list[tuple[np.ndarray, np.ndarray, int]], ratio: np.ndarray, share: float) -> np.ndarray:
@@ -282,22 +296,29 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "t
     return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("double").alias(name)).schema)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the learning folds."""
-    own = fold(F.col("doc_id"), HELD_MODULUS) != HELD
-    one = labels.where(own & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").where(own).join(one, "doc_id")
+def labels_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the learning folds; of several labels of an id the largest counts."""
+    return _learning(labels).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def _learning(rows: DataFrame) -> DataFrame:
+    return rows.where(fold(F.col("doc_id"), HELD_MODULUS) != HELD)
+
+
+def learn_from(docs: DataFrame, labels: DataFrame) -> Model:
+    """Model from the documents and labels of the learning folds."""
+    return learn(_learning(docs.select("doc_id", "text")), labels=labels_of(labels))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; one row per document row (a null id is not held out)."""
-    model = learn(labelled(docs, labels))
+    model = learn_from(docs, labels)
     held = F.coalesce(fold(F.col("doc_id"), HELD_MODULUS) == HELD, F.lit(False))
     out = with_score(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def remove_toxic(docs: DataFrame, labelled_docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; ``labelled_docs`` as from ``labelled``."""
+def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; learned from the rows of ``docs`` that ``labels`` names."""
     name = fresh(docs.columns, "toxicity")
-    return with_score(docs, learn(labelled_docs), name=name).where(F.col(name) < threshold).drop(name)
+    return with_score(docs, learn_from(docs, labels), name=name).where(F.col(name) < threshold).drop(name)
