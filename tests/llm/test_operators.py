@@ -355,6 +355,15 @@ def test_quality_sample_passes_over_long_texts(spark, monkeypatch):
     assert got == sorted(t for k, t, _ in rows if k % 2 == 0)
 
 
+def test_texts_are_not_joined_with_labels(spark, docs, monkeypatch):
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(30)], "doc_id long, toxic int, quality int")
+    plain, seen = type(docs).join, []
+    monkeypatch.setattr(type(docs), "join", lambda self, other, *how: seen.append((self.columns, other.columns)) or plain(self, other, *how))
+    assert quality.report(docs, labels).count() == toxicity.report(docs, labels).count() == docs.count()
+    met = [(a, b) for a, b in seen if {"toxic", "quality"} & {*a, *b}]
+    assert met and not any("text" in (*a, *b) for a, b in met)
+
+
 def test_toxicity_reads_whole_texts():
     text = "quiet " * 700 + "LOUD! " * 4000
     assert toxicity._patterns(text, toxicity.words(text))[2] == 1

@@ -143,26 +143,31 @@ def train(texts: list[str], target: np.ndarray, rounds: int = 10, batch: int = 3
     return net
 
 
-def learn(texts: DataFrame, sample: int = SAMPLE) -> Net:
-    """Net from (doc_id, text, quality) rows; null labels and texts are left out, rows of equal id and text are one.
+def learn(texts: DataFrame, sample: int = SAMPLE, labels: DataFrame | None = None) -> Net:
+    """Net from (doc_id, text, quality) rows, or from (doc_id, text) rows and ``labels`` of (doc_id, quality), unique by id.
 
-    At most ``sample`` rows, those of lowest hash, and ``SAMPLE_BYTES`` reach the driver.
+    Null labels and texts are left out, rows of equal id and text are one, whose largest label counts. At most
+    ``sample`` rows, those of lowest hash, and ``SAMPLE_BYTES`` reach the driver. Labels are joined with ids, hashes
+    and sizes; of the texts only those of the chosen rows are moved.
     """
-    known = texts.where("quality is not null and text is not null")
-    known = known.select("text", F.col("quality").cast("int").alias("y"), F.xxhash64("doc_id", "text", F.lit(9)).alias("h"))
-    sizes = known.groupBy("h").agg(F.min(F.octet_length("text")).alias("n")).orderBy("h").limit(sample).collect()
+    rows = texts.where("text is not null").withColumn("h", F.xxhash64("doc_id", "text", F.lit(9)))
+    slim = rows.select("doc_id", "h", F.octet_length("text").alias("n"), *([] if labels is not None else ["quality"]))
+    known = slim.join(labels, "doc_id") if labels is not None else slim
+    known = known.where("quality is not null").groupBy("h").agg(F.min("n").alias("n"), F.max(F.col("quality").cast("int")).alias("y"))
+    sizes = known.orderBy("h").limit(sample).collect()
     chosen, used = [], 0
-    for h, n in sizes:
+    for h, n, y in sizes:
         if used + n <= SAMPLE_BYTES:  # a text that does not fit is passed over
             used += n
-            chosen.append((h,))
+            chosen.append((h, y))
     if sizes and not chosen:
-        chosen = [(min(sizes, key=lambda r: (r["n"], r["h"]))["h"],)]
+        one = min(sizes, key=lambda r: (r["n"], r["h"]))
+        chosen = [(one["h"], one["y"])]
     if not chosen:
         return train([], np.zeros(0))
-    some = F.broadcast(texts.sparkSession.createDataFrame(chosen, "h long"))
-    rows = known.join(some, "h").dropDuplicates(["h"]).orderBy("h").select("text", "y").collect()
-    return train([r["text"] for r in rows], np.array([r["y"] for r in rows], float))
+    some = F.broadcast(texts.sparkSession.createDataFrame(chosen, "h long, y int"))
+    found = rows.select("h", "text").join(some, "h").select("h", "text", "y").dropDuplicates(["h"]).orderBy("h").collect()
+    return train([r["text"] for r in found], np.array([r["y"] for r in found], float))
 
 
 def with_score(docs: DataFrame, net: Net, text: str = "text", name: str = "quality") -> DataFrame:
@@ -188,16 +193,19 @@ def with_score(docs: DataFrame, net: Net, text: str = "text", name: str = "quali
     return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("double").alias(name)).schema)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, quality) of the learning folds; of several labels of an id the largest counts."""
-    own = fold(F.col("doc_id"), HELD_MODULUS) != HELD
-    one = labels.where(own & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return docs.select("doc_id", "text").where(own).join(one, "doc_id")
+def learning(rows: DataFrame) -> DataFrame:
+    """Rows of the learning folds, by doc_id."""
+    return rows.where(fold(F.col("doc_id"), HELD_MODULUS) != HELD)
+
+
+def labels_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of the learning folds; of several labels of an id the largest counts."""
+    return learning(labels).where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; one row per document row (a null id is not held out)."""
-    net = learn(labelled(docs, labels))
+    net = learn(learning(docs.select("doc_id", "text")), labels=labels_of(labels))
     held = F.coalesce(fold(F.col("doc_id"), HELD_MODULUS) == HELD, F.lit(False))
     out = with_score(docs.select("doc_id", "text"), net)
     return out.select("doc_id", held.alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= THRESHOLD).cast("int").alias("predicted"))
