@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidepanel.llm import lines, queries
 
@@ -79,3 +80,15 @@ def test_sql(spark, name, tmp_path):
     assert sorted(want.columns) == names
     at = [want.columns.index(c) for c in names]
     assert sorted(repr([r[c] for c in names]) for r in got.collect()) == sorted(repr([r[k] for k in at]) for r in want.fetchall())
+
+
+def test_ranks_are_neither_in_the_plan_nor_in_its_rows(spark, tmp_path):
+    """A constant of half a million ranks took the driver's memory with every description of the plan."""
+    df = spark.createDataFrame([(1, "a b c d\ne\tf g\rh"), (2, "a b c e")], "doc_id long, text string")
+    rows = lines._lines(df).select("doc_id", "th", "pos", "id", lines.tokens(F.col("line")).alias("toks"))
+    rows.select("*", F.size("toks").alias("n"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("h")).write.parquet(f"{tmp_path}/sets")
+    heads = lines._heads(spark.read.parquet(f"{tmp_path}/sets"), 0.8)
+    plan = heads._jdf.queryExecution().toString()
+    top = heads._jdf.queryExecution().executedPlan().toString().split("Subquery", 1)[0]
+    assert len(plan) < 50_000 and top.count("Project") == 1
+    assert sorted((r["doc_id"], len(r["head"])) for r in heads.collect()) == [(1, 1), (1, 1), (2, 1)]

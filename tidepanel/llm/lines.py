@@ -48,20 +48,36 @@ def tokens(line: Column) -> Column:
 
 
 def _rarity(sets: DataFrame) -> Column:
-    """Constant array: rank of each bucket by the number of lines that have a token of it (``BUCKETS`` ranks, whatever the input)."""
+    """Array over ``BUCKETS`` buckets: rank, times 2^32, of each by the number of lines that have a token of it.
+
+    It is a subquery's one row, of fixed size, and not a constant, whose text would stand in every description of the plan.
+    """
     some = sets.select(F.explode("toks").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     every = sets.sparkSession.range(BUCKETS).join(some, F.col("id") == F.col("b"), "left")
     # steps of a quarter octave, as only the order matters
-    rank = F.coalesce(F.floor(4 * F.log2(F.col("n"))) + 1, F.lit(0))
+    rank = F.coalesce(F.floor(4 * F.log2(F.col("n"))) + 1, F.lit(0)) * F.lit(1 << 32)
     part = every.groupBy(F.floor(F.col("id") / 1024).alias("part")).agg(F.sort_array(F.collect_list(F.struct("id", rank.alias("r")))).alias("rs"))
-    found = part.select("part", F.array_join(F.col("rs.r").cast("array<string>"), ",").alias("rs")).collect()
-    return F.split(F.lit(",".join(r["rs"] for r in sorted(found))), ",").cast("array<int>")
+    parts = part.select("part", F.col("rs.r").alias("rs")).groupBy().agg(F.sort_array(F.collect_list(F.struct("part", "rs"))).alias("parts"))
+    return cut(parts.select(F.flatten("parts.rs").alias("ranks"))).scalar()
 
 
 def _head(toks: Column, n: Column, rank: Column, like: float) -> Column:
     """A set's rarest tokens, as many as any similar set must share one of; each is added to its rank."""
-    ranked = F.transform(toks, lambda t: F.coalesce(F.get(rank, t.bitwiseAND(F.lit(BUCKETS - 1))).cast("long") * F.lit(1 << 32) + t, F.lit(0).cast("long")))
-    return F.slice(F.sort_array(ranked), F.lit(1), n - F.ceil(like * n - 1e-9).cast("int") + 1)
+
+    def ranked(ranks: Column) -> Column:
+        return F.transform(toks, lambda t: F.coalesce(F.get(ranks, t.bitwiseAND(F.lit(BUCKETS - 1))), F.lit(0).cast("long")) + t)
+
+    # by a lambda's argument, so that the array is read from its subquery once a row
+    values = F.get(F.transform(F.array(rank), ranked), F.lit(0))
+    return F.slice(F.sort_array(values), F.lit(1), n - F.ceil(like * n - 1e-9).cast("int") + 1)
+
+
+def _heads(sets: DataFrame, like: float) -> DataFrame:
+    """Rows of a table of sets with their prefix instead of their tokens."""
+    # a subquery may not be written inside a lambda function; the optimiser joins both projections, so that no row holds the array
+    own = ("id", "doc_id", "th", "pos", "n", "s", "h")
+    ranked = sets.select(*own, "toks", _rarity(sets).alias("ranks"))
+    return ranked.select(*own, _head(F.col("toks"), F.col("n"), F.col("ranks"), like).alias("head"))
 
 
 def _signature(toks: Column) -> Column:
@@ -128,8 +144,7 @@ def removed_lines(docs: DataFrame, like: float = LIKE) -> DataFrame:
     sets.write.format("parquet").option("compression", "zstd").bucketBy(width, "id").saveAsTable(f"line_sets_{mark}")
     try:
         sets = spark.table(f"line_sets_{mark}")
-        heads = sets.select("id", "doc_id", "th", "pos", "n", "s", "h", _head(F.col("toks"), F.col("n"), _rarity(sets), like).alias("head"))
-        heads.write.format("parquet").option("compression", "zstd").saveAsTable(f"line_heads_{mark}")
+        _heads(sets, like).write.format("parquet").option("compression", "zstd").saveAsTable(f"line_heads_{mark}")
         return _places(sets, _later_sets(sets, spark.table(f"line_heads_{mark}"), like), lines.drop("line"))
     finally:
         for kind in ("sets", "heads"):
