@@ -89,3 +89,12 @@ def test_runs_are_cut_only_where_both_sides_stay_the_same():
     texts = ["".join(rnd.choices(parts, k=rnd.randint(1, 20))) for _ in range(4_000)]
     for text, found in zip(texts, pair(texts), strict=True):
         assert found and found[0].tolist() == a.encode(" " + text, add_special_tokens=False).ids and found[1].tolist() == b.encode(text)
+
+
+def test_a_run_that_comes_again_is_given_once(spark):
+    """Spark gets each distinct run of a block once, and makes of it the groups and links of every place."""
+    texts = ["repeat repeat naïve 漢字"] * 300 + ["naïve  repeat", " naïve", "a▁b repeat"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = alignment.blocks(df, A, B).select(F.size("docs").alias("docs"), F.size("runs").alias("runs")).collect()
+    assert sum(r["docs"] for r in got) == len(texts) and sum(r["runs"] for r in got) == len(got) * 3 + 3
+    assert sorted((str(r[0]), *r[1:]) for r in alignment.align(df, A, B)[0].collect()) == plain(enumerate(texts))
