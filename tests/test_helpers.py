@@ -1,12 +1,14 @@
 """Small helpers of results, manifests and replays."""
 
-from datetime import date
+import os
+from datetime import date, datetime
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidepanel.operators import portfolio, scoring
+from tidepanel.plans import queries
 
 
 def test_results_that_are_not_finite_fail():
@@ -39,3 +41,11 @@ def test_replay_records_failures(spark):
     assert sorted((r["model_name"], r["repeat_idx"], r["daily_ret"]) for r in streams.collect()) == [("a", 0, 0.0), ("c", 2, 2.0)]
     assert streams.where(F.col("task_name") == "t").count() == 2
     assert portfolio.replay(manifest[1:2], score)[0] is None
+
+
+def test_rows_of_both_periods_count_once_though_the_panel_does_not_repeat(spark, monkeypatch):
+    rows = [(datetime(1999, 5, 1), "A", 1.0), (datetime(1999, 7, 1), "A", 2.0), (datetime(2000, 2, 1), "A", 3.0), (datetime(1999, 7, 1), "B", 4.0)]
+    noise = F.udf(lambda: os.urandom(4).hex()).asNondeterministic()
+    panel = spark.createDataFrame(rows, "timestamp_agg timestamp, ticker string, close double").withColumn("return", noise())
+    monkeypatch.setattr(queries.A, "daily", lambda spark, sf_dir: panel)
+    assert sorted(r["close"] for r in queries.QUERIES["task_full"](spark, "").collect()) == [1.0, 2.0, 3.0, 4.0]

@@ -129,7 +129,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # sources, projection, filters
 add("scan_panel", d, "timestamp_agg:t ticker:s close:d volume:d n_obs:l return:d residual_return:d", D, "SELECT * FROM panel")
-add("task_full", on(d, lambda p: A.full_frame(p.where(F.col(TIME) < CUT_D), p.where(F.col(TIME) >= datetime(1999, 6, 1)))), "timestamp_agg:t ticker:s close:d", D, "SELECT DISTINCT * FROM (SELECT * FROM panel WHERE timestamp_agg < '2000-01-01' UNION ALL SELECT * FROM panel WHERE timestamp_agg >= '1999-06-01')")
+add("task_full", on(d, lambda p: A.full_of(p, F.col(TIME) < CUT_D, F.col(TIME) >= datetime(1999, 6, 1))), "timestamp_agg:t ticker:s close:d", D, "SELECT DISTINCT * FROM (SELECT * FROM panel WHERE timestamp_agg < '2000-01-01' UNION ALL SELECT * FROM panel WHERE timestamp_agg >= '1999-06-01')")
 add("project_cols", on(h, lambda p: p.withColumnRenamed("close", "price").drop("volume").select(*KEYS, "price")), "timestamp_agg:t ticker:s price:d", H, "SELECT timestamp_agg, ticker, close AS price FROM panel")
 add("finite_filter", on(d, lambda p: p.where(is_finite("residual_return")).select(*KEYS, "residual_return")), "timestamp_agg:t ticker:s residual_return:d", D, "SELECT timestamp_agg, ticker, residual_return FROM panel WHERE residual_return IS NOT NULL AND NOT isnan(residual_return) AND isfinite(residual_return)")
 add("fill_values", on(d, lambda p: p.select(*KEYS, F.coalesce(F.nanvl("return", F.lit(0.0)), F.lit(0.0)).alias("filled"))), "timestamp_agg:t ticker:s filled:d", D, 'SELECT timestamp_agg, ticker, coalesce("return", 0) AS filled FROM panel')

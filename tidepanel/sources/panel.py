@@ -7,7 +7,7 @@ import math
 import tomllib
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import NAME, TIME, bar, own
@@ -67,6 +67,14 @@ def full_frame(train: DataFrame, test: DataFrame) -> DataFrame:
     return train.unionByName(test, allowMissingColumns=True).distinct()
 
 
+def full_of(df: DataFrame, *parts: Column) -> DataFrame:
+    """``full_frame`` of parts of one frame. The frame is computed once for all of them: computed twice, sums of doubles may
+    differ in their last bits by the order of rows, and a row that two parts share would count twice.
+    """
+    which = F.array_compact(F.array(*(F.when(p, F.lit(k)) for k, p in enumerate(parts))))
+    return df.withColumn("_part", F.explode(which)).drop("_part").distinct()
+
+
 TRAIN, TEST, VAL = "environment/data/train.parquet", "tests/test.parquet", "tests/val.parquet"
 
 
