@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.functions.columns import own
 from tidepanel.operators import regression, scan, transforms
+from tidepanel.plans import queries
 
 START = datetime(2024, 1, 1)
 
@@ -168,3 +169,35 @@ def test_adx_and_hysteresis_against_loops(spark):
         scan.hysteresis(df, "close", 1.0, 1.0)
     with pytest.raises(ValueError):
         scan.decayed_sums(df, {"s": F.col("close")}, {"s": 1.0}, scan.slice_of(60))
+
+
+@pytest.mark.parametrize("n", [2, 14])
+def test_smoothing_along_tickers_against_a_loop(spark, n):
+    """Several runs (n = 2: 664 rows each), gaps, a ticker that starts with missing values and one without a name."""
+    rng = np.random.default_rng(8)
+    rows = [(START + timedelta(hours=t), name, None if t < 5 or rng.random() < 0.1 else float(rng.normal())) for name in ("A", "B", None) for t in range(2_500 if name == "A" else 40)]
+    df = spark.createDataFrame(rows, "timestamp_agg timestamp, ticker string, x double")
+    got = {(r["ticker"], r["timestamp_agg"]): r["w"] for r in scan.smoothed(df, {"w": F.col("x")}, n).collect()}
+    assert len(got) == len(rows)
+    for name in ("A", "B", None):
+        s = None
+        for t, _, v in sorted((r for r in rows if r[1] == name), key=lambda r: r[0]):
+            if v is None:
+                assert got[(name, t)] is None
+                continue
+            s = v if s is None else s + (v - s) / n
+            assert abs(got[(name, t)] - s) <= 1e-12 * max(1, abs(s))
+    with pytest.raises(ValueError):
+        scan.smoothed(df, {"w": F.col("x")}, 1)
+
+
+def test_adx_along_tickers_equals_adx_over_slices_on_one_shuffle(spark):
+    rng = np.random.default_rng(9)
+    rows = [(START + timedelta(hours=t), k, *map(float, (c + abs(rng.normal()), c - abs(rng.normal()), c))) for k in "AB" for t, c in enumerate(100 + np.cumsum(rng.normal(size=90)))]
+    df = spark.createDataFrame(rows, "timestamp_agg timestamp, ticker string, high double, low double, close double")
+    one, many = ({(r["ticker"], r["timestamp_agg"]): (r["plus_di"], r["minus_di"], r["adx"]) for r in scan.adx(df, "high", "low", "close", 14, x).collect()} for x in (None, 2 * scan.DAY))
+    assert one.keys() == many.keys() and len(one) == 180
+    for k, x in one.items():
+        assert [v is None for v in x] == [v is None for v in many[k]] and np.allclose([v or 0 for v in x], [v or 0 for v in many[k]], atol=1e-9)
+    query = queries.QUERIES["adx_regime"](spark, "/root/testdata/sf0.001")
+    assert query._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

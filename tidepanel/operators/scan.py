@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,8 +132,38 @@ def wilder(df: DataFrame, columns: dict[str, Column], n: int, seconds: int = 30
     return found.select(*df.columns, *columns).unionByName(rest)
 
 
-def adx(df: DataFrame, high: str, low: str, close: str, n: int = 14, seconds: int = 30 * DAY) -> DataFrame:
-    """Directional movement of a ticker by Wilder's smoothing: plus_di, minus_di and adx, null on its first rows."""
+def smoothed(df: DataFrame, columns: dict[str, Column], n: int) -> DataFrame:
+    """``wilder`` for frames whose other steps order each ticker's rows in one task anyway, such as lags: windows by ticker only.
+
+    Rows are cut into runs by their number; what came before a run is below 1e-200 of its weight at the run's end, so a run
+    takes over one value, the end of the run before. Nothing is joined and, once rows lie by ticker, nothing is shuffled.
+    """
+    keep = 1 - 1 / n
+    if not columns or not 0 < keep < 1:
+        raise ValueError("a recursion needs terms that keep a share between 0 and 1")
+    size = max(1, int(200 / -math.log10(keep)))
+    d = df.withColumns({f"_v_{c}": x.cast("double") for c, x in columns.items()})
+    there = F.lit(True)
+    for c in columns:
+        there = there & is_finite(f"_v_{c}")
+    upto = Window.partitionBy(NAME).orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_there", there).withColumn("_k", F.sum(F.col("_there").cast("long")).over(upto))
+    d = d.withColumn("_run", F.floor((F.col("_k") - 1) / size)).withColumn("_at", F.pmod(F.col("_k") - 1, F.lit(size)) + 1)
+    within = Window.partitionBy(NAME, "_run").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(NAME).orderBy(TIME, "_k").rowsBetween(Window.unboundedPreceding, -1)
+    weight, share = F.pow(F.lit(keep), F.col("_at")), F.when(F.col("_k") == 1, 1.0).otherwise(1 / n)
+    d = d.withColumns({f"_s_{c}": F.sum(F.when(F.col("_there"), F.col(f"_v_{c}") * share / weight)).over(within) * weight for c in columns})
+    ends = F.col("_there") & (F.col("_at") == size)
+    d = d.withColumns({f"_c_{c}": F.last(F.when(ends, F.col(f"_s_{c}")), ignorenulls=True).over(before) for c in columns})
+    return d.select(*df.columns, *(F.when(F.col("_there"), F.col(f"_s_{c}") + F.coalesce(F.col(f"_c_{c}"), F.lit(0.0)) * weight).alias(c) for c in columns))
+
+
+def adx(df: DataFrame, high: str, low: str, close: str, n: int = 14, seconds: int | None = None) -> DataFrame:
+    """Directional movement of a ticker by Wilder's smoothing: plus_di, minus_di and adx, null on its first rows.
+
+    All steps run along the ticker on one shuffle; with ``seconds``, the recursions are spread over time slices of that
+    length, at the price of many more shuffles.
+    """
     own = Window.partitionBy(NAME).orderBy(TIME)
     up, down, before = F.col(high) - F.lag(high).over(own), F.lag(low).over(own) - F.col(low), F.lag(close).over(own)
     d = df.withColumns({"_up": up, "_down": down, "_before": before})
@@ -142,10 +173,11 @@ def adx(df: DataFrame, high: str, low: str, close: str, n: int = 14, seconds: in
         "_minus": F.when((F.col("_down") > F.col("_up")) & (F.col("_down") > 0), F.col("_down")).when(F.col("_up").isNotNull() & F.col("_down").isNotNull(), zero),
         "_range": F.when(F.col("_before").isNotNull(), F.greatest(F.col(high) - F.col(low), F.abs(F.col(high) - F.col("_before")), F.abs(F.col(low) - F.col("_before")))),
     }
-    d = wilder(d, moves, n, seconds)
+    smooth = smoothed if seconds is None else partial(wilder, seconds=seconds)
+    d = smooth(d, moves, n)
     d = d.withColumn("plus_di", 100 * safe_div("_plus", "_range")).withColumn("minus_di", 100 * safe_div("_minus", "_range"))
     index = F.when(F.col("plus_di").isNotNull(), 100 * safe_div(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di"), 0.0))
-    return wilder(d, {"adx": index}, n, seconds).select(*df.columns, "plus_di", "minus_di", "adx")
+    return smooth(d, {"adx": index}, n).select(*df.columns, "plus_di", "minus_di", "adx")
 
 
 def hysteresis(df: DataFrame, c: str, enter: float, leave: float, name: str = "regime") -> DataFrame:

@@ -567,10 +567,10 @@ add("ewm_exact", on(h, lambda p: E.ewm(p, "volume", 0.06, seconds=2 * E.DAY)), _
 
 
 def _ranges(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily high, low and close of suppliers' prices."""
+    """Daily high, low and close of suppliers' prices; rows lie by supplier, as the windows along it need them."""
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    rows = A.table(spark, sf, "lineitem").groupBy(F.date_trunc("day", F.col("l_shipdate").cast("timestamp")).alias(TIME), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias(NAME))
-    return rows.agg(F.max(price).cast("double").alias("high"), F.min(price).cast("double").alias("low"), (F.sum("l_extendedprice") / F.sum("l_quantity")).cast("double").alias("close"))
+    rows = A.table(spark, sf, "lineitem").select(F.date_trunc("day", F.col("l_shipdate").cast("timestamp")).alias(TIME), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias(NAME), "l_extendedprice", "l_quantity")
+    return rows.repartition(F.col(NAME)).groupBy(*KEYS).agg(F.max(price).cast("double").alias("high"), F.min(price).cast("double").alias("low"), (F.sum("l_extendedprice") / F.sum("l_quantity")).cast("double").alias("close"))
 
 
 _ADX = f"""base AS (SELECT date_trunc('day', l_shipdate)::TIMESTAMP AS timestamp_agg, 'S' || l_suppkey::VARCHAR AS ticker, max(l_extendedprice / l_quantity)::DOUBLE AS high,
@@ -584,7 +584,7 @@ sm(ticker, k, p, m, r, adx) AS (
     SELECT *, CASE WHEN r <> 0 THEN coalesce(100 * abs(p - m) / nullif(p + m, 0), 0) END AS dx FROM (
       SELECT st.ticker, st.k, sm.p + (st.p - sm.p) / 14 AS p, sm.m + (st.m - sm.m) / 14 AS m, sm.r + (st.r - sm.r) / 14 AS r, sm.adx FROM sm JOIN st ON st.ticker = sm.ticker AND st.k = sm.k + 1))),
 panel AS (SELECT b.timestamp_agg, b.ticker, 100 * p / nullif(r, 0) AS plus_di, 100 * m / nullif(r, 0) AS minus_di, CASE WHEN r <> 0 THEN adx END AS adx FROM mv b LEFT JOIN sm USING (ticker, k))"""
-add("adx_regime", lambda spark, sf: E.hysteresis(E.adx(_ranges(spark, sf), "high", "low", "close", 14, 180 * E.DAY), "adx", 25.0, 18.0), _K + "plus_di:d minus_di:d adx:d regime:l",
+add("adx_regime", lambda spark, sf: E.hysteresis(E.adx(_ranges(spark, sf), "high", "low", "close", 14), "adx", 25.0, 18.0), _K + "plus_di:d minus_di:d adx:d regime:l",
     _ADX.replace("base AS", "RECURSIVE base AS", 1), f"SELECT *, coalesce(last_value(CASE WHEN adx >= 25 THEN 1 WHEN adx <= 18 THEN 0 END IGNORE NULLS) OVER ({ON} ROWS UNBOUNDED PRECEDING), 0) AS regime FROM panel")
 _AC = _STEP("before", f'lag("return") OVER ({ON})').replace("panel AS (SELECT *", "p1 AS (SELECT *") + f""",
 panel AS (SELECT timestamp_agg, ticker, covar_pop(a, b) OVER w / CASE WHEN stddev_pop(a) OVER w * stddev_pop(b) OVER w > 1e-18 THEN stddev_pop(a) OVER w * stddev_pop(b) OVER w END AS autocorr
