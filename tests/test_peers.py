@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from tidepanel.operators import peers, scan
+from tidepanel.plans import queries
 
 START = datetime(2024, 1, 1)
 
@@ -57,3 +58,34 @@ def test_lloyd(spark):
     assert all(got[f"P{k:02d}"] == k % 3 for k in range(30))
     assert {r["cluster"] for r in peers.lloyd(df.where("false"), ["m", "s"], 3).collect()} == set()
     assert {r["cluster"] for r in peers.lloyd(df.where("ticker = 'P01'"), ["m", "s"], 2).collect()} == {0}
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_closest_peers_equal_those_of_all_pairs(spark, panel, block):
+    rows, df = panel
+    copies = spark.createDataFrame([(t, n, x) for t, _, x in rows if _ == "T04" for n in ("T04b", "T04a")] + [(START, None, 1.0)], df.schema)
+    df = df.union(copies)
+    want = {(r["ticker"], r["place"]): (r["peer"], r["n"], r["corr"]) for r in peers.closest(peers.correlations(df, "x"), 3).collect()}
+    got = {(r["ticker"], r["place"]): (r["peer"], r["n"], r["corr"]) for r in peers.closest_peers(df, "x", 3, block).collect()}
+    assert got.keys() == want.keys() and len(got) == 14 * 3
+    for k, (peer, n, corr) in got.items():
+        assert (peer, n) == want[k][:2] and abs(corr - want[k][2]) < 1e-9
+    assert [got[("T04", k)][0] for k in (1, 2)] == ["T04a", "T04b"]  # equal series: by name
+    assert peers.closest_peers(df.where("false"), "x").collect() == []
+
+
+def test_closest_peers_over_many_bars_and_batches(spark):
+    """More bars than a task's matrices hold at once, a ticker over several batches, all pairs left out that share too few bars."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=5_000)
+    rows = [(START + timedelta(hours=t), n, float(base[t] * s + rng.normal())) for n, s in (("A", 1.0), ("B", 1.0), ("C", -1.0)) for t in range(5_000)] + [(START + timedelta(hours=t), "D", float(base[t])) for t in range(29)]
+    df = spark.createDataFrame(rows, "timestamp_agg timestamp, ticker string, x double")
+    wide = pd.DataFrame(rows, columns=["t", "n", "x"]).pivot(index="t", columns="n", values="x")
+    got = {(r["ticker"], r["peer"]): (r["n"], r["corr"]) for r in peers.closest_peers(df, "x", 5).collect()}
+    assert set(got) == {(a, b) for a in "ABC" for b in "ABC" if a != b}
+    assert all(n == 5_000 and abs(corr - wide[a].corr(wide[b])) < 1e-12 for (a, b), (n, corr) in got.items())
+
+
+def test_queries_of_peers_copy_no_rows(spark):
+    near = queries.QUERIES["closest_peers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in near and near.count("Exchange hashpartitioning") == 1

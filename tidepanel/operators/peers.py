@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import NAME, TIME, is_finite
+from ..sources.store import shared_dir
 from .scan import DAY, slice_of
 
+#: Decimals of a correlation by which peers are ordered: below them, equal series differ by how their sums were added up.
+ORDERED = 12
+
 
 def return_moments(df: DataFrame, c: str = "return", scale: float = 1e3) -> DataFrame:
     """ticker, m, s: scaled mean and deviation of each ticker's values."""
@@ -97,10 +105,137 @@ def correlations(df: DataFrame, c: str, block: int = 256, seconds: int = 365 * D
 
 def closest(pairs: DataFrame, k: int = 1) -> DataFrame:
     """The ``k`` most correlated peers of each ticker, ties by name: ticker, place (from 1), peer, n, corr."""
-    order = Window.partitionBy(NAME).orderBy(F.col("corr").desc(), "peer")
+    order = Window.partitionBy(NAME).orderBy(F.round("corr", ORDERED).desc(), "peer")
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(NAME, "place", "peer", "n", "corr")
 
 
+def packed(df: DataFrame, c: str, block: int, values: int = 1 << 21) -> DataFrame:
+    """Blocks of at most ``block`` tickers and about ``values`` values: id, names, counts, t (microseconds) and x (distances from the ticker's mean), the latter two as bytes.
+
+    A ticker's values stay together. Names rise within a block; ids are unique.
+    """
+    all_ = Window.partitionBy("a").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = df.where(is_finite(c) & F.col(NAME).isNotNull()).select(F.col(NAME).alias("a"), F.unix_micros(F.col(TIME).cast("timestamp")).alias("t"), F.col(c).cast("double").alias("x"))
+    # rows leave the window ticker by ticker, in time order
+    rows = rows.withColumn("x", F.col("x") - F.avg("x").over(all_))
+    schema = pa.schema([("id", pa.int64()), ("names", pa.list_(pa.string())), ("counts", pa.list_(pa.int32())), ("t", pa.binary()), ("x", pa.binary())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, done = TaskContext.get().partitionId() << 32, 0
+        names, counts, parts = [], [], []
+
+        def row() -> pa.RecordBatch:
+            t, x = (np.concatenate([p[k] for p in parts]).tobytes() for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(([first + done], [names], [counts], [t], [x]), schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            a = batch.column(0).to_numpy(zero_copy_only=False)
+            t, x = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            starts = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1]) if len(a) else []
+            for i, j in zip(starts, [*starts[1:], len(a)], strict=False):
+                if not names or names[-1] != a[i]:
+                    if len(names) >= block or sum(counts) >= values:
+                        yield row()
+                        names, counts, parts, done = [], [], [], done + 1
+                    names.append(a[i])
+                    counts.append(0)
+                counts[-1] += int(j - i)
+                parts.append((t[i:j].copy(), x[i:j].copy()))
+        if names:
+            yield row()
+
+    return rows.mapInArrow(pack, "id long, names array<string>, counts array<int>, t binary, x binary")
+
+
+class _Side:
+    """A block's tickers, and the bars of its values as places among the bars of a pair of blocks."""
+
+    def __init__(self, names: list[str], counts: list[int], t: bytes, x: bytes):
+        self.names = np.array(names, dtype=object)
+        self.row, self.t, self.x = np.repeat(np.arange(len(names)), counts), np.frombuffer(t, np.int64), np.frombuffer(x, np.float64)
+
+    def chunk(self, at: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Values and marks of what is there, ticker by bar, for bars from ``low`` up to ``high``."""
+        x, there = np.zeros((len(self.names), high - low)), np.zeros((len(self.names), high - low))
+        i = np.flatnonzero((at >= low) & (at < high))
+        x[self.row[i], at[i] - low], there[self.row[i], at[i] - low] = self.x[i], 1.0
+        return x, there
+
+
+def _best(one: _Side, two: _Side, same: bool, k: int, least: int, bars: int = 2048) -> pd.DataFrame:
+    """The ``k`` best peers in the other block of each ticker of two blocks; ``near`` is the correlation they are ordered by."""
+    when = np.union1d(one.t, two.t)
+    at, to = np.searchsorted(when, one.t), np.searchsorted(when, two.t)
+    n, sx, sy, xx, yy, xy = (np.zeros((len(one.names), len(two.names))) for _ in range(6))
+    for low in range(0, len(when), bars):
+        high = min(low + bars, len(when))
+        (x, m), (y, o) = one.chunk(at, low, high), two.chunk(to, low, high)
+        n += m @ o.T
+        sx += x @ o.T
+        sy += m @ y.T
+        xy += x @ y.T
+        xx += np.square(x, out=x) @ o.T
+        yy += m @ np.square(y, out=y).T
+    with np.errstate(all="ignore"):
+        vx, vy = xx - sx * sx / n, yy - sy * sy / n
+        corr = (xy - sx * sy / n) / np.sqrt(vx * vy)
+        near = np.where((n >= least) & (vx > 1e-24) & (vy > 1e-24), np.round(corr, ORDERED), -np.inf)
+    if same:
+        np.fill_diagonal(near, -np.inf)
+    found = []
+    for mine, others, rank, count, value in ((one, two, near, n, corr), *(() if same else ((two, one, near.T, n.T, corr.T),))):
+        rank, i = rank.copy(), np.arange(len(mine.names))
+        for _ in range(min(k, len(others.names))):
+            j = rank.argmax(axis=1)  # the first of equals: names rise
+            ok = rank[i, j] > -np.inf
+            found.append(pd.DataFrame({"ticker": mine.names[ok], "peer": others.names[j[ok]], "n": count[i, j][ok].astype(np.int64), "corr": value[i, j][ok], "near": rank[i, j][ok]}))
+            rank[i, j] = -np.inf
+    return pd.concat(found)
+
+
+def closest_peers(df: DataFrame, c: str, k: int = 1, block: int = 1024, least: int = 30) -> DataFrame:
+    """``closest(correlations(df, c), k)`` without the rows of all pairs: ticker, place, peer, n, corr.
+
+    All pairs are compared. Blocks of tickers are written once to the shared folder and meet in pairs (a product of that table
+    with itself: nothing is copied or shuffled); a task keeps the ``k`` best of each ticker it saw. The time grows with the
+    square of the tickers, what is written and shuffled does not. A task holds matrices of two blocks over 2,048 bars.
+    """
+    spark = df.sparkSession
+    home = f"{shared_dir(spark)}/peers-{uuid.uuid4().hex}"
+    packed(df, c, block).write.option("compression", "zstd").parquet(f"{home}/blocks")
+    one = spark.read.parquet(f"{home}/blocks")
+    two = one.select(*(F.col(x).alias(f"{x}2") for x in one.columns))
+    met = one.hint("shuffle_replicate_nl").join(two, F.col("id") <= F.col("id2"))
+    kinds = pa.schema([("ticker", pa.string()), ("peer", pa.string()), ("n", pa.int64()), ("corr", pa.float64()), ("near", pa.float64())])
+
+    def kept(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts).sort_values(["ticker", "near", "peer"], ascending=[True, False, True]).groupby("ticker").head(k)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, rows = [], 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                a, b = _Side(r["names"], r["counts"], r["t"], r["x"]), _Side(r["names2"], r["counts2"], r["t2"], r["x2"])
+                parts.append(_best(a, b, r["id"] == r["id2"], k, least))
+                rows += len(parts[-1])
+                if rows > 100_000:
+                    parts = [kept(parts)]
+                    rows = len(parts[0]) // 2
+        if parts:
+            yield pa.RecordBatch.from_pandas(kept(parts), schema=kinds, preserve_index=False)
+
+    # a pair of blocks is some 30 MB
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "1")
+    try:
+        met.mapInArrow(best, "ticker string, peer string, n long, corr double, near double").write.option("compression", "zstd").parquet(f"{home}/best")
+    finally:
+        spark.conf.set(batch, before)
+    order = Window.partitionBy(NAME).orderBy(F.col("near").desc(), "peer")
+    return spark.read.parquet(f"{home}/best").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(NAME, "place", "peer", "n", "corr")
+
+
 def pair_spread(df: DataFrame, pairs: DataFrame, c: str) -> DataFrame:
     """``df`` with the closest peer and the distance of ``c`` from the peer's value at the same bar; null where either is missing."""
     near = closest(pairs).select(F.col(NAME).alias("_of"), "peer")

@@ -38,8 +38,9 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily panel of suppliers."""
-    rows = table(spark, sf_dir, "lineitem").groupBy(F.date_trunc("day", F.col("l_shipdate").cast("timestamp")).alias(TIME), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias(NAME)).agg(
+    """Daily panel of suppliers. Rows are dealt by supplier once, for the aggregate and the windows along suppliers."""
+    rows = table(spark, sf_dir, "lineitem").select(F.date_trunc("day", F.col("l_shipdate").cast("timestamp")).alias(TIME), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias(NAME), "l_extendedprice", "l_quantity")
+    rows = rows.repartition(F.col(NAME)).groupBy(TIME, NAME).agg(
         (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"), F.count(F.lit(1)).alias("n_obs")
     )
     return with_returns(rows)

@@ -6,6 +6,7 @@ ended well, renames put it there. A job that fails or is stopped leaves what was
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -133,3 +134,16 @@ def write_parts(df: DataFrame, targets: dict[str, str], time: str | None = None)
     finally:
         delete(spark, draft)
     return {n: {"rows": got[f"rows_{k}"]} | ({"start": got[f"min_{k}"], "end": got[f"max_{k}"]} if time else {}) for k, n in enumerate(names)}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """URI of the folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where the session names none (local tests) a fresh temporary folder is made and set.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="tidepanel-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return named
