@@ -89,3 +89,16 @@ def test_closest_peers_over_many_bars_and_batches(spark):
 def test_queries_of_peers_copy_no_rows(spark):
     near = queries.QUERIES["closest_peers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in near and near.count("Exchange hashpartitioning") == 1
+
+
+def test_rows_of_pair_spread_stay_by_ticker(spark):
+    spread = queries.QUERIES["pair_spread"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(timestamp_agg" not in spread and "hashpartitioning(_at" not in spread
+
+
+def test_pair_spread_keeps_every_row(spark):
+    rows = [(START, "A", 3.0), (START, "A", 4.0), (START, "B", 1.0), (START, None, 2.0), (START + timedelta(hours=1), "A", None), (START + timedelta(hours=1), "C", 9.0)]
+    df = spark.createDataFrame(rows, "timestamp_agg timestamp, ticker string, x double")
+    pairs = spark.createDataFrame([("A", "B", 30, 0.5), ("B", "C", 30, 0.1), ("C", "Z", 30, 0.9)], "ticker string, peer string, n long, corr double")
+    got = sorted(((r["ticker"], r["x"], r["peer"], r["pair_spread"]) for r in peers.pair_spread(df, pairs, "x").collect()), key=str)
+    assert got == sorted([("A", 3.0, "B", 2.0), ("A", 4.0, "B", 3.0), ("A", None, "B", None), ("B", 1.0, "C", None), ("C", 9.0, "Z", None), (None, 2.0, None, None)], key=str)

@@ -237,8 +237,23 @@ def closest_peers(df: DataFrame, c: str, k: int = 1, block: int = 1024, least: i
 
 
 def pair_spread(df: DataFrame, pairs: DataFrame, c: str) -> DataFrame:
-    """``df`` with the closest peer and the distance of ``c`` from the peer's value at the same bar; null where either is missing."""
-    near = closest(pairs).select(F.col(NAME).alias("_of"), "peer")
-    other = df.select(F.col(TIME).alias("_at"), F.col(NAME).alias("_who"), F.col(c).alias("_value"))
-    d = df.join(near, F.col(NAME) == F.col("_of"), "left").join(other, (F.col(TIME) == F.col("_at")) & (F.col("peer") == F.col("_who")), "left")
-    return d.withColumn("pair_spread", F.col(c) - F.col("_value")).select(*df.columns, "peer", "pair_spread")
+    """``df`` with the closest peer and the distance of ``c`` from the peer's value at the same bar; null where either is missing.
+
+    A ticker has one row a bar. Rows stay by ticker: only the peers' values go to the tickers that follow them, as arrays.
+    """
+    near, named = closest(pairs).select(F.col(NAME).alias("_of"), "peer"), F.col(NAME).isNotNull()
+    rows = df.where(named & F.col(c).isNotNull()).groupBy(F.col(NAME).alias("_who")).agg(F.collect_list(F.struct(F.col(TIME).alias("at"), F.col(c).alias("value"))).alias("_rows"))
+    # two plain arrays are half as large as one of pairs
+    sides = F.transform("_rows", lambda r: r["at"]).alias("_at"), F.transform("_rows", lambda r: r["value"]).alias("_value")
+    theirs = near.join(rows, F.col("peer") == F.col("_who"), "left").select("_of", "peer", *sides)
+    # with the same filter as ``rows``, so that both read one shuffle
+    mine = df.where(named).groupBy(NAME).agg(F.collect_list(F.struct(*df.columns)).alias("_mine"))
+    d = mine.join(theirs, F.col(NAME) == F.col("_of"), "left")
+    nothing, kind = F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema)), df.schema[c].dataType
+    own = F.transform("_mine", lambda r: F.struct(F.lit(True).alias("_own"), r[TIME].alias("_at"), F.lit(None).cast(kind).alias("_value"), r.alias("_row")))
+    other = F.zip_with("_at", "_value", lambda t, v: F.struct(F.lit(False).alias("_own"), t.alias("_at"), v.alias("_value"), nothing.alias("_row")))
+    d = d.select(F.col(NAME).alias("_of"), "peer", F.inline(F.concat(own, F.coalesce(other, F.slice(own, 1, 0)))))
+    d = d.withColumn("_value", F.max("_value").over(Window.partitionBy("_of", "_at"))).where("_own")
+    out = d.select("_row.*", "peer", "_value").select(*df.columns, "peer", (F.col(c) - F.col("_value")).alias("pair_spread"))
+    unnamed = df.where(~named)
+    return out.unionByName(unnamed.select(*df.columns, F.lit(None).cast(out.schema["peer"].dataType).alias("peer"), F.lit(None).cast(out.schema["pair_spread"].dataType).alias("pair_spread")))

@@ -667,5 +667,5 @@ co AS (SELECT a.ticker, b.ticker AS peer, count(*) AS n, corr(a."return", b."ret
        WHERE a."return" IS NOT NULL AND b."return" IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 30),
 nr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY corr DESC, peer) AS place FROM co) WHERE place <= 3)"""
 add("closest_peers", on(d, lambda p: N.closest_peers(p, "return", 3)), "ticker:s place:l peer:s n:l corr:d", _PEERS, "SELECT * FROM nr")
-add("pair_spread", on(d, lambda p: N.pair_spread(p.select(*KEYS, "return"), N.correlations(p, "return", 40), "return")), _K + "peer:s pair_spread:d", _PEERS,
+add("pair_spread", on(d, lambda p: N.pair_spread(p.select(*KEYS, "return"), N.closest_peers(p, "return"), "return")), _K + "peer:s pair_spread:d", _PEERS,
     'SELECT p.timestamp_agg, p.ticker, nr.peer, p."return" - q."return" AS pair_spread FROM panel p LEFT JOIN nr ON nr.ticker = p.ticker AND place = 1 LEFT JOIN panel q ON q.ticker = nr.peer AND q.timestamp_agg = p.timestamp_agg')
