@@ -1,6 +1,7 @@
 """Tokenizer alignment against a plain merge of both token streams."""
 
 import collections
+import gc
 import hashlib
 import random
 
@@ -98,3 +99,18 @@ def test_a_run_that_comes_again_is_given_once(spark):
     got = alignment.blocks(df, A, B).select(F.size("docs").alias("docs"), F.size("runs").alias("runs")).collect()
     assert sum(r["docs"] for r in got) == len(texts) and sum(r["runs"] for r in got) == len(got) * 3 + 3
     assert sorted((str(r[0]), *r[1:]) for r in alignment.align(df, A, B)[0].collect()) == plain(enumerate(texts))
+
+
+def test_a_block_leaves_nothing_behind():
+    """A block's runs are freed with it: held in a cycle, those of many blocks piled up in a worker."""
+    with open(A, "rb") as a, open(B, "rb") as b:
+        pair = alignment.Pair(a.read(), b.read())
+    texts = ["one two  three", "two three four", "", None]
+    pair.block(texts)
+    gc.collect()
+    gc.disable()
+    try:
+        pair.block(texts)
+        assert gc.collect() == 0
+    finally:
+        gc.enable()

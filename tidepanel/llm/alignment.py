@@ -120,6 +120,7 @@ class Pair:
         for k in again:
             of[k] = numbers(_CUT.split(texts[k]))
         runs = list(number)
+        number.default_factory = None  # which holds the numbers in a cycle: without this they stay until Python looks for cycles, block after block
         edge = np.concatenate([edge, edged(runs[len(first) :])]) if self.apart else np.ones(len(runs), bool)
         used = np.zeros(len(runs), bool)
         for x in of:
